@@ -125,14 +125,14 @@ def _sum_partials_fn(batches):
 
 def epoch_job(df: DataFrame, models: dict[int, SoftTreeModel], alpha: float, gamma: float,
               features: str = "features", label: str = "label", trial_col: str = "trial",
-              split_col: str = "split") -> dict[int, dict]:
+              split_col: str = "split", n_parts: int | None = None) -> dict[int, dict]:
     """One pass: per trial, summed train loss and gradient and summed
     validation loss at the given parameters."""
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(models)
     try:
         parts = df.mapInPandas(_partials_fn(bc, alpha, gamma, features, label, trial_col, split_col), PARTIAL_SCHEMA)
-        n_parts = df.rdd.getNumPartitions()
+        n_parts = n_parts or df.rdd.getNumPartitions()
         size = n_parts * sum(m.thresholds.size + m.leaves.size for m in models.values())
         if size > DRIVER_PARTIAL_LIMIT:
             parts = parts.repartition(max(1, int(np.sqrt(n_parts))), "trial").mapInPandas(_sum_partials_fn, PARTIAL_SCHEMA)
@@ -148,24 +148,21 @@ def epoch_job(df: DataFrame, models: dict[int, SoftTreeModel], alpha: float, gam
         bc.unpersist()
 
 
-def gradient(df: DataFrame, model: SoftTreeModel, alpha: float = 1.0, gamma: float = 2.0, **kw) -> dict:
-    """Mean focal loss and its gradient over the training rows (one job)."""
-    d = df if "trial" in df.columns else df.withColumn("trial", F.lit(0))
-    tid = 0 if "trial" not in df.columns else None
-    models = {tid: model} if tid is not None else model
-    res = epoch_job(d, models if isinstance(models, dict) else {0: model}, alpha, gamma, **kw)
-    return {t: {"loss": r["train_loss"] / max(r["n_train"], 1), "grad": r["grad"] / max(r["n_train"], 1),
-                "valid_loss": r["valid_loss"] / r["n_valid"] if r["n_valid"] else float("nan")}
-            for t, r in res.items()}
+def gradient(df: DataFrame, model: SoftTreeModel, alpha: float = 1.0, gamma: float = 2.0,
+             features: str = "features", label: str = "label") -> dict:
+    """Mean focal loss over the training rows and its gradient, in one job
+    (rows without a ``split`` column all count as training rows)."""
+    d = df.withColumn("_trial", F.lit(0))
+    split = "split"
+    if "split" not in df.columns:
+        d, split = d.withColumn("_split", F.lit("train")), "_split"
+    r = epoch_job(d, {0: model}, alpha, gamma, features, label, "_trial", split)[0]
+    return {"loss": r["train_loss"] / r["n_train"], "grad": r["grad"] / r["n_train"]}
 
 
-def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineConfig | None = None,
-                   features: str = "features", label: str = "label", trial_col: str = "trial",
-                   split_col: str = "split", log_every: int = 0) -> FitResult:
-    """Train one model per trial on the rows of that trial, all trials in
-    the same epoch jobs; stopped trials drop out of later jobs."""
-    cfg = cfg or EngineConfig()
-    rows = df.where(F.col(split_col).isin("train", "valid")).select(trial_col, split_col, features, label)
+def _train_loop(init: dict[int, SoftTreeModel], cfg: EngineConfig, compute, log_every: int = 0):
+    """The epoch loop shared by both strategies. ``compute(models)`` returns
+    per trial the summed train loss/gradient and validation loss."""
     states = {t: TrialState(m, AdamState(np.zeros(m.params().size), np.zeros(m.params().size)))
               for t, m in init.items()}
     history: list[dict] = []
@@ -175,9 +172,7 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     active = set(states)
     jobs = 0
     while active:
-        models = {t: states[t].model for t in active}
-        res = epoch_job(rows.where(F.col(trial_col).isin(list(active))), models, cfg.alpha, cfg.gamma,
-                        features, label, trial_col, split_col)
+        res = compute({t: states[t].model for t in active})
         jobs += 1
         now = time.time()
         for t in list(active):
@@ -215,4 +210,95 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
         stats[t] = {"best_epoch": st.best_epoch, "stop_epoch": st.stop_epoch,
                     "last_train_loss": st.last_train_loss, "last_valid_loss": st.last_valid_loss,
                     "best_valid_loss": st.best_val, "train_time": st.train_time}
-    return FitResult(out_models, history, stats)
+    return out_models, history, stats
+
+
+# A trial whose train+valid rows x features stay below this many values is
+# trained inside one task (all its epochs in numpy); bigger trials use one
+# distributed job per epoch.
+GROUPED_VALUE_LIMIT = 5_000_000
+
+_GROUPED_SCHEMA = ("trial int, thresholds array<double>, leaves array<array<double>>, best_epoch int, "
+                   "stop_epoch int, last_train_loss double, last_valid_loss double, best_valid_loss double, "
+                   "train_time double, history array<struct<epoch:int,train_loss:double,valid_loss:double>>")
+
+
+def _grouped_fn(bc, cfg: EngineConfig, features: str, label: str, trial_col: str, split_col: str):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = int(pdf[trial_col].iloc[0])
+        init = {t: bc.value[t]}
+        X = features_matrix(pdf[features])
+        y = pdf[label].to_numpy().astype(np.int64)
+        sp = pdf[split_col].to_numpy()
+        Xt, yt, Xv, yv = X[sp == "train"], y[sp == "train"], X[sp == "valid"], y[sp == "valid"]
+
+        def compute(models):
+            m = models[t]
+            loss, g = loss_and_grad(Xt, yt, m, cfg.alpha, cfg.gamma)
+            vl = float(focal_loss_np(scores_np(Xv, m), yv, cfg.alpha, cfg.gamma).sum()) if len(yv) else 0.0
+            return {t: {"n_train": len(yt), "train_loss": loss, "grad": g, "n_valid": len(yv), "valid_loss": vl}}
+
+        models, history, stats = _train_loop(init, cfg, compute)
+        m, st = models[t], stats[t]
+        return pd.DataFrame([{
+            "trial": t, "thresholds": m.thresholds.tolist(), "leaves": m.leaves.tolist(),
+            "best_epoch": st["best_epoch"], "stop_epoch": st["stop_epoch"],
+            "last_train_loss": st["last_train_loss"], "last_valid_loss": st["last_valid_loss"],
+            "best_valid_loss": st["best_valid_loss"], "train_time": st["train_time"],
+            "history": [{"epoch": h["epoch"], "train_loss": h["train_loss"], "valid_loss": h["valid_loss"]}
+                        for h in history]}])
+    return fn
+
+
+def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineConfig | None = None,
+                   features: str = "features", label: str = "label", trial_col: str = "trial",
+                   split_col: str = "split", strategy: str = "auto", log_every: int = 0) -> FitResult:
+    """Train one model per trial on the rows of that trial.
+
+    ``distributed``: all trials share one Spark job per epoch; stopped
+    trials drop out of later jobs. ``grouped``: each trial's rows go to one
+    task (``groupBy(trial).applyInPandas``) that runs every epoch locally —
+    only allowed when the trial's size is within ``GROUPED_VALUE_LIMIT``.
+    ``auto`` picks grouped when the size check passes. Both run the same
+    loop and the same float64 kernel."""
+    cfg = cfg or EngineConfig()
+    rows = df.where(F.col(split_col).isin("train", "valid")).select(trial_col, split_col, features, label)
+    if strategy in ("auto", "grouped"):
+        sizes = rows.groupBy(trial_col).agg(F.count(F.lit(1)).alias("n"),
+                                            F.max(F.size(features)).alias("f")).collect()
+        biggest = max((r["n"] * max(r["f"] or 1, 1) for r in sizes), default=0)
+        fits = biggest <= GROUPED_VALUE_LIMIT
+        if strategy == "grouped" and not fits:
+            raise ValueError(f"a trial holds {biggest} values, above the grouped limit {GROUPED_VALUE_LIMIT}")
+        strategy = "grouped" if fits else "distributed"
+    if strategy == "grouped":
+        bc = df.sparkSession.sparkContext.broadcast(init)
+        try:
+            out = rows.groupBy(trial_col).applyInPandas(
+                _grouped_fn(bc, cfg, features, label, trial_col, split_col), _GROUPED_SCHEMA).collect()
+        finally:
+            bc.unpersist()
+        models, history, stats = {}, [], {}
+        for r in out:
+            t = r["trial"]
+            base = init[t]
+            models[t] = SoftTreeModel(base.depth, base.num_classes, list(base.feature_order),
+                                      np.asarray(r["thresholds"]), np.asarray(r["leaves"]))
+            stats[t] = {k: r[k] for k in ("best_epoch", "stop_epoch", "last_train_loss", "last_valid_loss",
+                                          "best_valid_loss", "train_time")}
+            history += [{"trial": t, "epoch": h["epoch"], "train_loss": h["train_loss"],
+                         "valid_loss": h["valid_loss"]} for h in r["history"]]
+        return FitResult(models, history, stats)
+
+    from pyspark import StorageLevel
+    n_rows = rows.count()
+    n_parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism * 4, -(-n_rows // 200_000)))
+    cached = rows.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        def compute(models):
+            return epoch_job(cached.where(F.col(trial_col).isin(list(models))), models, cfg.alpha, cfg.gamma,
+                             features, label, trial_col, split_col, n_parts=n_parts)
+        models, history, stats = _train_loop(init, cfg, compute, log_every)
+    finally:
+        cached.unpersist()
+    return FitResult(models, history, stats)
