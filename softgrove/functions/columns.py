@@ -114,6 +114,7 @@ def _digamma_asym_sql(x: str) -> str:
 def digamma_sql(x: str) -> str:
     """Digamma for positive arguments: shift by six with the recurrence
     psi(x) = psi(x + 6) - sum 1/(x + i), then the asymptotic series."""
+    x = f"CAST({x} AS DOUBLE)"
     shifted = " - ".join([_digamma_asym_sql(f"(({x}) + 6.0)")] + [f"1.0 / (({x}) + {i}.0)" for i in range(6)])
     return f"(CASE WHEN ({x}) >= 6.0 THEN {_digamma_asym_sql(f'({x})')} ELSE ({shifted}) END)"
 
