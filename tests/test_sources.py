@@ -33,3 +33,31 @@ def test_zip_by_position(spark):
     y = spark.createDataFrame([(0,), (1,), (0,)], "class int").coalesce(1)
     z = sorted((r["row_id"], r["f"], r["class"]) for r in zip_by_position(x, y).collect())
     assert z == [(0, 10.0, 0), (1, 20.0, 1), (2, 30.0, 0)]
+
+
+def test_catalog_recipe_on_handmade_files(spark):
+    import pytest
+    from fixtures import iris_like
+    from softgrove.sources.catalog import prepare_table
+
+    root = tempfile.mkdtemp(prefix="sg-cat-")
+    os.makedirs(os.path.join(root, "Iris"))
+    pdf = iris_like()
+    text = "\n".join(",".join(str(v) for v in r) for r in pdf.itertuples(index=False)) + "\n\n"
+    _write(os.path.join(root, "Iris"), "iris.data", text)
+    df, feats, cats = prepare_table(spark, "Iris", root)
+    assert feats == ["sepal_length", "sepal_width", "petal_length", "petal_width"] and cats == []
+    assert df.count() == 150
+    assert sorted(r["label"] for r in df.select("label").distinct().collect()) == [0, 1, 2]
+    os.makedirs(os.path.join(root, "Heart Disease"))
+    _write(os.path.join(root, "Heart Disease"), "processed.cleveland.data",
+           "63.0,1.0,1.0,145.0,233.0,1.0,2.0,150.0,0.0,2.3,3.0,0.0,6.0,0\n"
+           "67.0,1.0,4.0,160.0,286.0,0.0,2.0,108.0,1.0,1.5,2.0,3.0,?,2\n"
+           "67.0,1.0,4.0,120.0,229.0,0.0,2.0,129.0,1.0,2.6,2.0,?,7.0,1\n"
+           "37.0,1.0,3.0,130.0,250.0,0.0,0.0,187.0,0.0,3.5,3.0,0.0,3.0,0\n")
+    df, feats, cats = prepare_table(spark, "BIN:Heart Disease", root)
+    rows = df.orderBy("row_id").collect()
+    assert [r["label"] for r in rows] == [1, 0, 0, 1]
+    assert rows[2]["ca"] == 0.0 and rows[1]["thal"] in ("3.0", "6.0", "7.0")
+    with pytest.raises(ValueError):
+        prepare_table(spark, "no such table", root)
