@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softgrove.config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, EngineConfig
-from softgrove.operators.tree import SoftTreeModel, features_matrix, focal_loss_np, loss_and_grad, scores_np
+from softgrove.operators.tree import (SoftTreeModel, arrow_list, arrow_matrix, features_matrix, focal_loss_np,
+                                      loss_and_grad, scores_np)
 
 PARTIAL_SCHEMA = "trial int, n_train long, train_loss double, n_valid long, valid_loss double, grad array<double>"
 # Above this many doubles of partial gradients, partials are pre-summed on
@@ -76,15 +77,16 @@ class FitResult:
 
 def _partials_fn(bc, alpha: float, gamma: float, features: str, label: str, trial_col: str, split_col: str):
     def fn(batches):
+        import pyarrow as pa
         models = bc.value
         acc: dict[int, list] = {}
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            X_all = features_matrix(pdf[features])
-            y_all = pdf[label].to_numpy().astype(np.int64)
-            tr = pdf[trial_col].to_numpy()
-            sp = pdf[split_col].to_numpy()
+            X_all = arrow_matrix(rb.column(features))
+            y_all = rb.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
+            tr = rb.column(trial_col).to_numpy(zero_copy_only=False)
+            sp = np.asarray(rb.column(split_col).to_pylist(), dtype=object)
             for t in np.unique(tr):
                 m = models.get(int(t))
                 if m is None:
@@ -100,12 +102,12 @@ def _partials_fn(bc, alpha: float, gamma: float, features: str, label: str, tria
                     a[2] += int(iv.sum())
                     a[3] += float(focal_loss_np(scores_np(X_all[iv], m), y_all[iv], alpha, gamma).sum())
         if acc:
-            yield pd.DataFrame({"trial": list(acc.keys()),
-                                "n_train": [a[0] for a in acc.values()],
-                                "train_loss": [a[1] for a in acc.values()],
-                                "n_valid": [a[2] for a in acc.values()],
-                                "valid_loss": [a[3] for a in acc.values()],
-                                "grad": [a[4] for a in acc.values()]})
+            vals = list(acc.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(acc.keys()), pa.int32()), pa.array([a[0] for a in vals], pa.int64()),
+                 pa.array([a[1] for a in vals], pa.float64()), pa.array([a[2] for a in vals], pa.int64()),
+                 pa.array([a[3] for a in vals], pa.float64()), arrow_list(np.stack([a[4] for a in vals]))],
+                names=["trial", "n_train", "train_loss", "n_valid", "valid_loss", "grad"])
     return fn
 
 
@@ -131,7 +133,7 @@ def epoch_job(df: DataFrame, models: dict[int, SoftTreeModel], alpha: float, gam
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast(models)
     try:
-        parts = df.mapInPandas(_partials_fn(bc, alpha, gamma, features, label, trial_col, split_col), PARTIAL_SCHEMA)
+        parts = df.mapInArrow(_partials_fn(bc, alpha, gamma, features, label, trial_col, split_col), PARTIAL_SCHEMA)
         n_parts = n_parts or df.rdd.getNumPartitions()
         size = n_parts * sum(m.thresholds.size + m.leaves.size for m in models.values())
         if size > DRIVER_PARTIAL_LIMIT:

@@ -157,6 +157,29 @@ def features_matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float64, copy=False)
 
 
+def arrow_matrix(col) -> np.ndarray:
+    """``[n, F]`` view of an Arrow list<double> column of equal-length rows
+    (no per-row Python objects)."""
+    import pyarrow as pa
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0))
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if flat.size % n:
+        return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
+    return flat.reshape(n, flat.size // n)
+
+
+def arrow_list(M: np.ndarray):
+    """Arrow list<double> column from the rows of ``M``."""
+    import pyarrow as pa
+    n, k = M.shape
+    offsets = pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(M).ravel(), type=pa.float64()))
+
+
 # ---------------------------------------------------------------------------
 # Spark operators
 
@@ -201,6 +224,7 @@ def score(df: DataFrame, model: SoftTreeModel | dict, features: str = "features"
 
 
 def _score_numpy(df: DataFrame, model, features: str, out: str, trial_col: str) -> DataFrame:
+    import pyarrow as pa
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(model)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -208,23 +232,21 @@ def _score_numpy(df: DataFrame, model, features: str, out: str, trial_col: str)
 
     def fn(batches):
         mdl = bc.value
-        for pdf in batches:
-            X = features_matrix(pdf[features])
-            res = np.empty(len(pdf), dtype=object)
+        k = mdl.num_classes if single else next(iter(mdl.values())).num_classes
+        for rb in batches:
+            X = arrow_matrix(rb.column(features))
             if single:
-                S = scores_np(X, mdl)
-                res[:] = list(S)
+                S = scores_np(X, mdl) if len(X) else np.zeros((0, k))
             else:
-                tr = pdf[trial_col].to_numpy()
+                tr = rb.column(trial_col).to_numpy(zero_copy_only=False)
+                S = np.zeros((len(tr), k))
                 for t in np.unique(tr):
                     idx = np.nonzero(tr == t)[0]
-                    S = scores_np(X[idx], mdl[int(t)])
-                    for k, i in enumerate(idx):
-                        res[i] = S[k]
-            pdf[out] = res
-            yield pdf
+                    S[idx] = scores_np(X[idx], mdl[int(t)])
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [arrow_list(S)],
+                                             names=list(rb.schema.names) + [out])
 
-    return df.mapInPandas(fn, schema)
+    return df.mapInArrow(fn, schema)
 
 
 def predict(df: DataFrame, model, features: str = "features", out: str = "prediction",
