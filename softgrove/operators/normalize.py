@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from softgrove.functions.columns import (BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, count_less,
@@ -79,23 +79,28 @@ class ArrayNormalizerModel:
 
 
 def _quantile_stats(x: Column, grid: Column, n_max: int) -> Column:
-    """Stage 1: the two binary searches, evaluated once per value."""
-    a = count_less(grid, x, n_max)
-    b = count_less_equal(grid, x, n_max)
-    return F.struct(x.alias("x"), a.alias("a"), b.alias("b"), F.size(grid).alias("n"),
-                    F.get(grid, 0).alias("g0"), F.get(grid, F.size(grid) - 1).alias("gl"),
-                    grid.alias("grid"))
+    """Stage 1: binary search for the number of grid points below x."""
+    return F.struct(x.alias("x"), count_less(grid, x, n_max).alias("a"))
 
 
-def _quantile_u(s: Column) -> Column:
+def _quantile_ties(s: Column, grid: Column, n_max: int) -> Column:
+    """Stage 1b: points at most x; a second search only when x sits on a
+    grid point (otherwise it equals the first count)."""
+    x, a = s["x"], s["a"]
+    b = F.when(F.get(grid, a) == x, count_less_equal(grid, x, n_max)).otherwise(a)
+    return F.struct(x.alias("x"), a.alias("a"), b.alias("b"))
+
+
+def _quantile_u(s: Column, grid: Column) -> Column:
     """Stage 2: mean of forward and backward linear interpolation onto an
-    evenly spaced [0, 1] reference; values within 1e-7 of an end map to it."""
-    x, a, b, n, grid = s["x"], s["a"], s["b"], s["n"], s["grid"]
+    evenly spaced [0, 1] reference; values within 1e-7 of an end map to it.
+    The grid is read from the outer column, never copied per value."""
+    x, a, b, n = s["x"], s["a"], s["b"], F.size(grid)
     nm1 = (n - 1).cast("double")
     g_lo, g_hi = F.get(grid, a - 1), F.get(grid, a)
     between = ((a - 1).cast("double") + (x - g_lo) / (g_hi - g_lo)) / nm1
-    u = (F.when(x - BOUNDS_THRESHOLD < s["g0"], F.lit(0.0))
-         .when(x + BOUNDS_THRESHOLD > s["gl"], F.lit(1.0))
+    u = (F.when(x - BOUNDS_THRESHOLD < F.get(grid, 0), F.lit(0.0))
+         .when(x + BOUNDS_THRESHOLD > F.get(grid, n - 1), F.lit(1.0))
          .when(a < b, (a + b - 1).cast("double") / (2.0 * nm1))
          .otherwise(between))
     return F.when(x.isNull() | F.isnan(x), x).otherwise(u)
@@ -110,13 +115,47 @@ def _normal_z(u: Column) -> Column:
 
 def quantile_uniform_array(features: Column, grids: Column, n_max: int) -> Column:
     s1 = F.transform(features, lambda x, i: _quantile_stats(x, F.get(grids, i), n_max))
-    return F.transform(s1, _quantile_u)
+    s1 = F.transform(s1, lambda s, i: _quantile_ties(s, F.get(grids, i), n_max))
+    return F.transform(s1, lambda s, i: _quantile_u(s, F.get(grids, i)))
 
 
 def quantile_normal_array(features: Column, grids: Column, n_max: int) -> Column:
     return F.transform(quantile_uniform_array(features, grids, n_max), _normal_z)
 
 
+def exact_quantile_grids(long: DataFrame, by: list[str], key: str, x: str, nq: int, sizes: dict) -> DataFrame:
+    """Exact linear-interpolation quantiles at ``i / (nq - 1)`` for every
+    (group, key): rank the values, keep only the order statistics the grid
+    needs (at most ``2 * nq`` per group) and interpolate between them.
+    The same numbers as ``percentile`` / ``quantile_cont``, without its
+    per-quantile scan over all values."""
+    spark = long.sparkSession
+    need = set()
+    for n in set(sizes.values()):
+        for i in range(nq):
+            pos = (i / (nq - 1) if nq > 1 else 0.5) * (n - 1)
+            need.add((n, int(pos // 1)))
+            need.add((n, int(-(-pos // 1))))
+    need_df = spark.createDataFrame(sorted(need), "_n long, _rk long")
+    size_rows = [(*g, n) for g, n in sizes.items()]
+    size_df = spark.createDataFrame(size_rows, ", ".join(
+        [f"`{b}` {long.schema[b].dataType.simpleString()}" for b in by] + ["_n long"]))
+    w = Window.partitionBy(*by, key).orderBy(x)
+    ranked = long.select(*by, key, x, (F.row_number().over(w) - 1).alias("_rk"))
+    ranked = ranked.join(F.broadcast(size_df), by) if by else ranked.withColumn("_n", F.lit(next(iter(sizes.values()))))
+    picked = ranked.join(F.broadcast(need_df), ["_n", "_rk"])  # rows = groups x keys x 2nq at most
+    stats = picked.groupBy(*by, key).agg(F.first("_n").alias("_n"),
+                                         F.map_from_entries(F.collect_list(F.struct("_rk", x))).alias("_v"))
+
+    def q(i):
+        p = (i.cast("double") / F.lit(float(nq - 1))) if nq > 1 else F.lit(0.5)
+        pos = p * (F.col("_n") - 1).cast("double")
+        lo, hi = F.floor(pos), F.ceil(pos)
+        vlo, vhi = F.element_at(F.col("_v"), lo.cast("long")), F.element_at(F.col("_v"), hi.cast("long"))
+        return F.when((lo == hi) | (vlo == vhi), vlo).otherwise((hi - pos) * vlo + (pos - lo) * vhi)
+    return stats.select(*by, key, F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), q).alias("grid"))
+
+
 class QuantileNormalizer:
     def __init__(self, noise: float = 1e-3, n_quantiles: int = 1000, seed: int = 42,
                  method: str = "auto", by: list[str] | None = None, features: str = "features",
@@ -142,10 +181,12 @@ class QuantileNormalizer:
             nstd = F.lit(self.noise) / F.greatest(F.col("_sd"), F.lit(self.noise))
             long = long.withColumn("x", F.col("x") + nstd * keyed_gaussian(self.seed, F.col("pos"), F.col(self.key)))
         exact = self.method == "exact" or (self.method == "auto" and n_max_rows <= EXACT_QUANTILE_ROW_LIMIT)
-        probs_col = F.array(*[F.lit(p) for p in probs])
-        q = (F.percentile(F.col("x"), probs_col) if exact
-             else F.percentile_approx(F.col("x"), probs_col, APPROX_ACCURACY))
-        grids = long.groupBy(*by, "pos").agg(q.alias("grid"))
+        if exact:
+            grids = exact_quantile_grids(long, by, "pos", "x", nq, {tuple(r[b] for b in by): r["n"] for r in sizes})
+        else:
+            probs_col = F.array(*[F.lit(p) for p in probs])
+            grids = long.groupBy(*by, "pos").agg(
+                F.percentile_approx(F.col("x"), probs_col, APPROX_ACCURACY).alias("grid"))
         # One row per group with the grids in position order (features x nq doubles).
         params = grids.groupBy(*by).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "grid"))), lambda s: s["grid"]).alias("_grids"))
