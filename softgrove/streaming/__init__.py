@@ -1,0 +1,6 @@
+"""Streaming operators.
+
+The reference has no stream, watermark, window or state logic: every input
+is a batch file read. None is invented here; scoring a stream would be
+``predict`` applied to a ``readStream`` DataFrame (it is a stateless map).
+"""
