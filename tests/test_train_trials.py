@@ -61,3 +61,20 @@ def test_oversample_random_balances(spark):
     extra = out.where(F.col("draw") >= 0)
     assert extra.where(F.col("label") != 1).count() == 0
     assert extra.select("row_id").distinct().count() <= 10
+
+
+def test_trial_and_summary_sinks(spark):
+    import tempfile
+    from softgrove.plans.trials import write_summary, write_trials
+    rows = [(t, 41 + t, "x", 8, 10, 1.0, 0.9, 1.0, 0.9, 0.1, 0.2, 1.0, 0.01, 9) for t in (1, 2)]
+    trials = spark.createDataFrame(rows, TRIALS_SCHEMA)
+    d = tempfile.mkdtemp(prefix="sg-sink-")
+    write_trials(trials, f"{d}/trials")
+    # re-running one trial replaces only its partition
+    write_trials(trials.where(F.col("Trial") == 2).withColumn("Seed", F.lit(99)), f"{d}/trials")
+    back = spark.read.option("header", True).csv(f"{d}/trials")
+    got = {int(r["Trial"]): int(r["Seed"]) for r in back.collect()}
+    assert got == {1: 42, 2: 99}
+    write_summary(summarize_trials(trials), f"{d}/summary")
+    s = spark.read.option("header", True).csv(f"{d}/summary").first()
+    assert s["Dataset Name"] == "x" and float(s["Mean Test Accuracy"]) == 0.9
