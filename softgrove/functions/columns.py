@@ -93,6 +93,25 @@ def norm_ppf_scalar(p: float) -> float:
     return -v if q < 0 else v
 
 
+def norm_ppf_np(p):
+    """Vectorised version of the same routine (numpy arrays, 0 < p < 1)."""
+    import numpy as np
+    p = np.asarray(p, dtype=np.float64)
+    q = p - 0.5
+    out = np.empty_like(p)
+    c = np.abs(q) <= 0.425
+    r = 0.180625 - q[c] * q[c]
+    out[c] = q[c] * _horner_py(AS241_A, r) / _horner_py(AS241_B, r)
+    t = ~c
+    with np.errstate(all="ignore"):
+        rt = np.sqrt(-np.log(np.where(q[t] < 0, p[t], 1.0 - p[t])))
+    near = rt <= 5.0
+    v = np.where(near, _horner_py(AS241_C, rt - 1.6) / _horner_py(AS241_D, rt - 1.6),
+                 _horner_py(AS241_E, rt - 5.0) / _horner_py(AS241_F, rt - 5.0))
+    out[t] = np.where(q[t] < 0, -v, v)
+    return out
+
+
 def _horner_py(coefs: list[float], r: float) -> float:
     v = coefs[-1]
     for c in reversed(coefs[:-1]):

@@ -60,8 +60,12 @@ class ArrayNormalizerModel:
     low: float = -1.0
     high: float = 1.0
 
-    def transform(self, df: DataFrame, out: str | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, out: str | None = None, engine: str = "auto") -> DataFrame:
         out = out or self.features
+        if self.kind == "quantile" and engine in ("auto", "arrow"):
+            local = self.local_grids()
+            if local is not None:
+                return _arrow_quantile_transform(df, local, self.by, self.features, out)
         p = _attach(df, self.params, self.by, self.n_groups)
         f = F.col(self.features)
         if self.kind == "quantile":
@@ -76,6 +80,20 @@ class ArrayNormalizerModel:
         return p.withColumn(out, res).drop(*drop)
 
     params_nq: int = 1000
+    n_features: int = 0
+    _local: dict | None = None
+
+    def local_grids(self) -> dict | None:
+        """Grids per group as numpy arrays, when their total size is within
+        BROADCAST_GRID_LIMIT (groups x features x quantiles doubles)."""
+        if self._local is not None:
+            return self._local
+        if self.n_groups * max(self.n_features, 1) * self.params_nq > BROADCAST_GRID_LIMIT:
+            return None
+        import numpy as np
+        rows = self.params.collect()
+        self._local = {tuple(r[b] for b in self.by): np.asarray(r["_grids"], dtype=np.float64) for r in rows}
+        return self._local
 
 
 def _quantile_stats(x: Column, grid: Column, n_max: int) -> Column:
@@ -156,6 +174,84 @@ def exact_quantile_grids(long: DataFrame, by: list[str], key: str, x: str, nq: i
     return stats.select(*by, key, F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), q).alias("grid"))
 
 
+def quantile_kernel(X, grids, uniform: bool = False):
+    """numpy version of the quantile transform: ``X [n, F]``, ``grids [F, nq]``."""
+    import numpy as np
+    from softgrove.functions.columns import norm_ppf_np
+    X = np.asarray(X, dtype=np.float64)
+    Z = np.empty_like(X)
+    for j in range(X.shape[1]):
+        g, x = grids[j], X[:, j]
+        nm1 = len(g) - 1
+        a = np.searchsorted(g, x, "left")
+        b = np.searchsorted(g, x, "right")
+        lo, hi = np.clip(a - 1, 0, nm1), np.clip(a, 0, nm1)
+        with np.errstate(all="ignore"):
+            between = ((a - 1) + (x - g[lo]) / (g[hi] - g[lo])) / nm1 if nm1 > 0 else np.full_like(x, 0.5)
+            tied = (a + b - 1) / (2.0 * nm1) if nm1 > 0 else np.full_like(x, 0.5)
+        u = np.where(a < b, tied, between)
+        u = np.where(x + BOUNDS_THRESHOLD > g[-1], 1.0, u)
+        u = np.where(x - BOUNDS_THRESHOLD < g[0], 0.0, u)
+        nan = np.isnan(x)
+        if uniform:
+            Z[:, j] = np.where(nan, np.nan, u)
+            continue
+        inner = (u > 0.0) & (u < 1.0) & ~nan
+        z = np.where(u <= 0.0, CLIP_LOW, CLIP_HIGH)
+        z[inner] = np.clip(norm_ppf_np(u[inner]), CLIP_LOW, CLIP_HIGH)
+        Z[:, j] = np.where(nan, np.nan, z)
+    return Z
+
+
+# Grids up to this many doubles (groups x features x quantiles) are
+# broadcast to a vectorised transform; larger fits use the join + JVM path.
+BROADCAST_GRID_LIMIT = 25_000_000
+
+
+def _arrow_quantile_transform(df: DataFrame, grids: dict, by: list[str], features: str, out: str,
+                              uniform: bool = False) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from softgrove.operators.tree import arrow_list, arrow_matrix
+    bc = df.sparkSession.sparkContext.broadcast(grids)
+    fields = [f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.DoubleType()))]
+    schema = T.StructType(fields)
+
+    def fn(batches):
+        g = bc.value
+        for rb in batches:
+            X = arrow_matrix(rb.column(features))
+            if by:
+                keys = list(zip(*[rb.column(b).to_pylist() for b in by]))
+                Z = np.empty_like(X)
+                for k in set(keys):
+                    idx = np.array([i for i, kk in enumerate(keys) if kk == k])
+                    Z[idx] = quantile_kernel(X[idx], g[k], uniform)
+            else:
+                Z = quantile_kernel(X, g[()], uniform) if len(X) else X
+            cols = [rb.column(i) for i, n in enumerate(rb.schema.names) if n != out]
+            names = [n for n in rb.schema.names if n != out]
+            if rb.num_rows == 0:
+                Z = np.zeros((0, 0))
+            yield pa.RecordBatch.from_arrays(cols + [arrow_list(Z) if rb.num_rows else pa.array([], pa.list_(pa.float64()))],
+                                             names=names + [out])
+
+    return df.mapInArrow(fn, schema)
+
+
+def _grid_fn(probs_pct):
+    def fn(pdf):
+        import numpy as np
+        import pandas as pd
+        x = np.sort(pdf["x"].to_numpy(dtype=np.float64))
+        grid = np.percentile(x, probs_pct) if len(x) else np.array([])
+        row = {c: pdf[c].iloc[0] for c in pdf.columns if c != "x"}
+        row["grid"] = grid.tolist()
+        return pd.DataFrame([row])
+    return fn
+
+
 class QuantileNormalizer:
     def __init__(self, noise: float = 1e-3, n_quantiles: int = 1000, seed: int = 42,
                  method: str = "auto", by: list[str] | None = None, features: str = "features",
@@ -170,6 +266,7 @@ class QuantileNormalizer:
         n_groups = len(sizes)
         n_min = min(r["n"] for r in sizes)
         n_max_rows = max(r["n"] for r in sizes)
+        n_feat = train.select(F.max(F.size(self.features))).first()[0] or 0
         nq = max(1, min(self.n_quantiles, n_min))
         probs = [i / (nq - 1) for i in range(nq)] if nq > 1 else [0.5]
         long = _long(train, by, self.features, self.key if self.noise > 0 else None)
@@ -182,7 +279,12 @@ class QuantileNormalizer:
             long = long.withColumn("x", F.col("x") + nstd * keyed_gaussian(self.seed, F.col("pos"), F.col(self.key)))
         exact = self.method == "exact" or (self.method == "auto" and n_max_rows <= EXACT_QUANTILE_ROW_LIMIT)
         if exact:
-            grids = exact_quantile_grids(long, by, "pos", "x", nq, {tuple(r[b] for b in by): r["n"] for r in sizes})
+            # Each (group, feature) holds at most EXACT_QUANTILE_ROW_LIMIT values
+            # (checked above): sort them in one task and interpolate linearly.
+            gschema = ", ".join([f"`{b}` {long.schema[b].dataType.simpleString()}" for b in by]
+                                + ["pos int", "grid array<double>"])
+            grids = (long.select(*by, "pos", "x").groupBy(*by, "pos")
+                     .applyInPandas(_grid_fn([100.0 * p for p in probs]), gschema))
         else:
             probs_col = F.array(*[F.lit(p) for p in probs])
             grids = long.groupBy(*by, "pos").agg(
@@ -192,6 +294,7 @@ class QuantileNormalizer:
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "grid"))), lambda s: s["grid"]).alias("_grids"))
         m = ArrayNormalizerModel(by, params, n_groups, self.features, "quantile")
         m.params_nq = nq
+        m.n_features = n_feat
         return m
 
 

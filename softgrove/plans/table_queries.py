@@ -18,7 +18,8 @@ from softgrove.config import EngineConfig
 from softgrove.functions.columns import CLIP_HIGH, CLIP_LOW, digamma_sql, norm_ppf_sql
 from softgrove.operators import clean, evaluate as ev, labels as lab
 from softgrove.operators.encode import LeaveOneOut
-from softgrove.operators.normalize import MinMaxNormalizer, QuantileNormalizer, StandardNormalizer, quantile_uniform_array
+from softgrove.operators.normalize import (MinMaxNormalizer, QuantileNormalizer, StandardNormalizer,
+                                          _arrow_quantile_transform)
 from softgrove.operators.rank import mutual_information, rank_features
 from softgrove.operators.split import stratified_split
 from softgrove.operators.train import fit_soft_trees, gradient
@@ -270,9 +271,8 @@ def q_quantile_normalize(spark, sf):
 def q_quantile_uniform(spark, sf):
     df = _price(spark, sf)
     m = QuantileNormalizer(noise=0.0, n_quantiles=1000, method="exact").fit(df)
-    grids = m.params.first()["_grids"]
-    u = quantile_uniform_array(F.col("features"), F.lit(grids), 1000)
-    return df.select(F.col("row_id").alias("o_orderkey"), _r(u[0], "u"))
+    u = _arrow_quantile_transform(df, m.local_grids(), [], "features", "u", uniform=True)
+    return u.select(F.col("row_id").alias("o_orderkey"), _r(F.col("u")[0], "u"))
 
 
 def _quantile_sql(out: str) -> str:
