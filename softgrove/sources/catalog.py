@@ -86,8 +86,53 @@ GERMAN_CAT = ["Status of existing checking account", "Credit history", "Purpose"
               "Present employment since", "Personal status and sex", "Other debtors / guarantors", "Property",
               "Other installment plans", "Housing", "Job", "Telephone", "foreign worker"]
 SPLICE = ["One of {n ei ie}", "instance name", "sequence"]
+COLIC = ["surgery", "Age", "Hospital Number", "rectal temperature", "pulse", "respiratory rate",
+         "temperature of extremities", "peripheral pulse", "mucous membranes", "capillary refill time", "pain",
+         "peristalsis", "abdominal distension", "nasogastric tube", "nasogastric reflux", "nasogastric reflux PH",
+         "rectal examination", "abdomen", "packed cell volume", "total protein", "abdominocentesis appearance",
+         "abdomcentesis total protein", "outcome", "surgical lesion?", "type of lesion1", "type of lesion2",
+         "type of lesion3", "cp_data"]
+COLIC_CAT = ["temperature of extremities", "peripheral pulse", "mucous membranes", "capillary refill time", "pain",
+             "peristalsis", "abdominal distension", "nasogastric tube", "nasogastric reflux", "rectal examination",
+             "abdomen", "abdominocentesis appearance", "type of lesion1", "type of lesion2", "type of lesion3"]
+FLARE = ["Code for class", "Code for largest spot size", "Code for spot distribution", "Activity", "Evolution",
+         "Previous 24 hour flare activity code", "Historically-complex",
+         "Did region become historically complex on this pass across the suns disk", "Area",
+         "Area of the largest spot",
+         "C-class flares production by this region in the following 24 hours (common flares)",
+         "M-class flares production by this region in the following 24 hours (moderate flares)",
+         "X-class flares production by this region in the following 24 hours (severe flares)"]
+SEGMENT = ["target", "region-centroid-col", "region-centroid-row", "region-pixel-count", "short-line-density-5",
+           "short-line-density-2", "vedge-mean", "vegde-sd", "hedge-mean", "hedge-sd", "intensity-mean",
+           "rawred-mean", "rawblue-mean", "rawgreen-mean", "exred-mean", "exblue-mean", "exgreen-mean",
+           "value-mean", "saturatoin-mean", "hue-mean"]
+DERMATOLOGY = ["erythema", "scaling", "definite borders", "itching", "koebner phenomenon", "polygonal papules",
+               "follicular papules", "oral mucosal involvement", "knee and elbow involvement", "scalp involvement",
+               "family history", "melanin incontinence", "eosinophils in the infiltrate", "PNL infiltrate",
+               "fibrosis of the papillary dermis", "exocytosis", "acanthosis", "hyperkeratosis", "parakeratosis",
+               "clubbing of the rete ridges", "elongation of the rete ridges",
+               "thinning of the suprapapillary epidermis", "spongiform pustule", "munro microabcess",
+               "focal hypergranulosis", "disappearance of the granular layer",
+               "vacuolisation and damage of basal layer", "spongiosis", "saw-tooth appearance of retes",
+               "follicular horn plug", "perifollicular parakeratosis", "inflammatory monoluclear inflitrate",
+               "band-like infiltrate", "Age (linear)", "diagnosis"]
+ANNEAL = ["family", "product-type", "steel", "carbon", "hardness", "temper_rolling", "condition", "formability",
+          "strength", "non-ageing", "surface-finish", "surface-quality", "enamelability", "bc", "bf", "bt", "bw/me",
+          "bl", "m", "chrom", "phos", "cbond", "marvi", "exptl", "ferro", "corr", "blue/bright/varn/clean", "lustre",
+          "jurofm", "s", "p", "shape", "thick", "width", "len", "oil", "bore", "packing", "classes"]
+ANNEAL_NUMERIC = ["carbon", "hardness", "strength", "thick", "width", "len"]
+LYMPH = ["class", "lymphatics", "block of affere", "bl. of lymph. c", "bl. of lymph. s", "by pass", "extravasates",
+         "regeneration of", "early uptake in", "lym.nodes dimin", "lym.nodes enlar", "changes in lym.",
+         "efect in node", "changes in node", "changes in stru", "special forms", "dislocation of",
+         "exclusion of no", "no. of nodes in"]
+LYMPH_CAT = ["lymphatics", "lym.nodes dimin", "lym.nodes enlar", "changes in lym.", "efect in node",
+             "changes in node", "changes in stru", "special forms"]
+HEART_FAILURE_LABEL = "DEATH_EVENT"
 # ---------------------------------------------------------------------------
 
+# Landsat: pixel-major names spectral_<band>_pixel_<pixel>, 4 bands x 9 pixels.
+LANDSAT = [f"spectral_{i}_pixel_{j}" for j in range(9) for i in range(4)] + ["target"]
+
 SPLICE_POSITIONS = [str(i) for i in range(-30, 30)]
 
 CATALOG: dict[str, TableSpec] = {
@@ -121,6 +166,25 @@ CATALOG: dict[str, TableSpec] = {
     "MULT:Contraceptive": TableSpec(
         "MULT:Contraceptive", ["Contraceptive/cmc.data"], CMC, "Contraceptive method used",
         categorical=["Wife's education", "Husband's education", "Husband's occupation", "Standard-of-living index"]),
+    "BIN:Horse Colic": TableSpec(
+        "BIN:Horse Colic", ["Colic/horse-colic.data", "Colic/horse-colic.test"], COLIC, "surgical lesion?",
+        sep=" ", null_token="?", drop=["Hospital Number"], categorical=COLIC_CAT, impute=[("fill_mode_all", {})]),
+    "MULT:Solar Flare": TableSpec(
+        "MULT:Solar Flare", ["Solar Flare/flare.data1", "Solar Flare/flare.data2"], FLARE, FLARE[10], sep=" ",
+        header=True, drop=FLARE[11:], categorical=FLARE[:10]),
+    "Segment": TableSpec("Segment", ["Segment/segmentation.data", "Segment/segmentation.test"], SEGMENT, "target",
+                         header=True, comment=";"),
+    "MULT:Landsat": TableSpec("MULT:Landsat", ["Landsat/sat.trn", "Landsat/sat.tst"], LANDSAT, "target", sep=" "),
+    "MULT:Dermatology": TableSpec(
+        "MULT:Dermatology", ["Dermatology/dermatology.data"], DERMATOLOGY, "diagnosis",
+        impute=[("fill_mean", {"cols": ["Age (linear)"], "token": "?"})]),
+    "MULT:Annealing": TableSpec("MULT:Annealing", ["Annealing/anneal.data"], ANNEAL, "classes",
+                                categorical=[c for c in ANNEAL[:-1] if c not in ANNEAL_NUMERIC]),
+    "MULT:Lymphography": TableSpec("MULT:Lymphography", ["Lymphography/lymphography.data"], LYMPH, "class",
+                                   categorical=LYMPH_CAT),
+    "BIN:Heart Failure": TableSpec(
+        "BIN:Heart Failure", ["Heart Failure/heart_failure_clinical_records_dataset.csv"], None, HEART_FAILURE_LABEL,
+        header=True, label_rule="predicate", predicate=lambda c: c.try_cast("double") > 0),
     "Splice": TableSpec("Splice", ["Splice/splice.data"], SPLICE, "One of {n ei ie}", drop=["instance name"],
                         positions=("sequence", 60, SPLICE_POSITIONS), categorical=SPLICE_POSITIONS),
 }
@@ -155,13 +219,14 @@ def prepare_table(spark: SparkSession, spec: TableSpec | str, data_root: str) ->
             df = clean.fill_const(df, **kw)
         else:
             raise ValueError(f"unknown imputation rule {rule}")
+    df = df.withColumnRenamed(spec.label, "__y")  # the source may itself be called "label"
     if spec.label_rule == "codes":
-        df, _ = encode_label(df, spec.label, out="label", keep=True)
+        df, _ = encode_label(df, "__y", out="label", keep=True)
     elif spec.label_rule == "predicate":
-        df = clean.derive_label(df, spec.predicate(qcol(spec.label)), "label", spec.null_as)
+        df = clean.derive_label(df, spec.predicate(F.col("__y")), "label", spec.null_as)
     else:
-        df = df.withColumn("label", qcol(spec.label).cast("int"))
-    skip = set(spec.drop) | {spec.label, "label", "row_id"}
+        df = df.withColumn("label", F.col("__y").cast("int"))
+    skip = set(spec.drop) | {"__y", "label", "row_id"}
     if spec.positions:
         skip.add(spec.positions[0])
     feats = spec.select or [c for c in df.columns if c not in skip]

@@ -61,3 +61,37 @@ def test_catalog_recipe_on_handmade_files(spark):
     assert rows[2]["ca"] == 0.0 and rows[1]["thal"] in ("3.0", "6.0", "7.0")
     with pytest.raises(ValueError):
         prepare_table(spark, "no such table", root)
+
+
+def test_catalog_preamble_two_files_and_tokens(spark):
+    from softgrove.sources.catalog import SEGMENT, COLIC, DERMATOLOGY, prepare_table
+
+    root = tempfile.mkdtemp(prefix="sg-cat2-")
+    os.makedirs(os.path.join(root, "Segment"))
+    row = lambda cls, v: ",".join([cls] + [str(v + i) for i in range(19)])
+    pre = ";;; preamble line\n;;; another\n\nCOL-A,COL-B\n\n"
+    _write(os.path.join(root, "Segment"), "segmentation.data", pre + "\n".join([row("SKY", 1.0), row("CEMENT", 2.0)]) + "\n")
+    _write(os.path.join(root, "Segment"), "segmentation.test", pre + row("SKY", 3.0) + "\n")
+    df, feats, _ = prepare_table(spark, "Segment", root)
+    rows = df.orderBy("row_id").collect()
+    assert len(rows) == 3 and feats == SEGMENT[1:]
+    assert sorted(r["region-centroid-col"] for r in rows) == [1.0, 2.0, 3.0]
+    assert sorted(r["label"] for r in rows) == [0, 1, 1]  # CEMENT < SKY
+
+    os.makedirs(os.path.join(root, "Colic"))
+    line = lambda les, v: " ".join(["1", "?" if v else "2", "530101"] + [str(v)] * 20 + [str(les)] + ["0"] * 4) + " "
+    _write(os.path.join(root, "Colic"), "horse-colic.data", "\n".join([line(1, 0), line(2, 1), line(2, 1)]) + "\n")
+    _write(os.path.join(root, "Colic"), "horse-colic.test", line(1, 0) + "\n")
+    df, feats, cats = prepare_table(spark, "BIN:Horse Colic", root)
+    assert len(feats) == 26 and len(cats) == 15 and "Hospital Number" not in feats
+    ages = [r["Age"] for r in df.collect()]
+    assert sorted(ages) == [2.0, 2.0, 2.0, 2.0]  # '?' filled with the column mode
+
+    os.makedirs(os.path.join(root, "Dermatology"))
+    vals = lambda age, d: ",".join(["1"] * 33 + [age, str(d)])
+    _write(os.path.join(root, "Dermatology"), "dermatology.data",
+           "\n".join([vals("20", 1), vals("?", 2), vals("40", 1)]) + "\n")
+    df, feats, _ = prepare_table(spark, "MULT:Dermatology", root)
+    assert feats[-1] == DERMATOLOGY[-2]
+    assert sorted(r["Age (linear)"] for r in df.collect()) == [20.0, 30.0, 40.0]
+    assert COLIC[23] == "surgical lesion?"
