@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from softgrove.functions.columns import count_less, digamma, digamma_scalar, keyed_gaussian
 from softgrove.operators._util import maybe_broadcast
 
-KNN_ROW_LIMIT = 20_000_000
+KNN_ROW_LIMIT = 20_000_000_000
+# Target rows per value bucket of the kNN windows.
+KNN_BUCKET_ROWS = 2_000_000
 EXACT_EDGE_LIMIT = 5_000_000
 
 
@@ -45,9 +47,12 @@ def _long(df: DataFrame, by: list[str], features: str, label: str, key: str) ->
 def mutual_information(df: DataFrame, features: str = "features", label: str = "label",
                        by: list[str] | None = None, key: str = "row_id", k: int = 3,
                        method: str = "knn", seed: int | str = 42, tie_noise: bool = True,
-                       train_rows: Column | None = None, n_bins: int = 64) -> DataFrame:
+                       train_rows: Column | None = None, n_bins: int = 64,
+                       buckets: int | None = None) -> DataFrame:
     """Returns ``(by..., feature, mi)``. ``seed`` is an int or a per-group
-    seed column name (for the tie-breaking noise)."""
+    seed column name (for the tie-breaking noise). ``buckets``: value
+    buckets per feature for the kNN windows (default: one per
+    ``KNN_BUCKET_ROWS`` rows)."""
     by = list(by or [])
     if train_rows is None and "split" in df.columns:
         train_rows = F.col("split") == "train"
@@ -77,36 +82,86 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     cls = df.groupBy(*by, F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_nc"))
     long = long.join(maybe_broadcast(cls, None), by + ["_label"]).where(F.col("_nc") > 1)
     kk = F.least(F.lit(k), F.col("_nc") - 1).cast("int")
-
-    # k-th same-class neighbour: among lag/lead 1..k in value order.
-    w = Window.partitionBy(*g, "_label").orderBy("v", "_key")
-    cands = []
-    for j in range(1, k + 1):
-        for nb in (F.lag("v", j).over(w), F.lead("v", j).over(w)):
-            cands.append(F.when(nb.isNotNull(), F.struct(F.abs(nb - F.col("v")).alias("d"), nb.alias("u"))))
-    knn = long.select(*g, "_key", "_nc", kk.alias("_k"), "v",
-                      F.array_sort(F.filter(F.array(*cands), lambda c: c.isNotNull())).alias("_c"))
+    long = long.withColumn("_k", kk)
+
+    # Value buckets per (group, feature) so that no window holds a whole
+    # feature: edges are approximate quantiles, a value's bucket is the
+    # number of edges below it. One bucket for small inputs.
+    if buckets is None:
+        biggest = long.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(1, -(-biggest // KNN_BUCKET_ROWS))
+    if buckets > 1:
+        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        edges = long.groupBy(*g).agg(
+            F.array_sort(F.array_distinct(F.percentile_approx("v", probs, 10 * buckets))).alias("_edges"))
+        long = long.join(maybe_broadcast(edges), g).withColumn("_b", count_less(F.col("_edges"), F.col("v"), buckets))
+    else:
+        long = long.withColumn("_b", F.lit(0))
+
+    # k-th same-class neighbour: among lag/lead 1..k in value order within
+    # the bucket; the first / last k rows of a bucket take the missing side
+    # from a window over the edge rows of all buckets of the class.
+    w1 = Window.partitionBy(*g, "_label", "_b").orderBy("v", "_key")
+
+    def cand(nb):
+        return F.when(nb.isNotNull(), F.struct(F.abs(nb - F.col("v")).alias("d"), nb.alias("u")))
+
+    def sides(w):
+        back = F.array(*[cand(F.lag("v", j).over(w)) for j in range(1, k + 1)])
+        fwd = F.array(*[cand(F.lead("v", j).over(w)) for j in range(1, k + 1)])
+        return back, fwd
+
+    b1, f1 = sides(w1)
+    base_cols = [*g, "_key", "_label", "_nc", "_k", "v", "_b"] + (["_edges"] if buckets > 1 else [])
+    if buckets > 1:
+        wc = Window.partitionBy(*g, "_label", "_b")
+        x = long.select(*base_cols, b1.alias("_back"), f1.alias("_fwd"), F.row_number().over(w1).alias("_rn"),
+                        F.count(F.lit(1)).over(wc).alias("_cb"))
+        first_k, last_k = F.col("_rn") <= k, F.col("_rn") > F.col("_cb") - k
+        inner = x.where(~(first_k | last_k)).select(*base_cols, "_back", "_fwd")
+        we = Window.partitionBy(*g, "_label").orderBy("v", "_key")
+        b2, f2 = sides(we)
+        edge = x.where(first_k | last_k).select(
+            *base_cols, F.when(first_k, b2).otherwise(F.col("_back")).alias("_back"),
+            F.when(last_k, f2).otherwise(F.col("_fwd")).alias("_fwd"))
+        knn = inner.unionByName(edge)
+    else:
+        knn = long.select(*base_cols, b1.alias("_back"), f1.alias("_fwd"))
+    knn = knn.select(*base_cols, F.array_sort(F.filter(F.concat("_back", "_fwd"), lambda c: c.isNotNull())).alias("_c"))
     kth = F.element_at(F.col("_c"), F.col("_k"))
-    knn = knn.select(*g, "_key", "_nc", "_k", "v", kth["d"].alias("r"), kth["u"].alias("u"))
+    knn = knn.select(*base_cols, kth["d"].alias("r"), kth["u"].alias("u"))
     # Open interval (lo, hi); on the neighbour's side its own value is the bound.
     lo = F.when(F.col("u") < F.col("v"), F.col("u")).otherwise(F.col("v") - F.col("r"))
     hi = F.when(F.col("u") < F.col("v"), F.col("v") + F.col("r")).otherwise(F.col("u"))
-    knn = knn.select(*g, "_key", "_nc", "_k", "v", "r", lo.alias("lo"), hi.alias("hi"))
+    knn = knn.select(*base_cols, "r", lo.alias("lo"), hi.alias("hi"))
 
     # Events: an open end at hi sorts before equal values (typ 0) and an open
     # end at lo after them (typ 2), so m = count(values < hi) - count(values
     # <= lo). A zero radius (duplicates) counts the closed ball instead: the
-    # rows equal to the value.
+    # rows equal to the value. Counts are running sums within a value
+    # bucket plus the number of values in the buckets before it.
     zero = F.col("r") == 0
+
+    def bucket_of(c):
+        return count_less(F.col("_edges"), c, buckets) if buckets > 1 else F.lit(0)
+
     ev = knn.select(*g, F.explode(F.array(
         F.struct(F.col("v").alias("pos"), F.lit(1).alias("typ"), F.col("_key").alias("id"),
-                 F.lit(0).alias("end"), F.lit(0).alias("_nc"), F.lit(0).alias("_k")),
+                 F.lit(0).alias("end"), F.lit(0).alias("_nc"), F.lit(0).alias("_k"), F.col("_b").alias("_eb")),
         F.struct(F.col("hi").alias("pos"), F.when(zero, 2).otherwise(0).alias("typ"), F.col("_key").alias("id"),
-                 F.lit(1).alias("end"), F.col("_nc").alias("_nc"), F.col("_k").alias("_k")),
+                 F.lit(1).alias("end"), F.col("_nc").alias("_nc"), F.col("_k").alias("_k"),
+                 bucket_of(F.col("hi")).alias("_eb")),
         F.struct(F.col("lo").alias("pos"), F.when(zero, 0).otherwise(2).alias("typ"), F.col("_key").alias("id"),
-                 F.lit(2).alias("end"), F.lit(0).alias("_nc"), F.lit(0).alias("_k")))).alias("e")).select(*g, "e.*")
-    wr = Window.partitionBy(*g).orderBy("pos", "typ", "end", "id").rowsBetween(Window.unboundedPreceding, 0)
+                 F.lit(2).alias("end"), F.lit(0).alias("_nc"), F.lit(0).alias("_k"),
+                 bucket_of(F.col("lo")).alias("_eb")))).alias("e")).select(*g, "e.*")
+    wr = Window.partitionBy(*g, "_eb").orderBy("pos", "typ", "end", "id").rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("cnt", F.sum(F.when(F.col("end") == 0, 1).otherwise(0)).over(wr)).where(F.col("end") != 0)
+    if buckets > 1:
+        per_b = knn.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n_b"))
+        wo = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        offs = per_b.select(*g, F.col("_b").alias("_eb"), F.coalesce(F.sum("_n_b").over(wo), F.lit(0)).alias("_off"))
+        ev = ev.join(maybe_broadcast(offs), g + ["_eb"], "left") \
+            .withColumn("cnt", F.col("cnt") + F.coalesce(F.col("_off"), F.lit(0)))
     per_row = ev.groupBy(*g, "id").agg(
         (F.sum(F.when(F.col("end") == 1, F.col("cnt")).otherwise(0))
          - F.sum(F.when(F.col("end") == 2, F.col("cnt")).otherwise(0))).alias("m"),

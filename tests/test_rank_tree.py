@@ -58,3 +58,20 @@ def test_expr_and_numpy_scoring_agree(spark):
         assert np.allclose(a[k], b[k], atol=1e-12)
     p = {r["id"]: r["prediction"] for r in predict(df, m).collect()}
     assert all(p[k] == int(np.argmax(a[k])) for k in a)
+
+
+def test_mi_knn_bucketed_matches_brute_force(spark):
+    rng = np.random.default_rng(9)
+    n = 600
+    y = rng.integers(0, 4, n)
+    y[:2] = 3  # a small class
+    x0 = rng.normal(size=n) + y * 0.5
+    x1 = rng.exponential(size=n) * (1 + (y == 1))
+    rows = [(i, int(y[i]), [float(x0[i]), float(x1[i])]) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, label int, features array<double>")
+    one = {r["feature"]: r["mi"] for r in mutual_information(df, tie_noise=False, buckets=1).collect()}
+    many = {r["feature"]: r["mi"] for r in mutual_information(df, tie_noise=False, buckets=13).collect()}
+    for j, x in enumerate([x0, x1]):
+        ref = mi_brute_force(x / x.std(), y)
+        assert abs(one[j] - ref) < 1e-9
+        assert abs(many[j] - ref) < 1e-9
