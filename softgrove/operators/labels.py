@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from softgrove.operators._util import maybe_broadcast, one_row, qcol
 
 
+# Label levels up to this count are coded with a literal map (a plain
+# projection); more levels use a join against the ranked level table.
+LEVEL_LITERAL_LIMIT = 100_000
+
+
+def _sort_key(v):
+    if isinstance(v, float) and math.isnan(v):
+        return (1, 0.0)
+    return (0, v)
+
+
 def encode_label(df: DataFrame, col: str, out: str = "label", keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct values sorted ascending -> codes 0..K-1 (numbers in numeric
     order, strings lexicographically). Returns the coded table and the
     mapping ``(value, code)``.
 
-    The mapping holds one row per class; it is ranked in one small window
-    and broadcast behind a size check."""
+    The levels are one small aggregate (one row per class); up to
+    ``LEVEL_LITERAL_LIMIT`` of them become a literal map, so coding is a
+    projection with no join."""
     levels = df.select(qcol(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    mapping = levels.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
-    m = maybe_broadcast(mapping)
-    coded = df.join(m, qcol(col).eqNullSafe(m["value"]), "left").drop("value").withColumnRenamed("code", out)
+    vals = [r["value"] for r in levels.limit(LEVEL_LITERAL_LIMIT + 1).collect()]
+    spark = df.sparkSession
+    vtype = df.schema[col].dataType
+    if len(vals) <= LEVEL_LITERAL_LIMIT:
+        ordered = sorted(vals, key=_sort_key)
+        codes = {v: i for i, v in enumerate(ordered)}
+        mapping = spark.createDataFrame([(v, i) for v, i in codes.items()],
+                                        T.StructType([T.StructField("value", vtype), T.StructField("code", T.IntegerType())]))
+        if ordered:
+            lit_map = F.create_map(*[x for v, i in codes.items() for x in (F.lit(v).cast(vtype), F.lit(i))])
+            code = F.try_element_at(lit_map, qcol(col))
+        else:
+            code = F.lit(None).cast("int")
+        coded = df.withColumn(out, code.cast("int"))
+    else:
+        mapping = levels.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+        m = maybe_broadcast(mapping)
+        coded = df.join(m, qcol(col).eqNullSafe(m["value"]), "left").drop("value").withColumnRenamed("code", out)
     if not keep and col != out:
         coded = coded.drop(col)
     return coded, mapping
