@@ -87,8 +87,8 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     # Value buckets per (group, feature) so that no window holds a whole
     # feature: edges are approximate quantiles, a value's bucket is the
     # number of edges below it. One bucket for small inputs.
-    if buckets is None:
-        biggest = long.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+    if buckets is None:  # every feature of a group has one value per training row
+        biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
         buckets = max(1, -(-biggest // KNN_BUCKET_ROWS))
     if buckets > 1:
         probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])

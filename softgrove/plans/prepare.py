@@ -9,6 +9,7 @@ grouping key of every fit. The output is
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from softgrove.operators._util import qcol
 from softgrove.operators.encode import LeaveOneOut
 from softgrove.operators.normalize import MinMaxNormalizer, QuantileNormalizer, StandardNormalizer
 from softgrove.operators.split import stratified_split
+from softgrove.session import materialize
 
 
 def with_trials(df: DataFrame, seeds) -> DataFrame:
@@ -31,7 +33,10 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> Column:
 
 def preprocess(df: DataFrame, feature_cols: list[str], categorical: list[str] | None = None,
                label: str = "label", key: str = "row_id", cfg: EngineConfig | None = None,
-               seeds=None) -> DataFrame:
+               seeds=None, materialize_output: bool = True) -> DataFrame:
+    """With ``materialize_output`` the prepared table is checkpointed (the
+    shared checkpoint folder) and the split, which every fit reads, is kept
+    in the cache only while the fits run."""
     cfg = cfg or EngineConfig()
     seeds = list(seeds if seeds is not None else cfg.seeds)
     categorical = [c for c in (categorical or []) if c in feature_cols]
@@ -40,6 +45,8 @@ def preprocess(df: DataFrame, feature_cols: list[str], categorical: list[str] |
     t = with_trials(base, seeds)
     t = stratified_split(t, label="label", key="row_id", valid_fraction=cfg.valid_fraction,
                          test_fraction=cfg.test_fraction, seed="seed", by=["trial"])
+    split_cache = t.persist(StorageLevel.MEMORY_AND_DISK) if materialize_output else None
+    t = split_cache if split_cache is not None else t
     if categorical:
         enc = LeaveOneOut(categorical, label="label", by=["trial"]).fit(t)
         t = enc.transform(t)
@@ -54,4 +61,8 @@ def preprocess(df: DataFrame, feature_cols: list[str], categorical: list[str] |
         norm = StandardNormalizer(by=["trial"]).fit(t)
     else:
         raise ValueError(f"unknown normalization: {cfg.normalization}")
-    return norm.transform(t).select("trial", "seed", "row_id", "split", "label", "features")
+    out = norm.transform(t).select("trial", "seed", "row_id", "split", "label", "features")
+    if materialize_output:
+        out = materialize(out)
+        split_cache.unpersist()
+    return out

@@ -15,7 +15,6 @@ from softgrove.operators.rank import mutual_information, rank_features
 from softgrove.operators.train import fit_soft_trees
 from softgrove.operators.tree import choose_depth, init_model
 from softgrove.plans.prepare import preprocess
-from softgrove.session import materialize
 
 TRIALS_SCHEMA = ("Trial int, Seed int, name string, Depth int, `Optimal Epoch` int, `Train Accuracy` double, "
                  "`Test Accuracy` double, `Train F1 Macro` double, `Test F1 Macro` double, `Train Loss` double, "
@@ -36,7 +35,7 @@ def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list
                label: str = "label", key: str = "row_id", seeds=None) -> TrialRun:
     cfg = cfg or EngineConfig()
     seeds = list(seeds if seeds is not None else cfg.seeds)
-    prepared = materialize(preprocess(df, feature_cols, categorical, label, key, cfg, seeds))
+    prepared = preprocess(df, feature_cols, categorical, label, key, cfg, seeds)
     # Classes over train + valid + test (codes are contiguous by construction).
     num_classes = prepared.where(F.col("trial") == 1).agg(F.countDistinct("label")).first()[0]
     depth = cfg.depth or choose_depth(len(feature_cols))
