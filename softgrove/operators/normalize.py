@@ -223,10 +223,18 @@ def _arrow_quantile_transform(df: DataFrame, grids: dict, by: list[str], feature
         for rb in batches:
             X = arrow_matrix(rb.column(features))
             if by:
-                keys = list(zip(*[rb.column(b).to_pylist() for b in by]))
+                cols = [rb.column(b).to_numpy(zero_copy_only=False) for b in by]
                 Z = np.empty_like(X)
-                for k in set(keys):
-                    idx = np.array([i for i, kk in enumerate(keys) if kk == k])
+                if len(cols) == 1:
+                    groups = [((k,), np.nonzero(cols[0] == k)[0]) for k in np.unique(cols[0])]
+                else:
+                    keys = list(zip(*[c.tolist() for c in cols]))
+                    pos: dict = {}
+                    for i, kk in enumerate(keys):
+                        pos.setdefault(kk, []).append(i)
+                    groups = [(kk, np.asarray(ix)) for kk, ix in pos.items()]
+                for k, idx in groups:
+                    k = tuple(v.item() if hasattr(v, "item") else v for v in k)
                     Z[idx] = quantile_kernel(X[idx], g[k], uniform)
             else:
                 Z = quantile_kernel(X, g[()], uniform) if len(X) else X

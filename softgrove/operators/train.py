@@ -137,7 +137,13 @@ def epoch_job(df: DataFrame, models: dict[int, SoftTreeModel], alpha: float, gam
         n_parts = n_parts or df.rdd.getNumPartitions()
         size = n_parts * sum(m.thresholds.size + m.leaves.size for m in models.values())
         if size > DRIVER_PARTIAL_LIMIT:
-            parts = parts.repartition(max(1, int(np.sqrt(n_parts))), "trial").mapInPandas(_sum_partials_fn, PARTIAL_SCHEMA)
+            # Tree-combine on executors: partials of a trial are spread over
+            # sqrt(P) slots, each summed by one task, so no task receives all
+            # partitions' partials.
+            slots = max(1, int(np.sqrt(n_parts)))
+            parts = (parts.withColumn("_slot", F.spark_partition_id() % slots)
+                     .repartition(slots * max(1, len(models)), "trial", "_slot").drop("_slot")
+                     .mapInPandas(_sum_partials_fn, PARTIAL_SCHEMA))
         out: dict[int, dict] = {}
         for r in parts.collect():
             a = out.setdefault(r["trial"], {"n_train": 0, "train_loss": 0.0, "n_valid": 0, "valid_loss": 0.0, "grad": None})

@@ -78,3 +78,19 @@ def test_trial_and_summary_sinks(spark):
     write_summary(summarize_trials(trials), f"{d}/summary")
     s = spark.read.option("header", True).csv(f"{d}/summary").first()
     assert s["Dataset Name"] == "x" and float(s["Mean Test Accuracy"]) == 0.9
+
+
+def test_epoch_partials_tree_combine_matches_driver_sum(spark, monkeypatch):
+    import softgrove.operators.train as tr
+    rng = np.random.default_rng(0)
+    rows = [(t, "train" if i % 5 else "valid", [float(v) for v in rng.normal(size=3)], int(rng.integers(0, 3)))
+            for t in (1, 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "trial int, split string, features array<double>, label int").repartition(16)
+    models = {1: init_model(3, 3, [0, 1, 2], 1), 2: init_model(3, 3, [2, 1, 0], 2)}
+    a = tr.epoch_job(df, models, 1.0, 2.0, n_parts=16)
+    monkeypatch.setattr(tr, "DRIVER_PARTIAL_LIMIT", 0)
+    b = tr.epoch_job(df, models, 1.0, 2.0, n_parts=16)
+    for t in (1, 2):
+        assert a[t]["n_train"] == b[t]["n_train"] == 320
+        assert np.allclose(a[t]["grad"], b[t]["grad"])
+        assert abs(a[t]["valid_loss"] - b[t]["valid_loss"]) < 1e-9
