@@ -46,3 +46,18 @@ def test_quantile_engines_agree(spark):
     b = {r["row_id"]: r["features"] for r in m.transform(df, engine="jvm").collect()}
     for k in a:
         assert np.allclose(a[k], b[k], atol=1e-12)
+
+
+def test_leave_one_out_literal_and_join_paths_agree(spark, monkeypatch):
+    import softgrove.operators.encode as enc
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 3), f"c{rng.integers(0, 6)}", None if i % 17 == 0 else f"d{rng.integers(0, 3)}",
+             int(rng.integers(0, 2)), "train" if i % 4 else "test") for i in range(240)]
+    df = spark.createDataFrame(rows, "row_id long, trial int, a string, b string, label int, split string")
+    model = enc.LeaveOneOut(["a", "b"], by=["trial"]).fit(df)
+    lit = {r["row_id"]: (r["a"], r["b"]) for r in model.transform(df).collect()}
+    monkeypatch.setattr(enc, "LITERAL_STATS_LIMIT", 0)
+    joined = {r["row_id"]: (r["a"], r["b"]) for r in model.transform(df).collect()}
+    assert lit.keys() == joined.keys()
+    for k in lit:
+        assert np.allclose(lit[k], joined[k], atol=1e-12)
