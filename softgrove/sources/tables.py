@@ -62,11 +62,24 @@ def read_tables(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A stable 0-based position: file order for delimited input read in
-    path and offset order (``zipWithIndex`` keeps partition order)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """A stable consecutive 0-based position in scan order (files in path
+    order, then offsets), computed JVM-side: ``monotonically_increasing_id``
+    holds (partition, index in partition); one small job counts the rows of
+    each partition and the prefix sums turn it into a global position."""
+    mid = F.monotonically_increasing_id()
+    d = df.withColumn("_mid", mid)
+    counts = {r["p"]: r["n"] for r in d.groupBy(F.shiftright("_mid", 33).alias("p"))
+              .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
+    n_parts = (max(counts) + 1) if counts else 0
+    offsets, acc = [], 0
+    for p in range(n_parts):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    if not offsets:
+        return df.withColumn(name, F.lit(None).cast("long")).limit(0)
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (F.shiftright("_mid", 33) + 1).cast("int"))
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.withColumn(name, off + local).drop("_mid")
 
 
 def zip_by_position(x: DataFrame, y: DataFrame, key: str = "row_id") -> DataFrame:
