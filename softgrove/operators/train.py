@@ -282,8 +282,11 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     if strategy == "grouped":
         bc = df.sparkSession.sparkContext.broadcast(init)
         try:
-            out = rows.groupBy(trial_col).applyInPandas(
-                _grouped_fn(bc, cfg, features, label, trial_col, split_col), _GROUPED_SCHEMA).collect()
+            # One partition per trial (explicit count: adaptive execution
+            # does not merge them), so trials train in parallel tasks.
+            out = (rows.repartitionByRange(max(1, len(sizes)), trial_col).groupBy(trial_col)
+                   .applyInPandas(_grouped_fn(bc, cfg, features, label, trial_col, split_col), _GROUPED_SCHEMA)
+                   .collect())
         finally:
             bc.unpersist()
         models, history, stats = {}, [], {}

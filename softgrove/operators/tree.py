@@ -87,8 +87,15 @@ def init_model(depth: int, num_classes: int, feature_order: list[int], seed: int
 # ---------------------------------------------------------------------------
 # numpy kernel (runs inside tasks on Arrow batches)
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * z))
+def _decisions(X: np.ndarray, feats: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """sigmoid(theta - x) = 1 / (1 + exp(x - theta)), computed in place."""
+    D = X[:, feats]  # a copy (fancy indexing)
+    np.subtract(D, th[None, :], out=D)
+    with np.errstate(over="ignore"):
+        np.exp(D, out=D)
+    D += 1.0
+    np.reciprocal(D, out=D)
+    return D
 
 
 def forward(X: np.ndarray, model: SoftTreeModel, keep: bool = False):
@@ -100,10 +107,14 @@ def forward(X: np.ndarray, model: SoftTreeModel, keep: bool = False):
     levels = []
     for lv in range(model.depth):
         lo, hi = 2 ** lv - 1, 2 ** (lv + 1) - 1
-        D = _sigmoid(model.thresholds[lo:hi][None, :] - X[:, feats[lo:hi]])
+        D = _decisions(X, feats[lo:hi], model.thresholds[lo:hi])
         if keep:
             levels.append((P, D))
-        P = np.stack([P * D, P * (1.0 - D)], axis=2).reshape(n, -1)
+        nxt = np.empty((n, 2 * (hi - lo)))
+        left = nxt[:, 0::2]
+        np.multiply(P, D, out=left)
+        np.subtract(P, left, out=nxt[:, 1::2])
+        P = nxt
     return P, levels
 
 
@@ -144,10 +155,15 @@ def loss_and_grad(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, alpha: flo
     g_th = np.empty(model.n_nodes)
     for lv in range(model.depth - 1, -1, -1):
         Pp, D = levels[lv]
-        Gl, Gr = G[:, 0::2], G[:, 1::2]
+        Gr = G[:, 1::2]
+        diff = G[:, 0::2] - Gr
         lo, hi = 2 ** lv - 1, 2 ** (lv + 1) - 1
-        g_th[lo:hi] = (Pp * (Gl - Gr) * D * (1.0 - D)).sum(axis=0)
-        G = Gl * D + Gr * (1.0 - D)
+        slope = D - D * D  # d sigmoid / d theta
+        slope *= diff
+        g_th[lo:hi] = np.einsum("ij,ij->j", Pp, slope) if Pp.shape[1] > 1 else (Pp[:, 0] @ slope)
+        diff *= D
+        diff += Gr
+        G = diff
     return float(loss.sum()), np.concatenate([g_th, g_leaves.ravel()])
 
 
