@@ -163,6 +163,17 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def node_prob(x: Column, theta: float | Column) -> Column:
+    """Soft split: probability of going left, ``sigmoid(theta - x)``."""
+    th = theta if isinstance(theta, Column) else F.lit(float(theta))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(x - th))
+
+
+def permute(features: Column, order: list[int]) -> Column:
+    """Array reordered by index: ``[features[order[0]], features[order[1]], ...]``."""
+    return F.transform(F.array(*[F.lit(int(i)) for i in order]), lambda i: F.get(features, i))
+
+
 def softmax(scores: Column) -> Column:
     """Softmax of an ARRAY<DOUBLE>, shifted by the maximum for stability."""
     m = F.array_max(scores)

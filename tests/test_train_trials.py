@@ -94,3 +94,23 @@ def test_epoch_partials_tree_combine_matches_driver_sum(spark, monkeypatch):
         assert a[t]["n_train"] == b[t]["n_train"] == 320
         assert np.allclose(a[t]["grad"], b[t]["grad"])
         assert abs(a[t]["valid_loss"] - b[t]["valid_loss"]) < 1e-9
+
+
+def test_restore_last_keeps_final_weights(spark):
+    prep = preprocess(_iris(spark), FEATURES, seeds=[42]).cache()
+    init = {1: init_model(3, 3, [2, 3, 0, 1], 7)}
+    best = fit_soft_trees(prep, init, EngineConfig(max_epochs=40, restore="best"))
+    last = fit_soft_trees(prep, init, EngineConfig(max_epochs=40, restore="last"))
+    assert best.stats[1]["stop_epoch"] == last.stats[1]["stop_epoch"]
+    assert best.stats[1]["best_epoch"] <= best.stats[1]["stop_epoch"]
+    if best.stats[1]["best_epoch"] < best.stats[1]["stop_epoch"]:
+        assert not np.allclose(best.models[1].params(), last.models[1].params())
+
+
+def test_rebalance_only_when_needed(spark):
+    from softgrove.operators.balance import rebalance
+    skewed = spark.createDataFrame([(i, 1 if i < 5 else 0) for i in range(100)], "row_id long, label int")
+    even = spark.createDataFrame([(i, i % 2) for i in range(100)], "row_id long, label int")
+    assert rebalance(even).count() == 100
+    out = rebalance(skewed)
+    assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {0: 95, 1: 95}
