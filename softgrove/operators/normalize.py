@@ -36,8 +36,11 @@ def _train(df: DataFrame, train_rows: Column | None) -> DataFrame:
 
 
 def _long(df: DataFrame, by: list[str], features: str, key: str | None) -> DataFrame:
+    """Long form (group, position, value) of the training values; missing
+    values (NULL or NaN) take no part in a fit."""
     extra = [key] if key else []
-    return df.select(*by, *extra, F.posexplode(features).alias("pos", "x"))
+    return (df.select(*by, *extra, F.posexplode(features).alias("pos", "x"))
+            .where(F.col("x").isNotNull() & ~F.isnan("x")))
 
 
 def _attach(df: DataFrame, params: DataFrame, by: list[str], n_groups: int) -> DataFrame:

@@ -65,7 +65,7 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     if method == "binned":
         return _mi_binned(df, features, label, by, key, n_bins)
     long = df.select(*by, F.col(key).alias("_key"), F.col(label).alias("_label"), seed_col.alias("_seedv"),
-                  F.posexplode(features).alias("feature", "x"))
+                     F.posexplode(features).alias("feature", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     g = by + ["feature"]
     # Scale by the population std (zero -> 1), then tie-breaking noise of
     # size 1e-10 * max(1, mean |scaled value|).

@@ -61,3 +61,13 @@ def test_leave_one_out_literal_and_join_paths_agree(spark, monkeypatch):
     assert lit.keys() == joined.keys()
     for k in lit:
         assert np.allclose(lit[k], joined[k], atol=1e-12)
+
+
+def test_fits_ignore_missing_values(spark):
+    rows = [(i, [float(i) if i % 10 else float("nan"), float(i % 7)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>")
+    for m in (QuantileNormalizer(noise=0.0, n_quantiles=50).fit(df), MinMaxNormalizer().fit(df), StandardNormalizer().fit(df)):
+        out = {r["row_id"]: r["features"] for r in m.transform(df).collect()}
+        assert np.isnan(out[0][0]) and not np.isnan(out[1][0]) and not np.isnan(out[0][1])
+        finite = [v[0] for k, v in out.items() if k % 10]
+        assert max(finite) <= 5.2 and min(finite) >= -5.2
