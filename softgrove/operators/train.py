@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softgrove.config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, EngineConfig
-from softgrove.operators.tree import (SoftTreeModel, arrow_list, arrow_matrix, features_matrix, focal_loss_np,
-                                      loss_and_grad, scores_np)
+from softgrove.operators.tree import (SoftTreeModel, arrow_list, arrow_matrix, features_matrix, focal_loss_sum,
+                                      loss_and_grad_chunked)
 
 PARTIAL_SCHEMA = "trial int, n_train long, train_loss double, n_valid long, valid_loss double, grad array<double>"
 # Above this many doubles of partial gradients, partials are pre-summed on
@@ -95,12 +95,12 @@ def _partials_fn(bc, alpha: float, gamma: float, features: str, label: str, tria
                 sel = tr == t
                 it = sel & (sp == "train")
                 if it.any():
-                    loss, g = loss_and_grad(X_all[it], y_all[it], m, alpha, gamma)
+                    loss, g = loss_and_grad_chunked(X_all[it], y_all[it], m, alpha, gamma)
                     a[0] += int(it.sum()); a[1] += loss; a[4] += g
                 iv = sel & (sp == "valid")
                 if iv.any():
                     a[2] += int(iv.sum())
-                    a[3] += float(focal_loss_np(scores_np(X_all[iv], m), y_all[iv], alpha, gamma).sum())
+                    a[3] += focal_loss_sum(X_all[iv], y_all[iv], m, alpha, gamma)
         if acc:
             vals = list(acc.values())
             yield pa.RecordBatch.from_arrays(
@@ -242,8 +242,8 @@ def _grouped_fn(bc, cfg: EngineConfig, features: str, label: str, trial_col: str
 
         def compute(models):
             m = models[t]
-            loss, g = loss_and_grad(Xt, yt, m, cfg.alpha, cfg.gamma)
-            vl = float(focal_loss_np(scores_np(Xv, m), yv, cfg.alpha, cfg.gamma).sum()) if len(yv) else 0.0
+            loss, g = loss_and_grad_chunked(Xt, yt, m, cfg.alpha, cfg.gamma)
+            vl = focal_loss_sum(Xv, yv, m, cfg.alpha, cfg.gamma) if len(yv) else 0.0
             return {t: {"n_train": len(yt), "train_loss": loss, "grad": g, "n_valid": len(yv), "valid_loss": vl}}
 
         models, history, stats = _train_loop(init, cfg, compute)

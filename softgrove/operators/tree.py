@@ -167,6 +167,41 @@ def loss_and_grad(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, alpha: flo
     return float(loss.sum()), np.concatenate([g_th, g_leaves.ravel()])
 
 
+# Rows per kernel call: bounds the [rows, 2**depth] working arrays of the
+# forward/backward pass (about 4 M cells, ~32 MB per array) at any depth.
+CHUNK_CELLS = 4_000_000
+
+
+def chunk_rows(depth: int) -> int:
+    return max(256, CHUNK_CELLS // (2 ** depth))
+
+
+def loss_and_grad_chunked(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float):
+    """``loss_and_grad`` summed over row chunks (same sums, bounded memory)."""
+    step = chunk_rows(model.depth)
+    if len(X) <= step:
+        return loss_and_grad(X, y, model, alpha, gamma)
+    loss, grad = 0.0, np.zeros(model.thresholds.size + model.leaves.size)
+    for i in range(0, len(X), step):
+        lc, gc = loss_and_grad(X[i:i + step], y[i:i + step], model, alpha, gamma)
+        loss += lc
+        grad += gc
+    return loss, grad
+
+
+def scores_chunked(X: np.ndarray, model: SoftTreeModel) -> np.ndarray:
+    step = chunk_rows(model.depth)
+    if len(X) <= step:
+        return scores_np(X, model)
+    return np.concatenate([scores_np(X[i:i + step], model) for i in range(0, len(X), step)])
+
+
+def focal_loss_sum(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float) -> float:
+    step = chunk_rows(model.depth)
+    return float(sum(focal_loss_np(scores_np(X[i:i + step], model), y[i:i + step], alpha, gamma).sum()
+                     for i in range(0, len(X), step)))
+
+
 def features_matrix(s: pd.Series) -> np.ndarray:
     if len(s) == 0:
         return np.zeros((0, 0))
@@ -252,13 +287,13 @@ def _score_numpy(df: DataFrame, model, features: str, out: str, trial_col: str)
         for rb in batches:
             X = arrow_matrix(rb.column(features))
             if single:
-                S = scores_np(X, mdl) if len(X) else np.zeros((0, k))
+                S = scores_chunked(X, mdl) if len(X) else np.zeros((0, k))
             else:
                 tr = rb.column(trial_col).to_numpy(zero_copy_only=False)
                 S = np.zeros((len(tr), k))
                 for t in np.unique(tr):
                     idx = np.nonzero(tr == t)[0]
-                    S[idx] = scores_np(X[idx], mdl[int(t)])
+                    S[idx] = scores_chunked(X[idx], mdl[int(t)])
             yield pa.RecordBatch.from_arrays(list(rb.columns) + [arrow_list(S)],
                                              names=list(rb.schema.names) + [out])
 

@@ -75,3 +75,17 @@ def test_mi_knn_bucketed_matches_brute_force(spark):
         ref = mi_brute_force(x / x.std(), y)
         assert abs(one[j] - ref) < 1e-9
         assert abs(many[j] - ref) < 1e-9
+
+
+def test_chunked_kernel_equals_whole(monkeypatch):
+    import softgrove.operators.tree as tr
+    rng = np.random.default_rng(8)
+    X = rng.standard_normal((1000, 4))
+    y = rng.integers(0, 3, 1000)
+    m = init_model(4, 3, [1, 0, 3, 2], 3)
+    whole = tr.loss_and_grad(X, y, m, 1.0, 2.0)
+    monkeypatch.setattr(tr, "CHUNK_CELLS", 16 * 300)  # 300-row chunks at depth 4
+    part = tr.loss_and_grad_chunked(X, y, m, 1.0, 2.0)
+    assert abs(whole[0] - part[0]) < 1e-9 and np.allclose(whole[1], part[1])
+    assert np.allclose(tr.scores_chunked(X, m), tr.scores_np(X, m))
+    assert abs(tr.focal_loss_sum(X, y, m, 1.0, 2.0) - whole[0]) < 1e-9
