@@ -30,31 +30,59 @@ class TrialRun:
     prepared: DataFrame
 
 
+# All trials are prepared together (rows repeated once per seed) while
+# rows x features x trials stays within this many values; beyond it, seeds
+# run in batches so the replicated table never exceeds the bound (one seed
+# at a time for the largest inputs).
+TRIAL_BATCH_VALUES = 2_000_000_000
+
+
 def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list[str],
                categorical: list[str] | None = None, cfg: EngineConfig | None = None,
-               label: str = "label", key: str = "row_id", seeds=None) -> TrialRun:
+               label: str = "label", key: str = "row_id", seeds=None,
+               trial_batch: int | None = None) -> TrialRun:
     cfg = cfg or EngineConfig()
     seeds = list(seeds if seeds is not None else cfg.seeds)
+    if trial_batch is None:
+        n_rows = df.count()
+        per_trial = max(1, n_rows * max(1, len(feature_cols)))
+        trial_batch = max(1, min(len(seeds), TRIAL_BATCH_VALUES // per_trial))
+    rows, models, history, prepared_all = [], {}, [], None
+    for start in range(0, len(seeds), trial_batch):
+        batch = seeds[start:start + trial_batch]
+        res = _run_batch(df, name, feature_cols, categorical, cfg, label, key, batch, start)
+        rows += res[0]
+        models.update(res[1])
+        history += res[2]
+        prepared_all = res[3] if prepared_all is None else prepared_all.unionByName(res[3])
+    trials = spark.createDataFrame(rows, TRIALS_SCHEMA)
+    return TrialRun(trials, summarize_trials(trials), models, history, prepared_all)
+
+
+def _run_batch(df, name, feature_cols, categorical, cfg, label, key, seeds, offset):
+    """Trials ``offset + 1 ..`` for ``seeds``: prepare, rank, train, evaluate."""
     prepared = preprocess(df, feature_cols, categorical, label, key, cfg, seeds)
+    if offset:
+        prepared = prepared.withColumn("trial", F.col("trial") + offset)
+    trial_ids = list(range(offset + 1, offset + len(seeds) + 1))
     # Classes over train + valid + test (codes are contiguous by construction).
-    num_classes = prepared.where(F.col("trial") == 1).agg(F.countDistinct("label")).first()[0]
+    num_classes = prepared.where(F.col("trial") == trial_ids[0]).agg(F.countDistinct("label")).first()[0]
     depth = cfg.depth or choose_depth(len(feature_cols))
     mi = mutual_information(prepared, by=["trial"], seed="seed", method=cfg.mi_method, k=cfg.mi_neighbours)
     orders = rank_features(mi, by=["trial"])
-    init = {t: init_model(depth, num_classes, orders[(t,)], seeds[t - 1]) for t in range(1, len(seeds) + 1)}
+    init = {t: init_model(depth, num_classes, orders[(t,)], s) for t, s in zip(trial_ids, seeds)}
     fit = fit_soft_trees(prepared, init, cfg)
     train_m, _ = evaluate(prepared.where(F.col("split") == "train"), fit.models, by=["trial"])
     test_m, test_time = evaluate(prepared.where(F.col("split") == "test"), fit.models, by=["trial"])
     rows = []
-    for t in range(1, len(seeds) + 1):
+    for t, seed in zip(trial_ids, seeds):
         st = fit.stats[t]
-        rows.append((t, int(seeds[t - 1]), name, depth, int(st["stop_epoch"]),
+        rows.append((t, int(seed), name, depth, int(st["stop_epoch"]),
                      float(train_m[(t,)]["accuracy"]), float(test_m[(t,)]["accuracy"]),
                      float(train_m[(t,)]["f1_macro"]), float(test_m[(t,)]["f1_macro"]),
                      float(st["last_train_loss"]), float(st["last_valid_loss"]), float(st["train_time"]),
                      float(test_time / len(seeds)), int(st["best_epoch"])))
-    trials = spark.createDataFrame(rows, TRIALS_SCHEMA)
-    return TrialRun(trials, summarize_trials(trials), fit.models, fit.history, prepared)
+    return rows, fit.models, fit.history, prepared
 
 
 def summarize_trials(trials: DataFrame) -> DataFrame:

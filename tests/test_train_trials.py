@@ -114,3 +114,14 @@ def test_rebalance_only_when_needed(spark):
     assert rebalance(even).count() == 100
     out = rebalance(skewed)
     assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {0: 95, 1: 95}
+
+
+def test_trial_batches_equal_one_plan(spark):
+    cfg = EngineConfig(max_epochs=12)
+    a = run_trials(spark, _iris(spark), "iris_like", FEATURES, cfg=cfg, seeds=[42, 43, 44])
+    b = run_trials(spark, _iris(spark), "iris_like", FEATURES, cfg=cfg, seeds=[42, 43, 44], trial_batch=1)
+    ka = {r["Seed"]: (r["Trial"], r["Test Accuracy"], r["Train Loss"]) for r in a.trials.collect()}
+    kb = {r["Seed"]: (r["Trial"], r["Test Accuracy"], r["Train Loss"]) for r in b.trials.collect()}
+    assert ka.keys() == kb.keys()
+    for s in ka:
+        assert ka[s][0] == kb[s][0] and ka[s][1] == kb[s][1] and abs(ka[s][2] - kb[s][2]) < 1e-9
