@@ -18,7 +18,7 @@ from softgrove.functions.columns import column_range
 from softgrove.operators import clean
 from softgrove.operators._util import qcol
 from softgrove.operators.labels import encode_label
-from softgrove.sources.tables import read_table, with_row_id
+from softgrove.sources.tables import read_table, with_row_id, zip_by_position
 
 
 @dataclass
@@ -40,6 +40,7 @@ class TableSpec:
     numeric: list[str] | None = None  # columns cast to double (default: non-categorical features)
     impute: list[tuple] = field(default_factory=list)  # (rule, kwargs)
     positions: tuple | None = None  # (column, n, names) for a fixed-length string
+    xy: bool = False  # features and labels in two files paired by position
 
 
 # ---------------------------------------------------------------------------
@@ -128,8 +129,50 @@ LYMPH = ["class", "lymphatics", "block of affere", "bl. of lymph. c", "bl. of ly
 LYMPH_CAT = ["lymphatics", "lym.nodes dimin", "lym.nodes enlar", "changes in lym.", "efect in node",
              "changes in node", "changes in stru", "special forms"]
 HEART_FAILURE_LABEL = "DEATH_EVENT"
+CERVICAL = ["Age", "Number of sexual partners", "First sexual intercourse", "Num of pregnancies", "Smokes",
+            "Smokes (years)", "Hormonal Contraceptives", "Hormonal Contraceptives (years)", "IUD", "IUD (years)",
+            "STDs", "STDs (number)", "STDs:condylomatosis", "STDs:cervical condylomatosis",
+            "STDs:vaginal condylomatosis", "STDs:vulvo-perineal condylomatosis", "STDs:syphilis",
+            "STDs:pelvic inflammatory disease", "STDs:genital herpes", "STDs:molluscum contagiosum", "STDs:AIDS",
+            "STDs:HIV", "STDs:Hepatitis B", "STDs:HPV", "STDs: Number of diagnosis",
+            "STDs: Time since first diagnosis", "STDs: Time since last diagnosis", "Dx:Cancer", "Dx:CIN", "Dx:HPV",
+            "Dx"]
+CERVICAL_TOKEN_KEPT = ["Number of sexual partners", "First sexual intercourse", "Num of pregnancies", "Smokes",
+                       "Smokes (years)", "Hormonal Contraceptives", "Hormonal Contraceptives (years)", "IUD",
+                       "IUD (years)", "STDs", "STDs (number)", "STDs:condylomatosis",
+                       "STDs:cervical condylomatosis", "STDs:vaginal condylomatosis",
+                       "STDs:vulvo-perineal condylomatosis", "STDs:syphilis", "STDs:pelvic inflammatory disease",
+                       "STDs:genital herpes", "STDs:molluscum contagiosum", "STDs:AIDS", "STDs:HIV",
+                       "STDs:Hepatitis B", "STDs:HPV", "Dx:Cancer", "Dx:CIN", "Dx:HPV", "Dx"]
+CERVICAL_TOKEN_EXCLUDED = ["STDs: Time since first diagnosis", "STDs: Time since last diagnosis"]
+ABSENTEEISM = ["Seasons", "Day of the week", "Month of absence", "Disciplinary failure", "Social drinker",
+               "Social smoker", "Transportation expense", "Distance from Residence to Work", "Service time", "Age",
+               "Work load Average/day ", "Hit target", "Education", "Son", "Pet", "Weight", "Height",
+               "Body mass index"]
+ADULT = ["Age", "Workclass", "fnlwgt", "Education", "Education-Num", "Marital Status", "Occupation",
+         "Relationship", "Race", "Sex", "Capital Gain", "Capital Loss", "Hours per week", "Country", "capital_gain"]
+ADULT_CAT = ["Workclass", "Education", "Marital Status", "Occupation", "Relationship", "Race", "Sex", "Country"]
+TITANIC = ["Sex", "Embarked", "Pclass", "Age", "SibSp", "Parch", "Fare"]
+LOAN = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "ApplicantIncome", "CoapplicantIncome",
+        "LoanAmount", "Loan_Amount_Term", "Credit_History", "Property_Area"]
+LOAN_CAT = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "Property_Area"]
+BANK = ["age", "job", "marital", "education", "default", "housing", "loan", "contact", "month", "day", "campaign",
+        "pdays", "previous", "poutcome"]
+BANK_CAT = ["job", "marital", "education", "default", "housing", "loan", "contact", "month", "day", "campaign",
+            "pdays", "poutcome"]
+THYROID = ["age", "sex", "on thyroxine", "query on thyroxine", "on antithyroid medication", "sick", "pregnant",
+           "thyroid surgery", "I131 treatment", "query hypothyroid", "query hyperthyroid", "lithium", "goitre",
+           "tumor", "hypopituitary", "psych", "TSH measured", "TSH", "T3 measured", "T3", "TT4 measured", "TT4",
+           "T4U measured", "T4U", "FTI measured", "FTI", "TBG measured", "TBG", "referral source", "class"]
+THYROID_NUMERIC = ["age", "TSH", "T3", "TT4", "T4U", "FTI", "TBG"]
+BANKNOTE = ["variance", "skewness", "curtosis", "entropy", "class"]
+XY_TABLES = ["ISOLET", "letter_recognition", "mnist", "pen_digits", "semeion"]
 # ---------------------------------------------------------------------------
 
+# Spambase: 48 word frequencies, 6 character frequencies, 3 capital-run measures.
+SPAMBASE = (column_range("word_freq_WORD_", 48) + column_range("char_freq_CHAR_", 6)
+            + ["capital_run_length_average", "capital_run_length_longest", "capital_run_length_total",
+               "spam_type"])
 # Landsat: pixel-major names spectral_<band>_pixel_<pixel>, 4 bands x 9 pixels.
 LANDSAT = [f"spectral_{i}_pixel_{j}" for j in range(9) for i in range(4)] + ["target"]
 
@@ -185,6 +228,39 @@ CATALOG: dict[str, TableSpec] = {
     "BIN:Heart Failure": TableSpec(
         "BIN:Heart Failure", ["Heart Failure/heart_failure_clinical_records_dataset.csv"], None, HEART_FAILURE_LABEL,
         header=True, label_rule="predicate", predicate=lambda c: c.try_cast("double") > 0),
+    "BIN:Cervical Cancer": TableSpec(
+        "BIN:Cervical Cancer", ["Cervical_Cancer/risk_factors_cervical_cancer.csv"], None, "Biopsy", header=True,
+        select=CERVICAL, impute=[("fill_mode", {"cols": CERVICAL_TOKEN_KEPT, "token": "?"}),
+                                 ("fill_mode", {"cols": CERVICAL_TOKEN_EXCLUDED, "token": "?", "exclude_token": True})]),
+    "Credit Card": TableSpec(
+        "Credit Card", ["UCI_Credit_Card/UCI_Credit_Card.csv"], None, "default.payment.next.month", header=True,
+        label_rule="predicate", predicate=lambda c: c.try_cast("double") < 1, drop=["ID"]),
+    "BIN:Absenteeism": TableSpec(
+        "BIN:Absenteeism", ["Absenteeism/absenteeism.csv"], None, "Absenteeism time in hours", sep=";", header=True,
+        label_rule="predicate", predicate=lambda c: c.try_cast("double") > 4, select=ABSENTEEISM,
+        categorical=["Seasons", "Month of absence", "Education"]),
+    "Adult": TableSpec("Adult", ["Adult/adult.data"], ADULT, "capital_gain", label_rule="predicate",
+                       predicate=lambda c: c != " <=50K", null_as=1, categorical=ADULT_CAT),
+    "BIN:Titanic": TableSpec(
+        "BIN:Titanic", ["Titanic/train.csv"], None, "Survived", header=True, label_rule="passthrough",
+        select=TITANIC, categorical=["Embarked", "Sex", "Pclass"],
+        impute=[("fill_mean", {"cols": ["Age", "Fare"]}), ("fill_const", {"values": {"Embarked": "S"}})]),
+    "BIN:Loan House": TableSpec(
+        "BIN:Loan House", ["Loan/loan-train.csv"], None, "Loan_Status", header=True, label_rule="predicate",
+        predicate=lambda c: c == "Y", select=LOAN, categorical=LOAN_CAT,
+        impute=[("fill_mode", {"cols": ["Gender", "Dependents", "Married", "Self_Employed"]}),
+                ("fill_mean", {"cols": ["LoanAmount", "Loan_Amount_Term", "Credit_History"]})]),
+    "Bank Marketing": TableSpec("Bank Marketing", ["Bank Marketing/bank-full.csv"], None, "y", sep=";", header=True,
+                                select=BANK, categorical=BANK_CAT),
+    "BIN:Thyroid": TableSpec(
+        "BIN:Thyroid", ["Thyroid/thyroid0387.data"], THYROID, "class", null_token="?", label_rule="predicate",
+        predicate=lambda c: c.contains("-"), categorical=[c for c in THYROID[:-1] if c not in THYROID_NUMERIC],
+        impute=[("fill_mode_all", {})]),
+    "BIN:Banknote Authentication": TableSpec(
+        "BIN:Banknote Authentication", ["Banknote/data_banknote_authentication.txt"], BANKNOTE, "class"),
+    "Spambase": TableSpec("Spambase", ["Spambase/spambase.data"], SPAMBASE, "spam_type"),
+    **{name: TableSpec(name, [f"{name}/X_{name}.csv", f"{name}/y_{name}.csv"], None, "class", header=True,
+                       xy=True) for name in XY_TABLES},
     "Splice": TableSpec("Splice", ["Splice/splice.data"], SPLICE, "One of {n ei ie}", drop=["instance name"],
                         positions=("sequence", 60, SPLICE_POSITIONS), categorical=SPLICE_POSITIONS),
 }
@@ -199,12 +275,18 @@ def prepare_table(spark: SparkSession, spec: TableSpec | str, data_root: str) ->
             raise ValueError(f"Unknown key: {spec}")
         spec = CATALOG[spec]
     paths = [f"{data_root.rstrip('/')}/{f}" for f in spec.files]
-    df = None
-    for p in paths:
-        d = read_table(spark, p, spec.columns, sep=spec.sep, header=spec.header, null_token=spec.null_token,
-                       comment=spec.comment)
-        df = d if df is None else df.unionByName(d)
-    df = with_row_id(df)
+    if spec.xy:
+        x = read_table(spark, paths[0], header=True, sep=spec.sep)
+        y = read_table(spark, paths[1], header=True, sep=spec.sep)
+        y = y.select(qcol(y.columns[0]).alias(spec.label))
+        df = zip_by_position(x, y)
+    else:
+        df = None
+        for p in paths:
+            d = read_table(spark, p, spec.columns, sep=spec.sep, header=spec.header, null_token=spec.null_token,
+                           comment=spec.comment)
+            df = d if df is None else df.unionByName(d)
+        df = with_row_id(df)
     if spec.positions:
         col, n, names = spec.positions
         df = clean.split_positions(df, col, n, names)

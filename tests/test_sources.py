@@ -95,3 +95,26 @@ def test_catalog_preamble_two_files_and_tokens(spark):
     assert feats[-1] == DERMATOLOGY[-2]
     assert sorted(r["Age (linear)"] for r in df.collect()) == [20.0, 30.0, 40.0]
     assert COLIC[23] == "surgical lesion?"
+
+
+def test_catalog_xy_pair_and_fills(spark):
+    from softgrove.sources.catalog import prepare_table
+
+    root = tempfile.mkdtemp(prefix="sg-cat3-")
+    os.makedirs(os.path.join(root, "pen_digits"))
+    _write(os.path.join(root, "pen_digits"), "X_pen_digits.csv", "a,b\n1,2\n3,4\n5,6\n")
+    _write(os.path.join(root, "pen_digits"), "y_pen_digits.csv", "class\n7\n3\n7\n")
+    df, feats, _ = prepare_table(spark, "pen_digits", root)
+    got = sorted((r["a"], r["b"], r["label"]) for r in df.collect())
+    assert feats == ["a", "b"] and got == [(1.0, 2.0, 1), (3.0, 4.0, 0), (5.0, 6.0, 1)]
+
+    os.makedirs(os.path.join(root, "Titanic"))
+    _write(os.path.join(root, "Titanic"), "train.csv",
+           "PassengerId,Survived,Pclass,Name,Sex,Age,SibSp,Parch,Ticket,Fare,Cabin,Embarked\n"
+           "1,0,3,x,male,22,1,0,t,7.25,,S\n2,1,1,y,female,,1,0,t,71.3,C85,C\n3,1,3,z,female,26,0,0,t,,,\n")
+    df, feats, cats = prepare_table(spark, "BIN:Titanic", root)
+    rows = df.orderBy("row_id").collect()
+    assert feats == ["Sex", "Embarked", "Pclass", "Age", "SibSp", "Parch", "Fare"]
+    assert cats == ["Embarked", "Sex", "Pclass"]
+    assert rows[1]["Age"] == 24.0 and rows[2]["Embarked"] == "S" and abs(rows[2]["Fare"] - 39.275) < 1e-9
+    assert [r["label"] for r in rows] == [0, 1, 1]
