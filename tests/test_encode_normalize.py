@@ -71,3 +71,16 @@ def test_fits_ignore_missing_values(spark):
         assert np.isnan(out[0][0]) and not np.isnan(out[1][0]) and not np.isnan(out[0][1])
         finite = [v[0] for k, v in out.items() if k % 10]
         assert max(finite) <= 5.2 and min(finite) >= -5.2
+
+
+def test_leave_one_out_sum_identity(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, f"c{rng.integers(0, 8)}", int(rng.integers(0, 3)), "train") for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, c string, label int, split string")
+    out = LeaveOneOut(["c"]).fit(df).transform(df, out_suffix="_enc").collect()
+    by_level = {}
+    for r in out:
+        by_level.setdefault(r["c"], []).append((r["c_enc"], r["label"]))
+    for level, vals in by_level.items():
+        if len(vals) > 1:  # sum over a level of (s - y)/(n - 1) equals s
+            assert abs(sum(v for v, _ in vals) - sum(y for _, y in vals)) < 1e-9

@@ -125,3 +125,15 @@ def test_trial_batches_equal_one_plan(spark):
     assert ka.keys() == kb.keys()
     for s in ka:
         assert ka[s][0] == kb[s][0] and ka[s][1] == kb[s][1] and abs(ka[s][2] - kb[s][2]) < 1e-9
+
+
+def test_prepared_table_independent_of_partitioning(spark):
+    base = _iris(spark).cache()
+    outs = []
+    for n in (1, 7, 64):
+        p = preprocess(base.repartition(n), FEATURES, seeds=[42, 43], materialize_output=False)
+        outs.append({(r["trial"], r["row_id"]): (r["split"], tuple(r["features"])) for r in p.collect()})
+    for o in outs[1:]:
+        assert o.keys() == outs[0].keys()
+        for k in o:
+            assert o[k][0] == outs[0][k][0] and np.allclose(o[k][1], outs[0][k][1], atol=1e-12)
