@@ -163,8 +163,9 @@ def exact_quantile_grids(long: DataFrame, by: list[str], key: str, x: str, nq: i
         [f"`{b}` {long.schema[b].dataType.simpleString()}" for b in by] + ["_n long"]))
     w = Window.partitionBy(*by, key).orderBy(x)
     ranked = long.select(*by, key, x, (F.row_number().over(w) - 1).alias("_rk"))
-    ranked = ranked.join(F.broadcast(size_df), by) if by else ranked.withColumn("_n", F.lit(next(iter(sizes.values()))))
-    picked = ranked.join(F.broadcast(need_df), ["_n", "_rk"])  # rows = groups x keys x 2nq at most
+    ranked = (ranked.join(maybe_broadcast(size_df, len(size_rows)), by) if by
+              else ranked.withColumn("_n", F.lit(next(iter(sizes.values())))))
+    picked = ranked.join(maybe_broadcast(need_df, len(need)), ["_n", "_rk"])
     stats = picked.groupBy(*by, key).agg(F.first("_n").alias("_n"),
                                          F.map_from_entries(F.collect_list(F.struct("_rk", x))).alias("_v"))
 
@@ -285,7 +286,7 @@ class QuantileNormalizer:
             # Noise std q / max(std, q) per (group, position), std over the
             # training rows (population std).
             stds = long.groupBy(*by, "pos").agg(F.stddev_pop("x").alias("_sd"))
-            long = long.join(F.broadcast(stds), by + ["pos"])  # rows = groups x features
+            long = long.join(maybe_broadcast(stds, n_groups * max(n_feat, 1)), by + ["pos"])
             nstd = F.lit(self.noise) / F.greatest(F.col("_sd"), F.lit(self.noise))
             long = long.withColumn("x", F.col("x") + nstd * keyed_gaussian(self.seed, F.col("pos"), F.col(self.key)))
         exact = self.method == "exact" or (self.method == "auto" and n_max_rows <= EXACT_QUANTILE_ROW_LIMIT)

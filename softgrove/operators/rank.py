@@ -70,7 +70,7 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     # Scale by the population std (zero -> 1), then tie-breaking noise of
     # size 1e-10 * max(1, mean |scaled value|).
     st = long.groupBy(*g).agg(F.stddev_pop("x").alias("_sd"), F.avg(F.abs("x")).alias("_ma"))
-    long = long.join(F.broadcast(st), g)  # rows = groups x features
+    long = long.join(maybe_broadcast(st), g)  # rows = groups x features (counted)
     sd = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
     v = F.col("x") / sd
     if tie_noise:
@@ -186,7 +186,7 @@ def _mi_binned(df: DataFrame, features: str, label: str, by: list[str], key: str
     probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
     edge = F.percentile("x", probs) if n_rows <= EXACT_EDGE_LIMIT else F.percentile_approx("x", probs, 10_000)
     edges = long.groupBy(*g).agg(F.array_distinct(edge).alias("_edges"))
-    binned = long.join(F.broadcast(edges), g).withColumn("bin", count_less(F.col("_edges"), F.col("x"), n_bins))
+    binned = long.join(maybe_broadcast(edges), g).withColumn("bin", count_less(F.col("_edges"), F.col("x"), n_bins))
     cnt = binned.groupBy(*g, "bin", "_label").agg(F.count(F.lit(1)).alias("n_bl"))
     wb = Window.partitionBy(*g, "bin")
     wl = Window.partitionBy(*g, "_label")
