@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from softgrove.operators import clean, evaluate as ev, labels as lab
 from softgrove.operators.encode import LeaveOneOut
 from softgrove.operators.normalize import (MinMaxNormalizer, QuantileNormalizer, StandardNormalizer,
                                           _arrow_quantile_transform)
-from softgrove.operators.rank import mutual_information, rank_features
+from softgrove.operators.rank import mutual_information
 from softgrove.operators.split import stratified_split
 from softgrove.operators.train import fit_soft_trees, gradient
 from softgrove.operators.tree import focal_loss, init_model, predict, score

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from softgrove.operators.encode import LeaveOneOut
 from softgrove.operators.normalize import MinMaxNormalizer, QuantileNormalizer, StandardNormalizer

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from softgrove.operators.rank import mi_brute_force, mutual_information, rank_features
 from softgrove.operators.tree import (focal_loss_np, forward, init_model, loss_and_grad, predict,
