@@ -70,7 +70,12 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     # Scale by the population std (zero -> 1), then tie-breaking noise of
     # size 1e-10 * max(1, mean |scaled value|).
     st = long.groupBy(*g).agg(F.stddev_pop("x").alias("_sd"), F.avg(F.abs("x")).alias("_ma"))
-    long = long.join(maybe_broadcast(st), g)  # rows = groups x features (counted)
+    # One small job sizes everything: rows per group (value buckets) and
+    # groups x features (the analytic bound of the per-feature tables).
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f")).collect()
+    n_keys = max(1, len(sizes) * max((r["f"] or 0 for r in sizes), default=1))
+    biggest = max((r["n"] for r in sizes), default=0)
+    long = long.join(maybe_broadcast(st, n_keys), g)  # rows = groups x features
     sd = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
     v = F.col("x") / sd
     if tie_noise:
@@ -88,13 +93,13 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     # feature: edges are approximate quantiles, a value's bucket is the
     # number of edges below it. One bucket for small inputs.
     if buckets is None:  # every feature of a group has one value per training row
-        biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
         buckets = max(1, -(-biggest // KNN_BUCKET_ROWS))
     if buckets > 1:
         probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
         edges = long.groupBy(*g).agg(
             F.array_sort(F.array_distinct(F.percentile_approx("v", probs, 10 * buckets))).alias("_edges"))
-        long = long.join(maybe_broadcast(edges), g).withColumn("_b", count_less(F.col("_edges"), F.col("v"), buckets))
+        long = long.join(maybe_broadcast(edges, n_keys), g).withColumn(
+            "_b", count_less(F.col("_edges"), F.col("v"), buckets))
     else:
         long = long.withColumn("_b", F.lit(0))
 
