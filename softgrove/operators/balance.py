@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from softgrove.operators._util import maybe_broadcast
 from softgrove.operators.labels import minority_share
-from softgrove.operators.split import PREFIX_HEX, split_hash
+from softgrove.operators.split import PREFIX_HEX, prefix_width, split_hash
 
 
 def _hex_int(h):
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
 
 
-def within_class_rank(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+def within_class_rank(df: DataFrame, label: str, key: str, seed: int, largest: int | None = None) -> DataFrame:
     """0-based rank of each row inside its class by ``(md5(key:seed), key)``."""
-    h = df.withColumn("_h", split_hash(F.col(key), F.lit(seed))).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
+    width = prefix_width(largest) if largest else PREFIX_HEX
+    h = df.withColumn("_h", split_hash(F.col(key), F.lit(seed))).withColumn("_b", F.substring("_h", 1, width))
     hist = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.select(label, "_b", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
@@ -62,7 +63,7 @@ def oversample_random(df: DataFrame, label: str = "label", key: str = "row_id",
     draws = spark.range(total).select(cls.alias(label), (idx - start).alias("draw"), nc.alias("_nc"))
     pick = _hex_int(F.md5(F.concat_ws(":", F.col(label).cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))))
     draws = draws.select(label, "draw", (pick % F.col("_nc")).alias("_rank"))
-    ranked = within_class_rank(df, label, key, seed)
+    ranked = within_class_rank(df, label, key, seed, n_max)
     extra = ranked.join(draws, [label, "_rank"]).drop("_rank")
     return base.unionByName(extra.select(*base.columns))
 

@@ -7,8 +7,8 @@ Within a class, rows are ordered by ``md5("key:seed")`` (then key), so the
 split is deterministic, independent of partitioning, and the same in SQL.
 
 Scale plan (no task ever holds a whole class):
-1. histogram of rows per (group, class, 4-hex-digit hash prefix) — a
-   map-side-combined aggregate of at most 65 536 rows per class;
+1. histogram of rows per (group, class, hash prefix) — a map-side-combined
+   aggregate; the prefix width gives about sqrt(class size) buckets;
 2. a running sum over that small histogram finds, per class, the bucket
    holding the test cut and the validation cut;
 3. only the rows of those (at most two) buckets per class are ranked, which
@@ -19,6 +19,8 @@ Scale plan (no task ever holds a whole class):
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,14 @@ from softgrove.operators._util import maybe_broadcast
 PREFIX_HEX = 4
 
 
+def prefix_width(largest_class: int) -> int:
+    """Hex digits of the hash prefix so that buckets per class ~ sqrt(rows of
+    the largest class): the histogram and the ranked boundary buckets then
+    stay about equally small (1e12 rows -> 5 digits, ~5e5 rows per bucket)."""
+    target = max(1.0, math.sqrt(max(1, largest_class)))
+    return int(min(8, max(1, math.ceil(math.log(target, 16)))))
+
+
 def split_hash(key: Column, seed: Column) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), seed.cast("string")))
 
@@ -84,7 +94,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
     quotas = spark.createDataFrame(quota_rows, schema)
     bound = len(quota_rows)
 
-    hashed = df.withColumn("_h", split_hash(F.col(key), seed_col)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
+    width = prefix_width(max(max(c.values()) for c in groups.values()))
+    hashed = df.withColumn("_h", split_hash(F.col(key), seed_col)).withColumn("_b", F.substring("_h", 1, width))
 
     hist = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
