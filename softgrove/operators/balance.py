@@ -68,12 +68,77 @@ def oversample_random(df: DataFrame, label: str = "label", key: str = "row_id",
     return base.unionByName(extra.select(*base.columns))
 
 
+# A class whose synthetic rows need its own nearest neighbours is searched
+# exactly inside one task; larger classes are refused (never capped).
+SMOTE_CLASS_LIMIT = 20_000
+
+
+def _smote_fn(k: int, seed: int, need: dict, features: str, key: str, label: str):
+    def fn(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values(key, kind="mergesort").reset_index(drop=True)
+        c = pdf[label].iloc[0]
+        X = np.stack(pdf[features].to_numpy()).astype(np.float64)
+        n = len(X)
+        kk = min(k, n - 1)
+        sq = (X * X).sum(axis=1)
+        nn = np.empty((n, kk), dtype=np.int64)
+        step = max(1, 4_000_000 // max(n, 1))
+        for i in range(0, n, step):  # exact neighbours, blocked distance rows
+            d = sq[i:i + step, None] + sq[None, :] - 2.0 * X[i:i + step] @ X.T
+            d[np.arange(d.shape[0]), np.arange(i, i + d.shape[0])] = np.inf  # not itself
+            part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+            order = np.take_along_axis(d, part, axis=1).argsort(axis=1, kind="stable")
+            nn[i:i + step] = np.take_along_axis(part, order, axis=1)
+        m = need[c]
+        rng = np.random.default_rng([seed, int(c)])
+        pick = rng.integers(0, n * kk, size=m)
+        rows, cols = pick // kk, pick % kk
+        gap = rng.uniform(size=m)[:, None]
+        new = X[rows] + gap * (X[nn[rows, cols]] - X[rows])
+        return pd.DataFrame({key: pdf[key].to_numpy()[rows], label: c, features: list(new),
+                             "draw": np.arange(m, dtype=np.int64)})
+    return fn
+
+
+def oversample_smote(df: DataFrame, label: str = "label", features: str = "features", key: str = "row_id",
+                     k: int = 5, seed: int = 42) -> DataFrame:
+    """SMOTE: each minority class gets ``n_max - n_c`` synthetic rows
+    ``x + u (x_nn - x)`` with ``x`` a random row of the class, ``x_nn`` one
+    of its ``k`` nearest neighbours in the class (exact, Euclidean) and
+    ``u ~ U(0, 1)``, seeded per class. Synthetic rows carry the key of
+    their base row and ``draw >= 0``; original rows have ``draw = -1``.
+    A class with at most ``k`` rows falls back to random oversampling (as
+    the library's error path does); a class above ``SMOTE_CLASS_LIMIT`` is
+    refused."""
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_max = max(counts.values())
+    need = {c: n_max - n for c, n in counts.items() if n < n_max}
+    if any(counts[c] <= k for c in need):
+        return oversample_random(df, label, key, seed)
+    big = {c: counts[c] for c in need if counts[c] > SMOTE_CLASS_LIMIT}
+    if big:
+        raise ValueError(f"classes too large for an exact in-task neighbour search: {big}; "
+                         "use oversample_random")
+    base = df.select(key, label, features, F.lit(-1).cast("long").alias("draw"))
+    if not need:
+        return base
+    schema = (f"`{key}` {df.schema[key].dataType.simpleString()}, `{label}` {df.schema[label].dataType.simpleString()}, "
+              f"`{features}` array<double>, draw long")
+    synth = (df.where(F.col(label).isin(list(need))).select(key, label, features)
+             .repartitionByRange(len(need), label).groupBy(label)
+             .applyInPandas(_smote_fn(k, seed, need, features, key, label), schema))
+    return base.withColumn(features, F.col(features).cast("array<double>")).unionByName(synth)
+
+
 def rebalance(df: DataFrame, label: str = "label", key: str = "row_id", ratio: float = 0.25,
-              strategy: str = "random", seed: int = 42) -> DataFrame:
-    """Oversample only if the minority share is at most ``ratio / (K - 1)``.
-    ``strategy="smote"`` is not built (see README) and uses random
-    oversampling, the documented fallback."""
+              strategy: str = "random", seed: int = 42, features: str = "features") -> DataFrame:
+    """Oversample only if the minority share is at most ``ratio / (K - 1)``,
+    by ``smote`` or ``random`` oversampling."""
     row = minority_share(df, label, ratio).first()
     if not row["needs_rebalance"]:
         return df
+    if strategy == "smote":
+        return oversample_smote(df, label, features, key, seed=seed).drop("draw")
     return oversample_random(df, label, key, seed).drop("draw")

@@ -475,6 +475,17 @@ def q_oversample_random(spark, sf):
     return oversample_random(df, "label", key="doc_id", seed=42).select("doc_id", "label", "draw")
 
 
+def q_oversample_smote(spark, sf):
+    """SMOTE on documents x labels (quality), features n_chars and text length."""
+    from softgrove.operators.balance import oversample_smote
+    d = _t(spark, sf, "documents").select("doc_id", "n_chars", F.length("text").alias("text_len"))
+    lb = _t(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    df = d.join(lb, "doc_id").select("doc_id", "label",
+                                     F.array(F.col("n_chars").cast("double"), F.col("text_len").cast("double"))
+                                     .alias("features"))
+    return oversample_smote(df, "label", "features", "doc_id", k=5, seed=42)
+
+
 def _oversample_sql() -> str:
     return """WITH b AS (SELECT doc_id, quality AS label FROM labels),
 c AS (SELECT label, count(*) AS n_c, max(count(*)) OVER () AS n_max FROM b GROUP BY label),
@@ -524,6 +535,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f1_macro": q_f1_macro,
     "confusion": q_confusion,
     "oversample_random": q_oversample_random,
+    "oversample_smote": q_oversample_smote,
     "fit_soft_tree": q_fit_soft_tree,
     "run_trials": q_run_trials,
 }

@@ -137,3 +137,26 @@ def test_prepared_table_independent_of_partitioning(spark):
         assert o.keys() == outs[0].keys()
         for k in o:
             assert o[k][0] == outs[0][k][0] and np.allclose(o[k][1], outs[0][k][1], atol=1e-12)
+
+
+def test_oversample_smote(spark):
+    from softgrove.operators.balance import oversample_smote
+    rng = np.random.default_rng(2)
+    rows = [(i, 1 if i < 20 else 0, [float(v) for v in rng.normal(size=2) + (3.0 if i < 20 else 0.0)])
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, label int, features array<double>")
+    out = oversample_smote(df, k=5, seed=7)
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {0: 100, 1: 100}
+    minority = np.array([r[2] for r in rows if r[1] == 1])
+    synth = [r for r in out.collect() if r["draw"] >= 0]
+    assert len(synth) == 80 and all(r["label"] == 1 for r in synth)
+    for r in synth:  # on the segment from its base row towards a class neighbour
+        base = np.array(rows[r["row_id"]][2])
+        d = np.array(r["features"]) - base
+        if np.linalg.norm(d) > 1e-12:
+            ends = minority - base
+            cos = (ends @ d) / (np.linalg.norm(ends, axis=1) * np.linalg.norm(d) + 1e-300)
+            assert np.isclose(cos.max(), 1.0, atol=1e-9)
+    again = sorted(tuple(r["features"]) for r in oversample_smote(df, k=5, seed=7).collect() if r["draw"] >= 0)
+    assert again == sorted(tuple(r["features"]) for r in synth)
