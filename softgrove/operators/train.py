@@ -32,6 +32,8 @@ PARTIAL_SCHEMA = "trial int, n_train long, train_loss double, n_valid long, vali
 # Above this many doubles of partial gradients, partials are pre-summed on
 # executors (a second, small stage) before reaching the driver.
 DRIVER_PARTIAL_LIMIT = 20_000_000
+# Target bytes of feature values per cached partition in distributed training.
+PARTITION_BYTES = 128 * 1024 * 1024
 
 
 @dataclass
@@ -302,8 +304,13 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
         return FitResult(models, history, stats)
 
     from pyspark import StorageLevel
-    n_rows = rows.count()
-    n_parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism * 4, -(-n_rows // 200_000)))
+    # Partitions sized by data (about 128 MB of feature values each), at
+    # least one per core for small tables that still need this path.
+    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f")).first()
+    n_rows, n_feat = shape["n"] or 0, shape["f"] or 1
+    by_size = -(-(n_rows * n_feat * 8) // PARTITION_BYTES)
+    n_parts = max(1, min(max(by_size, 1), max(1, n_rows)),
+                  min(df.sparkSession.sparkContext.defaultParallelism, max(1, n_rows // 10_000)))
     cached = rows.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def compute(models):
