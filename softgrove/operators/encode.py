@@ -76,9 +76,8 @@ class LeaveOneOutModel:
             else:
                 sv, nv = F.lit(None).cast("double"), F.lit(None).cast("double")
             enc[c + out_suffix] = self._encode(sv, F.when(qcol(c).isNotNull(), nv), mean, loo_rows)
-        keep = [qcol(x) for x in df.columns if x not in enc]
-        return df.select(*keep, *[e.alias(name) for name, e in enc.items()]).select(
-            *[qcol(x) for x in (df.columns + [n for n in enc if n not in df.columns])])
+        return df.select(*[(enc[x].alias(x) if x in enc else qcol(x)) for x in df.columns],
+                         *[e.alias(n) for n, e in enc.items() if n not in df.columns])
 
     def _transform_join(self, df: DataFrame, loo_rows: Column, out_suffix: str) -> DataFrame:
         by = self.by
