@@ -313,9 +313,13 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
                   min(df.sparkSession.sparkContext.defaultParallelism, max(1, n_rows // 10_000)))
     cached = rows.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        all_trials = set(init)
+
         def compute(models):
-            return epoch_job(cached.where(F.col(trial_col).isin(list(models))), models, cfg.alpha, cfg.gamma,
-                             features, label, trial_col, split_col, n_parts=n_parts)
+            # filter out stopped trials only once some have stopped
+            src = cached if set(models) == all_trials else cached.where(F.col(trial_col).isin(list(models)))
+            return epoch_job(src, models, cfg.alpha, cfg.gamma, features, label, trial_col, split_col,
+                             n_parts=n_parts)
         models, history, stats = _train_loop(init, cfg, compute, log_every)
     finally:
         cached.unpersist()
