@@ -3,7 +3,6 @@ summarize — every trial in the same Spark jobs."""
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,9 +105,3 @@ def write_trials(trials: DataFrame, path: str) -> None:
 
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-
-
-def run_and_time(fn, *a, **kw):
-    t = time.time()
-    out = fn(*a, **kw)
-    return out, time.time() - t
