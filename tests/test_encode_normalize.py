@@ -83,3 +83,17 @@ def test_leave_one_out_sum_identity(spark):
     for level, vals in by_level.items():
         if len(vals) > 1:  # sum over a level of (s - y)/(n - 1) equals s
             assert abs(sum(v for v, _ in vals) - sum(y for _, y in vals)) < 1e-9
+
+
+def test_normalize_dispatch_and_reuse(spark):
+    import pytest
+    from softgrove.operators.normalize import normalize
+    df = spark.createDataFrame([([float(i)],) for i in range(10)], "features array<double>")
+    out, fitted = normalize(df, "min-max")
+    again, same = normalize(df, "min-max", fitted=fitted)
+    assert same is fitted
+    assert sorted(r["features"][0] for r in out.collect()) == sorted(r["features"][0] for r in again.collect())
+    _, f2 = normalize(df, "mean")
+    assert f2.kind == "standard"
+    with pytest.raises(ValueError):
+        normalize(df, "nope")

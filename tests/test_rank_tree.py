@@ -88,3 +88,16 @@ def test_chunked_kernel_equals_whole(monkeypatch):
     assert abs(whole[0] - part[0]) < 1e-9 and np.allclose(whole[1], part[1])
     assert np.allclose(tr.scores_chunked(X, m), tr.scores_np(X, m))
     assert abs(tr.focal_loss_sum(X, y, m, 1.0, 2.0) - whole[0]) < 1e-9
+
+
+def test_public_gradient_matches_kernel(spark):
+    from softgrove.operators.train import gradient
+    rng = np.random.default_rng(12)
+    X = rng.standard_normal((200, 3))
+    y = rng.integers(0, 3, 200)
+    m = init_model(3, 3, [0, 2, 1], 4)
+    df = spark.createDataFrame([([float(v) for v in X[i]], int(y[i])) for i in range(200)],
+                               "features array<double>, label int").repartition(5)
+    g = gradient(df, m)
+    loss, grad = loss_and_grad(X, y, m, 1.0, 2.0)
+    assert abs(g["loss"] - loss / 200) < 1e-12 and np.allclose(g["grad"], grad / 200)

@@ -118,3 +118,9 @@ def test_catalog_xy_pair_and_fills(spark):
     assert cats == ["Embarked", "Sex", "Pclass"]
     assert rows[1]["Age"] == 24.0 and rows[2]["Embarked"] == "S" and abs(rows[2]["Fare"] - 39.275) < 1e-9
     assert [r["label"] for r in rows] == [0, 1, 1]
+
+
+def test_parquet_scan_with_column_selection(spark):
+    from conftest import SF
+    df = read_table(spark, f"{SF}/orders.parquet", ["o_orderkey", "o_orderstatus"], fmt="parquet")
+    assert df.columns == ["o_orderkey", "o_orderstatus"] and df.count() > 0
