@@ -64,3 +64,13 @@ def test_minority_share(spark):
     df = spark.createDataFrame([(0,)] * 9 + [(1,)], "label int")
     r = minority_share(df, ratio=0.25).first()
     assert r["min_count"] == 1 and r["needs_rebalance"] is True
+
+
+def test_replace_values_contains_label_and_numeric_coercion(spark):
+    df = spark.createDataFrame([("negative.|1",), ("-x",), ("?",), ("12.5",)], "c string")
+    assert [r["c"] for r in clean.replace_values(df, "c", ["?", "-x"], "NA").collect()] == ["negative.|1", "NA", "NA", "12.5"]
+    lab = [r["label"] for r in clean.derive_label(df, F.col("c").contains("-"), "label").collect()]
+    assert lab == [0, 1, 0, 0]
+    assert [r["c"] for r in clean.to_numeric(df, ["c"]).collect()] == [None, None, None, 12.5]
+    with pytest.raises(Exception):
+        clean.to_numeric(df, ["c"], strict=True).collect()
