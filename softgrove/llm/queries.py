@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import decontaminate, simhash
-from softgrove.llm.common import read_table
+from softgrove.llm import decontaminate, language_id, secret_scan, simhash
+from softgrove.llm.common import held_out, read_table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,34 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from the rows not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    content = language_id.learn(docs.where(~out))
+    return (language_id.identify(docs, content, keep=["doc_id"])
+            .select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected"))
+
+
+def _is(kind: str):
+    return lambda span: span.kind == kind
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the documents, as digests of their spans."""
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    count = [F.size(F.filter("secrets", _is(k))).cast("long").alias(f"n_{k}") for k in base]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    own = F.filter("secrets", lambda s: s.kind.isin(base))
+    return found.select("doc_id", *count, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
+    "op5_language_id": op5_language_id,
+    "op6_secret_scan": op6_secret_scan,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -49,4 +74,29 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN wd USING (r) LEFT JOIN it USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+
+def _rule_sql(k: int, rule: secret_scan.Rule) -> str:
+    """Spans of one rule: the pieces between matches and the matches, in
+    turn, give the positions."""
+    pattern = ("(?i)" if rule.any_case else "") + rule.pattern
+    pattern = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT r, {k} AS k, '{rule.kind}' AS kind, m[i] AS hit, pieces[i],
+       list_sum([len(x) FOR x IN pieces[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0) AS a
+FROM (SELECT r, m, pieces, unnest(range(1, len(m) + 1)) AS i
+      FROM (SELECT r, regexp_extract_all(text, {pattern}) AS m, string_split_regex(text, {pattern}) AS pieces FROM d))
+WHERE len(regexp_extract(m[i], {pattern}, {rule.group})) >= {rule.least}"""
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT r, k, kind, CAST(a AS BIGINT) AS a, CAST(a + len(hit) AS BIGINT) AS b
+      FROM ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(secret_scan.RULES))})),
+g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans,
+             string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_secret_scan": OP6_SQL}
