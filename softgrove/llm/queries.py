@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import decontaminate, language_id, secret_scan, simhash
+from softgrove.llm import decontaminate, language_id, secret_scan, sentencepiece_scan, simhash
 from softgrove.llm.common import held_out, read_table
 
 
@@ -48,11 +48,24 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document encoded and decoded again: digests of both, and whether
+    the text came back."""
+    docs = read_table(spark, sf_dir, "documents")
+    table = sentencepiece_scan.load()
+    coded = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, table=table, keep=["doc_id", "text"]), table=table)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
