@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import chat_format, decontaminate, html_text, language_id, secret_scan, sentencepiece_scan, simhash, topk_search
+from softgrove.llm import chat_format, decontaminate, html_text, language_id, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
 from softgrove.llm.common import held_out, read_table
+from softgrove.session import materialize
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,15 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from the rows not held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.learn(materialize(toxicity.sample_of(docs, labels.where(~out))))
+    return (toxicity.score(docs, model, keep=["doc_id"])
+            .select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as prefix-target examples, read back from these."""
     control = F.lit("</s>[INST] ok [/INST]")
@@ -93,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_topk_search": op8_topk_search,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 
