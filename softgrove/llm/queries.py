@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import chat_format, decontaminate, html_text, language_id, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
+from softgrove.llm import chat_format, decontaminate, html_text, katz, language_id, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
 from softgrove.llm.common import held_out, read_table
 from softgrove.session import materialize
 
@@ -31,6 +31,13 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from those not held out."""
+    out = held_out(F.col("doc_id"), 7, 2)
+    scored = katz.score_corpus(read_table(spark, sf_dir, "documents"), ~out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learned from the rows not held out."""
     docs = read_table(spark, sf_dir, "documents")
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_html_text": op3_html_text,
+    "op4_katz": op4_katz,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
