@@ -28,6 +28,7 @@ result; other columns are passed by. The work is a plain map over the pages.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -50,6 +51,8 @@ ARTICLE = frozenset(("article", "main"))
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary
 table tbody td tfoot th thead tr ul""".split())
+#: Elements whose next one ends them.
+SELF_ENDING = frozenset("p li tr td th dt dd option".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id or role names that mark a part that isn't the article.
@@ -59,11 +62,15 @@ nav navbar navigation newsletter notice notices outbrain overlay pager paginatio
 recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription
 taboola toolbar widget alert complementary""".split())
 
+# attribute values with "<" are rare; a tag with one ends at its first ">"
+_ATTRS = r"(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
+    rf"|<(?P<raw>{RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>{_ATTRS}(?=>)|[^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)", re.IGNORECASE | re.DOTALL)
+_CLOSED = re.compile(rf"</(?:{RAW})\s*>\Z", re.IGNORECASE)
+_OPENED = re.compile(r"<(?:!--|[!?/])")
 _NAMES = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none))", re.IGNORECASE)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -84,7 +91,10 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     linked = articles = links = 0
     # open elements: name and whether it is left out
     stack: list[tuple[str, bool]] = []
+    is_open: Counter[str] = Counter()
     left_out = 0
+    # no tag begins after the last ">"
+    body = html.rfind(">") + 1
 
     def close_line() -> None:
         nonlocal linked
@@ -96,24 +106,25 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     def pop() -> None:
         nonlocal left_out, articles, links
         name, aside = stack.pop()
+        is_open[name] -= 1
         left_out -= aside
         articles -= name in ARTICLE
         links -= name == "a"
 
-    at = 0
-    for m in _TOKEN.finditer(html):
+    at, begun, raw = 0, -1, None
+    for m in _TOKEN.finditer(html, 0, body):
         if not left_out and m.start() > at:
             parts.append(html[at:m.start()])
             if links:
                 linked += len(_SPACE.sub(" ", unescape(parts[-1])))
-        at = m.end()
+        at, begun, raw = m.end(), m.start(), m["raw"]
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
         if tag in BLOCK and not left_out:
             close_line()
         if m["end"]:
-            if any(name == tag for name, _ in stack):
+            if is_open[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 was = left_out
@@ -128,19 +139,21 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             while left_out:
                 pop()
             close_line()
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and any(name == tag for name, _ in stack[-3:]):
-            # these end each other
-            depth = max(k for k, (name, _) in enumerate(stack) if name == tag)
-            if all(name not in BLOCK for name, _ in stack[depth + 1:]):
-                while len(stack) > depth:
+        if tag in SELF_ENDING and is_open[tag]:
+            # with no other block between, these end each other
+            depth = next((k for k in range(1, min(len(stack), 4) + 1) if stack[-k][0] in BLOCK), 0)
+            if depth and stack[-depth][0] == tag:
+                for _ in range(depth):
                     pop()
         aside = (tag in ASIDE and not (tag == "header" and articles)) or (tag not in ("html", "body") and _is_aside(m["attrs"]))
         stack.append((tag, aside))
+        is_open[tag] += 1
         left_out += aside
         articles += tag in ARTICLE
         links += tag == "a"
-    if not left_out:
-        parts.append(html[at:])
+    unclosed = begun >= 0 and html.startswith("<!--", begun) and not html.endswith("-->", begun, at) or raw and not _CLOSED.search(html, begun, at)
+    if not left_out and not (unclosed and at == body):
+        parts.append(_OPENED.split(html[at:], maxsplit=1)[0])
     close_line()
     return out
 
