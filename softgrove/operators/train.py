@@ -2,11 +2,12 @@
 focal loss, with early stopping on the validation loss.
 
 Execution model: the prepared rows (``trial, split, features, label``) are
-materialized once; each epoch is ONE Spark job over them. Executors get
-the current parameters of every still-running trial through a broadcast,
-compute per-partition partial sums (loss, gradient, and the validation
-loss) with the numpy kernel on Arrow batches, and return one small row
-per (partition, trial). The driver adds the partials, takes the Adam step
+packed once into blocks, one per partition, trial and split, and cached; each
+epoch is ONE Spark job over the blocks, shared by all trials that still run.
+Executors get the current parameters through a broadcast and sum loss and
+gradient (and the validation loss) of their blocks with the numpy kernel; the
+partial sums are added in a tree, so the driver receives a bounded number of
+gradients per trial however many partitions there are. It takes the Adam step
 and decides on stopping. No rows move between executors.
 
 The validation loss at the parameters of epoch ``e`` is produced by the
@@ -16,24 +17,28 @@ that gradient is discarded.
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from softgrove.config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, EngineConfig
-from softgrove.operators.tree import (SoftTreeModel, arrow_list, arrow_matrix, features_matrix, focal_loss_sum,
-                                      loss_and_grad_chunked)
-
-PARTIAL_SCHEMA = "trial int, n_train long, train_loss double, n_valid long, valid_loss double, grad array<double>"
-# Above this many doubles of partial gradients, partials are pre-summed on
-# executors (a second, small stage) before reaching the driver.
-DRIVER_PARTIAL_LIMIT = 20_000_000
-# Target bytes of feature values per cached partition in distributed training.
+from softgrove.operators.tree import SoftTreeModel, arrow_matrix, focal_loss_sum, loss_and_grad_chunked
+
+# Target bytes of feature values per block partition.
 PARTITION_BYTES = 128 * 1024 * 1024
+# Rows a partition should hold before another core is used.
+MIN_PARTITION_ROWS = 128
+# Partial sums that one task (or the driver) adds up.
+FAN_IN = 32
+
+BLOCK_SCHEMA = "trial int, train boolean, n int, x binary, y binary"
 
 
 @dataclass
@@ -77,85 +82,87 @@ class FitResult:
     stats: dict[int, dict] = field(default_factory=dict)
 
 
-def _partials_fn(bc, alpha: float, gamma: float, features: str, label: str, trial_col: str, split_col: str):
+def _pack_fn(features: str, label: str, trial_col: str, split_col: str):
     def fn(batches):
         import pyarrow as pa
-        models = bc.value
-        acc: dict[int, list] = {}
+        import pyarrow.compute as pc
+        held: dict[tuple[int, bool], list] = {}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            X_all = arrow_matrix(rb.column(features))
-            y_all = rb.column(label).to_numpy(zero_copy_only=False).astype(np.int64)
-            tr = rb.column(trial_col).to_numpy(zero_copy_only=False)
-            sp = np.asarray(rb.column(split_col).to_pylist(), dtype=object)
-            for t in np.unique(tr):
-                m = models.get(int(t))
-                if m is None:
-                    continue
-                a = acc.setdefault(int(t), [0, 0.0, 0, 0.0, np.zeros(m.thresholds.size + m.leaves.size)])
-                sel = tr == t
-                it = sel & (sp == "train")
-                if it.any():
-                    loss, g = loss_and_grad_chunked(X_all[it], y_all[it], m, alpha, gamma)
-                    a[0] += int(it.sum()); a[1] += loss; a[4] += g
-                iv = sel & (sp == "valid")
-                if iv.any():
-                    a[2] += int(iv.sum())
-                    a[3] += focal_loss_sum(X_all[iv], y_all[iv], m, alpha, gamma)
-        if acc:
-            vals = list(acc.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(acc.keys()), pa.int32()), pa.array([a[0] for a in vals], pa.int64()),
-                 pa.array([a[1] for a in vals], pa.float64()), pa.array([a[2] for a in vals], pa.int64()),
-                 pa.array([a[3] for a in vals], pa.float64()), arrow_list(np.stack([a[4] for a in vals]))],
-                names=["trial", "n_train", "train_loss", "n_valid", "valid_loss", "grad"])
+            X = arrow_matrix(rb.column(features))
+            if np.isnan(X).any():
+                raise ValueError("training features hold NaN; fill missing values first")
+            if rb.column(label).null_count:
+                raise ValueError("training labels hold NULL")
+            y = rb.column(label).to_numpy(zero_copy_only=False).astype(np.int32)
+            trial = rb.column(trial_col).to_numpy(zero_copy_only=False)
+            train = pc.equal(rb.column(split_col), "train").to_numpy(zero_copy_only=False)
+            for t in np.unique(trial):
+                for part in (True, False):
+                    own = (trial == t) & (train == part)
+                    if own.any():
+                        held.setdefault((int(t), part), []).append((X[own], y[own]))
+        for (t, part), blocks in held.items():
+            X = np.ascontiguousarray(np.concatenate([b[0] for b in blocks]))
+            y = np.concatenate([b[1] for b in blocks])
+            yield pa.RecordBatch.from_pydict({
+                "trial": pa.array([t], pa.int32()), "train": [part], "n": pa.array([len(y)], pa.int32()),
+                "x": pa.array([X.tobytes()], pa.binary()), "y": pa.array([y.tobytes()], pa.binary())})
     return fn
 
 
-def _sum_partials_fn(batches):
-    acc: dict[int, list] = {}
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            a = acc.setdefault(int(r.trial), [0, 0.0, 0, 0.0, None])
-            a[0] += r.n_train; a[1] += r.train_loss; a[2] += r.n_valid; a[3] += r.valid_loss
-            g = np.asarray(r.grad)
-            a[4] = g.copy() if a[4] is None else a[4] + g
-    if acc:
-        yield pd.DataFrame({"trial": list(acc.keys()), "n_train": [a[0] for a in acc.values()],
-                            "train_loss": [a[1] for a in acc.values()], "n_valid": [a[2] for a in acc.values()],
-                            "valid_loss": [a[3] for a in acc.values()], "grad": [a[4] for a in acc.values()]})
+def _unpacked(r) -> tuple[int, bool, np.ndarray, np.ndarray]:
+    return r.trial, r.train, np.frombuffer(r.x).reshape(r.n, -1), np.frombuffer(r.y, dtype=np.int32)
+
+
+def pack_blocks(df: DataFrame, features: str = "features", label: str = "label", trial_col: str = "trial",
+                split_col: str = "split") -> RDD:
+    """The rows as (trial, is training, X, y) blocks. Raises on NULL or NaN
+    features and on rows of unequal length."""
+    rows = df.select(trial_col, split_col, features, label)
+    return rows.mapInArrow(_pack_fn(features, label, trial_col, split_col), BLOCK_SCHEMA).rdd.map(_unpacked)
+
+
+def _add(a: dict[int, list], b: dict[int, list]) -> dict[int, list]:
+    out = dict(a)
+    for t, x in b.items():
+        out[t] = [u + v for u, v in zip(out[t], x)] if t in out else x
+    return out
 
 
-def epoch_job(df: DataFrame, models: dict[int, SoftTreeModel], alpha: float, gamma: float,
-              features: str = "features", label: str = "label", trial_col: str = "trial",
-              split_col: str = "split", n_parts: int | None = None) -> dict[int, dict]:
+def _partial_fn(bc, alpha: float, gamma: float):
+    def fn(blocks: Iterable) -> Iterator[dict[int, list]]:
+        models, acc = bc.value, {}
+        for t, train, X, y in blocks:
+            m = models.get(t)
+            if m is None:
+                continue
+            if train:
+                loss, grad = loss_and_grad_chunked(X, y, m, alpha, gamma)
+                part = [len(y), loss, 0, 0.0, grad]
+            else:
+                part = [0, 0.0, len(y), focal_loss_sum(X, y, m, alpha, gamma), np.zeros(m.thresholds.size + m.leaves.size)]
+            acc = _add(acc, {t: part})
+        yield acc
+    return fn
+
+
+def epoch_job(blocks: RDD, models: dict[int, SoftTreeModel], alpha: float, gamma: float) -> dict[int, dict]:
     """One pass: per trial, summed train loss and gradient and summed
     validation loss at the given parameters."""
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(models)
+    bc = blocks.context.broadcast(models)
     try:
-        parts = df.mapInArrow(_partials_fn(bc, alpha, gamma, features, label, trial_col, split_col), PARTIAL_SCHEMA)
-        n_parts = n_parts or df.rdd.getNumPartitions()
-        size = n_parts * sum(m.thresholds.size + m.leaves.size for m in models.values())
-        if size > DRIVER_PARTIAL_LIMIT:
-            # Tree-combine on executors: partials of a trial are spread over
-            # sqrt(P) slots, each summed by one task, so no task receives all
-            # partitions' partials.
-            slots = max(1, int(np.sqrt(n_parts)))
-            parts = (parts.withColumn("_slot", F.spark_partition_id() % slots)
-                     .repartition(slots * max(1, len(models)), "trial", "_slot").drop("_slot")
-                     .mapInPandas(_sum_partials_fn, PARTIAL_SCHEMA))
-        out: dict[int, dict] = {}
-        for r in parts.collect():
-            a = out.setdefault(r["trial"], {"n_train": 0, "train_loss": 0.0, "n_valid": 0, "valid_loss": 0.0, "grad": None})
-            a["n_train"] += r["n_train"]; a["train_loss"] += r["train_loss"]
-            a["n_valid"] += r["n_valid"]; a["valid_loss"] += r["valid_loss"]
-            g = np.asarray(r["grad"], dtype=np.float64)
-            a["grad"] = g if a["grad"] is None else a["grad"] + g
-        return out
+        parts = blocks.mapPartitions(_partial_fn(bc, alpha, gamma))
+        n = blocks.getNumPartitions()
+        if n <= FAN_IN:
+            total = reduce(_add, parts.collect(), {})
+        else:
+            total = parts.treeReduce(_add, depth=math.ceil(math.log(n, FAN_IN)))
     finally:
-        bc.unpersist()
+        bc.destroy()
+    names = ("n_train", "train_loss", "n_valid", "valid_loss", "grad")
+    return {t: dict(zip(names, x)) for t, x in total.items()}
 
 
 def gradient(df: DataFrame, model: SoftTreeModel, alpha: float = 1.0, gamma: float = 2.0,
@@ -166,13 +173,13 @@ def gradient(df: DataFrame, model: SoftTreeModel, alpha: float = 1.0, gamma: flo
     split = "split"
     if "split" not in df.columns:
         d, split = d.withColumn("_split", F.lit("train")), "_split"
-    r = epoch_job(d, {0: model}, alpha, gamma, features, label, "_trial", split)[0]
+    r = epoch_job(pack_blocks(d, features, label, "_trial", split), {0: model}, alpha, gamma)[0]
     return {"loss": r["train_loss"] / r["n_train"], "grad": r["grad"] / r["n_train"]}
 
 
 def _train_loop(init: dict[int, SoftTreeModel], cfg: EngineConfig, compute, log_every: int = 0):
-    """The epoch loop shared by both strategies. ``compute(models)`` returns
-    per trial the summed train loss/gradient and validation loss."""
+    """The epoch loop. ``compute(models)`` returns per trial the summed train
+    loss/gradient and validation loss."""
     states = {t: TrialState(m, AdamState(np.zeros(m.params().size), np.zeros(m.params().size)))
               for t, m in init.items()}
     history: list[dict] = []
@@ -223,104 +230,22 @@ def _train_loop(init: dict[int, SoftTreeModel], cfg: EngineConfig, compute, log_
     return out_models, history, stats
 
 
-# A trial whose train+valid rows x features stay below this many values is
-# trained inside one task (all its epochs in numpy); bigger trials use one
-# distributed job per epoch.
-GROUPED_VALUE_LIMIT = 5_000_000
-
-_GROUPED_SCHEMA = ("trial int, thresholds array<double>, leaves array<array<double>>, best_epoch int, "
-                   "stop_epoch int, last_train_loss double, last_valid_loss double, best_valid_loss double, "
-                   "train_time double, history array<struct<epoch:int,train_loss:double,valid_loss:double>>")
-
-
-def _grouped_fn(bc, cfg: EngineConfig, features: str, label: str, trial_col: str, split_col: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf[trial_col].iloc[0])
-        init = {t: bc.value[t]}
-        X = features_matrix(pdf[features])
-        y = pdf[label].to_numpy().astype(np.int64)
-        sp = pdf[split_col].to_numpy()
-        Xt, yt, Xv, yv = X[sp == "train"], y[sp == "train"], X[sp == "valid"], y[sp == "valid"]
-
-        def compute(models):
-            m = models[t]
-            loss, g = loss_and_grad_chunked(Xt, yt, m, cfg.alpha, cfg.gamma)
-            vl = focal_loss_sum(Xv, yv, m, cfg.alpha, cfg.gamma) if len(yv) else 0.0
-            return {t: {"n_train": len(yt), "train_loss": loss, "grad": g, "n_valid": len(yv), "valid_loss": vl}}
-
-        models, history, stats = _train_loop(init, cfg, compute)
-        m, st = models[t], stats[t]
-        return pd.DataFrame([{
-            "trial": t, "thresholds": m.thresholds.tolist(), "leaves": m.leaves.tolist(),
-            "best_epoch": st["best_epoch"], "stop_epoch": st["stop_epoch"],
-            "last_train_loss": st["last_train_loss"], "last_valid_loss": st["last_valid_loss"],
-            "best_valid_loss": st["best_valid_loss"], "train_time": st["train_time"],
-            "history": [{"epoch": h["epoch"], "train_loss": h["train_loss"], "valid_loss": h["valid_loss"]}
-                        for h in history]}])
-    return fn
-
-
 def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineConfig | None = None,
                    features: str = "features", label: str = "label", trial_col: str = "trial",
-                   split_col: str = "split", strategy: str = "auto", log_every: int = 0) -> FitResult:
-    """Train one model per trial on the rows of that trial.
-
-    ``distributed``: all trials share one Spark job per epoch; stopped
-    trials drop out of later jobs. ``grouped``: each trial's rows go to one
-    task (``groupBy(trial).applyInPandas``) that runs every epoch locally —
-    only allowed when the trial's size is within ``GROUPED_VALUE_LIMIT``.
-    ``auto`` picks grouped when the size check passes. Both run the same
-    loop and the same float64 kernel."""
+                   split_col: str = "split", log_every: int = 0) -> FitResult:
+    """Train one model per trial on the rows of that trial; all trials share
+    one Spark job per epoch, and stopped trials drop out of later jobs."""
     cfg = cfg or EngineConfig()
     rows = df.where(F.col(split_col).isin("train", "valid")).select(trial_col, split_col, features, label)
-    if strategy in ("auto", "grouped"):
-        sizes = rows.groupBy(trial_col).agg(F.count(F.lit(1)).alias("n"),
-                                            F.max(F.size(features)).alias("f")).collect()
-        biggest = max((r["n"] * max(r["f"] or 1, 1) for r in sizes), default=0)
-        fits = biggest <= GROUPED_VALUE_LIMIT
-        if strategy == "grouped" and not fits:
-            raise ValueError(f"a trial holds {biggest} values, above the grouped limit {GROUPED_VALUE_LIMIT}")
-        strategy = "grouped" if fits else "distributed"
-    if strategy == "grouped":
-        bc = df.sparkSession.sparkContext.broadcast(init)
-        try:
-            # One partition per trial (explicit count: adaptive execution
-            # does not merge them), so trials train in parallel tasks.
-            out = (rows.repartitionByRange(max(1, len(sizes)), trial_col).groupBy(trial_col)
-                   .applyInPandas(_grouped_fn(bc, cfg, features, label, trial_col, split_col), _GROUPED_SCHEMA)
-                   .collect())
-        finally:
-            bc.unpersist()
-        models, history, stats = {}, [], {}
-        for r in out:
-            t = r["trial"]
-            base = init[t]
-            models[t] = SoftTreeModel(base.depth, base.num_classes, list(base.feature_order),
-                                      np.asarray(r["thresholds"]), np.asarray(r["leaves"]))
-            stats[t] = {k: r[k] for k in ("best_epoch", "stop_epoch", "last_train_loss", "last_valid_loss",
-                                          "best_valid_loss", "train_time")}
-            history += [{"trial": t, "epoch": h["epoch"], "train_loss": h["train_loss"],
-                         "valid_loss": h["valid_loss"]} for h in r["history"]]
-        return FitResult(models, history, stats)
-
-    from pyspark import StorageLevel
-    # Partitions sized by data (about 128 MB of feature values each), at
-    # least one per core for small tables that still need this path.
+    # Partitions sized by data, and for small tables by a least number of
+    # rows up to the number of cores.
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f")).first()
     n_rows, n_feat = shape["n"] or 0, shape["f"] or 1
     by_size = -(-(n_rows * n_feat * 8) // PARTITION_BYTES)
-    n_parts = max(1, min(max(by_size, 1), max(1, n_rows)),
-                  min(df.sparkSession.sparkContext.defaultParallelism, max(1, n_rows // 10_000)))
-    cached = rows.repartition(n_parts).persist(StorageLevel.MEMORY_AND_DISK)
+    n_parts = max(1, by_size, min(df.sparkSession.sparkContext.defaultParallelism, n_rows // MIN_PARTITION_ROWS))
+    blocks = pack_blocks(rows.repartition(n_parts), features, label, trial_col, split_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        all_trials = set(init)
-
-        def compute(models):
-            # filter out stopped trials only once some have stopped
-            src = cached if set(models) == all_trials else cached.where(F.col(trial_col).isin(list(models)))
-            return epoch_job(src, models, cfg.alpha, cfg.gamma, features, label, trial_col, split_col,
-                             n_parts=n_parts)
-        models, history, stats = _train_loop(init, cfg, compute, log_every)
+        models, history, stats = _train_loop(init, cfg, lambda m: epoch_job(blocks, m, cfg.alpha, cfg.gamma), log_every)
     finally:
-        cached.unpersist()
+        blocks.unpersist()
     return FitResult(models, history, stats)

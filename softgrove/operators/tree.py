@@ -217,10 +217,13 @@ def arrow_matrix(col) -> np.ndarray:
     n = len(col)
     if n == 0:
         return np.zeros((0, 0))
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if flat.size % n:
-        return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
-    return flat.reshape(n, flat.size // n)
+    sizes = np.diff(col.offsets.to_numpy())
+    if col.null_count or (sizes != sizes[0]).any():
+        raise ValueError("feature arrays are NULL or of unequal length")
+    values = col.flatten()
+    if values.null_count:
+        raise ValueError("feature arrays hold NULL; fill missing values first")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, int(sizes[0]))
 
 
 def arrow_list(M: np.ndarray):

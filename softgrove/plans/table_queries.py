@@ -13,15 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from softgrove.config import EngineConfig
+from softgrove.config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, LEARNING_RATE, EngineConfig
 from softgrove.functions.columns import CLIP_HIGH, CLIP_LOW, digamma_sql, norm_ppf_sql
 from softgrove.operators import clean, evaluate as ev, labels as lab
 from softgrove.operators.encode import LeaveOneOut
 from softgrove.operators.normalize import (MinMaxNormalizer, QuantileNormalizer, StandardNormalizer,
                                           _arrow_quantile_transform)
-from softgrove.operators.rank import mutual_information
+from softgrove.operators.rank import mutual_information, rank_features
 from softgrove.operators.split import stratified_split
 from softgrove.operators.train import fit_soft_trees, gradient
+from softgrove.session import materialize
 from softgrove.operators.tree import focal_loss, init_model, predict, score
 
 R = 6  # rounding of floating outputs
@@ -444,18 +445,74 @@ def _gradient_sql() -> str:
     return _tree_sql_rows() + "\n" + sel
 
 
+TRAIN_EPOCHS = 3
+
+
+def q_train_epochs(spark, sf):
+    """Three epochs of the depth-2 tree on the orders: losses per epoch."""
+    df = stratified_split(_tree_input(spark, sf), key="o_orderkey", seed=42).withColumn("trial", F.lit(1))
+    fit = fit_soft_trees(df, {1: _tree_model()}, EngineConfig(max_epochs=TRAIN_EPOCHS))
+    hist = spark.createDataFrame(fit.history, "trial int, epoch int, train_loss double, valid_loss double")
+    return hist.select("epoch", _r(F.col("train_loss"), "train_loss"), _r(F.col("valid_loss"), "valid_loss"))
+
+
+def _train_epochs_sql() -> str:
+    """The epochs unrolled: forward pass, mean gradient and Adam step of one
+    epoch feed the next one's parameters."""
+    m = _tree_model()
+    p0 = [*m.thresholds.astype(float).tolist(), *m.leaves.astype(float).ravel().tolist()]
+    n, feats = len(p0), m.node_features()
+    ctes = ["r AS (SELECT b.label, s.split, " + ", ".join(f"CAST({c} AS DOUBLE) / {k!r} AS x{i}" for i, (c, k) in enumerate(TREE_FEATURES))
+            + f" FROM {ORDERS_CODED_SQL} b JOIN (SELECT o_orderkey, split FROM "
+            + split_sql(f"(SELECT o_orderkey, label FROM {ORDERS_CODED_SQL})", "o_orderkey", "label", 42) + ") s USING (o_orderkey))",
+            "a0 AS (SELECT " + ", ".join(f"CAST({v!r} AS DOUBLE) AS w{i}, CAST(0 AS DOUBLE) AS m{i}, CAST(0 AS DOUBLE) AS v{i}"
+                                         for i, v in enumerate(p0)) + ")"]
+
+    def leaf(l, c):
+        return f"w{3 + l * 3 + c}"
+
+    lp = ["d0 * d1", "d0 * (1 - d1)", "(1 - d0) * d2", "(1 - d0) * (1 - d2)"]
+    grads = ["(1 - d0) * (g0 + g1) - d0 * (g2 + g3)", "(1 - d1) * g0 - d1 * g1", "(1 - d2) * g2 - d2 * g3"]
+    grads += [f"l{k} * e{c}" for k in range(4) for c in range(3)]
+    for e in range(TRAIN_EPOCHS + 1):
+        ctes.append(f"b{e} AS (SELECT r.*, a.*, " + ", ".join(
+            f"1.0 / (1.0 + exp(x{int(feats[i])} - w{i})) AS d{i}" for i in range(3)) + f" FROM r, a{e} a)")
+        ctes.append(f"c{e} AS (SELECT *, " + ", ".join(f"{x} AS l{k}" for k, x in enumerate(lp)) + f" FROM b{e})")
+        ctes.append(f"s{e} AS (SELECT *, " + ", ".join(
+            " + ".join(f"l{k} * {leaf(k, c)}" for k in range(4)) + f" AS s{c}" for c in range(3)) + f" FROM c{e})")
+        ctes.append(f"q{e} AS (SELECT *, exp(s0 - mx) / z AS q0, exp(s1 - mx) / z AS q1, exp(s2 - mx) / z AS q2, "
+                    f"(CASE label WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END) - mx - ln(z) AS lpt FROM (SELECT *, "
+                    f"exp(s0 - mx) + exp(s1 - mx) + exp(s2 - mx) AS z FROM (SELECT *, greatest(s0, s1, s2) AS mx FROM s{e})))")
+        ctes.append(f"f{e} AS (SELECT *, -power(1 - exp(lpt), 2) * lpt AS loss, "
+                    f"2.0 * (1 - exp(lpt)) * exp(lpt) * lpt - power(1 - exp(lpt), 2) AS coef FROM q{e})")
+        ctes.append(f"e{e} AS (SELECT *, " + ", ".join(
+            f"coef * ((CASE WHEN label = {c} THEN 1.0 ELSE 0.0 END) - q{c}) AS e{c}" for c in range(3)) + f" FROM f{e})")
+        ctes.append(f"h{e} AS (SELECT *, " + ", ".join(
+            f"l{k} * (" + " + ".join(f"e{c} * {leaf(k, c)}" for c in range(3)) + f") AS g{k}" for k in range(4)) + f" FROM e{e})")
+        ctes.append(f"t{e} AS (SELECT avg(loss) FILTER (split = 'train') AS tl, avg(loss) FILTER (split = 'valid') AS vl, "
+                    + ", ".join(f"avg({g}) FILTER (split = 'train') AS dw{i}" for i, g in enumerate(grads)) + f" FROM h{e})")
+        t = e + 1
+        step = [f"w{i} - ({LEARNING_RATE!r} / {1 - ADAM_BETA1 ** t!r}) * m{i} / (sqrt(v{i}) / {(1 - ADAM_BETA2 ** t) ** 0.5!r} + {ADAM_EPS!r}) AS w{i}, m{i}, v{i}"
+                for i in range(n)]
+        moments = ", ".join(f"w{i}, {ADAM_BETA1!r} * m{i} + {1 - ADAM_BETA1!r} * dw{i} AS m{i}, "
+                            f"{ADAM_BETA2!r} * v{i} + {1 - ADAM_BETA2!r} * dw{i} * dw{i} AS v{i}" for i in range(n))
+        ctes.append(f"a{t} AS (SELECT {', '.join(step)} FROM (SELECT {moments} FROM a{e}, t{e}))")
+    rows = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS epoch, round(t{k - 1}.tl, {R}) AS train_loss, round(t{k}.vl, {R}) AS valid_loss "
+                              f"FROM t{k - 1}, t{k}" for k in range(1, TRAIN_EPOCHS + 1))
+    return "WITH " + ",\n".join(ctes) + "\n" + rows
+
+
 def q_fit_soft_tree(spark, sf):
-    """Train a depth-4 tree on the embeddings (64 features, 10 classes) with
-    the distributed one-job-per-epoch strategy; returns the history."""
+    """Train a depth-8 tree on the embeddings (64 features, 10 classes),
+    features in order of mutual information, until early stopping."""
     emb = _t(spark, sf, "embeddings")
     df = emb.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("label"),
                     F.transform("embedding", lambda v: v.cast("double")).alias("features"), F.lit(1).alias("trial"))
     df = stratified_split(df, key="row_id", seed=42)
-    norm = QuantileNormalizer(noise=1e-3, seed=42, by=["trial"]).fit(df)
-    df = norm.transform(df)
-    k = df.agg(F.countDistinct("label")).first()[0]
-    init = {1: init_model(4, k, list(range(64)), 42)}
-    fit = fit_soft_trees(df, init, EngineConfig(max_epochs=20), strategy="distributed")
+    df = materialize(QuantileNormalizer(noise=1e-3, seed=42, by=["trial"]).fit(df).transform(df))
+    order = rank_features(mutual_information(df, by=["trial"]), by=["trial"])[(1,)]
+    k = lab.num_classes(df)
+    fit = fit_soft_trees(df, {1: init_model(8, k, order, 42)})
     return spark.createDataFrame(fit.history, "trial int, epoch int, train_loss double, valid_loss double")
 
 
@@ -536,14 +593,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "confusion": q_confusion,
     "oversample_random": q_oversample_random,
     "oversample_smote": q_oversample_smote,
+    "train_epochs": q_train_epochs,
     "fit_soft_tree": q_fit_soft_tree,
     "run_trials": q_run_trials,
 }
 
 
 def _sql() -> dict[str, str]:
-    m = _tree_model()
-    del m
     tree_rows = _tree_sql_rows()
     pred = ("CAST(CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS INTEGER)")
     return {
@@ -616,6 +672,7 @@ pc AS (SELECT cls, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per GROUP BY
 SELECT round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END), {R}) AS f1_macro FROM pc""",
         "confusion": tree_rows + f"\nSELECT label, {pred} AS prediction, count(*) AS n FROM s GROUP BY ALL",
         "oversample_random": _oversample_sql(),
+        "train_epochs": _train_epochs_sql(),
     }
 
 

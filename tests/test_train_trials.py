@@ -18,15 +18,31 @@ def _iris(spark):
     return encode_label(df, "class")[0]
 
 
-def test_grouped_and_distributed_training_agree(spark):
+def test_training_matches_a_local_loop(spark):
+    from softgrove.operators.train import AdamState
+    from softgrove.operators.tree import loss_and_grad
     prep = preprocess(_iris(spark), FEATURES, seeds=[42, 43]).cache()
     init = {t: init_model(3, 3, [2, 3, 0, 1], 40 + t) for t in (1, 2)}
-    cfg = EngineConfig(max_epochs=15)
-    a = fit_soft_trees(prep, init, cfg, strategy="grouped")
-    b = fit_soft_trees(prep, init, cfg, strategy="distributed")
+    cfg = EngineConfig(max_epochs=15, restore="last")
+    fit = fit_soft_trees(prep.repartition(7), init, cfg)
     for t in (1, 2):
-        assert np.allclose(a.models[t].params(), b.models[t].params(), atol=1e-9)
-        assert a.stats[t]["stop_epoch"] == b.stats[t]["stop_epoch"] == 15
+        rows = prep.where((F.col("trial") == t) & (F.col("split") == "train")).collect()
+        X, y = np.array([r.features for r in rows]), np.array([r.label for r in rows])
+        m = init[t]
+        adam = AdamState(np.zeros(m.params().size), np.zeros(m.params().size))
+        for _ in range(15):
+            m = m.with_params(adam.step(m.params(), loss_and_grad(X, y, m, cfg.alpha, cfg.gamma)[1] / len(y), cfg.learning_rate))
+        assert np.allclose(fit.models[t].params(), m.params(), atol=1e-9)
+        assert fit.stats[t]["stop_epoch"] == 15
+
+
+def test_training_refuses_missing_values(spark):
+    import pytest
+    for bad in ([1.0, None], [1.0, float("nan")], [1.0], None):
+        rows = [(1, "train" if k % 3 else "valid", [1.0, float(k)], k % 2) for k in range(12)] + [(1, "train", bad, 1)]
+        df = spark.createDataFrame(rows, "trial int, split string, features array<double>, label int")
+        with pytest.raises(Exception, match="NULL|NaN|unequal"):
+            fit_soft_trees(df, {1: init_model(2, 2, [0, 1], 1)}, EngineConfig(max_epochs=2))
 
 
 def test_iris_like_end_to_end(spark):
@@ -87,9 +103,10 @@ def test_epoch_partials_tree_combine_matches_driver_sum(spark, monkeypatch):
             for t in (1, 2) for i in range(400)]
     df = spark.createDataFrame(rows, "trial int, split string, features array<double>, label int").repartition(16)
     models = {1: init_model(3, 3, [0, 1, 2], 1), 2: init_model(3, 3, [2, 1, 0], 2)}
-    a = tr.epoch_job(df, models, 1.0, 2.0, n_parts=16)
-    monkeypatch.setattr(tr, "DRIVER_PARTIAL_LIMIT", 0)
-    b = tr.epoch_job(df, models, 1.0, 2.0, n_parts=16)
+    blocks = tr.pack_blocks(df)
+    a = tr.epoch_job(blocks, models, 1.0, 2.0)
+    monkeypatch.setattr(tr, "FAN_IN", 3)
+    b = tr.epoch_job(blocks, models, 1.0, 2.0)
     for t in (1, 2):
         assert a[t]["n_train"] == b[t]["n_train"] == 320
         assert np.allclose(a[t]["grad"], b[t]["grad"])
