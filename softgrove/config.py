@@ -6,7 +6,7 @@ under; they are fixed values, kept together here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values of the experiment (must equal the published setup).
 SEEDS = (42, 43, 44, 45, 46, 47, 48, 49, 50, 51)
@@ -47,10 +47,9 @@ class EngineConfig:
     quantile_noise: float = QUANTILE_NOISE
     quantile_noise_seed: int = QUANTILE_NOISE_SEED
     n_quantiles: int = N_QUANTILES
-    quantile_method: str = "auto"  # exact | approx | auto
-    mi_method: str = "auto"  # knn | binned | auto
+    quantile_method: str = "exact"  # exact | approx
+    mi_method: str = "knn"  # knn | binned
     mi_neighbours: int = MI_NEIGHBOURS
     restore: str = "best"  # best (copy of best weights) | last (reference parity)
     rebalance: str | None = None  # None | random | smote
     balance_ratio: float = BALANCE_RATIO
-    extra: dict = field(default_factory=dict)

@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from softgrove.functions.columns import (BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, count_less,
                                          count_less_equal, keyed_gaussian, norm_ppf)
 from softgrove.operators._util import maybe_broadcast, one_row
+from softgrove.operators.quantiles import exact_quantiles
 
-# Above this many training rows per group the quantile grid is approximate
-# (exact percentiles keep every distinct value of a group in memory).
-EXACT_QUANTILE_ROW_LIMIT = 5_000_000
+# Accuracy of the sketch that ``method="approx"`` asks for.
 APPROX_ACCURACY = 100_000
 
 
@@ -43,9 +42,11 @@ def _long(df: DataFrame, by: list[str], features: str, key: str | None) -> DataF
             .where(F.col("x").isNotNull() & ~F.isnan("x")))
 
 
-def _attach(df: DataFrame, params: DataFrame, by: list[str], n_groups: int) -> DataFrame:
+def _attach(df: DataFrame, params: DataFrame, by: list[str], n_groups: int, row_doubles: int = 1) -> DataFrame:
+    """Join the per-group row; it is broadcast while all rows' doubles
+    (``row_doubles`` each) stay within BROADCAST_GRID_LIMIT."""
     if by:
-        return df.join(maybe_broadcast(params, n_groups), by, "left")
+        return df.join(maybe_broadcast(params, n_groups * row_doubles, BROADCAST_GRID_LIMIT), by, "left")
     row = one_row(params)
     out = df
     for c, v in row.items():
@@ -69,7 +70,7 @@ class ArrayNormalizerModel:
             local = self.local_grids()
             if local is not None:
                 return _arrow_quantile_transform(df, local, self.by, self.features, out)
-        p = _attach(df, self.params, self.by, self.n_groups)
+        p = _attach(df, self.params, self.by, self.n_groups, max(self.n_features, 1) * (self.params_nq if self.kind == "quantile" else 2))
         f = F.col(self.features)
         if self.kind == "quantile":
             res = quantile_normal_array(f, F.col("_grids"), self.params_nq)
@@ -191,7 +192,7 @@ def _arrow_quantile_transform(df: DataFrame, grids: dict, by: list[str], feature
     def fn(batches):
         g = bc.value
         for rb in batches:
-            X = arrow_matrix(rb.column(features))
+            X = arrow_matrix(rb.column(features), missing="nan")
             if by:
                 cols = [rb.column(b).to_numpy(zero_copy_only=False) for b in by]
                 Z = np.empty_like(X)
@@ -218,22 +219,12 @@ def _arrow_quantile_transform(df: DataFrame, grids: dict, by: list[str], feature
     return df.mapInArrow(fn, schema)
 
 
-def _grid_fn(probs_pct):
-    def fn(pdf):
-        import numpy as np
-        import pandas as pd
-        x = np.sort(pdf["x"].to_numpy(dtype=np.float64))
-        grid = np.percentile(x, probs_pct) if len(x) else np.array([])
-        row = {c: pdf[c].iloc[0] for c in pdf.columns if c != "x"}
-        row["grid"] = grid.tolist()
-        return pd.DataFrame([row])
-    return fn
-
-
 class QuantileNormalizer:
     def __init__(self, noise: float = 1e-3, n_quantiles: int = 1000, seed: int = 42,
-                 method: str = "auto", by: list[str] | None = None, features: str = "features",
+                 method: str = "exact", by: list[str] | None = None, features: str = "features",
                  key: str = "row_id"):
+        if method not in ("exact", "approx"):
+            raise ValueError(f"unknown quantile method: {method}")
         self.noise, self.n_quantiles, self.seed = noise, n_quantiles, seed
         self.method, self.by, self.features, self.key = method, list(by or []), features, key
 
@@ -243,7 +234,6 @@ class QuantileNormalizer:
         sizes = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
         n_groups = len(sizes)
         n_min = min(r["n"] for r in sizes)
-        n_max_rows = max(r["n"] for r in sizes)
         n_feat = train.select(F.max(F.size(self.features))).first()[0] or 0
         nq = max(1, min(self.n_quantiles, n_min))
         probs = [i / (nq - 1) for i in range(nq)] if nq > 1 else [0.5]
@@ -255,14 +245,10 @@ class QuantileNormalizer:
             long = long.join(maybe_broadcast(stds, n_groups * max(n_feat, 1)), by + ["pos"])
             nstd = F.lit(self.noise) / F.greatest(F.col("_sd"), F.lit(self.noise))
             long = long.withColumn("x", F.col("x") + nstd * keyed_gaussian(self.seed, F.col("pos"), F.col(self.key)))
-        exact = self.method == "exact" or (self.method == "auto" and n_max_rows <= EXACT_QUANTILE_ROW_LIMIT)
-        if exact:
-            # Each (group, feature) holds at most EXACT_QUANTILE_ROW_LIMIT values
-            # (checked above): sort them in one task and interpolate linearly.
-            gschema = ", ".join([f"`{b}` {long.schema[b].dataType.simpleString()}" for b in by]
-                                + ["pos int", "grid array<double>"])
-            grids = (long.select(*by, "pos", "x").groupBy(*by, "pos")
-                     .applyInPandas(_grid_fn([100.0 * p for p in probs]), gschema))
+        if self.method == "exact":
+            grids = exact_quantiles(long.select(*by, "pos", "x"), [*by, "pos"], "x", max(nq - 1, 1), n_groups * max(n_feat, 1))
+            if nq == 1:  # a single training row: one grid point
+                grids = grids.withColumn("grid", F.slice("grid", 1, 1))
         else:
             probs_col = F.array(*[F.lit(p) for p in probs])
             grids = long.groupBy(*by, "pos").agg(

@@ -5,9 +5,11 @@ feature and a discrete target (Ross 2014, PLoS ONE 9(2):e87357), k = 3:
 
     MI = max(0, psi(N) + <psi(k_i)> - <psi(n_class_i)> - <psi(m_i)>)
 
-with the conventions of the common library implementation: each feature is
-divided by its population std, a 1e-10-scale keyed noise breaks ties,
-classes with one row are left out, ``k_i = min(k, n_class - 1)``, the
+with the conventions of the common library implementation: a keyed noise of
+1e-10 of the feature's largest absolute value breaks ties (counts of
+neighbours do not depend on a feature's scale, so values are not divided by
+their std, whose last bits depend on the order of summation), classes with
+one row are left out, ``k_i = min(k, n_class - 1)``, the
 radius is the distance to the k-th same-class neighbour (open ball), and
 ``m_i`` counts rows of all classes inside it, the row itself included.
 
@@ -20,9 +22,8 @@ merged into the value stream as events and a running sum of value events
 is read at each end.
 
 ``method="binned"`` is the plug-in estimator on equal-frequency bins
-(``groupBy(feature, bin, label).count()``); it is a different estimator,
-meant for tables too large for per-feature windows. ``auto`` picks knn up
-to ``KNN_ROW_LIMIT`` training rows per group.
+(``groupBy(feature, bin, label).count()``); it is a different estimator, used
+only when asked for.
 """
 
 from __future__ import annotations
@@ -32,11 +33,10 @@ from pyspark.sql import functions as F
 
 from softgrove.functions.columns import count_less, digamma, digamma_scalar, keyed_gaussian
 from softgrove.operators._util import maybe_broadcast
+from softgrove.operators.quantiles import exact_quantiles
 
-KNN_ROW_LIMIT = 20_000_000_000
 # Target rows per value bucket of the kNN windows.
 KNN_BUCKET_ROWS = 2_000_000
-EXACT_EDGE_LIMIT = 5_000_000
 
 
 def _long(df: DataFrame, by: list[str], features: str, label: str, key: str) -> DataFrame:
@@ -58,34 +58,31 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
         train_rows = F.col("split") == "train"
     if train_rows is not None:
         df = df.where(train_rows)
-    if method == "auto":
-        biggest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        method = "knn" if biggest <= KNN_ROW_LIMIT else "binned"
+    if method not in ("knn", "binned"):
+        raise ValueError(f"unknown estimator: {method}")
     seed_col = F.col(seed) if isinstance(seed, str) else F.lit(int(seed))
     if method == "binned":
         return _mi_binned(df, features, label, by, key, n_bins)
     long = df.select(*by, F.col(key).alias("_key"), F.col(label).alias("_label"), seed_col.alias("_seedv"),
                      F.posexplode(features).alias("feature", "x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     g = by + ["feature"]
-    # Scale by the population std (zero -> 1), then tie-breaking noise of
-    # size 1e-10 * max(1, mean |scaled value|).
-    st = long.groupBy(*g).agg(F.stddev_pop("x").alias("_sd"), F.avg(F.abs("x")).alias("_ma"))
     # One small job sizes everything: rows per group (value buckets) and
     # groups x features (the analytic bound of the per-feature tables).
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f")).collect()
     n_keys = max(1, len(sizes) * max((r["f"] or 0 for r in sizes), default=1))
     biggest = max((r["n"] for r in sizes), default=0)
-    long = long.join(maybe_broadcast(st, n_keys), g)  # rows = groups x features
-    sd = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    v = F.col("x") / sd
+    v = F.col("x")
     if tie_noise:
-        amp = F.lit(1e-10) * F.greatest(F.lit(1.0), F.col("_ma") / sd)
-        v = v + amp * _seeded_gaussian(F.col("_seedv"), F.col("feature"), F.col("_key"))
+        # the largest absolute value is the same however rows are dealt out
+        top = long.groupBy(*g).agg(F.max(F.abs("x")).alias("_top"))
+        long = long.join(maybe_broadcast(top, n_keys), g)  # rows = groups x features
+        v = v + F.lit(1e-10) * F.col("_top") * _seeded_gaussian(F.col("_seedv"), F.col("feature"), F.col("_key"))
     long = long.select(*g, "_key", "_label", v.alias("v"))
 
     # Class sizes; classes with a single row are left out entirely.
     cls = df.groupBy(*by, F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_nc"))
-    long = long.join(maybe_broadcast(cls, None), by + ["_label"]).where(F.col("_nc") > 1)
+    n_classes = len(sizes) * (df.agg(F.approx_count_distinct(label)).first()[0] + 1) * 2
+    long = long.join(maybe_broadcast(cls, n_classes), by + ["_label"]).where(F.col("_nc") > 1)
     kk = F.least(F.lit(k), F.col("_nc") - 1).cast("int")
     long = long.withColumn("_k", kk)
 
@@ -165,7 +162,7 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
         per_b = knn.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n_b"))
         wo = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         offs = per_b.select(*g, F.col("_b").alias("_eb"), F.coalesce(F.sum("_n_b").over(wo), F.lit(0)).alias("_off"))
-        ev = ev.join(maybe_broadcast(offs), g + ["_eb"], "left") \
+        ev = ev.join(maybe_broadcast(offs, n_keys * buckets), g + ["_eb"], "left") \
             .withColumn("cnt", F.col("cnt") + F.coalesce(F.col("_off"), F.lit(0)))
     per_row = ev.groupBy(*g, "id").agg(
         (F.sum(F.when(F.col("end") == 1, F.col("cnt")).otherwise(0))
@@ -175,7 +172,13 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
         F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("_k"))).alias("pk"),
         F.avg(digamma(F.col("_nc"))).alias("pn"), F.avg(digamma(F.col("m"))).alias("pm"))
     mi = digamma(F.col("n")) + F.col("pk") - F.col("pn") - F.col("pm")
-    return agg.select(*g, F.greatest(mi, F.lit(0.0)).alias("mi"))
+    return agg.select(*g, _steady(mi).alias("mi"))
+
+
+def _steady(mi: Column) -> Column:
+    """Not below zero, and without the last bits, which depend on the order
+    in which means were summed (they would decide ties in the ranking)."""
+    return F.round(F.greatest(mi, F.lit(0.0)), 12)
 
 
 def _seeded_gaussian(seed: Column, feature: Column, key: Column) -> Column:
@@ -187,11 +190,10 @@ def _seeded_gaussian(seed: Column, feature: Column, key: Column) -> Column:
 def _mi_binned(df: DataFrame, features: str, label: str, by: list[str], key: str, n_bins: int) -> DataFrame:
     long = _long(df, by, features, label, key)
     g = by + ["feature"]
-    n_rows = long.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-    probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    edge = F.percentile("x", probs) if n_rows <= EXACT_EDGE_LIMIT else F.percentile_approx("x", probs, 10_000)
-    edges = long.groupBy(*g).agg(F.array_distinct(edge).alias("_edges"))
-    binned = long.join(maybe_broadcast(edges), g).withColumn("bin", count_less(F.col("_edges"), F.col("x"), n_bins))
+    n_keys = max(1, df.select(*by).distinct().count() if by else 1) * (df.select(F.max(F.size(features))).first()[0] or 1)
+    clean = long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    edges = exact_quantiles(clean, g, "x", n_bins, n_keys).select(*g, F.array_distinct(F.slice("grid", 2, n_bins - 1)).alias("_edges"))
+    binned = clean.join(maybe_broadcast(edges, n_keys), g).withColumn("bin", count_less(F.col("_edges"), F.col("x"), n_bins))
     cnt = binned.groupBy(*g, "bin", "_label").agg(F.count(F.lit(1)).alias("n_bl"))
     wb = Window.partitionBy(*g, "bin")
     wl = Window.partitionBy(*g, "_label")
@@ -199,7 +201,7 @@ def _mi_binned(df: DataFrame, features: str, label: str, by: list[str], key: str
     cnt = cnt.select(*g, "n_bl", F.sum("n_bl").over(wb).alias("n_b"), F.sum("n_bl").over(wl).alias("n_l"),
                      F.sum("n_bl").over(wt).alias("n"))
     term = (F.col("n_bl") / F.col("n")) * F.log(F.col("n_bl") * F.col("n") / (F.col("n_b") * F.col("n_l")))
-    return cnt.groupBy(*g).agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
+    return cnt.groupBy(*g).agg(_steady(F.sum(term)).alias("mi"))
 
 
 def rank_features(mi: DataFrame, by: list[str] | None = None) -> dict:

@@ -208,9 +208,10 @@ def features_matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float64, copy=False)
 
 
-def arrow_matrix(col) -> np.ndarray:
+def arrow_matrix(col, missing: str = "raise") -> np.ndarray:
     """``[n, F]`` view of an Arrow list<double> column of equal-length rows
-    (no per-row Python objects)."""
+    (no per-row Python objects). NULL values raise, or with
+    ``missing="nan"`` become NaN."""
     import pyarrow as pa
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -221,7 +222,7 @@ def arrow_matrix(col) -> np.ndarray:
     if col.null_count or (sizes != sizes[0]).any():
         raise ValueError("feature arrays are NULL or of unequal length")
     values = col.flatten()
-    if values.null_count:
+    if values.null_count and missing == "raise":
         raise ValueError("feature arrays hold NULL; fill missing values first")
     return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, int(sizes[0]))
 

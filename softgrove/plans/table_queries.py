@@ -98,7 +98,7 @@ def q_minority_share(spark, sf):
 
 
 def q_num_classes(spark, sf):
-    return _t(spark, sf, "orders").agg(F.countDistinct("o_orderstatus").alias("num_classes"))
+    return spark.createDataFrame([(lab.num_classes(_t(spark, sf, "orders"), "o_orderstatus"),)], "num_classes long")
 
 
 def q_encode_label(spark, sf):
@@ -307,9 +307,8 @@ def q_mi_binned(spark, sf):
 
 
 def q_rank_features(spark, sf):
-    mi = mutual_information(_mi_input(spark, sf), method="knn", tie_noise=False)
-    w = Window.orderBy(F.desc("mi"), F.asc("feature"))
-    return mi.select(F.col("feature").cast("int").alias("feature"), F.row_number().over(w).cast("int").alias("rank"))
+    order = rank_features(mutual_information(_mi_input(spark, sf), method="knn", tie_noise=False))[()]
+    return spark.createDataFrame(list(enumerate(order, 1)), "rank int, feature int").select("feature", "rank")
 
 
 MI_LONG_SQL = f"""base AS (SELECT o_orderkey AS k, label, o_totalprice AS f0, CAST(o_custkey AS DOUBLE) AS f1
@@ -320,11 +319,9 @@ long AS (SELECT k, label, 0 AS feature, f0 AS x FROM base UNION ALL SELECT k, la
 def _mi_knn_sql(final: str) -> str:
     cands = ", ".join([f"{{'d': abs({c} - v), 'u': {c}}}" for c in ("b1", "a1", "b2", "a2", "b3", "a3")])
     return f"""WITH {MI_LONG_SQL},
-sd AS (SELECT feature, stddev_pop(x) AS sd FROM long GROUP BY feature),
 cls AS (SELECT label, count(*) AS nc FROM base GROUP BY label),
-vt AS (SELECT l.k, l.label, l.feature, l.x / CASE WHEN sd.sd = 0 THEN 1.0 ELSE sd.sd END AS v, cls.nc,
-             least(3, cls.nc - 1) AS kk
-      FROM long l JOIN sd USING (feature) JOIN cls USING (label) WHERE cls.nc > 1),
+vt AS (SELECT l.k, l.label, l.feature, l.x AS v, cls.nc, least(3, cls.nc - 1) AS kk
+      FROM long l JOIN cls USING (label) WHERE cls.nc > 1),
 nb AS (SELECT *, lag(v, 1) OVER w AS b1, lag(v, 2) OVER w AS b2, lag(v, 3) OVER w AS b3,
               lead(v, 1) OVER w AS a1, lead(v, 2) OVER w AS a2, lead(v, 3) OVER w AS a3
        FROM vt WINDOW w AS (PARTITION BY feature, label ORDER BY v, k)),
@@ -654,6 +651,7 @@ def _sql() -> dict[str, str]:
         "quantile_uniform": _quantile_sql("u"),
         "quantile_normalize": _quantile_sql("z"),
         "mi_binned": _mi_binned_sql(16),
+        "mi_knn": _mi_knn_sql(f"SELECT CAST(feature AS INTEGER) AS feature, round(mi, {R}) AS mi FROM mi"),
         "rank_features": _mi_knn_sql("SELECT CAST(feature AS INTEGER) AS feature, "
                                      "CAST(row_number() OVER (ORDER BY mi DESC, feature ASC) AS INTEGER) AS rank FROM mi"),
         "soft_tree_score": tree_rows + f"\nSELECT o_orderkey, round(s0, {R}) AS s0, round(s1, {R}) AS s1, round(s2, {R}) AS s2 FROM s",
