@@ -196,14 +196,22 @@ def argmax(scores: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Keyed randomness: values depend on the row key and the seed only, never on
 # partitioning or task order, so a recomputed partition reproduces them.
-_TWO53 = float(2 ** 53)
+_TWO52 = float(2 ** 52)
 
 
 def keyed_uniform(seed: int, salt: int | Column, *keys: Column) -> Column:
-    """Uniform in (0, 1) from a 64-bit hash of (keys, seed, salt)."""
+    """Uniform in (0, 1) from 52 bits of the md5 of ``keys:seed:salt``."""
     salt_col = salt if isinstance(salt, Column) else F.lit(int(salt))
-    h = F.xxhash64(*keys, F.lit(int(seed)), salt_col)
-    return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / _TWO53
+    h = F.md5(F.concat_ws(":", *[k.cast("string") for k in keys], F.lit(str(int(seed))), salt_col.cast("string")))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / _TWO52
+
+
+def keyed_gaussian_sql(seed: int, salt: str, *keys: str) -> str:
+    """DuckDB text of ``keyed_gaussian`` (``salt``: an integer expression)."""
+    def uniform(s):
+        text = " || ':' || ".join([*(f"CAST({k} AS VARCHAR)" for k in keys), f"'{int(seed)}'", f"CAST({s} AS VARCHAR)"])
+        return f"((CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) + 0.5) / {_TWO52!r})"
+    return f"(sqrt(-2.0 * ln({uniform(f'({salt}) * 2')})) * cos({2.0 * math.pi!r} * {uniform(f'({salt}) * 2 + 1')}))"
 
 
 def keyed_gaussian(seed: int, salt: int | Column, *keys: Column) -> Column:

@@ -33,7 +33,9 @@ def within_class_rank(df: DataFrame, label: str, key: str, seed: int, largest: i
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.select(label, "_b", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     local = Window.partitionBy(label, "_b").orderBy("_h", key)
-    return (h.join(maybe_broadcast(offs), [label, "_b"])
+    # at most one row per class and hash prefix
+    bound = 16 ** width * max(1, df.select(label).distinct().count())
+    return (h.join(maybe_broadcast(offs, bound), [label, "_b"])
             .withColumn("_rank", F.col("_off") + F.row_number().over(local) - 1)
             .drop("_h", "_b", "_off"))
 

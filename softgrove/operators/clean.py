@@ -4,6 +4,7 @@ rules. Every fit is one aggregate pass over all the columns it needs."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ def drop_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.drop(*list(cols))
 
 
+def stack_tables(dfs: Iterable[DataFrame]) -> DataFrame:
+    """Tables of the same columns under one another, duplicates kept."""
+    return reduce(DataFrame.unionByName, dfs)
+
+
 def derive_label(df: DataFrame, cond: Column, out: str = "label", null_as: int | None = 0) -> DataFrame:
     """Label from a predicate, ``cond`` cast to 0/1.
 
@@ -53,14 +59,14 @@ def to_numeric(df: DataFrame, cols: Iterable[str], strict: bool = False, dtype:
 
 def split_positions(df: DataFrame, col: str, n: int, names: list[str] | None = None,
                     drop: bool = True) -> DataFrame:
-    """One column per character of the last ``n`` characters of the trimmed
-    string; shorter strings fill from the left and leave NULLs at the end."""
+    """One column per character of the trimmed string; shorter strings leave
+    NULLs at the end. A string of more than ``n`` characters is an error:
+    nothing is dropped without a word."""
     names = names or [f"{col}_{i}" for i in range(n)]
     s = F.trim(qcol(col))
     ln = F.length(s)
-    start = F.greatest(ln - n, F.lit(0))
-    cols = [F.when(F.lit(i) < ln, F.substring(s, start + (i + 1), F.lit(1))).alias(nm)
-            for i, nm in enumerate(names)]
+    long = F.raise_error(F.concat(F.lit(f"{col} has more than {n} characters: "), s)).cast("string")
+    cols = [F.when(ln > n, long).when(F.lit(i) < ln, F.substring(s, i + 1, 1)).alias(nm) for i, nm in enumerate(names)]
     out = df.select("*", *cols)
     return out.drop(col) if drop else out
 

@@ -37,53 +37,19 @@ class LeaveOneOutModel:
         value (default: ``split = 'train'`` when a split column exists)."""
         if loo_rows is None:
             loo_rows = (F.col("split") == "train") if "split" in df.columns else F.lit(False)
-        if self.n_stats <= LITERAL_STATS_LIMIT:
-            return self._transform_literal(df, loo_rows, out_suffix)
         return self._transform_join(df, loo_rows, out_suffix)
 
-    def _key(self, c: Column) -> Column:
-        return F.concat_ws(KEY_SEP, *[F.col(b).cast("string") for b in self.by], c.cast("string"))
-
     def _encode(self, s: Column, n: Column, mean: Column, loo: Column) -> Column:
         y = F.col(self.label).cast("double")
         return (F.when(n.isNull() | (n <= 1), mean)
                 .when(loo, (s - y) / (n - 1))
                 .otherwise(s / n))
 
-    def _transform_literal(self, df: DataFrame, loo_rows: Column, out_suffix: str) -> DataFrame:
-        """Statistics within LITERAL_STATS_LIMIT rows become literal maps
-        (key: group values and category), applied in ONE projection."""
-        by = self.by
-        stats: dict[str, dict] = {c: {} for c in self.cols}
-        for r in self.stats.collect():
-            k = KEY_SEP.join([str(r[b]) for b in by] + [r["category"]])
-            stats[r["column"]][k] = (float(r["s"]), float(r["n"]))
-        means = self.means.collect()
-        if by:
-            mean_map = F.create_map(*[x for r in means for x in (
-                F.lit(KEY_SEP.join(str(r[b]) for b in by)), F.lit(float(r["_mean"])))])
-            mean = F.try_element_at(mean_map, F.concat_ws(KEY_SEP, *[F.col(b).cast("string") for b in by]))
-        else:
-            mean = F.lit(float(means[0]["_mean"]) if means and means[0]["_mean"] is not None else None).cast("double")
-        enc = {}
-        for c in self.cols:
-            entries = stats[c]
-            if entries:
-                smap = F.create_map(*[x for k, (sv, _) in entries.items() for x in (F.lit(k), F.lit(sv))])
-                nmap = F.create_map(*[x for k, (_, nv) in entries.items() for x in (F.lit(k), F.lit(nv))])
-                key = self._key(qcol(c))
-                sv, nv = F.try_element_at(smap, key), F.try_element_at(nmap, key)
-            else:
-                sv, nv = F.lit(None).cast("double"), F.lit(None).cast("double")
-            enc[c + out_suffix] = self._encode(sv, F.when(qcol(c).isNotNull(), nv), mean, loo_rows)
-        return df.select(*[(enc[x].alias(x) if x in enc else qcol(x)) for x in df.columns],
-                         *[e.alias(n) for n, e in enc.items() if n not in df.columns])
-
     def _transform_join(self, df: DataFrame, loo_rows: Column, out_suffix: str) -> DataFrame:
         by = self.by
         out = df.withColumn("_loo", loo_rows)
         if by:
-            out = out.join(maybe_broadcast(self.means, None), by, "left")
+            out = out.join(maybe_broadcast(self.means, self.n_stats), by, "left")
         else:  # one scalar: the global target mean
             out = out.withColumn("_mean", F.lit(one_row(self.means)["_mean"]).cast("double"))
         stats = maybe_broadcast(self.stats, self.n_stats)
@@ -103,12 +69,6 @@ class LeaveOneOutModel:
         return res.select(*[qcol(x) for x in (df.columns + [n for n in enc if n not in df.columns])])
 
 
-# Statistics of at most this many (group, column, category) rows are applied
-# as literal maps; more use broadcast or shuffle joins.
-LITERAL_STATS_LIMIT = 200_000
-KEY_SEP = "\u001f"
-
-
 class LeaveOneOut:
     def __init__(self, cols: list[str], label: str = "label", by: list[str] | None = None):
         self.cols = list(cols)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from softgrove.operators._util import maybe_broadcast, one_row, qcol
+from softgrove.operators._util import maybe_broadcast, one_row, qcol, with_position
+from softgrove.session import materialize
 
 
-# Label levels up to this count are coded with a literal map (a plain
-# projection); more levels use a join against the ranked level table.
-LEVEL_LITERAL_LIMIT = 100_000
+# Levels up to this many are ranked by the driver (a bounded list); more are
+# ranked by a distributed sort. Both give the same codes.
+LEVEL_COLLECT_LIMIT = 10_000
 
 
 def _sort_key(v):
@@ -25,32 +26,23 @@ def _sort_key(v):
 def encode_label(df: DataFrame, col: str, out: str = "label", keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct values sorted ascending -> codes 0..K-1 (numbers in numeric
     order, strings lexicographically). Returns the coded table and the
-    mapping ``(value, code)``.
-
-    The levels are one small aggregate (one row per class); up to
-    ``LEVEL_LITERAL_LIMIT`` of them become a literal map, so coding is a
-    projection with no join."""
+    mapping ``(value, code)``; rows are coded by a join with the mapping,
+    broadcast while its counted rows are few."""
     levels = df.select(qcol(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    vals = [r["value"] for r in levels.limit(LEVEL_LITERAL_LIMIT + 1).collect()]
-    spark = df.sparkSession
-    vtype = df.schema[col].dataType
-    if len(vals) <= LEVEL_LITERAL_LIMIT:
-        ordered = sorted(vals, key=_sort_key)
-        codes = {v: i for i, v in enumerate(ordered)}
-        mapping = spark.createDataFrame([(v, i) for v, i in codes.items()],
-                                        T.StructType([T.StructField("value", vtype), T.StructField("code", T.IntegerType())]))
-        if ordered:
-            lit_map = F.create_map(*[x for v, i in codes.items() for x in (F.lit(v).cast(vtype), F.lit(i))])
-            code = F.try_element_at(lit_map, qcol(col))
-        else:
-            code = F.lit(None).cast("int")
-        coded = df.withColumn(out, code.cast("int"))
+    vals = [r["value"] for r in levels.limit(LEVEL_COLLECT_LIMIT + 1).collect()]
+    if len(vals) <= LEVEL_COLLECT_LIMIT:
+        n = len(vals)
+        mapping = df.sparkSession.createDataFrame(
+            [(v, i) for i, v in enumerate(sorted(vals, key=_sort_key))],
+            T.StructType([T.StructField("value", df.schema[col].dataType), T.StructField("code", T.IntegerType())]))
     else:
-        mapping = levels.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
-        m = maybe_broadcast(mapping)
-        coded = df.join(m, qcol(col).eqNullSafe(m["value"]), "left").drop("value").withColumnRenamed("code", out)
-    if not keep and col != out:
-        coded = coded.drop(col)
+        # a stored table, so that the positions counted are those used
+        ordered = materialize(levels.orderBy("value"))
+        n = ordered.count()
+        mapping = with_position(ordered, "code").withColumn("code", F.col("code").cast("int"))
+    m = maybe_broadcast(mapping.select(F.col("value").alias("_level"), F.col("code").alias("_code")), n)
+    cols = [qcol(c) for c in df.columns if c != out and (keep or c != col)]
+    coded = df.join(m, qcol(col) == F.col("_level"), "left").select(*cols, F.col("_code").alias(out))
     return coded, mapping
 
 

@@ -176,15 +176,21 @@ def q_fill_mean_token(spark, sf):
         "p_partkey", _r(F.col("size_text"), "size_num"))
 
 
+# Characters of the longest part name that the query expects (a longer one is
+# an error, not cut).
+NAME_LENGTH = 16
+
+
 def q_split_positions(spark, sf):
-    names = [f"c{i}" for i in range(8)]
-    return clean.split_positions(_t(spark, sf, "part").select("p_partkey", "p_name"), "p_name", 8, names) \
+    names = [f"c{i}" for i in range(NAME_LENGTH)]
+    return clean.split_positions(_t(spark, sf, "part").select("p_partkey", "p_name"), "p_name", NAME_LENGTH, names) \
         .select("p_partkey", *names)
 
 
 def q_stack_tables(spark, sf):
     o = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return o.where(F.col("o_orderstatus") == "F").unionByName(o.where(F.col("o_orderstatus") != "F"))
+    closed = F.col("o_orderstatus").eqNullSafe("F")
+    return clean.stack_tables([o.where(closed), o.where(~closed)])
 
 
 def q_stratified_split(spark, sf):
@@ -357,17 +363,21 @@ SELECT CAST(feature AS INTEGER) AS feature,
        round(greatest(sum((n_bl / n) * ln(n_bl * n / (n_b * n_l))), 0.0), {R}) AS mi FROM c2 GROUP BY feature"""
 
 
+def _tree_features(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", _tree_features_col())
+
+
 def _tree_input(spark, sf):
     return orders_coded(spark, sf).select("o_orderkey", "label", _tree_features_col())
 
 
 def q_soft_tree_score(spark, sf):
-    s = score(_tree_input(spark, sf), _tree_model(), mode="expr")
+    s = score(_tree_features(spark, sf), _tree_model(), mode="expr")
     return s.select("o_orderkey", *[_r(F.col("scores")[c], f"s{c}") for c in range(3)])
 
 
 def q_soft_tree_score_numpy(spark, sf):
-    s = score(_tree_input(spark, sf), _tree_model(), mode="numpy")
+    s = score(_tree_features(spark, sf), _tree_model(), mode="numpy")
     return s.select("o_orderkey", *[_r(F.col("scores")[c], f"s{c}") for c in range(3)])
 
 
@@ -376,7 +386,7 @@ def q_soft_tree_predict(spark, sf):
 
 
 def q_focal_loss(spark, sf):
-    s = score(_tree_input(spark, sf), _tree_model(), mode="expr")
+    s = score(_tree_features(spark, sf), _tree_model(), mode="expr")
     return focal_loss(s, "scores", "label", 1.0, 2.0, "mean").select(_r(F.col("focal_loss"), "focal_loss"))
 
 
@@ -630,10 +640,10 @@ def _sql() -> dict[str, str]:
                             f"SELECT p_partkey, round(COALESCE(v, (SELECT avg(v) FROM t)), {R}) AS size_num FROM t"),
         "split_positions": ("WITH t AS (SELECT p_partkey, trim(p_name) AS s, length(trim(p_name)) AS ln FROM part) "
                             "SELECT p_partkey, " + ", ".join(
-                                f"CASE WHEN {i} < ln THEN substr(s, greatest(ln - 8, 0) + {i + 1}, 1) END AS c{i}"
-                                for i in range(8)) + " FROM t"),
+                                f"CASE WHEN {i} < ln THEN substr(s, {i + 1}, 1) END AS c{i}"
+                                for i in range(NAME_LENGTH)) + " FROM t"),
         "stack_tables": ("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' UNION ALL "
-                         "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"),
+                         "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'"),
         "stratified_split": ("SELECT o_orderkey, label, split FROM "
                              + split_sql(f"(SELECT o_orderkey, label FROM {ORDERS_CODED_SQL})", "o_orderkey", "label", 42)),
         "stratified_split_labels": ("SELECT doc_id, label, split FROM "

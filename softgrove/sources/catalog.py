@@ -152,6 +152,8 @@ ABSENTEEISM = ["Seasons", "Day of the week", "Month of absence", "Disciplinary f
 ADULT = ["Age", "Workclass", "fnlwgt", "Education", "Education-Num", "Marital Status", "Occupation",
          "Relationship", "Race", "Sex", "Capital Gain", "Capital Loss", "Hours per week", "Country", "capital_gain"]
 ADULT_CAT = ["Workclass", "Education", "Marital Status", "Occupation", "Relationship", "Race", "Sex", "Country"]
+ADULT_ORDER = ["Sex", "Race", "Workclass", "Age", "fnlwgt", "Education", "Education-Num", "Marital Status", "Occupation",
+               "Relationship", "Capital Gain", "Capital Loss", "Hours per week", "Country"]
 TITANIC = ["Sex", "Embarked", "Pclass", "Age", "SibSp", "Parch", "Fare"]
 LOAN = ["Gender", "Married", "Dependents", "Education", "Self_Employed", "ApplicantIncome", "CoapplicantIncome",
         "LoanAmount", "Loan_Amount_Term", "Credit_History", "Property_Area"]
@@ -239,7 +241,7 @@ CATALOG: dict[str, TableSpec] = {
         "BIN:Absenteeism", ["Absenteeism/absenteeism.csv"], None, "Absenteeism time in hours", sep=";", header=True,
         label_rule="predicate", predicate=lambda c: c.try_cast("double") > 4, select=ABSENTEEISM,
         categorical=["Seasons", "Month of absence", "Education"]),
-    "Adult": TableSpec("Adult", ["Adult/adult.data"], ADULT, "capital_gain", label_rule="predicate",
+    "Adult": TableSpec("Adult", ["Adult/adult.data"], ADULT, "capital_gain", label_rule="predicate", select=ADULT_ORDER,
                        predicate=lambda c: c != " <=50K", null_as=1, categorical=ADULT_CAT),
     "BIN:Titanic": TableSpec(
         "BIN:Titanic", ["Titanic/train.csv"], None, "Survived", header=True, label_rule="passthrough",
@@ -290,6 +292,17 @@ def prepare_table(spark: SparkSession, spec: TableSpec | str, data_root: str) ->
     if spec.positions:
         col, n, names = spec.positions
         df = clean.split_positions(df, col, n, names)
+    skip = set(spec.drop) | {spec.label, "row_id"}
+    if spec.positions:
+        skip.add(spec.positions[0])
+    feats = spec.select or [c for c in df.columns if c not in skip]
+    cats = [c for c in spec.categorical if c in feats]
+    numeric = spec.numeric if spec.numeric is not None else [c for c in feats if c not in cats]
+    # numbers before fills: modes and their ties are those of the values, not
+    # of their spellings (a column with a token stays text until it is filled)
+    tokens = {c for _, kw in spec.impute if kw.get("token") is not None for c in kw["cols"]}
+    early = {c for c in numeric if c not in tokens} | ({spec.label} if _holds_numbers(df, spec.label) else set())
+    df = df.select(*[qcol(c).try_cast("double").alias(c) if c in early else qcol(c) for c in df.columns])
     for rule, kw in spec.impute:
         if rule == "fill_mode":
             df = clean.fill_mode(df, **kw)
@@ -308,15 +321,14 @@ def prepare_table(spark: SparkSession, spec: TableSpec | str, data_root: str) ->
         df = clean.derive_label(df, spec.predicate(F.col("__y")), "label", spec.null_as)
     else:
         df = df.withColumn("label", F.col("__y").cast("int"))
-    skip = set(spec.drop) | {"__y", "label", "row_id"}
-    if spec.positions:
-        skip.add(spec.positions[0])
-    feats = spec.select or [c for c in df.columns if c not in skip]
-    cats = [c for c in spec.categorical if c in feats]
-    numeric = spec.numeric if spec.numeric is not None else [c for c in feats if c not in cats]
     out = df.select("row_id", *[(qcol(c).try_cast("double").alias(c) if c in numeric else qcol(c)) for c in feats],
                     F.col("label").cast("int").alias("label"))
     return out, feats, cats
 
 
+def _holds_numbers(df: DataFrame, col: str) -> bool:
+    """Whether every value of a text column that isn't NULL is a number."""
+    return df.where(qcol(col).isNotNull() & qcol(col).try_cast("double").isNull()).isEmpty()
+
+
 __all__ = ["CATALOG", "TableSpec", "prepare_table", "column_range"]

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from softgrove.operators._util import qcol
+from softgrove.operators._util import maybe_broadcast, qcol, with_position
+from softgrove.session import materialize
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
@@ -62,29 +64,42 @@ def read_tables(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A stable consecutive 0-based position in scan order (files in path
-    order, then offsets), computed JVM-side: ``monotonically_increasing_id``
-    holds (partition, index in partition); one small job counts the rows of
-    each partition and the prefix sums turn it into a global position."""
-    mid = F.monotonically_increasing_id()
-    d = df.withColumn("_mid", mid)
-    counts = {r["p"]: r["n"] for r in d.groupBy(F.shiftright("_mid", 33).alias("p"))
-              .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
-    n_parts = (max(counts) + 1) if counts else 0
-    offsets, acc = [], 0
-    for p in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("long")).limit(0)
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (F.shiftright("_mid", 33) + 1).cast("int"))
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return d.withColumn(name, off + local).drop("_mid")
+    """A consecutive 0-based position: files in order of their paths, then
+    rows in file order.
+
+    Spark packs file splits into partitions by size, so partition numbers say
+    nothing about the order of files. Rows are keyed by (file, start of the
+    split, place in the split), which doesn't depend on packing; one small job
+    counts the rows of each split, and prefix sums give the offsets. Rows that
+    aren't a scan of files are stored first and numbered as they lie there."""
+    if not _is_scan(df):
+        return with_position(materialize(df), name)
+    at = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.monotonically_increasing_id().alias("_mid"))
+    # within a partition, a split's rows are consecutive
+    per = (at.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
+    splits = sorted(tuple(r) for r in per.collect())  # one row per file split
+    rows, offset = [], 0
+    for file, block, n, first in splits:
+        rows.append((file, block, offset - first))
+        offset += n
+    schema = "_file string, _block long, _shift long"
+    shifts = df.sparkSession.createDataFrame(rows, schema)
+    return (at.join(maybe_broadcast(shifts, len(rows)), ["_file", "_block"])
+            .withColumn(name, F.col("_mid") + F.col("_shift")).drop("_file", "_block", "_mid", "_shift"))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    try:
+        df.select("_metadata.file_path").schema  # noqa: B018  (resolves the column)
+    except AnalysisException:
+        return False
+    return True
 
 
 def zip_by_position(x: DataFrame, y: DataFrame, key: str = "row_id") -> DataFrame:
     """Pair a feature table and a label table row by row (1:1, left order).
-    Raises when the row counts differ."""
+    Both have to be scans of files. Raises when the row counts differ."""
     nx, ny = x.count(), y.count()
     if nx != ny:
         raise ValueError(f"feature and label files differ in length: {nx} vs {ny}")

@@ -26,11 +26,15 @@ def test_derive_label_nulls(spark):
     assert [r["label"] for r in clean.derive_label(df, F.col("x") != 0, null_as=1).collect()] == [1, 1, 1]
 
 
-def test_split_positions_last_chars(spark):
-    df = spark.createDataFrame([("  ACGTAC",), ("GT",)], "s string")
+def test_split_positions(spark):
+    import pytest
+    df = spark.createDataFrame([("  GTAC",), ("GT",), (None,)], "s string")
     out = clean.split_positions(df, "s", 4, ["a", "b", "c", "d"]).collect()
     assert [out[0][k] for k in "abcd"] == list("GTAC")
     assert [out[1][k] for k in "abcd"] == ["G", "T", None, None]
+    assert [out[2][k] for k in "abcd"] == [None] * 4
+    with pytest.raises(Exception, match="more than 3 characters"):
+        clean.split_positions(df, "s", 3).collect()
 
 
 def test_encode_label_sorted(spark):

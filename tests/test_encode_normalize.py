@@ -47,7 +47,7 @@ def test_quantile_engines_agree(spark):
         assert np.allclose(a[k], b[k], atol=1e-12)
 
 
-def test_leave_one_out_literal_and_join_paths_agree(spark, monkeypatch):
+def test_leave_one_out_broadcast_and_shuffle_joins_agree(spark, monkeypatch):
     import softgrove.operators.encode as enc
     rng = np.random.default_rng(4)
     rows = [(i, int(i % 3), f"c{rng.integers(0, 6)}", None if i % 17 == 0 else f"d{rng.integers(0, 3)}",
@@ -55,7 +55,7 @@ def test_leave_one_out_literal_and_join_paths_agree(spark, monkeypatch):
     df = spark.createDataFrame(rows, "row_id long, trial int, a string, b string, label int, split string")
     model = enc.LeaveOneOut(["a", "b"], by=["trial"]).fit(df)
     lit = {r["row_id"]: (r["a"], r["b"]) for r in model.transform(df).collect()}
-    monkeypatch.setattr(enc, "LITERAL_STATS_LIMIT", 0)
+    monkeypatch.setattr(enc, "maybe_broadcast", lambda small, n: small)
     joined = {r["row_id"]: (r["a"], r["b"]) for r in model.transform(df).collect()}
     assert lit.keys() == joined.keys()
     for k in lit:

@@ -124,3 +124,43 @@ def test_parquet_scan_with_column_selection(spark):
     from conftest import SF
     df = read_table(spark, f"{SF}/orders.parquet", ["o_orderkey", "o_orderstatus"], fmt="parquet")
     assert df.columns == ["o_orderkey", "o_orderstatus"] and df.count() > 0
+
+
+def _write_files(folder, sizes, column, make):
+    import os
+    os.makedirs(folder)
+    at = 0
+    for k, n in enumerate(sizes):
+        with open(f"{folder}/part-{k}.csv", "w") as f:
+            f.write(column + "\n" + "".join(make(at + i) + "\n" for i in range(n)))
+        at += n
+
+
+def test_zip_by_position_of_folders_with_unequal_files(spark, tmp_path):
+    """Files of swapped sizes and several splits each: pairs follow the
+    order of paths and rows, however Spark packs the splits."""
+    _write_files(f"{tmp_path}/x", [30, 2000, 500], "f", lambda i: f"{i}{'0' * 30}")
+    _write_files(f"{tmp_path}/y", [1500, 30, 1000], "class", lambda i: f"c{i}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            x = read_table(spark, f"{tmp_path}/x", header=True)
+            y = read_table(spark, f"{tmp_path}/y", header=True)
+            got = zip_by_position(x, y).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert len(got) == 2530
+        assert all(r["f"] == f"{r['class'][1:]}{'0' * 30}" and r["row_id"] == int(r["class"][1:]) for r in got)
+
+
+def test_numbers_are_cast_before_modes_and_codes(spark, tmp_path):
+    from softgrove.sources.catalog import TableSpec, prepare_table
+    lines = [(0.2, 10), ("0.20", 2), (0.15, 1), ("0.150", 11), ("", 12)] + [(9 + k, k) for k in range(3, 10)]
+    with open(f"{tmp_path}/t.csv", "w") as f:
+        f.write("".join(f"{a},{b}\n" for a, b in lines))
+    spec = TableSpec("t", ["t.csv"], ["v", "cls"], "cls", impute=[("fill_mode_all", {})])
+    df, feats, _ = prepare_table(spark, spec, str(tmp_path))
+    rows = df.orderBy("row_id").collect()
+    assert feats == ["v"] and rows[4]["v"] == 0.15  # 0.15 and 0.2 tie; the lower number wins
+    assert [r["label"] for r in rows] == [b - 1 for _, b in lines]
