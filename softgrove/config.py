@@ -51,5 +51,3 @@ class EngineConfig:
     mi_method: str = "knn"  # knn | binned
     mi_neighbours: int = MI_NEIGHBOURS
     restore: str = "best"  # best (copy of best weights) | last (reference parity)
-    rebalance: str | None = None  # None | random | smote
-    balance_ratio: float = BALANCE_RATIO

@@ -206,12 +206,16 @@ def keyed_uniform(seed: int, salt: int | Column, *keys: Column) -> Column:
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / _TWO52
 
 
+def keyed_uniform_sql(seed: int, salt: str, *keys: str) -> str:
+    """DuckDB text of ``keyed_uniform`` (``salt``: an integer expression)."""
+    text = " || ':' || ".join([*(f"CAST({k} AS VARCHAR)" for k in keys), f"'{int(seed)}'", f"CAST({salt} AS VARCHAR)"])
+    return f"((CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) + 0.5) / {_TWO52!r})"
+
+
 def keyed_gaussian_sql(seed: int, salt: str, *keys: str) -> str:
-    """DuckDB text of ``keyed_gaussian`` (``salt``: an integer expression)."""
-    def uniform(s):
-        text = " || ':' || ".join([*(f"CAST({k} AS VARCHAR)" for k in keys), f"'{int(seed)}'", f"CAST({s} AS VARCHAR)"])
-        return f"((CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) + 0.5) / {_TWO52!r})"
-    return f"(sqrt(-2.0 * ln({uniform(f'({salt}) * 2')})) * cos({2.0 * math.pi!r} * {uniform(f'({salt}) * 2 + 1')}))"
+    """DuckDB text of ``keyed_gaussian``."""
+    u1, u2 = keyed_uniform_sql(seed, f"({salt}) * 2", *keys), keyed_uniform_sql(seed, f"({salt}) * 2 + 1", *keys)
+    return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
 
 
 def keyed_gaussian(seed: int, salt: int | Column, *keys: Column) -> Column:

@@ -13,12 +13,16 @@ by ``spark.range`` (distributed) and matched to rows by an equi-join on
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from softgrove.functions.columns import keyed_uniform
 from softgrove.operators._util import maybe_broadcast
 from softgrove.operators.labels import minority_share
 from softgrove.operators.split import PREFIX_HEX, prefix_width, split_hash
+from softgrove.operators.tree import arrow_matrix
+from softgrove.session import materialize
 
 
 def _hex_int(h):
@@ -70,68 +74,98 @@ def oversample_random(df: DataFrame, label: str = "label", key: str = "row_id",
     return base.unionByName(extra.select(*base.columns))
 
 
-# A class whose synthetic rows need its own nearest neighbours is searched
-# exactly inside one task; larger classes are refused (never capped).
-SMOTE_CLASS_LIMIT = 20_000
+# Feature values of the rows that ask for neighbours in one job, and cells
+# of a task's distance work.
+ASK_VALUES = 1 << 20
+DISTANCE_CELLS = 1 << 21
 
 
-def _smote_fn(k: int, seed: int, need: dict, features: str, key: str, label: str):
-    def fn(pdf):
+def _nearest_fn(sent, k: int, label: str, key: str, features: str):
+    """Each task's k nearest rows of the same class for each asking row."""
+    def fn(batches):
         import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values(key, kind="mergesort").reset_index(drop=True)
-        c = pdf[label].iloc[0]
-        X = np.stack(pdf[features].to_numpy()).astype(np.float64)
-        n = len(X)
-        kk = min(k, n - 1)
-        sq = (X * X).sum(axis=1)
-        nn = np.empty((n, kk), dtype=np.int64)
-        step = max(1, 4_000_000 // max(n, 1))
-        for i in range(0, n, step):  # exact neighbours, blocked distance rows
-            d = sq[i:i + step, None] + sq[None, :] - 2.0 * X[i:i + step] @ X.T
-            d[np.arange(d.shape[0]), np.arange(i, i + d.shape[0])] = np.inf  # not itself
-            part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-            order = np.take_along_axis(d, part, axis=1).argsort(axis=1, kind="stable")
-            nn[i:i + step] = np.take_along_axis(part, order, axis=1)
-        m = need[c]
-        rng = np.random.default_rng([seed, int(c)])
-        pick = rng.integers(0, n * kk, size=m)
-        rows, cols = pick // kk, pick % kk
-        gap = rng.uniform(size=m)[:, None]
-        new = X[rows] + gap * (X[nn[rows, cols]] - X[rows])
-        return pd.DataFrame({key: pdf[key].to_numpy()[rows], label: c, features: list(new),
-                             "draw": np.arange(m, dtype=np.int64)})
+        import pyarrow as pa
+        best: dict[tuple, list] = {}
+        kinds = {}
+        for rb in batches:
+            kinds = {c: rb.schema.field(c).type for c in (label, key)}
+            labels = np.asarray(rb.column(label).to_pylist(), dtype=object)
+            keys = np.asarray(rb.column(key).to_pylist(), dtype=object)
+            X = arrow_matrix(rb.column(features))
+            for c, (asking, Q) in sent.value.items():
+                own = np.flatnonzero(labels == c)
+                step = max(1, DISTANCE_CELLS // max(1, len(Q) * Q.shape[1]))
+                for at in range(0, len(own), step):
+                    rows = own[at:at + step]
+                    d = ((Q[:, None, :] - X[rows][None, :, :]) ** 2).sum(axis=2)
+                    near = np.argsort(d, axis=1, kind="stable")[:, :k + 1] if len(rows) > k + 1 else np.argsort(d, axis=1, kind="stable")
+                    limit = np.take_along_axis(d, near[:, -1:], axis=1)
+                    for q, who in enumerate(asking):
+                        # rows at the limit's distance compete by key
+                        hit = [(float(d[q, j]), keys[rows[j]], X[rows[j]].tolist())
+                               for j in np.flatnonzero(d[q] <= limit[q]) if keys[rows[j]] != who]
+                        best[c, who] = sorted(best.get((c, who), []) + hit, key=lambda x: x[:2])[:k]
+        for (c, who), hits in best.items():
+            near = pa.list_(pa.struct([("d", pa.float64()), ("k", kinds[key]), ("x", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([c], kinds[label]), pa.array([who], kinds[key]),
+                pa.array([[{"d": d, "k": i, "x": x} for d, i, x in hits]], near)], names=[label, key, "near"])
     return fn
 
 
+def nearest_in_class(df: DataFrame, asking: DataFrame, k: int, label: str, features: str, key: str) -> DataFrame:
+    """(label, key, near): the k nearest rows of its class for each asking
+    row, exact, by Euclidean distance and then key. Asking rows are taken in
+    blocks of bounded size against all rows of their classes."""
+    sc = df.sparkSession.sparkContext
+    asking = asking.select(label, key, features).distinct()
+    shape = asking.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f")).first()
+    n_blocks = max(1, -(-(shape["n"] * max(1, shape["f"] or 1)) // ASK_VALUES))
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (label, key)}
+    schema = f"`{label}` {kinds[label]}, `{key}` {kinds[key]}, near array<struct<d:double,k:{kinds[key]},x:array<double>>>"
+    rows = df.select(label, key, F.col(features).cast("array<double>").alias(features))
+    out = None
+    for b in range(n_blocks):
+        own = asking.where(F.pmod(F.xxhash64(label, key), F.lit(n_blocks)) == b) if n_blocks > 1 else asking
+        by: dict = {}
+        for r in sorted(own.collect(), key=lambda r: (r[label], r[key])):
+            by.setdefault(r[label], []).append(r)
+        block = {c: ([r[key] for r in x], np.array([r[features] for r in x], dtype=np.float64)) for c, x in by.items()}
+        if not block:
+            continue
+        part = rows.where(F.col(label).isin(list(block))).mapInArrow(_nearest_fn(sc.broadcast(block), k, label, key, features), schema)
+        out = part if out is None else out.unionByName(part)
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k)
+    return out.groupBy(label, key).agg(merged.alias("near"))
+
+
 def oversample_smote(df: DataFrame, label: str = "label", features: str = "features", key: str = "row_id",
                      k: int = 5, seed: int = 42) -> DataFrame:
     """SMOTE: each minority class gets ``n_max - n_c`` synthetic rows
     ``x + u (x_nn - x)`` with ``x`` a random row of the class, ``x_nn`` one
-    of its ``k`` nearest neighbours in the class (exact, Euclidean) and
-    ``u ~ U(0, 1)``, seeded per class. Synthetic rows carry the key of
-    their base row and ``draw >= 0``; original rows have ``draw = -1``.
-    A class with at most ``k`` rows falls back to random oversampling (as
-    the library's error path does); a class above ``SMOTE_CLASS_LIMIT`` is
-    refused."""
+    of its ``k`` nearest neighbours in the class (exact, Euclidean, ties by
+    key) and ``u`` uniform; all three draws are keyed by md5 of (label, draw,
+    seed). Synthetic rows carry the key of their base row and ``draw >= 0``;
+    original rows have ``draw = -1``. Keys have to be unique. If a class has
+    at most ``k`` rows, all classes fall back to random oversampling (as the
+    library's error path does)."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_max = max(counts.values())
     need = {c: n_max - n for c, n in counts.items() if n < n_max}
     if any(counts[c] <= k for c in need):
         return oversample_random(df, label, key, seed)
-    big = {c: counts[c] for c in need if counts[c] > SMOTE_CLASS_LIMIT}
-    if big:
-        raise ValueError(f"classes too large for an exact in-task neighbour search: {big}; "
-                         "use oversample_random")
-    base = df.select(key, label, features, F.lit(-1).cast("long").alias("draw"))
+    df = df.select(key, label, F.col(features).cast("array<double>").alias(features))
+    base = df.withColumn("draw", F.lit(-1).cast("long"))
     if not need:
         return base
-    schema = (f"`{key}` {df.schema[key].dataType.simpleString()}, `{label}` {df.schema[label].dataType.simpleString()}, "
-              f"`{features}` array<double>, draw long")
-    synth = (df.where(F.col(label).isin(list(need))).select(key, label, features)
-             .repartitionByRange(len(need), label).groupBy(label)
-             .applyInPandas(_smote_fn(k, seed, need, features, key, label), schema))
-    return base.withColumn(features, F.col(features).cast("array<double>")).unionByName(synth)
+    drawn = materialize(oversample_random(df, label, key, seed).where("draw >= 0"))
+    near = nearest_in_class(df, drawn, k, label, features, key)
+    drawn = drawn.join(near, [label, key])
+    text = [F.col(label).cast("string"), F.col("draw").cast("string"), F.lit(str(seed))]
+    which = (_hex_int(F.md5(F.concat_ws(":", *text, F.lit("near")))) % F.size("near") + 1).cast("int")
+    u = keyed_uniform(seed, 9, F.col(label), F.col("draw"))
+    new = F.zip_with(features, F.element_at("near", which)["x"], lambda x, y: x + u * (y - x))
+    return base.unionByName(drawn.select(key, label, new.alias(features), "draw"))
 
 
 def rebalance(df: DataFrame, label: str = "label", key: str = "row_id", ratio: float = 0.25,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from softgrove.config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, LEARNING_RATE, EngineConfig
-from softgrove.functions.columns import CLIP_HIGH, CLIP_LOW, digamma_sql, norm_ppf_sql
+from softgrove.functions.columns import CLIP_HIGH, CLIP_LOW, digamma_sql, keyed_uniform_sql, norm_ppf_sql
 from softgrove.operators import clean, evaluate as ev, labels as lab
 from softgrove.operators.encode import LeaveOneOut
 from softgrove.operators.normalize import (MinMaxNormalizer, QuantileNormalizer, StandardNormalizer,
@@ -547,7 +547,26 @@ def q_oversample_smote(spark, sf):
     df = d.join(lb, "doc_id").select("doc_id", "label",
                                      F.array(F.col("n_chars").cast("double"), F.col("text_len").cast("double"))
                                      .alias("features"))
-    return oversample_smote(df, "label", "features", "doc_id", k=5, seed=42)
+    out = oversample_smote(df, "label", "features", "doc_id", k=5, seed=42)
+    return out.select("doc_id", "label", "draw", _r(F.col("features")[0], "f0"), _r(F.col("features")[1], "f1"))
+
+
+def _smote_sql() -> str:
+    u = keyed_uniform_sql(42, "9", "label", "draw")
+    return f"""WITH b AS (SELECT doc_id, quality AS label, CAST(n_chars AS DOUBLE) AS x0, CAST(length(text) AS DOUBLE) AS x1
+           FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT label, count(*) AS n_c, max(count(*)) OVER () AS n_max FROM b GROUP BY label),
+r AS (SELECT b.*, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', CAST(doc_id AS VARCHAR), '42')), doc_id) - 1 AS rn FROM b),
+d AS (SELECT c.label, c.n_c, unnest(range(0, c.n_max - c.n_c)) AS draw FROM c),
+pick AS (SELECT label, draw, CAST(('0x' || substr(md5(concat_ws(':', CAST(label AS VARCHAR), CAST(draw AS VARCHAR), '42')), 1, 12))::BIGINT % n_c AS BIGINT) AS rn,
+                CAST(('0x' || substr(md5(concat_ws(':', CAST(label AS VARCHAR), CAST(draw AS VARCHAR), '42', 'near')), 1, 12))::BIGINT % 5 AS BIGINT) AS nn FROM d),
+q AS (SELECT r.doc_id, r.label, r.x0, r.x1, pick.draw, pick.nn FROM pick JOIN r ON pick.label = r.label AND pick.rn = r.rn),
+k AS (SELECT a.doc_id, b.x0 AS y0, b.x1 AS y1, row_number() OVER (PARTITION BY a.doc_id
+             ORDER BY (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1), b.doc_id) - 1 AS nn
+      FROM (SELECT DISTINCT doc_id, label, x0, x1 FROM q) a JOIN b ON a.label = b.label AND a.doc_id <> b.doc_id)
+SELECT doc_id, label, CAST(-1 AS BIGINT) AS draw, round(x0, {R}) AS f0, round(x1, {R}) AS f1 FROM b
+UNION ALL SELECT q.doc_id, q.label, q.draw, round(x0 + {u} * (y0 - x0), {R}), round(x1 + {u} * (y1 - x1), {R})
+FROM q JOIN k ON q.doc_id = k.doc_id AND q.nn = k.nn"""
 
 
 def _oversample_sql() -> str:
@@ -680,6 +699,7 @@ pc AS (SELECT cls, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM per GROUP BY
 SELECT round(avg(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END), {R}) AS f1_macro FROM pc""",
         "confusion": tree_rows + f"\nSELECT label, {pred} AS prediction, count(*) AS n FROM s GROUP BY ALL",
         "oversample_random": _oversample_sql(),
+        "oversample_smote": _smote_sql(),
         "train_epochs": _train_epochs_sql(),
     }
 

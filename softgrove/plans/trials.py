@@ -39,7 +39,9 @@ TRIAL_BATCH_VALUES = 2_000_000_000
 def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list[str],
                categorical: list[str] | None = None, cfg: EngineConfig | None = None,
                label: str = "label", key: str = "row_id", seeds=None,
-               trial_batch: int | None = None) -> TrialRun:
+               trial_batch: int | None = None, sink: str | None = None) -> TrialRun:
+    """``sink``: a folder to which each batch's trial rows are written as soon
+    as the batch ends, so a failure later loses none of them."""
     cfg = cfg or EngineConfig()
     seeds = list(seeds if seeds is not None else cfg.seeds)
     if trial_batch is None:
@@ -51,6 +53,8 @@ def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list
         batch = seeds[start:start + trial_batch]
         res = _run_batch(df, name, feature_cols, categorical, cfg, label, key, batch, start)
         rows += res[0]
+        if sink:
+            write_trials(spark.createDataFrame(res[0], TRIALS_SCHEMA), sink)
         models.update(res[1])
         history += res[2]
         prepared_all = res[3] if prepared_all is None else prepared_all.unionByName(res[3])

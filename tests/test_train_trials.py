@@ -46,8 +46,11 @@ def test_training_refuses_missing_values(spark):
 
 
 def test_iris_like_end_to_end(spark):
-    run = run_trials(spark, _iris(spark), "iris_like", FEATURES, seeds=[42, 43, 44])
+    import tempfile
+    sink = tempfile.mkdtemp(prefix="sg-trials-") + "/trials"
+    run = run_trials(spark, _iris(spark), "iris_like", FEATURES, cfg=EngineConfig(max_epochs=250), seeds=[42, 43], trial_batch=1, sink=sink)
     s = run.summary.first()
+    assert sorted(int(r["Trial"]) for r in spark.read.option("header", True).csv(sink).collect()) == [1, 2]
     assert s["Depth"] == 8
     assert s["Mean Test Accuracy"] >= 0.90
     sizes = run.prepared.where(F.col("trial") == 1).groupBy("split").count().collect()
