@@ -65,8 +65,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document encoded and decoded again: digests of both, and whether
     the text came back."""
     docs = read_table(spark, sf_dir, "documents")
-    table = sentencepiece_scan.load()
-    coded = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, table=table, keep=["doc_id", "text"]), table=table)
+    coded = sentencepiece_scan.encode(docs, keep=["doc_id", "text"], decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

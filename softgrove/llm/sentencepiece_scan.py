@@ -36,7 +36,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -57,11 +56,13 @@ CHUNK = 1 << 13
 RUN = 64
 #: Words and pairs of pieces that a worker remembers.
 MEMORY = 1 << 18
+#: Characters of a word that is walked together with others.
+TOGETHER = 48
 MARK = "▁"
 
+_NONE = -9      # no path ends here
 _CUT = -2       # the state (and neighbour) at a place that paths can't cross
 _UNKNOWN = -1   # a character that is in no piece
-_PREFIX = -3
 _OFF = -np.inf
 
 
@@ -93,37 +94,56 @@ def normalise(text: str) -> str:
     return (MARK + text.replace(" ", MARK)) if text else ""
 
 
-_ENCODERS: WeakKeyDictionary[PieceTable, Encoder] = WeakKeyDictionary()
-
-
 class Encoder:
     """Paths through the lattice of pieces."""
 
+    _last: Encoder | None = None
+
     def __init__(self, table: PieceTable):
         self.table = table
         self.rank = table.rank
         self.longest = max(map(len, table.rank))
         self.alphabet = set("".join(table.rank))
-        # prefix of a piece -> its id if it is a piece, else _PREFIX
-        self.node = {p[:k]: _PREFIX for p in table.rank for k in range(1, len(p))}
-        self.node |= {p: i for p, (_, i) in table.rank.items()}
+        #: trie of the pieces: character -> node, None -> id
+        self.trie: dict = {}
+        for piece, (_, number) in table.rank.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[None] = number
+        self._trie_arrays()
+        #: neighbours within pieces; between others no piece goes on
+        self.inner = {p[k:k + 2] for p in table.rank for k in range(len(p) - 1)}
         breaks = "".join(re.escape(c) for c in "\n\r\t" if c not in self.alphabet)
         self.words = re.compile(f"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (f"|[{breaks}]+" if breaks else ""))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: (a << 32) + b -> whether piece b may follow piece a; sorted copies
+        self.pairs: dict[int, bool] = {}
+        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.memo: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo.clear()
         self.flat, self.begin = array("i"), array("q", [0])
 
+    def _forget(self, but: set[str]) -> None:
+        """Empties a full memory but for the words in hand: those that are
+        frequent are among them."""
+        had, flat, begin = self.memo, self.flat, self.begin
+        self.memo, self.flat, self.begin = {}, array("i"), array("q", [0])
+        for w in but:
+            k = had.get(w)
+            if k is not None:
+                self._remember(w, flat[begin[k]:begin[k + 1]])
+
+    def _remember(self, word: str, ids) -> None:
+        self.flat.extend(ids)
+        self.begin.append(len(self.flat))
+        self.memo[word] = len(self.memo)
+
     @staticmethod
     def of(table: PieceTable) -> Encoder:
-        """The encoder of a (broadcast) table, one for each Python worker, so
-        that its memory lasts from task to task."""
-        if table not in _ENCODERS:
-            _ENCODERS[table] = Encoder(table)
-        return _ENCODERS[table]
+        """The encoder of a (broadcast) table; a Python worker keeps the last
+        one, so that its memory lasts from task to task."""
+        if Encoder._last is None or Encoder._last.table is not table:
+            Encoder._last = Encoder(table)
+        return Encoder._last
 
     # -- BPE's order of merges on a short text
 
@@ -145,23 +165,24 @@ class Encoder:
         """Whether BPE gives piece ``b`` after ``a`` (or after a cut)."""
         if b < 0:
             return True
-        out = self.pairs.get((a, b))
+        out = self.pairs.get((a << 32) + b)
         if out is None:
-            if len(self.pairs) >= 4 * MEMORY:
+            if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
             own = [self.table.pieces[k] for k in (a, b) if k >= 0]
-            out = self.pairs[a, b] = self.merges("".join(own)) == own
+            out = self.pairs[(a << 32) + b] = self.merges("".join(own)) == own
         return out
 
     def steps_from(self, text: str, at: int) -> list[tuple[int, int]]:
         """(end, id) of the pieces that begin at a place."""
         out = []
-        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            piece = self.node.get(text[at:end])
-            if piece is None:
+        node = self.trie
+        for end in range(at + 1, len(text) + 1):
+            node = node.get(text[end - 1])
+            if node is None:
                 break
-            if piece >= 0:
-                out.append((end, piece))
+            if None in node:
+                out.append((end, node[None]))
         return out or [(at + 1, _UNKNOWN)]
 
     def emit(self, piece: int, text: str) -> list[int]:
@@ -171,9 +192,9 @@ class Encoder:
 
     # -- words between cuts
 
-    def word(self, text: str) -> list[int]:
-        """Ids of a text that begins and ends at a cut: the finite path."""
-        n, node, pairs = len(text), self.node, self.pairs
+    def path(self, text: str) -> list[int]:
+        """Ids along the finite path from cut to cut."""
+        n, trie, pairs = len(text), self.trie, self.pairs
         last: list[int | None] = [None] * (n + 1)
         last[0] = _CUT
         back = [0] * (n + 1)
@@ -181,44 +202,147 @@ class Encoder:
             own = last[at]
             if own is None:
                 continue
-            end = at
-            while end < n:
-                end += 1
-                piece = node.get(text[at:end])
-                if piece is None:
-                    if end == at + 1:
-                        last[end], back[end] = _UNKNOWN, at
+            high = own << 32
+            node, end = trie, at
+            for c in text[at:]:
+                node = node.get(c)
+                if node is None:
                     break
-                if piece >= 0 and last[end] is None:
-                    ok = pairs.get((own, piece))
+                end += 1
+                if last[end] is None and None in node:
+                    piece = node[None]
+                    ok = pairs.get(high + piece)
                     if self.compatible(own, piece) if ok is None else ok:
                         last[end], back[end] = piece, at
+            if end == at:
+                last[at + 1], back[at + 1] = _UNKNOWN, at
         out: list[list[int]] = []
-        end = len(text)
+        end = n
         while end:
             out.append(self.emit(last[end], text[back[end]:end]))
             end = back[end]
         return [i for ids in reversed(out) for i in ids]
 
-    def numbers(self, text: str) -> list[int]:
-        """Remembered numbers of the words of a text from cut to cut."""
+    def _trie_arrays(self) -> None:
+        """The trie as sorted (node, character) keys, for walking many words
+        at once."""
+        keys, to, ids = [], [], [-1]
+        self.letters = {c: k for k, c in enumerate(sorted(self.alphabet))}
+        todo = [(self.trie, 0)]
+        while todo:
+            node, number = todo.pop()
+            for c, child in node.items():
+                if c is not None:
+                    keys.append(number * len(self.letters) + self.letters[c])
+                    to.append(len(ids))
+                    todo.append((child, len(ids)))
+                    ids.append(child.get(None, -1))
+        order = np.argsort(keys)
+        self.edge_keys, self.edge_to = np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order]
+        self.node_id = np.array(ids, dtype=np.int64)
+
+    def _edges(self, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces in words laid end to end;
+        ``stop`` is the end of each character's word."""
+        at = np.arange(len(text))
+        node = np.zeros(len(text), dtype=np.int64)
+        found = []
+        for k in range(self.longest):
+            keep = at + k < stop[at]
+            at, node = at[keep], node[keep]
+            key = node * len(self.letters) + text[at + k]
+            place = np.minimum(np.searchsorted(self.edge_keys, key), len(self.edge_keys) - 1)
+            keep = self.edge_keys[place] == key
+            at, node = at[keep], self.edge_to[place[keep]]
+            piece = self.node_id[node]
+            own = piece >= 0
+            found.append((at[own], at[own] + k + 1, piece[own]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 32) + b
+        for _ in range(2):
+            place = np.minimum(np.searchsorted(self.pair_keys, key), max(len(self.pair_keys) - 1, 0))
+            known = self.pair_keys[place] == key if len(self.pair_keys) else np.zeros(len(key), dtype=bool)
+            if known.all():
+                break
+            if len(self.pair_keys) > 2 * MEMORY:
+                self.pair_keys, self.pair_ok, known = self.pair_keys[:0], self.pair_ok[:0], np.zeros(len(key), dtype=bool)
+            new = np.unique(key[~known])
+            ok = np.array([self.compatible(int(k >> 32), int(k & 0xFFFFFFFF)) for k in new.tolist()], dtype=bool)
+            self.pairs.clear()
+            keys = np.concatenate((self.pair_keys, new))
+            order = np.argsort(keys, kind="stable")
+            self.pair_keys, self.pair_ok = keys[order], np.concatenate((self.pair_ok, ok))[order]
+        return self.pair_ok[place]
+
+    def paths_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids along the finite paths of words (of known characters), and
+        how many each has. The words' n-th characters are stepped together."""
+        size = np.array([len(w) for w in words])
+        begin = np.concatenate(([0], np.cumsum(size)))
+        letters = self.letters
+        text = np.fromiter((letters[c] for w in words for c in w), dtype=np.int64, count=begin[-1])
+        start, end, piece = self._edges(text, np.repeat(begin[1:], size))
+        place = start - np.repeat(begin[:-1], size)[start]
+        order = np.argsort(place, kind="stable")
+        start, end, piece, place = start[order], end[order], piece[order], place[order]
+        # places between characters: word w has size + 1 of them, from begin[w] + w on
+        shift = np.repeat(np.arange(len(words)), size)
+        s, e = start + shift[start], end + shift[start]
+        last = np.full(begin[-1] + len(words), _NONE, dtype=np.int64)
+        last[begin[:-1] + np.arange(len(words))] = _CUT
+        back = np.zeros(len(last), dtype=np.int64)
+        edge = np.searchsorted(place, np.arange(size.max() + 1 if len(size) else 1))
+        for a, b in zip(edge, edge[1:]):
+            own = last[s[a:b]]
+            go = np.flatnonzero((own != _NONE) & (last[e[a:b]] == _NONE))
+            go = go[self._compatible(own[go], piece[a:b][go])]
+            last[e[a:b][go]], back[e[a:b][go]] = piece[a:b][go], s[a:b][go]
+        at = begin[1:] + np.arange(len(words))
+        word = np.arange(len(words))
+        steps = []
+        while len(at):
+            steps.append((word, last[at]))
+            at = back[at]
+            go = last[at] != _CUT
+            at, word = at[go], word[go]
+        # backwards: the last step of each word comes first
+        word = np.concatenate([w for w, _ in reversed(steps)])
+        ids = np.concatenate([i for _, i in reversed(steps)])
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.memo) > MEMORY:
+            self._forget(words)
+        new = words.difference(self.memo)
+        known = self.letters.keys()
+        together = [w for w in new if len(w) <= TOGETHER and known >= set(w)]
+        for at in range(0, len(together), 1 << 14):
+            some = together[at:at + (1 << 14)]
+            ids, size = self.paths_of(some)
+            self.begin.extend((len(self.flat) + np.cumsum(size)).tolist())
+            self.flat.extend(ids.tolist())
+            self.memo.update(zip(some, range(len(self.memo), len(self.memo) + len(some))))
+        for w in new.difference(together):
+            self._remember(w, self.path(w))
+
+    def remembered(self, text: str) -> list[int]:
+        """Ids of a text from cut to cut."""
         words = self.words.findall(text)
-        memo = self.memo
-        for w in set(words).difference(memo):
-            self.flat.extend(self.word(w))
-            self.begin.append(len(self.flat))
-            memo[w] = len(memo)
-        return [memo[w] for w in words]
+        self._learn(set(words))
+        memo, flat, begin = self.memo, self.flat, self.begin
+        return [i for w in words for i in flat[begin[memo[w]]:begin[memo[w] + 1]]]
 
     def encode_all(self, texts: list[str | None]) -> pa.Array:
         """Ids of each text, encoded as one chunk from cut to cut."""
-        if len(self.memo) > MEMORY:
-            self._clear()
-        per = [self.numbers(normalise(t or "")) for t in texts]
-        word = np.fromiter((w for ws in per for w in ws), dtype=np.int64)
+        per = [self.words.findall(normalise(t or "")) for t in texts]
+        self._learn({w for ws in per for w in ws})
+        memo = self.memo
+        word = np.fromiter((memo[w] for ws in per for w in ws), dtype=np.int64)
         begin = np.array(self.begin, dtype=np.int64)
         size = begin[word + 1] - begin[word]
-        ids = _gather(np.array(self.flat, dtype=np.int32), begin[word], size)
+        ids = _gather(np.frombuffer(self.flat, dtype=np.int32).copy(), begin[word], size)
         upto = np.concatenate(([0], np.cumsum(size)))
         ends = upto[np.concatenate(([0], np.cumsum([len(ws) for ws in per], dtype=np.int64)))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
@@ -227,7 +351,7 @@ class Encoder:
 
     def is_cut(self, text: str, at: int) -> bool:
         return (at == 0 or at == len(text) or (text[at] == MARK and text[at - 1] != MARK)
-                or text[at] not in self.alphabet or text[at - 1] not in self.alphabet)
+                or text[at - 1:at + 1] not in self.inner)
 
     def states(self, text: str, at: int, cut: bool) -> list[tuple[int, int]]:
         """(reach beyond the place, id) of the pieces that cover a place."""
@@ -304,10 +428,7 @@ class Encoder:
         while trail is not None:
             trail, what, start, end = trail
             if what == "words":
-                ids: list[int] = []
-                for w in self.words.findall(text[start:end]):
-                    ids += self.word(w)
-                out.append(ids)
+                out.append(self.remembered(text[start:end]))
             else:
                 out.append(self.emit(what, text[start:end]))
         return [i for ids in reversed(out) for i in ids]
@@ -449,26 +570,31 @@ def _giant_ids(texts: DataFrame, sent, chunk: int) -> DataFrame:
 
 
 def encode(documents: DataFrame, text_col: str = "text", table: PieceTable | None = None, keep: list[str] | None = None,
-           name: str = "ids", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """Columns ``keep`` (default: all) and ``name``: the ids of the text."""
+           name: str = "ids", giant: int = GIANT, chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
+    """Columns ``keep`` (default: all), ``name``: the ids of the text, and
+    ``decoded`` if it is given: the text decoded from these ids."""
     spark: SparkSession = documents.sparkSession
     keep = documents.columns if keep is None else keep
     if name.lower() in {c.lower() for c in keep}:
         raise ValueError(f"the documents have a column named {name}")
     need = list(dict.fromkeys([*keep, text_col]))
-    sent = spark.sparkContext.broadcast(table or load())
+    table = table or load()
+    sent = spark.sparkContext.broadcast(table)
     docs = documents.select(*[F.col(f"`{c}`") for c in need])
     text = F.col(f"`{text_col}`")
 
     def run(batches):
         encoder = Encoder.of(sent.value)
+        decoder = Decoder(sent.value) if decoded else None
         for batch in batches:
             for part in steps(batch, text_col):
                 ids = encoder.encode_all(part.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids], names=[*keep, name])
+                new = [ids, decoder.decode_all(ids)] if decoder else [ids]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], names=[*keep, name, *([decoded] if decoded else [])])
 
     kept = [F.col(f"`{c}`") for c in keep]
-    schema = add_fields(docs.select(*kept).schema, [(name, ArrayType(IntegerType()))])
+    new = [(name, ArrayType(IntegerType())), *([(decoded, StringType())] if decoded else [])]
+    schema = add_fields(docs.select(*kept).schema, new)
     small = docs.where(text.isNull() | (F.length(text) <= giant)).mapInArrow(run, schema)
     large = docs.where(F.length(text) > giant)
     key = fresh([*need, name], "_key")
@@ -476,6 +602,8 @@ def encode(documents: DataFrame, text_col: str = "text", table: PieceTable | Non
     ids = _giant_ids(keyed.select(F.col(key).alias("key"), text.alias("text")).dropDuplicates(["key"]), sent, chunk)
     ids = ids.select(F.col("key").alias(f"{key}2"), F.col("ids").alias(name))
     large = keyed.select(*kept, key).join(ids, F.col(key) == F.col(f"{key}2")).select(*kept, name)
+    if decoded:
+        large = decode(large, name, table, name=decoded)
     return small.unionByName(large)
 
 
