@@ -7,11 +7,12 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from softgrove.plans import operator_queries as oq  # noqa: E402
 from softgrove.plans import table_queries as tq  # noqa: E402
 from softgrove.session import local_session  # noqa: E402
 
 QUERIES = ["stratified_split", "loo_train", "quantile_normalize", "mi_knn", "soft_tree_score",
-           "soft_tree_score_numpy", "f1_macro", "oversample_random"]
+           "soft_tree_score_numpy", "f1_macro", "oversample_random", "loo_many_levels", "encode_many_levels"]
 
 
 def main():
@@ -23,7 +24,7 @@ def main():
              "Scans show the pruned `ReadSchema`; small sides are `BroadcastExchange`; "
              "adaptive execution may still re-plan at run time.\n"]
     for name in QUERIES:
-        df = tq.QUERIES[name](spark, sf)
+        df = (tq.QUERIES | oq.QUERIES)[name](spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         parts.append(f"\n## {name}\n\n```\n{plan.strip()}\n```\n")
     with open(out, "w") as f:

@@ -34,7 +34,7 @@ from softgrove.operators.tree import SoftTreeModel, arrow_matrix, focal_loss_sum
 # Target bytes of feature values per block partition.
 PARTITION_BYTES = 128 * 1024 * 1024
 # Rows a partition should hold before another core is used.
-MIN_PARTITION_ROWS = 128
+MIN_PARTITION_ROWS = 512
 # Partial sums that one task (or the driver) adds up.
 FAN_IN = 32
 

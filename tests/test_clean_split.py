@@ -78,3 +78,21 @@ def test_replace_values_contains_label_and_numeric_coercion(spark):
     assert [r["c"] for r in clean.to_numeric(df, ["c"]).collect()] == [None, None, None, 12.5]
     with pytest.raises(Exception):
         clean.to_numeric(df, ["c"], strict=True).collect()
+
+
+def test_encode_label_of_many_levels_by_distributed_sort(spark, monkeypatch):
+    import softgrove.operators.labels as lab
+    rows = [(i, (i * 7919) % 500 - 250) for i in range(1000)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "row_id long, y int").repartition(6)
+    want = {v: k for k, v in enumerate(sorted({y for _, y in rows if y is not None}))} | {None: None}
+    few = {r["y"]: r["label"] for r in encode_label(df, "y", keep=True)[0].collect()}
+    monkeypatch.setattr(lab, "LEVEL_COLLECT_LIMIT", 3)
+    coded, mapping = encode_label(df, "y", keep=True)
+    assert few == {r["y"]: r["label"] for r in coded.collect()} == want
+    assert coded.columns == ["row_id", "y", "label"] and mapping.count() == 500
+
+
+def test_stack_tables_keeps_duplicates(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string")
+    b = spark.createDataFrame([("y", 2), (None, None)], "v string, k int")
+    assert sorted(map(str, clean.stack_tables([a, b]).collect())) == sorted(map(str, [*a.collect(), *b.select("k", "v").collect()]))
