@@ -69,7 +69,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
                      seed: int | str = 42, by: list[str] | None = None,
                      out: str = "split") -> DataFrame:
     """Add ``out`` in {train, valid, test}. ``seed`` is an int or the name of
-    a per-group seed column; ``by`` holds group keys (e.g. ``trial``)."""
+    a per-group seed column; ``by`` holds group keys (e.g. ``trial``). Keys
+    have to be unique within a group; one that repeats across a cut raises."""
     by = list(by or [])
     seed_col = F.col(seed) if isinstance(seed, str) else F.lit(int(seed))
     keys = by + [label]
@@ -112,9 +113,12 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
     ranked = (hashed.select(*keys, "_b", "_h", F.col(key).alias("_k"))
               .join(maybe_broadcast(targets, 2 * bound), keys + ["_b"]))
     wr = Window.partitionBy(*keys, "which").orderBy("_h", "_k")
-    cut_rows = (ranked.withColumn("_rn", F.row_number().over(wr))
+    # a key that repeats across a cut would make the sizes inexact
+    again = F.raise_error(F.concat(F.lit(f"the split needs unique keys; {key} repeats: "), F.col("_k").cast("string")))
+    own = F.when(F.col("_next") == F.col("_k"), again.cast(df.schema[key].dataType)).otherwise(F.col("_k"))
+    cut_rows = (ranked.withColumn("_rn", F.row_number().over(wr)).withColumn("_next", F.lead("_k").over(wr))
                 .where(F.col("_rn") == F.col("_need"))
-                .select(*keys, "which", F.struct("_h", "_k").alias("_cut")))
+                .select(*keys, "which", F.struct("_h", own.alias("_k")).alias("_cut")))
     cuts = cut_rows.groupBy(*keys).agg(
         F.max(F.when(F.col("which") == "test", F.col("_cut"))).alias("_test_cut"),
         F.max(F.when(F.col("which") == "valid", F.col("_cut"))).alias("_valid_cut"))

@@ -96,3 +96,10 @@ def test_stack_tables_keeps_duplicates(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string")
     b = spark.createDataFrame([("y", 2), (None, None)], "v string, k int")
     assert sorted(map(str, clean.stack_tables([a, b]).collect())) == sorted(map(str, [*a.collect(), *b.select("k", "v").collect()]))
+
+
+def test_split_refuses_a_key_that_repeats_across_a_cut(spark):
+    import pytest
+    df = spark.createDataFrame([(7, k % 2) for k in range(40)], "row_id long, label int")
+    with pytest.raises(Exception, match="unique keys"):
+        stratified_split(df).collect()
