@@ -48,9 +48,9 @@ from pyspark.sql import functions as F
 from softgrove.llm.common import LOWER_TABLE, steps, text_bytes
 
 K = 5
-UNIT_BYTES = 12 << 20
+UNIT_BYTES = 4 << 20
 #: Text whose bigrams one partition of the n-gram table takes (about).
-PART_BYTES = 48 << 20
+PART_BYTES = 16 << 20
 #: A word with this share of the sample's tokens is spread by history.
 HOT_SHARE = 1 / 400
 HOT_SAMPLE = 2_000
