@@ -49,6 +49,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints of a bucket (or sub-bucket) that are compared in one task.
 BUCKET_LIMIT = 8192
+#: A fingerprint with more than this part of all rows is joined by broadcast.
+HOT_PARTS = 500
 #: Nodes up to which tables keyed by 1, 2, 3 pieces keep buckets small.
 TABLE_STEPS = ((1 << 20, 1), (1 << 26, 2), (1 << 31, 3))
 _CHUNK = 1 << 17
@@ -299,7 +301,7 @@ def _grouped(documents: DataFrame, id_col: str, text_col: str, shingle: int, rad
     docs = with_fingerprint(documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
                             "text", "fp", shingle, keep=["doc_id"])
     docs = materialize(docs)
-    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    nodes = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fp"), radius))
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root")).distinct()
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("node", "root", "low")
@@ -308,7 +310,14 @@ def _grouped(documents: DataFrame, id_col: str, text_col: str, shingle: int, rad
     named = nodes.join(of, nodes["fp"] == of["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("node").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
-    return docs.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    # fingerprints that hold over 1 / HOT_PARTS of the rows: fewer than HOT_PARTS, so
+    # they are joined by broadcast, and no task gets all rows of one
+    hot = [r.fp for r in nodes.where(F.col("n") * HOT_PARTS > docs.count()).select("fp").collect()]
+    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
+    out = docs.where(~is_hot).join(named.where(~is_hot), "fp")
+    if hot:
+        out = out.unionByName(docs.where(is_hot).join(F.broadcast(named.where(is_hot)), "fp"))
+    return out.select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
