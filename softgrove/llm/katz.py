@@ -50,7 +50,7 @@ from softgrove.llm.common import LOWER_TABLE, steps, text_bytes
 K = 5
 UNIT_BYTES = 4 << 20
 #: Text whose bigrams one partition of the n-gram table takes (about).
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: A word with this share of the sample's tokens is spread by history.
 HOT_SHARE = 1 / 400
 HOT_SAMPLE = 2_000
@@ -306,12 +306,18 @@ def _to_histories(t: Totals, parts: int):
         where = (h % np.uint64(parts)).astype(np.int64)
         for k in np.unique(where):
             own = where == k
-            yield int(k), "sums", "", -1, _pack(h=h[own], count=_narrow(sums[0][own].astype(np.int64)), kept=sums[1][own], p=sums[2][own])
-        for (unit, part), of in zip(c.units, c.of):
-            asked = np.unique(c.before[of[c.count[of] == 0]])
-            where = (asked % np.uint64(parts)).astype(np.int64)
-            for k in np.unique(where):
-                yield int(k), "ask", unit, part, _pack(h=asked[where == k])
+            yield int(k), "sums", _pack(h=h[own], count=_narrow(sums[0][own].astype(np.int64)), kept=sums[1][own], p=sums[2][own])
+        # one row for each partition of the backoff table, for all units together
+        asked: dict[str, list] = {}
+        for (unit, _), of in zip(c.units, c.of):
+            asked.setdefault(unit, []).append(c.before[of[c.count[of] == 0]])
+        asked = {unit: np.unique(np.concatenate(h)) for unit, h in asked.items()}
+        who = np.repeat(np.arange(len(asked)), [len(h) for h in asked.values()])
+        h = np.concatenate([*asked.values(), np.zeros(0, np.uint64)])
+        where = (h % np.uint64(parts)).astype(np.int64)
+        for k in np.unique(where):
+            own = where == k
+            yield int(k), "ask", _pack(units=list(asked), who=_narrow(who[own]), h=h[own])
     return run
 
 
@@ -345,15 +351,22 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, kept, p = (np.bincount(at, weights=np.concatenate([x[c].astype(float) for x in tables]), minlength=len(names))
                           for c in ("count", "kept", "p"))
         weight, size = np.log10(backoff_weights(count, kept, p)), np.log10(count)
+    for_unit: dict[str, list] = {}
     for r in asks:
-        h = _unpack(r["blob"])["h"]
+        d = _unpack(r["blob"])
+        h = d["h"]
         a = np.zeros(len(h))
         if len(names):
             at = np.minimum(np.searchsorted(names, h), len(names) - 1)
             # the common sum takes c(h) off every token; here it goes back
             a = np.where(names[at] == h, weight[at] + size[at], 0.0)
-        yield pa.RecordBatch.from_pydict({"unit": [r["unit"]], "kind": ["weights"], "part": pa.array([r["part"]], pa.int32()),
-                                          "blob": [_pack(h=h, a=a)]})
+        edges = np.searchsorted(d["who"], np.arange(len(d["units"]) + 1))
+        for unit, x, y in zip(d["units"], edges, edges[1:]):
+            if y > x:
+                for_unit.setdefault(unit, []).append((h[x:y], a[x:y]))
+    for unit, got in for_unit.items():
+        blob = _pack(h=np.concatenate([h for h, _ in got]), a=np.concatenate([a for _, a in got]))
+        yield pa.RecordBatch.from_pydict({"unit": [unit], "kind": ["weights"], "part": pa.array([-1], pa.int32()), "blob": [blob]})
 
 
 def _scored(rows: pd.DataFrame, t: Totals, id_name: str) -> pd.DataFrame:
@@ -362,6 +375,10 @@ def _scored(rows: pd.DataFrame, t: Totals, id_name: str) -> pd.DataFrame:
     for r in rows.itertuples():
         by[r.kind].setdefault(r.part, []).append(r.blob)
     head = _unpack(by["texts"].pop(-1)[0])
+    weights = [_unpack(b) for b in by["weights"].get(-1, [])]
+    names = np.concatenate([*(w["h"] for w in weights), np.zeros(0, np.uint64)])
+    order = np.argsort(names)
+    names, weight = names[order], np.concatenate([*(w["a"] for w in weights), np.zeros(0)])[order]
     n = len(head["train"])
     base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
     for part in sorted(by["texts"]):
@@ -375,13 +392,10 @@ def _scored(rows: pd.DataFrame, t: Totals, id_name: str) -> pd.DataFrame:
         # a word is the next token's history: its count is taken off here, for all tokens at once
         value = value - np.where((word > 0) & ~is_end, np.log10(np.maximum(word, 1)), 0.0)
         unseen = np.flatnonzero(pair == 0)
-        if len(unseen) and part in by["weights"]:
-            got = [_unpack(b) for b in by["weights"][part]]
-            h, a = np.concatenate([g["h"] for g in got]), np.concatenate([g["a"] for g in got])
-            order = np.argsort(h)
+        if len(unseen):
             before = np.zeros(len(pair), dtype=np.uint64)
             before[d["maybe"]] = d["before"]
-            value[unseen] += a[order][np.searchsorted(h[order], before[unseen])]
+            value[unseen] += weight[np.searchsorted(names, before[unseen])]
         row, many = d["row"].astype(np.int64), d["count"].astype(np.int64)
         entry = np.repeat(np.arange(len(pair)), d["posts"])
         base += np.bincount(row, weights=many * value_base[entry], minlength=n)
@@ -437,7 +451,7 @@ def score_corpus(documents: DataFrame, train: Column, id_col: str = "doc_id", te
     t = totals(table.mapPartitions(_stats(hot)).treeAggregate(zero, _join_stats, _join_stats))
 
     asked = spark.createDataFrame(table.mapPartitions(_to_histories(t, parts)),
-                                  "key int, kind string, unit string, part int, blob binary", verifySchema=False)
+                                  "key int, kind string, blob binary", verifySchema=False)
     reply = "unit string, kind string, part int, blob binary"
     weights = asked.repartition(parts, "key").mapInArrow(_answers, reply)
     counts = spark.createDataFrame(table.mapPartitions(_counts_back(t)), reply, verifySchema=False)
