@@ -3,13 +3,16 @@
 1. Markup is stripped into lines: block elements and line breaks end a line;
    comments, scripts, styles, heads, forms, navigation, headers, footers,
    sidebars, and elements whose class, id or role names them as adverts,
-   notices, menus or reader comments leave a window of empty lines.
+   notices, menus or reader comments are left out.
 2. The text lengths (without link texts) of ``WINDOW`` lines from each line
-   on are summed.
-3. A surge is a line at which such a sum reaches the threshold, a dive the
-   last line of text before a window without text follows; the lines from
-   each surge to its dive are kept. A page that marks its article (article or
-   main) has no length outside of it.
+   on are summed, over lines with text only.
+3. A dive is a window of lines of links only, or a part left out between two
+   lines that have no element within the body in common (an advert is none).
+   The lines between two dives are a block, kept whole if a surge lies in it:
+   a line at which such a sum reaches the threshold. Short blocks between two
+   kept ones, and headings right before one, are kept too unless links part
+   them. A page that marks its article (article or main) has no length outside
+   of it.
 
 The threshold is ``SURGE`` characters, or half of the page's largest sum if
 that is less, so a page of a few words still has a surge.
@@ -30,6 +33,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +56,9 @@ ARTICLE = frozenset(("article", "main"))
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary
 table tbody td tfoot th thead tr ul""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that lines of all parts of a page have in common.
+PAGE = frozenset(("html", "body"))
 #: Elements whose next one ends them.
 SELF_ENDING = frozenset("p li tr td th dt dd option".split())
 #: Elements without content.
@@ -62,6 +70,10 @@ nav navbar navigation newsletter notice notices outbrain overlay pager paginatio
 recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription
 taboola toolbar widget alert complementary""".split())
 
+#: Those of adverts, which stand within the text they interrupt.
+ADVERTS = frozenset("""ad ads advert adverts advertisement advertising advertorial outbrain promo promoted promotion sponsor
+sponsored taboola""".split())
+
 # attribute values with "<" are rare; a tag with one ends at its first ">"
 _ATTRS = r"(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+"
 _TOKEN = re.compile(
@@ -77,39 +89,63 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _words(attrs: str) -> set[str]:
+    """The words of class, id and role names."""
+    return {p.lower() for m in _NAMES.finditer(attrs) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
+
+
 def _is_aside(attrs: str) -> bool:
-    for m in _NAMES.finditer(attrs):
-        if any(p.lower() in MARKS for p in _PARTS.findall(m[1] or m[2] or m[3] or "")):
-            return True
-    return bool(_HIDDEN.search(attrs))
+    return not MARKS.isdisjoint(_words(attrs)) or bool(_HIDDEN.search(attrs))
+
+
+class Line(NamedTuple):
+    """A line with text."""
 
+    text: str
+    #: Length without links.
+    own: int
+    inside: bool
+    heading: bool
+    #: Whether a part was left out between the line before and this one, and
+    #: whether the two are in one element within the body.
+    gap: bool
+    shared: bool
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, length without links, inside an article) of each line of a page."""
-    out: list[tuple[str, int, bool]] = []
+
+def lines(html: str) -> list[Line]:
+    """The lines of a page that have text."""
+    out: list[Line] = []
     parts: list[str] = []
-    linked = articles = links = 0
-    # open elements: name and whether it is left out
-    stack: list[tuple[str, bool]] = []
+    linked = articles = links = headings = 0
+    # open elements: name, whether it is left out, whether it is a block within the body
+    stack: list[tuple[str, bool, bool]] = []
     is_open: Counter[str] = Counter()
     left_out = 0
+    # blocks open now, and those open ever since the last line
+    level = common = 0
+    gap = False
     # no tag begins after the last ">"
     body = html.rfind(">") + 1
 
     def close_line() -> None:
-        nonlocal linked
+        nonlocal linked, common, gap
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
-        out.append((text, max(0, len(text) - linked), articles > 0))
+        if text:
+            out.append(Line(text, max(0, len(text) - linked), articles > 0, headings > 0, gap, common > 0))
+            common, gap = level, False
         parts.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal left_out, articles, links
-        name, aside = stack.pop()
+        nonlocal left_out, articles, links, headings, level, common
+        name, aside, block = stack.pop()
         is_open[name] -= 1
         left_out -= aside
         articles -= name in ARTICLE
         links -= name == "a"
+        headings -= name in HEADINGS
+        level -= block
+        common = min(common, level)
 
     at, begun, raw = 0, -1, None
     for m in _TOKEN.finditer(html, 0, body):
@@ -127,10 +163,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             if is_open[tag]:
                 while stack[-1][0] != tag:
                     pop()
-                was = left_out
                 pop()
-                if was and not left_out:
-                    out.extend([("", 0, articles > 0)] * WINDOW)
             continue
         if tag in VOID or m["attrs"].endswith("/"):
             continue
@@ -145,12 +178,17 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             if depth and stack[-depth][0] == tag:
                 for _ in range(depth):
                     pop()
-        aside = (tag in ASIDE and not (tag == "header" and articles)) or (tag not in ("html", "body") and _is_aside(m["attrs"]))
-        stack.append((tag, aside))
+        aside = (tag in ASIDE and not (tag == "header" and articles)) or (tag not in PAGE and _is_aside(m["attrs"]))
+        if aside and not left_out and tag != "head":
+            gap = gap or ADVERTS.isdisjoint(_words(m["attrs"]))
+        block = tag in BLOCK and tag not in PAGE
+        stack.append((tag, aside, block))
         is_open[tag] += 1
         left_out += aside
         articles += tag in ARTICLE
         links += tag == "a"
+        headings += tag in HEADINGS
+        level += block
     unclosed = begun >= 0 and html.startswith("<!--", begun) and not html.endswith("-->", begun, at) or raw and not _CLOSED.search(html, begun, at)
     if not left_out and not (unclosed and at == body):
         parts.append(_OPENED.split(html[at:], maxsplit=1)[0])
@@ -158,33 +196,84 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _sums(length: list[int], window: int) -> list[int]:
+    """Of each line: the lengths of the ``window`` lines from it on."""
+    upto = [0, *accumulate(length)]
+    n = len(length)
+    return [upto[min(k + window, n)] - upto[k] for k in range(n)]
+
+
+def _blocks(length: list[int], dives: list[bool], window: int) -> list[tuple[int, int, bool]]:
+    """(first line, line after the last, whether links part it from the block
+    before) of each block; ``dives``: whether a block has to end before a line."""
+    out: list[tuple[int, int, bool]] = []
+    n, k, parted = len(length), 0, False
+    while k < n:
+        first = last = k
+        # the lines up to the last one with length, and after it the links
+        # that don't fill a window
+        while k < n and (k == first or not dives[k]) and k - last < window:
+            k += 1
+            if length[k - 1]:
+                last = k
+        if k - last >= window:
+            while k < n and not length[k] and not dives[k]:
+                k += 1
+            if last > first:
+                out.append((first, last, parted))
+            parted = True
+        else:
+            out.append((first, k, parted))
+            parted = False
+    return out
+
+
+def _kept(got: list[Line], length: list[int], dives: list[bool], window: int, surge: int) -> list[tuple[int, int]]:
+    """First line and line after the last of what is kept."""
+    sums = _sums(length, window)
+    threshold = min(surge, max(sums) / 2)
+    blocks = _blocks(length, dives, window)
+    # of each block the line it is kept from (its end if it isn't)
+    start = [first if any(length[k] and sums[k] >= threshold for k in range(first, end)) else end for first, end, _ in blocks]
+    surges = [s < end for s, (_, end, _) in zip(start, blocks)]
+    before, bridged = False, []
+    for b, (first, end, parted) in enumerate(blocks):
+        if parted:
+            bridged = []
+            before = False
+        if surges[b]:
+            for c in bridged:
+                start[c] = blocks[c][0]
+            if b and not parted and not surges[b - 1]:
+                k = blocks[b - 1][1]
+                while k > blocks[b - 1][0] and got[k - 1].heading:
+                    k -= 1
+                start[b - 1] = min(start[b - 1], k)
+            before, bridged = True, []
+        elif before:
+            bridged.append(b)
+    return [(s, end) for s, (_, end, _) in zip(start, blocks) if s < end]
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines between surges and dives of a page."""
+    """The blocks of a page in which a surge lies."""
     if not html:
         return ""
     got = lines(html)
-    marked = any(inside and text for text, _, inside in got)
-    length = [(len(text) if inside else 0) if marked else own for text, own, inside in got]
+    if any(x.inside for x in got):
+        return "\n".join(x.text for x in got if x.inside)
+    length = [x.own for x in got]
     if not any(length):
-        return "\n".join(text for text, _, _ in got if text)
-    n = len(got)
-    sums = [0] * n
-    total = 0
-    for k in range(n - 1, -1, -1):
-        total += length[k] - (length[k + window] if k + window < n else 0)
-        sums[k] = total
-    # within a marked article every line of text is a surge
-    threshold = 1 if marked else min(surge, max(sums) / 2)
+        return "\n".join(x.text for x in got)
+    dives = [x.gap and not x.shared for x in got]
     keep: list[str] = []
-    k = 0
-    while k < n:
-        if not length[k] or sums[k] < threshold:
-            k += 1
-            continue
-        while k < n and sums[k]:
-            if got[k][0] and (got[k][2] or not marked):
-                keep.append(got[k][0])
-            k += 1
+    for first, end in _kept(got, length, dives, window, surge):
+        # links at its ends aren't its text, unless they are headings
+        while first < end and not length[first] and not got[first].heading:
+            first += 1
+        while first < end and not length[end - 1] and not got[end - 1].heading:
+            end -= 1
+        keep.extend(x.text for x in got[first:end])
     return "\n".join(keep)
 
 

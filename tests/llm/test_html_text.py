@@ -50,6 +50,24 @@ def test_pages_without_an_article_mark():
     assert main_text(page) == f"{LONG.strip()}\nShort.\n{LONG.strip()}"
 
 
+def test_short_lines_next_to_long_ones_without_an_article_mark():
+    long = LONG.strip()
+    nested = f"<div><h1>Title here</h1><div><p>{LONG}</p></div><div><p>Short closing line.</p></div></div>"
+    ad = '<div class="ad">Buy this</div>'
+    menu = '<ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li><li><a href="/c">Three</a></li></ul>'
+    cases = {
+        nested: f"Title here\n{long}\nShort closing line.", f"<body>{menu}{nested}{menu}</body>": f"Title here\n{long}\nShort closing line.",
+        f"<body><p>{LONG}</p>{ad}<h2>Part</h2><p>{LONG}</p>{ad}<p>The end.</p></body>": f"{long}\nPart\n{long}\nThe end.",
+        f'<body><h1>Title</h1><div class="share">Share</div><p>{LONG}</p><nav>Next</nav><p>Copyright us</p></body>': f"Title\n{long}",
+        f'<div><p>{LONG}</p><aside>Box</aside><p>Of.</p></div>': f"{long}\nOf.", f'<p>{LONG}</p><nav>x</nav><p>Mid.</p><nav>y</nav><p>{LONG}</p>': f"{long}\nMid.\n{long}",
+        f"<div><div><p>Intro.</p></div>{menu}<div><div><p>{LONG}</p></div></div><div><div>Tail one.</div><div>Tail two.</div></div></div>":
+            f"{long}\nTail one.\nTail two.",
+        f'<div><p>{LONG}</p><p><a href="/x">A line of links</a></p><p>Of.</p></div>': f"{long}\nA line of links\nOf.",
+    }
+    for page, want in cases.items():
+        assert main_text(page) == want, page
+
+
 def test_markup_and_references():
     cases = {
         None: "", "": "", "   ": "", "plain  text": "plain text", "<p>a<p>b<p>c": "a\nb\nc", "x &lt;b&gt; &amp;amp; &eacute;&#233;&nbsp;y": "x <b> &amp; éé y",
