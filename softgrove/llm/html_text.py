@@ -11,8 +11,12 @@
    The lines between two dives are a block, kept whole if a surge lies in it:
    a line at which such a sum reaches the threshold. Short blocks between two
    kept ones, and headings right before one, are kept too unless links part
-   them. A page that marks its article (article or main) has no length outside
-   of it.
+   them.
+4. On a page that marks its article (article or main) the edges of the mark
+   are dives too. If the largest block lies inside (ties do), the mark is a
+   bound: only lines inside are dealt with as above, their links count as text
+   and short text between two marked parts is no dive. If it lies outside, the
+   mark is that of teasers or the like, and the sums alone decide.
 
 The threshold is ``SURGE`` characters, or half of the page's largest sum if
 that is less, so a page of a few words still has a surge.
@@ -230,11 +234,12 @@ def _blocks(length: list[int], dives: list[bool], window: int) -> list[tuple[int
 
 def _kept(got: list[Line], length: list[int], dives: list[bool], window: int, surge: int) -> list[tuple[int, int]]:
     """First line and line after the last of what is kept."""
-    sums = _sums(length, window)
-    threshold = min(surge, max(sums) / 2)
     blocks = _blocks(length, dives, window)
+    # no window reaches beyond its block
+    largest = [max(_sums(length[first:end], window)) for first, end, _ in blocks]
+    threshold = min(surge, max(largest) / 2)
     # of each block the line it is kept from (its end if it isn't)
-    start = [first if any(length[k] and sums[k] >= threshold for k in range(first, end)) else end for first, end, _ in blocks]
+    start = [first if total and total >= threshold else end for total, (first, end, _) in zip(largest, blocks)]
     surges = [s < end for s, (_, end, _) in zip(start, blocks)]
     before, bridged = False, []
     for b, (first, end, parted) in enumerate(blocks):
@@ -255,17 +260,46 @@ def _kept(got: list[Line], length: list[int], dives: list[bool], window: int, su
     return [(s, end) for s, (_, end, _) in zip(start, blocks) if s < end]
 
 
+def _bounded(got: list[Line], dives: list[bool], window: int, surge: int) -> tuple[list[Line], list[bool]] | None:
+    """The lines inside the article mark and their dives; None if the largest
+    block lies outside."""
+    length = [x.own for x in got]
+    blocks = _blocks(length, dives, window)
+    sizes: dict[bool, int] = {True: 0, False: 0}
+    for first, end, _ in blocks:
+        sizes[got[first].inside] = max(sizes[got[first].inside], sum(length[first:end]))
+    if sizes[False] > sizes[True]:
+        return None
+    sums = _sums([0 if x.inside else x.own for x in got], window)
+    own: list[Line] = []
+    parted: list[bool] = []
+    cut = False
+    for x, total in zip(got, sums):
+        cut = cut or x.gap and not x.shared or not x.inside and total >= surge
+        if x.inside:
+            own.append(x)
+            parted.append(cut)
+            cut = False
+    return own, parted
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The blocks of a page in which a surge lies."""
     if not html:
         return ""
     got = lines(html)
-    if any(x.inside for x in got):
-        return "\n".join(x.text for x in got if x.inside)
+    dives = [x.gap and not x.shared for x in got]
     length = [x.own for x in got]
+    if any(x.inside for x in got):
+        edges = [d or k > 0 and got[k - 1].inside != x.inside for k, (x, d) in enumerate(zip(got, dives))]
+        bounded = _bounded(got, edges, window, surge)
+        if bounded:
+            got, dives = bounded
+            length = [len(x.text) for x in got]
+        else:
+            dives = edges
     if not any(length):
         return "\n".join(x.text for x in got)
-    dives = [x.gap and not x.shared for x in got]
     keep: list[str] = []
     for first, end in _kept(got, length, dives, window, surge):
         # links at its ends aren't its text, unless they are headings

@@ -68,6 +68,31 @@ def test_short_lines_next_to_long_ones_without_an_article_mark():
         assert main_text(page) == want, page
 
 
+def test_article_marks_bound_the_text_but_do_not_choose_it():
+    long = LONG.strip()
+    teasers = "".join(f'<article><h3><a href="/{k}">Teaser {k}</a></h3><p>Read it.</p></article>' for k in range(4))
+    other = "Other words than these stand in the box beside the article, and they are long enough to surge. " * 2
+    cases = {
+        # the marks are those of teasers
+        f"<body><div><h1>Title</h1><p>{LONG}</p><p>Of.</p></div><div>{teasers}</div></body>": f"Title\n{long}\nOf.",
+        f"<body><div>{teasers}</div><div><h1>Title</h1><p>{LONG}</p><p>Of.</p></div></body>": f"Title\n{long}\nOf.",
+        # the article is larger, or as large
+        f"<body><div><p>{other}</p></div><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>Of.</p></article><p>Out.</p></body>":
+            f"Title\n{long}\n{long}\nOf.",
+        f"<body><p>{LONG}</p><article><p>{LONG}</p><p>Of.</p></article></body>": f"{long}\nOf.",
+        # short marked parts next to the text, and a far one
+        f"<main><article>{LONG}</article><article>Thanks!</article></main>": f"{long}\nThanks!",
+        f"<body><article>{LONG}</article><p>Reply</p><article>Thanks!</article></body>": f"{long}\nThanks!",
+        f"<body><article>{LONG}{LONG}</article><nav>More</nav><article>Read this too</article></body>": f"{long} {long}",
+        # links inside are text
+        f'<article><p>{LONG}</p>{"".join(f"<p><a href=/{k}>Source {k}</a></p>" for k in range(5))}</article>':
+            "\n".join([long, *(f"Source {k}" for k in range(5))]),
+        "<article><p>Few words.</p></article><p>No</p>": "Few words.",
+    }
+    for page, want in cases.items():
+        assert main_text(page) == want, page
+
+
 def test_markup_and_references():
     cases = {
         None: "", "": "", "   ": "", "plain  text": "plain text", "<p>a<p>b<p>c": "a\nb\nc", "x &lt;b&gt; &amp;amp; &eacute;&#233;&nbsp;y": "x <b> &amp; éé y",
