@@ -3,7 +3,12 @@
 1. Markup is stripped into lines: block elements and line breaks end a line;
    comments, scripts, styles, heads, forms, navigation, headers, footers,
    sidebars, and elements whose class, id or role names them as adverts,
-   notices, menus or reader comments are left out.
+   notices, menus or reader comments are left out. A name does so by its last
+   word that isn't a word for a box ("post-comments", "ad-box", but neither
+   "no-comments" nor "related-work"). Names decide nothing for article, main
+   and headings, nor (but for adverts) for an element with more than half of
+   the page's text; one of reader comments is left out all the same where the
+   rest of the page has a surge.
 2. The text lengths (without link texts) of ``WINDOW`` lines from each line
    on are summed, over lines with text only.
 3. A dive is a window of lines of links only, or a part left out between two
@@ -61,6 +66,8 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary
 table tbody td tfoot th thead tr ul""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names decide nothing: ids of headings are made of their words.
+UNNAMED = ARTICLE | HEADINGS | frozenset(("html", "body"))
 #: Elements that lines of all parts of a page have in common.
 PAGE = frozenset(("html", "body"))
 #: Elements whose next one ends them.
@@ -78,6 +85,17 @@ taboola toolbar widget alert complementary""".split())
 ADVERTS = frozenset("""ad ads advert adverts advertisement advertising advertorial outbrain promo promoted promotion sponsor
 sponsored taboola""".split())
 
+#: Those of reader comments, which may be longer than the text.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: First words of names that tell of a part elsewhere, or of a state.
+STATES = frozenset("has no not non with without hide show is before after above below".split())
+#: Words for boxes and their places, behind which a name's word stands.
+BOXES = frozenset("""area articles bar block body bottom box btn button buttons card col column container content details fixed form
+frame group header heading holder icon icons iframe inner item items label left link links list main media message panel placeholder
+popover posts primary region right row secondary section slot space stories text thread title top unit wrap wrapper zone""".split())
+#: Words before "header" where it is the text's own.
+OWN_HEADERS = frozenset("article content entry post section story".split())
+
 # attribute values with "<" are rare; a tag with one ends at its first ">"
 _ATTRS = r"(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+"
 _TOKEN = re.compile(
@@ -93,13 +111,22 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _words(attrs: str) -> set[str]:
-    """The words of class, id and role names."""
-    return {p.lower() for m in _NAMES.finditer(attrs) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
+def _mark(name: str) -> str | None:
+    """The word of a name that marks a part that isn't the article."""
+    words = [w for w in (p.lower() for p in _PARTS.findall(name)) if len(w) > 1]
+    if not words or words[0] in STATES:
+        return None
+    while len(words) > 1 and (words[-1] in BOXES and words[-1] not in MARKS or words[-1] == "header" and not MARKS.isdisjoint(words[:-1])):
+        words.pop()
+    if words[-1] == "header" and not OWN_HEADERS.isdisjoint(words[:-1]):
+        return None
+    return words[-1] if words[-1] in MARKS else None
 
 
-def _is_aside(attrs: str) -> bool:
-    return not MARKS.isdisjoint(_words(attrs)) or bool(_HIDDEN.search(attrs))
+def _marks(attrs: str) -> set[str]:
+    """Marking words of class, id and role names."""
+    found = {_mark(n) for m in _NAMES.finditer(attrs) for n in (m[1] or m[2] or m[3] or "").split()}
+    return {w for w in found if w}
 
 
 class Line(NamedTuple):
@@ -114,17 +141,29 @@ class Line(NamedTuple):
     #: whether the two are in one element within the body.
     gap: bool
     shared: bool
+    #: The innermost part by name it lies in.
+    part: int
+
 
+class Part(NamedTuple):
+    """An element that its names mark."""
 
-def lines(html: str) -> list[Line]:
-    """The lines of a page that have text."""
+    marks: set[str]
+    #: The part around it, -1 if there is none.
+    outer: int
+
+
+def lines(html: str) -> tuple[list[Line], list[Part]]:
+    """The lines of a page that have text, and the parts that names mark."""
     out: list[Line] = []
+    named: list[Part] = []
     parts: list[str] = []
     linked = articles = links = headings = 0
-    # open elements: name, whether it is left out, whether it is a block within the body
-    stack: list[tuple[str, bool, bool]] = []
+    # open elements: name, whether it is left out, whether it is a block within the body, part around it if it is one
+    stack: list[tuple[str, bool, bool, int | None]] = []
     is_open: Counter[str] = Counter()
     left_out = 0
+    part = -1
     # blocks open now, and those open ever since the last line
     level = common = 0
     gap = False
@@ -135,14 +174,15 @@ def lines(html: str) -> list[Line]:
         nonlocal linked, common, gap
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, max(0, len(text) - linked), articles > 0, headings > 0, gap, common > 0))
+            out.append(Line(text, max(0, len(text) - linked), articles > 0, headings > 0, gap, common > 0, part))
             common, gap = level, False
         parts.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal left_out, articles, links, headings, level, common
-        name, aside, block = stack.pop()
+        nonlocal left_out, articles, links, headings, level, common, part
+        name, aside, block, outer = stack.pop()
+        part = part if outer is None else outer
         is_open[name] -= 1
         left_out -= aside
         articles -= name in ARTICLE
@@ -161,6 +201,7 @@ def lines(html: str) -> list[Line]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
+        marks = _marks(m["attrs"]) if m["attrs"] and not left_out and not m["end"] and tag not in UNNAMED else None
         if tag in BLOCK and not left_out:
             close_line()
         if m["end"]:
@@ -171,9 +212,9 @@ def lines(html: str) -> list[Line]:
             continue
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        if tag in ARTICLE and left_out and not _is_aside(m["attrs"]):
+        if tag in ARTICLE and (left_out or part >= 0 and not articles) and not _HIDDEN.search(m["attrs"]) and not _marks(m["attrs"]):
             # an unclosed part ends where the article begins
-            while left_out:
+            while left_out or part >= 0 and not articles:
                 pop()
             close_line()
         if tag in SELF_ENDING and is_open[tag]:
@@ -182,11 +223,16 @@ def lines(html: str) -> list[Line]:
             if depth and stack[-depth][0] == tag:
                 for _ in range(depth):
                     pop()
-        aside = (tag in ASIDE and not (tag == "header" and articles)) or (tag not in PAGE and _is_aside(m["attrs"]))
+        aside = (tag in ASIDE and not (tag == "header" and articles)) or (tag not in PAGE and bool(_HIDDEN.search(m["attrs"])))
+        # what is within a line holds no other lines
+        aside = aside or bool(marks) and tag not in BLOCK
         if aside and not left_out and tag != "head":
-            gap = gap or ADVERTS.isdisjoint(_words(m["attrs"]))
+            gap = gap or not marks or ADVERTS.isdisjoint(marks)
         block = tag in BLOCK and tag not in PAGE
-        stack.append((tag, aside, block))
+        stack.append((tag, aside, block, part if marks and not aside else None))
+        if marks and not aside:
+            named.append(Part(marks, part))
+            part = len(named) - 1
         is_open[tag] += 1
         left_out += aside
         articles += tag in ARTICLE
@@ -197,7 +243,41 @@ def lines(html: str) -> list[Line]:
     if not left_out and not (unclosed and at == body):
         parts.append(_OPENED.split(html[at:], maxsplit=1)[0])
     close_line()
-    return out
+    return out, named
+
+
+def _without_parts(got: list[Line], named: list[Part], window: int, surge: int) -> list[Line]:
+    """The lines that no name leaves out."""
+    if not any(x.part >= 0 for x in got):
+        return got
+    size = [0] * len(named)
+    for x in got:
+        if x.part >= 0:
+            size[x.part] += x.own
+    # inner parts come after the ones around them
+    for p in range(len(named) - 1, -1, -1):
+        if named[p].outer >= 0:
+            size[named[p].outer] += size[p]
+    total = sum(x.own for x in got)
+    out = [False] * len(named)
+    for p, (marks, outer) in enumerate(named):
+        out[p] = outer >= 0 and out[outer] or not ADVERTS.isdisjoint(marks) or size[p] * 2 <= total
+    comments = [False] * len(named)
+    for p, (marks, outer) in enumerate(named):
+        comments[p] = outer >= 0 and comments[outer] or not COMMENTS.isdisjoint(marks)
+    rest = [x.own for x in got if x.part < 0 or not out[x.part] and not comments[x.part]]
+    if any(comments) and max(_sums(rest, window), default=0) >= surge:
+        out = [a or b for a, b in zip(out, comments)]
+    keep: list[Line] = []
+    gap, shared = False, True
+    for x in got:
+        gap, shared = gap or x.gap, shared and x.shared
+        if x.part >= 0 and out[x.part]:
+            gap = gap or ADVERTS.isdisjoint(named[x.part].marks)
+            continue
+        keep.append(x._replace(gap=gap, shared=shared))
+        gap, shared = False, True
+    return keep
 
 
 def _sums(length: list[int], window: int) -> list[int]:
@@ -287,7 +367,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The blocks of a page in which a surge lies."""
     if not html:
         return ""
-    got = lines(html)
+    got = _without_parts(*lines(html), window, surge)
     dives = [x.gap and not x.shared for x in got]
     length = [x.own for x in got]
     if any(x.inside for x in got):

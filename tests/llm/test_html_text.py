@@ -93,6 +93,38 @@ def test_article_marks_bound_the_text_but_do_not_choose_it():
         assert main_text(page) == want, page
 
 
+def test_names_alone_do_not_drop_the_text():
+    long = LONG.strip()
+    body = f"<h1>Title</h1><p>{LONG}</p><p>Of.</p>"
+    want = f"Title\n{long}\nOf."
+    for name in ("content has-sidebar", "post no-comments", "page with-header", "page widget", "notice", "popup"):
+        for tag in ("main", "article", "div", "section"):
+            for key in ("class", "id", "role"):
+                page = f'<body><nav>Home</nav><{tag} {key}="{name}">{body}</{tag}><footer>End</footer></body>'
+                assert main_text(page) == want, page
+    for name in ("related-work", "search-methods", "notice-period", "has-comments", "post-header", "entryHeader"):
+        for tag in ("section", "div"):
+            for outer in ("article", "div"):
+                page = f'<{outer}>{body}<{tag} id="{name}"><h2 id="related">Part</h2><p>Own words.</p></{tag}><p>{LONG}</p></{outer}>'
+                assert main_text(page) == f"{want}\nPart\nOwn words.\n{long}", page
+    for name in ("ad", "ad-box", "google_ads_iframe", "cookieNotice", "post-comments", "comment-list", "related-posts", "sidebar-left", "share-buttons",
+                 "site-header", "main-menu", "menu-item-12", "x widget", "newsletter-signup", "breadcrumb"):
+        for tag in ("section", "div", "p", "span"):
+            for outer in ("article", "div"):
+                page = f'<{outer}>{body}<{tag} class="{name}">Not of it, however <b>long</b> it is.</{tag}></{outer}>'
+                assert main_text(page) == want, page
+    assert main_text(f'<article>{body}<p>One <span class="share-link">Share</span> line.</p></article>') == f"{want}\nOne line."
+    replies = f'<article class="comment"><p>{LONG}</p></article>' * 3
+    assert main_text(f'<main>{body}</main><section class="comments">{replies}</section>') == want
+    assert main_text(f'<div>{body}</div><section class="comments">{replies}</section>') == want
+    # an advert, and comments, may be longer than the text
+    for name in ("ad", "comments"):
+        for outer in ("article", "div"):
+            page = f'<body><{outer}>{body}</{outer}><div class="{name}"><p>{LONG}</p><div class="box"><p>{LONG}</p></div></div></body>'
+            assert main_text(page) == want, page
+    assert main_text(f'<div class="comments"><p>{LONG}</p></div>') == long
+
+
 def test_markup_and_references():
     cases = {
         None: "", "": "", "   ": "", "plain  text": "plain text", "<p>a<p>b<p>c": "a\nb\nc", "x &lt;b&gt; &amp;amp; &eacute;&#233;&nbsp;y": "x <b> &amp; éé y",
