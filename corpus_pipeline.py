@@ -19,7 +19,7 @@ from softgrove.session import ensure_checkpoint_dir, ship_package
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language is rejected: no letter at all, or
-    no language's dictionary is ahead by a byte. The dictionaries are learned
+    no language's dictionary is ahead by a fiftieth of the bytes. The dictionaries are learned
     from the labelled rows among ``docs``."""
     content = language_id.learn(docs.where(~held_out(F.col("doc_id"), 4, 2)))
     return language_id.keep_identified(docs, content)

@@ -57,6 +57,24 @@ def test_ties_are_rejected():
     assert li.Classifier({"a": b"same words here", "b": b"same words here"}).predict("same words")[::2] == ("a", True)
 
 
+def test_narrow_margins_are_rejected_at_any_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    out = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and len(li.letters(r.text)) >= 400]
+    learned = spark.createDataFrame([(r.text, r.lang) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2], "text string, lang string")
+    content = li.learn(learned)
+    model = li.Classifier(content)
+    # clean documents stay
+    assert sum(model.predict(r.text)[2] for r in out) <= 0.01 * len(out)
+    # those of a language that wasn't learned don't, nor does junk
+    for lang in content:
+        other = li.Classifier({n: c for n, c in content.items() if n != lang})
+        own = [r for r in out if r.lang == lang]
+        assert sum(other.predict(r.text)[2] for r in own) > 0.7 * len(own) > 0, lang
+    rng = random.Random(5)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (2000, 8000, 30000) * 5]
+    assert all(model.predict(t)[2] for t in junk)
+
+
 def brute_spans(text, rules=ss.RULES):
     return sorted((m.start(), k, r.kind, m.end()) for k, r in enumerate(rules) for m in r.compiled().finditer(text or "")
                   if m.end(r.group) - m.start(r.group) >= r.least)
