@@ -41,8 +41,8 @@ STRETCH = 4096
 PARAMETERS = dict(window_log=18, hash_log=17, chain_log=17, search_log=4, min_match=3, target_length=256,
                   strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
 #: Part of the best encoding by which the runner-up has to be longer, one byte
-#: at least. Held-out texts of a learned language have 0.07 and more, but for
-#: mixed ones; most texts of an unlearned language are under it.
+#: at least. Nearly all held-out texts of a learned language have 0.07 and more;
+#: most texts of an unlearned language are under it.
 MARGIN = 0.02
 UNKNOWN = "und"
 
