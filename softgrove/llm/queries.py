@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import chat_format, decontaminate, html_text, katz, language_id, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
+from softgrove.llm import chat_format, decontaminate, html_text, katz, language_id, minhash_join, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
 from softgrove.llm.common import held_out, read_table
 from softgrove.session import materialize
 
@@ -101,6 +101,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of the documents by their shingle sets."""
+    return minhash_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op13_minhash": op13_minhash,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -182,5 +188,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM g GROUP BY conv_id
 """
 
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + 3], ' ') AS t FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+l AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y USING (t) GROUP BY 1, 2) JOIN n na ON na.r = a JOIN n nb ON nb.r = b
+      WHERE 100 * both >= 80 * (na.n + nb.n - both)),
+reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.o = l.a),
+c AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_secret_scan": OP6_SQL, "op8_topk_search": OP8_SQL,
-                              "op10_chat_format": OP10_SQL}
+                              "op10_chat_format": OP10_SQL, "op13_minhash": OP13_SQL}
