@@ -192,8 +192,8 @@ OP13_SQL = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[p:p + 3], ' ') AS t FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-l AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y USING (t) GROUP BY 1, 2) JOIN n na ON na.r = a JOIN n nb ON nb.r = b
-      WHERE 100 * both >= 80 * (na.n + nb.n - both)),
+l AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS common FROM s x JOIN s y USING (t) GROUP BY 1, 2) JOIN n na ON na.r = a JOIN n nb ON nb.r = b
+      WHERE 100 * common >= 80 * (na.n + nb.n - common)),
 reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, l.b FROM reach JOIN l ON reach.o = l.a),
 c AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
