@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import chat_format, decontaminate, html_text, katz, language_id, minhash_join, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
+from softgrove.llm import chat_format, decontaminate, html_text, katz, language_id, lexical_search, minhash_join, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
 from softgrove.llm.common import held_out, read_table
 from softgrove.session import materialize
 
@@ -101,6 +101,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the documents by their shingle sets."""
     return minhash_join.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op12_lexical_search": op12_lexical_search,
     "op13_minhash": op13_minhash,
 }
 
@@ -188,6 +194,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM g GROUP BY conv_id
 """
 
+_TERMS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS t FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS.format("coalesce(text, '')")} AS t FROM benchmark),
+qt AS (SELECT q, item_id, t, count(*) AS many FROM (SELECT q, item_id, unnest(t) AS t FROM q) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+x AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS x FROM p JOIN w USING (t), s),
+f AS (SELECT q, item_id, r, doc_id, CAST(sum(many * x) AS BIGINT) AS score FROM qt JOIN x USING (t) GROUP BY ALL HAVING sum(many * x) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 20
+"""
+
 OP13_SQL = f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[p:p + 3], ' ') AS t FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM d WHERE len(w) > 0)),
@@ -201,4 +221,4 @@ FROM d JOIN c USING (r) LEFT JOIN n USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_secret_scan": OP6_SQL, "op8_topk_search": OP8_SQL,
-                              "op10_chat_format": OP10_SQL, "op13_minhash": OP13_SQL}
+                              "op10_chat_format": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_minhash": OP13_SQL}
