@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from softgrove.llm import chat_format, decontaminate, html_text, katz, language_id, lexical_search, minhash_join, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity
+from softgrove.llm import chat_format, decontaminate, html_text, katz, language_id, lexical_search, minhash_join, secret_scan, sentencepiece_scan, simhash, topk_search, toxicity, vocabulary_audit
 from softgrove.llm.common import held_out, read_table
 from softgrove.session import materialize
 
@@ -101,6 +101,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and by which terms."""
+    return vocabulary_audit.divergence(read_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_source_audit": op11_source_audit,
     "op12_lexical_search": op12_lexical_search,
     "op13_minhash": op13_minhash,
 }
@@ -194,6 +200,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM g GROUP BY conv_id
 """
 
+_LETTERS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS.format("coalesce(text, '')")} AS t FROM documents),
+o AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n) AS total, count(*) AS v FROM c GROUP BY ALL),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS BIGINT) AS p FROM c JOIN s USING (lang, source)),
+lq AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+ls AS (SELECT lang, sum(n) AS total, count(*) AS v FROM lq GROUP BY ALL),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS BIGINT) AS q FROM lq JOIN ls USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 _TERMS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 OP12_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS t FROM documents),
@@ -221,4 +251,4 @@ FROM d JOIN c USING (r) LEFT JOIN n USING (r)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op6_secret_scan": OP6_SQL, "op8_topk_search": OP8_SQL,
-                              "op10_chat_format": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_minhash": OP13_SQL}
+                              "op10_chat_format": OP10_SQL, "op11_source_audit": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_minhash": OP13_SQL}
