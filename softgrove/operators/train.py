@@ -1,22 +1,39 @@
 """Full-batch training of soft trees by gradient descent (Adam) on the mean
 focal loss, with early stopping on the validation loss.
 
-Execution model: the prepared rows (``trial, split, features, label``) are
-packed once into blocks, one per partition, trial and split, and cached; each
-epoch is ONE Spark job over the blocks, shared by all trials that still run.
-Executors get the current parameters through a broadcast and sum loss and
-gradient (and the validation loss) of their blocks with the numpy kernel; the
-partial sums are added in a tree, so the driver receives a bounded number of
-gradients per trial however many partitions there are. It takes the Adam step
-and decides on stopping. No rows move between executors.
+Rows are dealt once into cells of about ``CELL_ROWS`` rows by a hash of their
+key, whatever the input's partitions, and sorted within the cell. Loss and
+gradient of a cell come from the numpy kernel; the cells' sums are added in
+fixed point (``fixed``), so the total has the same bits in whatever order and on
+however many partitions they are added.
+
+The epochs then run in one of two ways, chosen by the size of a trial. Both
+take the same step (``advance``) on the same sums, so the result is the same:
+
+* A trial of at most ``IN_TASK_VALUES`` rows times leaves (an epoch of a
+  fraction of a second) is one task's work: each job trains every trial for
+  ``EPOCHS_PER_JOB`` epochs, next to its cached cells, and gives back the state.
+  Stopped trials drop out of later jobs.
+* Of a larger trial each epoch is one job over the cached cells, shared by all
+  trials that still run: parameters go out by broadcast, the sums come back
+  through a tree, so the driver receives a bounded number of gradients however
+  many partitions there are.
+
+Exchanging sums between the tasks of a barrier stage is no third way: each
+``allGather`` of Spark's takes a second, as its waiting side sleeps that long.
 
 The validation loss at the parameters of epoch ``e`` is produced by the
-same job that computes the gradient of epoch ``e + 1``; when it says stop,
+same pass that computes the gradient of epoch ``e + 1``; when it says stop,
 that gradient is discarded.
+
+With a ``snapshot`` folder the states (parameters, Adam moments, patience,
+history) are written there every ``EPOCHS_PER_JOB`` epochs, in turn to one of
+two slots, and a later call goes on from the last one written.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import time
 from collections.abc import Iterable, Iterator
@@ -25,7 +42,8 @@ from functools import reduce
 
 import numpy as np
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from softgrove.config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, EngineConfig
@@ -35,6 +53,12 @@ from softgrove.operators.tree import SoftTreeModel, arrow_matrix, focal_loss_sum
 PARTITION_BYTES = 128 * 1024 * 1024
 # Rows a partition should hold before another core is used.
 MIN_PARTITION_ROWS = 512
+# Rows of a cell, whose sums are added in fixed point.
+CELL_ROWS = 2048
+# Rows times leaves of a trial that one task trains on.
+IN_TASK_VALUES = 4_000_000
+# Epochs between two states that the driver sees (in-task) or writes.
+EPOCHS_PER_JOB = 200
 # Partial sums that one task (or the driver) adds up.
 FAN_IN = 32
 
@@ -71,8 +95,8 @@ class TrialState:
     last_train_loss: float = float("nan")
     last_valid_loss: float = float("nan")
     pending_train_loss: float = float("nan")
-    started: float = 0.0
     train_time: float = 0.0
+    history: list[tuple[int, float, float]] = field(default_factory=list)
 
 
 @dataclass
@@ -82,11 +106,46 @@ class FitResult:
     stats: dict[int, dict] = field(default_factory=dict)
 
 
+# ---------------------------------------------------------------------------
+# sums that do not depend on their order
+
+_HIGH, _LOW = 2.0 ** 12, 2.0 ** 52
+_MASK = (1 << 52) - 1
+
+
+def fixed(x: np.ndarray) -> np.ndarray:
+    """[2, n] integers: the values in units of 2^-64, in two words of which
+    the lower has 52 bits."""
+    if not np.isfinite(x).all() or np.abs(x).max(initial=0.0) >= 2.0 ** 50:
+        raise ValueError("training diverged: a loss or gradient is not finite")
+    scaled = x * _HIGH
+    high = np.floor(scaled)
+    out = np.stack([high, np.rint((scaled - high) * _LOW)]).astype(np.int64)
+    return _carried(out)
+
+
+def _carried(a: np.ndarray) -> np.ndarray:
+    a[0] += a[1] >> 52
+    a[1] &= _MASK
+    return a
+
+
+def add_fixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _carried(a + b)
+
+
+def from_fixed(a: np.ndarray) -> np.ndarray:
+    return a[0] / _HIGH + a[1] / (_HIGH * _LOW)
+
+
+# ---------------------------------------------------------------------------
+# cells
+
 def _pack_fn(features: str, label: str, trial_col: str, split_col: str):
     def fn(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        held: dict[tuple[int, bool], list] = {}
+        held: dict[tuple[int, bool, int], list] = {}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -96,16 +155,21 @@ def _pack_fn(features: str, label: str, trial_col: str, split_col: str):
             if rb.column(label).null_count:
                 raise ValueError("training labels hold NULL")
             y = rb.column(label).to_numpy(zero_copy_only=False).astype(np.int32)
-            trial = rb.column(trial_col).to_numpy(zero_copy_only=False)
+            trial = rb.column(trial_col).to_numpy(zero_copy_only=False).astype(np.int64)
             train = pc.equal(rb.column(split_col), "train").to_numpy(zero_copy_only=False)
-            for t in np.unique(trial):
-                for part in (True, False):
-                    own = (trial == t) & (train == part)
-                    if own.any():
-                        held.setdefault((int(t), part), []).append((X[own], y[own]))
-        for (t, part), blocks in held.items():
-            X = np.ascontiguousarray(np.concatenate([b[0] for b in blocks]))
+            cell = rb.column("_cell").to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((cell, train, trial))
+            of = np.stack([trial[order], train[order], cell[order]])
+            start = np.flatnonzero(np.append(True, (of[:, 1:] != of[:, :-1]).any(axis=0)))
+            for a, b in zip(start, np.append(start[1:], len(order))):
+                own = order[a:b]
+                held.setdefault((int(of[0, a]), bool(of[1, a]), int(of[2, a])), []).append((X[own], y[own]))
+        for t, part, cell in sorted(held):
+            blocks = held.pop((t, part, cell))
+            X = np.concatenate([b[0] for b in blocks])
             y = np.concatenate([b[1] for b in blocks])
+            order = np.lexsort((*X.T[::-1], y))
+            X, y = np.ascontiguousarray(X[order]), y[order]
             yield pa.RecordBatch.from_pydict({
                 "trial": pa.array([t], pa.int32()), "train": [part], "n": pa.array([len(y)], pa.int32()),
                 "x": pa.array([X.tobytes()], pa.binary()), "y": pa.array([y.tobytes()], pa.binary())})
@@ -117,43 +181,62 @@ def _unpacked(r) -> tuple[int, bool, np.ndarray, np.ndarray]:
 
 
 def pack_blocks(df: DataFrame, features: str = "features", label: str = "label", trial_col: str = "trial",
-                split_col: str = "split") -> RDD:
-    """The rows as (trial, is training, X, y) blocks. Raises on NULL or NaN
-    features and on rows of unequal length."""
-    rows = df.select(trial_col, split_col, features, label)
+                split_col: str = "split", key: str | None = None, n_cells: int | None = None, n_parts: int | None = None) -> RDD:
+    """The rows as cells (trial, is training, X, y), dealt by a hash of
+    ``key`` (None: of features and label; a key spreads repeated rows).
+    ``n_cells``: of each trial and split, by default from their counted rows.
+    Raises on NULL or NaN features and on rows of unequal length."""
+    if n_cells is None:
+        most = df.groupBy(trial_col, split_col).count().agg(F.max("count")).first()[0] or 1
+        n_cells = -(-most // CELL_ROWS)
+    dealt = F.xxhash64(*([key] if key else [features, label]))
+    rows = df.select(trial_col, split_col, features, label, F.pmod(dealt, F.lit(n_cells)).alias("_cell"))
+    by = [trial_col, "_cell"]
+    rows = rows.repartition(n_parts, *by) if n_parts else rows.repartition(*by)
     return rows.mapInArrow(_pack_fn(features, label, trial_col, split_col), BLOCK_SCHEMA).rdd.map(_unpacked)
 
 
+# ---------------------------------------------------------------------------
+# one pass
+
+def _cell_sums(cells: Iterable, models: dict[int, SoftTreeModel], alpha: float, gamma: float) -> dict[int, list]:
+    """Per trial: training rows, validation rows, and in fixed point the
+    training loss, the validation loss and the gradient."""
+    acc: dict[int, list] = {}
+    for t, train, X, y in cells:
+        m = models.get(t)
+        if m is None:
+            continue
+        part = np.zeros(2 + m.thresholds.size + m.leaves.size)
+        if train:
+            part[0], part[2:] = loss_and_grad_chunked(X, y, m, alpha, gamma)
+        else:
+            part[1] = focal_loss_sum(X, y, m, alpha, gamma)
+        acc = _add(acc, {t: [len(y) if train else 0, 0 if train else len(y), fixed(part)]})
+    return acc
+
+
 def _add(a: dict[int, list], b: dict[int, list]) -> dict[int, list]:
     out = dict(a)
-    for t, x in b.items():
-        out[t] = [u + v for u, v in zip(out[t], x)] if t in out else x
+    for t, (n, v, x) in b.items():
+        out[t] = [out[t][0] + n, out[t][1] + v, add_fixed(out[t][2], x)] if t in out else [n, v, x]
     return out
 
 
-def _partial_fn(bc, alpha: float, gamma: float):
-    def fn(blocks: Iterable) -> Iterator[dict[int, list]]:
-        models, acc = bc.value, {}
-        for t, train, X, y in blocks:
-            m = models.get(t)
-            if m is None:
-                continue
-            if train:
-                loss, grad = loss_and_grad_chunked(X, y, m, alpha, gamma)
-                part = [len(y), loss, 0, 0.0, grad]
-            else:
-                part = [0, 0.0, len(y), focal_loss_sum(X, y, m, alpha, gamma), np.zeros(m.thresholds.size + m.leaves.size)]
-            acc = _add(acc, {t: part})
-        yield acc
-    return fn
+def _read_out(total: dict[int, list]) -> dict[int, dict]:
+    out = {}
+    for t, (n, v, x) in total.items():
+        x = from_fixed(x)
+        out[t] = {"n_train": n, "n_valid": v, "train_loss": float(x[0]), "valid_loss": float(x[1]), "grad": x[2:]}
+    return out
 
 
 def epoch_job(blocks: RDD, models: dict[int, SoftTreeModel], alpha: float, gamma: float) -> dict[int, dict]:
-    """One pass: per trial, summed train loss and gradient and summed
+    """One job: per trial, summed train loss and gradient and summed
     validation loss at the given parameters."""
     bc = blocks.context.broadcast(models)
     try:
-        parts = blocks.mapPartitions(_partial_fn(bc, alpha, gamma))
+        parts = blocks.mapPartitions(lambda cells: iter([_cell_sums(cells, bc.value, alpha, gamma)]))
         n = blocks.getNumPartitions()
         if n <= FAN_IN:
             total = reduce(_add, parts.collect(), {})
@@ -161,91 +244,194 @@ def epoch_job(blocks: RDD, models: dict[int, SoftTreeModel], alpha: float, gamma
             total = parts.treeReduce(_add, depth=math.ceil(math.log(n, FAN_IN)))
     finally:
         bc.destroy()
-    names = ("n_train", "train_loss", "n_valid", "valid_loss", "grad")
-    return {t: dict(zip(names, x)) for t, x in total.items()}
+    return _read_out(total)
 
 
 def gradient(df: DataFrame, model: SoftTreeModel, alpha: float = 1.0, gamma: float = 2.0,
-             features: str = "features", label: str = "label") -> dict:
-    """Mean focal loss over the training rows and its gradient, in one job
-    (rows without a ``split`` column all count as training rows)."""
+             features: str = "features", label: str = "label", key: str | None = None) -> dict:
+    """Mean focal loss over the training rows and its gradient (rows
+    without a ``split`` column all count as training rows)."""
     d = df.withColumn("_trial", F.lit(0))
     split = "split"
     if "split" not in df.columns:
         d, split = d.withColumn("_split", F.lit("train")), "_split"
-    r = epoch_job(pack_blocks(d, features, label, "_trial", split), {0: model}, alpha, gamma)[0]
+    r = epoch_job(pack_blocks(d, features, label, "_trial", split, key), {0: model}, alpha, gamma)[0]
     return {"loss": r["train_loss"] / r["n_train"], "grad": r["grad"] / r["n_train"]}
 
 
-def _train_loop(init: dict[int, SoftTreeModel], cfg: EngineConfig, compute, log_every: int = 0):
-    """The epoch loop. ``compute(models)`` returns per trial the summed train
-    loss/gradient and validation loss."""
-    states = {t: TrialState(m, AdamState(np.zeros(m.params().size), np.zeros(m.params().size)))
-              for t, m in init.items()}
-    history: list[dict] = []
-    t0 = time.time()
-    for s in states.values():
-        s.started = t0
-    active = set(states)
-    jobs = 0
-    while active:
-        res = compute({t: states[t].model for t in active})
-        jobs += 1
-        now = time.time()
-        for t in list(active):
-            st = states[t]
-            r = res.get(t)
-            if r is None or r["n_train"] == 0:
-                raise ValueError(f"trial {t} has no training rows")
-            tl = r["train_loss"] / r["n_train"]
-            vl = r["valid_loss"] / r["n_valid"] if r["n_valid"] else float("nan")
-            if st.epoch >= 1:
-                st.last_valid_loss = vl
-                st.last_train_loss = st.pending_train_loss
-                history.append({"trial": t, "epoch": st.epoch, "train_loss": st.pending_train_loss, "valid_loss": vl})
-                if st.best_val - vl > cfg.min_improvement:
-                    st.best_val, st.best_epoch, st.no_improve = vl, st.epoch, 0
-                    st.best_params = st.model.params().copy()
-                else:
-                    st.no_improve += 1
-                if st.no_improve >= cfg.patience or st.epoch >= cfg.max_epochs:
-                    st.stopped, st.stop_epoch, st.train_time = True, st.epoch, now - st.started
-                    active.discard(t)
-                    continue
-            st.pending_train_loss = tl
-            grad = r["grad"] / r["n_train"]
-            st.model = st.model.with_params(st.adam.step(st.model.params(), grad, cfg.learning_rate))
-            st.epoch += 1
-        if log_every and jobs % log_every == 0:
-            print(f"epoch job {jobs}: active trials {sorted(active)}", flush=True)
-    out_models, stats = {}, {}
-    for t, st in states.items():
-        m = st.model
-        if cfg.restore == "best" and st.best_params is not None:
-            m = m.with_params(st.best_params)
-        out_models[t] = m
-        stats[t] = {"best_epoch": st.best_epoch, "stop_epoch": st.stop_epoch,
-                    "last_train_loss": st.last_train_loss, "last_valid_loss": st.last_valid_loss,
-                    "best_valid_loss": st.best_val, "train_time": st.train_time}
-    return out_models, history, stats
+# ---------------------------------------------------------------------------
+# epochs
+
+def advance(st: TrialState, r: dict | None, cfg: EngineConfig) -> None:
+    """One epoch of a trial, given the sums at its parameters: judges the
+    epoch before by its validation loss, then takes the next Adam step."""
+    if r is None or r["n_train"] == 0:
+        raise ValueError("a trial has no training rows")
+    tl = r["train_loss"] / r["n_train"]
+    vl = r["valid_loss"] / r["n_valid"] if r["n_valid"] else float("nan")
+    if st.epoch >= 1:
+        st.last_valid_loss = vl
+        st.last_train_loss = st.pending_train_loss
+        st.history.append((st.epoch, st.pending_train_loss, vl))
+        if st.best_val - vl > cfg.min_improvement:
+            st.best_val, st.best_epoch, st.no_improve = vl, st.epoch, 0
+            st.best_params = st.model.params().copy()
+        else:
+            st.no_improve += 1
+        if st.no_improve >= cfg.patience or st.epoch >= cfg.max_epochs:
+            st.stopped, st.stop_epoch = True, st.epoch
+            return
+    st.pending_train_loss = tl
+    st.model = st.model.with_params(st.adam.step(st.model.params(), r["grad"] / r["n_train"], cfg.learning_rate))
+    st.epoch += 1
+
+
+def _task_epochs(bc, cfg: EngineConfig, epochs: int):
+    """Trains the trials whose cells are in this partition."""
+    def fn(cells: Iterable) -> Iterator[tuple[int, TrialState]]:
+        states, own = bc.value, {}
+        for c in cells:
+            if c[0] in states:
+                own.setdefault(c[0], []).append(c)
+        for t, mine in own.items():
+            st, began = states[t], time.time()
+            for _ in range(epochs):
+                advance(st, _read_out(_cell_sums(mine, {t: st.model}, cfg.alpha, cfg.gamma)).get(t), cfg)
+                if st.stopped:
+                    break
+            st.train_time += time.time() - began
+            yield t, st
+    return fn
+
+
+def _in_task_rounds(blocks: RDD, states: dict[int, TrialState], cfg: EngineConfig, epochs: int) -> Iterator[None]:
+    """Jobs of several epochs; each trial's cells are in one partition. Yields
+    after each job. A state's history stays behind."""
+    while active := {t: st for t, st in states.items() if not st.stopped}:
+        before = {t: st.history for t, st in active.items()}
+        for st in active.values():
+            st.history = []
+        bc = blocks.context.broadcast(active)
+        try:
+            got = dict(blocks.mapPartitions(_task_epochs(bc, cfg, epochs)).collect())
+        finally:
+            bc.destroy()
+        if missing := active.keys() - got.keys():
+            raise ValueError(f"trials {sorted(missing)} have no training rows")
+        for t, st in got.items():
+            st.history = before[t] + st.history
+            states[t] = st
+        yield
+
+
+def _job_rounds(blocks: RDD, states: dict[int, TrialState], cfg: EngineConfig, epochs: int) -> Iterator[None]:
+    """Jobs of one epoch, shared by all trials that still run. Yields every
+    ``epochs`` of them, and at the end."""
+    done = 0
+    while active := [t for t, st in states.items() if not st.stopped]:
+        began = time.time()
+        sums = epoch_job(blocks, {t: states[t].model for t in active}, cfg.alpha, cfg.gamma)
+        for t in active:
+            advance(states[t], sums.get(t), cfg)
+            states[t].train_time += time.time() - began
+        done += 1
+        if done % epochs == 0 or all(st.stopped for st in states.values()):
+            yield
+
+
+# ---------------------------------------------------------------------------
+# snapshots
+
+SNAPSHOT_SCHEMA = ("settings string, step long, trial int, epoch int, params array<double>, m array<double>, v array<double>, t int, best_val double, "
+                   "best_epoch int, best_params array<double>, no_improve int, stopped boolean, stop_epoch int, last_train_loss double, last_valid_loss double, "
+                   "pending_train_loss double, train_time double, history array<struct<epoch:int,train_loss:double,valid_loss:double>>")
+_PLAIN = ("epoch", "best_val", "best_epoch", "no_improve", "stopped", "stop_epoch", "last_train_loss", "last_valid_loss", "pending_train_loss", "train_time")
+
+
+def _settings(init: dict[int, SoftTreeModel], cfg: EngineConfig) -> str:
+    """Digest of what a snapshot has to agree on."""
+    said = [(t, m.depth, m.num_classes, list(map(int, m.feature_order)), m.params().tolist()) for t, m in sorted(init.items())]
+    said.append((cfg.alpha, cfg.gamma, cfg.learning_rate, cfg.max_epochs, cfg.patience, cfg.min_improvement))
+    return hashlib.sha256(repr(said).encode()).hexdigest()
+
+
+def write_snapshot(spark: SparkSession, folder: str, settings: str, step: int, states: dict[int, TrialState]) -> None:
+    """One row per trial, in the slot that does not hold the snapshot before."""
+    rows = [(settings, step, t, *(getattr(st, c) for c in _PLAIN[:1]), st.model.params().tolist(), st.adam.m.tolist(), st.adam.v.tolist(), st.adam.t,
+             st.best_val, st.best_epoch, None if st.best_params is None else st.best_params.tolist(), *(getattr(st, c) for c in _PLAIN[3:]), st.history)
+            for t, st in states.items()]
+    spark.createDataFrame(rows, SNAPSHOT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/slot-{step % 2}")
+
+
+def read_snapshot(spark: SparkSession, folder: str, settings: str, states: dict[int, TrialState]) -> int:
+    """Puts the newest whole snapshot into ``states`` and returns its step, 0
+    without one. Raises if it was written under other settings."""
+    found: list = []
+    for slot in (0, 1):
+        try:
+            rows = spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{folder}/slot-{slot}").collect()
+        except AnalysisException:  # no such folder
+            continue
+        if len(rows) == len(states) and rows[0].step > (found[0].step if found else 0):
+            found = rows
+    for r in found:
+        if r.settings != settings:
+            raise ValueError(f"the snapshot in {folder} belongs to other models or settings")
+        st = states[r.trial]
+        st.model = st.model.with_params(np.array(r.params))
+        st.adam = AdamState(np.array(r.m), np.array(r.v), r.t)
+        st.best_params = None if r.best_params is None else np.array(r.best_params)
+        st.history = [tuple(h) for h in r.history]
+        for c in _PLAIN:
+            setattr(st, c, r[c])
+    return found[0].step if found else 0
 
 
 def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineConfig | None = None,
                    features: str = "features", label: str = "label", trial_col: str = "trial",
-                   split_col: str = "split", log_every: int = 0) -> FitResult:
-    """Train one model per trial on the rows of that trial; all trials share
-    one Spark job per epoch, and stopped trials drop out of later jobs."""
+                   split_col: str = "split", key: str | None = None, in_task: bool | None = None,
+                   epochs_per_job: int = EPOCHS_PER_JOB, snapshot: str | None = None) -> FitResult:
+    """Train one model per trial on the rows of that trial.
+
+    ``in_task``: whether a trial is trained within a task (None: by its size).
+    ``snapshot``: a shared folder for the states; a call that finds one of the
+    same models and settings there goes on from it."""
     cfg = cfg or EngineConfig()
-    rows = df.where(F.col(split_col).isin("train", "valid")).select(trial_col, split_col, features, label)
+    spark = df.sparkSession
+    rows = df.where(F.col(split_col).isin("train", "valid"))
+    sizes = rows.groupBy(trial_col, split_col).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f"))
+    n_rows, most, n_feat = sizes.agg(F.sum("n"), F.max("n"), F.max("f")).first()
+    n_rows, most, n_feat = n_rows or 0, most or 1, n_feat or 1
+    if in_task is None:
+        leaves = max(2 ** m.depth for m in init.values())
+        in_task = most * leaves <= IN_TASK_VALUES
+    n_cells = -(-most // CELL_ROWS)
     # Partitions sized by data, and for small tables by a least number of
     # rows up to the number of cores.
-    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f")).first()
-    n_rows, n_feat = shape["n"] or 0, shape["f"] or 1
     by_size = -(-(n_rows * n_feat * 8) // PARTITION_BYTES)
-    n_parts = max(1, by_size, min(df.sparkSession.sparkContext.defaultParallelism, n_rows // MIN_PARTITION_ROWS))
-    blocks = pack_blocks(rows.repartition(n_parts), features, label, trial_col, split_col).persist(StorageLevel.MEMORY_AND_DISK)
+    n_parts = max(1, by_size, min(spark.sparkContext.defaultParallelism, n_rows // MIN_PARTITION_ROWS))
+    blocks = pack_blocks(rows, features, label, trial_col, split_col, key, n_cells, n_parts)
+    if in_task:
+        place = {t: k for k, t in enumerate(sorted(init))}
+        blocks = blocks.keyBy(lambda c: c[0]).partitionBy(len(place), lambda t: place.get(t, 0)).values()
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    states = {t: TrialState(m, AdamState(np.zeros(m.params().size), np.zeros(m.params().size))) for t, m in init.items()}
+    settings, step = _settings(init, cfg), 0
+    if snapshot:
+        step = read_snapshot(spark, snapshot, settings, states)
     try:
-        models, history, stats = _train_loop(init, cfg, lambda m: epoch_job(blocks, m, cfg.alpha, cfg.gamma), log_every)
+        for _ in (_in_task_rounds if in_task else _job_rounds)(blocks, states, cfg, epochs_per_job):
+            step += 1
+            if snapshot:
+                write_snapshot(spark, snapshot, settings, step, states)
     finally:
         blocks.unpersist()
+    models, history, stats = {}, [], {}
+    for t, st in states.items():
+        best = cfg.restore == "best" and st.best_params is not None
+        models[t] = st.model.with_params(st.best_params) if best else st.model
+        history += [{"trial": t, "epoch": e, "train_loss": a, "valid_loss": b} for e, a, b in st.history]
+        stats[t] = {"best_epoch": st.best_epoch, "stop_epoch": st.stop_epoch,
+                    "last_train_loss": st.last_train_loss, "last_valid_loss": st.last_valid_loss,
+                    "best_valid_loss": st.best_val, "train_time": st.train_time}
     return FitResult(models, history, stats)

@@ -39,9 +39,11 @@ TRIAL_BATCH_VALUES = 2_000_000_000
 def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list[str],
                categorical: list[str] | None = None, cfg: EngineConfig | None = None,
                label: str = "label", key: str = "row_id", seeds=None,
-               trial_batch: int | None = None, sink: str | None = None) -> TrialRun:
+               trial_batch: int | None = None, sink: str | None = None, snapshot: str | None = None) -> TrialRun:
     """``sink``: a folder to which each batch's trial rows are written as soon
-    as the batch ends, so a failure later loses none of them."""
+    as the batch ends, so a failure later loses none of them. ``snapshot``: a
+    shared folder for training states; a run that was cut off goes on from
+    the last of them when it is called again."""
     cfg = cfg or EngineConfig()
     seeds = list(seeds if seeds is not None else cfg.seeds)
     if trial_batch is None:
@@ -51,7 +53,8 @@ def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list
     rows, models, history, prepared_all = [], {}, [], None
     for start in range(0, len(seeds), trial_batch):
         batch = seeds[start:start + trial_batch]
-        res = _run_batch(df, name, feature_cols, categorical, cfg, label, key, batch, start)
+        res = _run_batch(df, name, feature_cols, categorical, cfg, label, key, batch, start,
+                         f"{snapshot}/trials-{start + 1}" if snapshot else None)
         rows += res[0]
         if sink:
             write_trials(spark.createDataFrame(res[0], TRIALS_SCHEMA), sink)
@@ -62,7 +65,7 @@ def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list
     return TrialRun(trials, summarize_trials(trials), models, history, prepared_all)
 
 
-def _run_batch(df, name, feature_cols, categorical, cfg, label, key, seeds, offset):
+def _run_batch(df, name, feature_cols, categorical, cfg, label, key, seeds, offset, snapshot=None):
     """Trials ``offset + 1 ..`` for ``seeds``: prepare, rank, train, evaluate."""
     prepared = preprocess(df, feature_cols, categorical, label, key, cfg, seeds)
     if offset:
@@ -74,7 +77,7 @@ def _run_batch(df, name, feature_cols, categorical, cfg, label, key, seeds, offs
     mi = mutual_information(prepared, by=["trial"], seed="seed", method=cfg.mi_method, k=cfg.mi_neighbours)
     orders = rank_features(mi, by=["trial"])
     init = {t: init_model(depth, num_classes, orders[(t,)], s) for t, s in zip(trial_ids, seeds)}
-    fit = fit_soft_trees(prepared, init, cfg)
+    fit = fit_soft_trees(prepared, init, cfg, key="row_id", snapshot=snapshot)
     train_m, _ = evaluate(prepared.where(F.col("split") == "train"), fit.models, by=["trial"])
     test_m, test_time = evaluate(prepared.where(F.col("split") == "test"), fit.models, by=["trial"])
     rows = []

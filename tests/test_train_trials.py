@@ -180,3 +180,100 @@ def test_oversample_smote(spark):
             assert np.isclose(cos.max(), 1.0, atol=1e-9)
     again = sorted(tuple(r["features"]) for r in oversample_smote(df, k=5, seed=7).collect() if r["draw"] >= 0)
     assert again == sorted(tuple(r["features"]) for r in synth)
+
+
+def _random_rows(spark, n=3000, trials=(1, 2), parts=None):
+    rng = np.random.default_rng(4)
+    rows = [(t, i, "train" if i % 5 else "valid", [float(v) for v in rng.normal(size=3)], int(rng.integers(0, 3))) for t in trials for i in range(n)]
+    df = spark.createDataFrame(rows, "trial int, row_id long, split string, features array<double>, label int")
+    return df.repartition(parts) if parts else df
+
+
+def test_equal_bits_for_any_partitions_and_paths(spark, monkeypatch):
+    """1, 7 and 64 partitions, epochs in one task or as jobs, sums in a tree."""
+    import softgrove.operators.train as tr
+    monkeypatch.setattr(tr, "CELL_ROWS", 100)
+    monkeypatch.setattr(tr, "MIN_PARTITION_ROWS", 100)
+    init = {1: init_model(4, 3, [0, 1, 2], 1), 2: init_model(4, 3, [2, 1, 0], 2)}
+    cfg = EngineConfig(max_epochs=6)
+    got = []
+    for parts, in_task, fan_in in ((1, False, 32), (7, False, 2), (64, False, 3), (7, True, 32), (64, True, 32)):
+        monkeypatch.setattr(tr, "FAN_IN", fan_in)
+        fit = fit_soft_trees(_random_rows(spark, 1000, parts=parts), init, cfg, key="row_id", in_task=in_task, epochs_per_job=4)
+        got.append((fit.history, {t: m.params().tobytes() for t, m in fit.models.items()}, {t: s["stop_epoch"] for t, s in fit.stats.items()}))
+    assert all(g == got[0] for g in got[1:])
+
+
+def test_fixed_point_sums_ignore_order():
+    from softgrove.operators.train import add_fixed, fixed, from_fixed
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 50)) * 10.0 ** rng.integers(-12, 9, (200, 50))
+    totals = []
+    for _ in range(4):
+        acc = np.zeros((2, 50), dtype=np.int64)
+        for row in x[rng.permutation(200)]:
+            acc = add_fixed(acc, fixed(row))
+        totals.append(from_fixed(acc))
+    assert all(t.tobytes() == totals[0].tobytes() for t in totals)
+    from fractions import Fraction
+    exact = [float(sum(map(Fraction, col))) for col in x.T]
+    assert np.allclose(totals[0], exact, rtol=1e-12, atol=1e-16)
+    import pytest
+    with pytest.raises(ValueError, match="diverged"):
+        fixed(np.array([1.0, float("inf")]))
+
+
+def test_interrupted_training_goes_on_from_its_snapshot(spark, monkeypatch):
+    import tempfile
+
+    import pytest
+
+    import softgrove.operators.train as tr
+    df, cfg = _random_rows(spark, 300), EngineConfig(max_epochs=23)
+    init = {1: init_model(3, 3, [0, 1, 2], 1), 2: init_model(3, 3, [2, 1, 0], 2)}
+    whole = fit_soft_trees(df, init, cfg, key="row_id")
+    write = tr.write_snapshot
+    for in_task in (True, False):
+        folder, calls = tempfile.mkdtemp(prefix="sg-snap-") + "/s", []
+
+        def cut_off(*a):
+            write(*a)
+            calls.append(1)
+            if len(calls) == 3:
+                raise KeyboardInterrupt
+        monkeypatch.setattr(tr, "write_snapshot", cut_off)
+        with pytest.raises(KeyboardInterrupt):
+            fit_soft_trees(df, init, cfg, key="row_id", in_task=in_task, epochs_per_job=5, snapshot=folder)
+        # one of the two slots is not readable: the other one is taken
+        monkeypatch.setattr(tr, "write_snapshot", write)
+        epochs = []
+        step = tr.advance
+        monkeypatch.setattr(tr, "advance", lambda st, *a: (epochs.append(st.epoch), step(st, *a)))
+        again = fit_soft_trees(df, init, cfg, key="row_id", in_task=in_task, epochs_per_job=5, snapshot=folder)
+        monkeypatch.setattr(tr, "advance", step)
+        assert in_task or min(epochs) == 15
+        assert again.history == whole.history
+        assert all(again.models[t].params().tobytes() == whole.models[t].params().tobytes() for t in init)
+        # nothing is left to do
+        assert fit_soft_trees(df, init, cfg, key="row_id", in_task=in_task, snapshot=folder).history == whole.history
+        with pytest.raises(ValueError, match="other models or settings"):
+            fit_soft_trees(df, init, EngineConfig(max_epochs=24), key="row_id", snapshot=folder)
+
+
+def test_early_stopping_follows_the_loss_history(spark):
+    """Stop epoch, best epoch and restored weights, told from the losses."""
+    cfg = EngineConfig(max_epochs=400, patience=4, min_improvement=2e-3, learning_rate=0.3)
+    init = {1: init_model(3, 3, [0, 1, 2], 1), 2: init_model(3, 3, [2, 1, 0], 5)}
+    df = _random_rows(spark, 200)
+    for in_task in (True, False):
+        fit = fit_soft_trees(df, init, cfg, key="row_id", in_task=in_task, epochs_per_job=7)
+        for t in init:
+            best, best_epoch, waited = float("inf"), 0, 0
+            losses = [h["valid_loss"] for h in fit.history if h["trial"] == t]
+            for epoch, v in enumerate(losses, 1):
+                best, best_epoch, waited = (v, epoch, 0) if best - v > 2e-3 else (best, best_epoch, waited + 1)
+                if waited == 4:
+                    break
+            assert epoch == len(losses) < 400
+            assert fit.stats[t]["stop_epoch"] == epoch and fit.stats[t]["best_epoch"] == best_epoch
+            assert fit.stats[t]["best_valid_loss"] == best
