@@ -12,15 +12,17 @@ documents are linked if ``100 * intersection >= percent * union``.
    ``COORDINATES - MATCHES + 1`` of its tokens. Two nodes that agree on
    ``MATCHES`` coordinates or more share a token of both prefixes, so the
    longest lists (common passages) are skipped and no such pair is lost.
-3. Collisions are counted within the prefix lists over all coordinates (one
-   byte of each: a pair may pass wrongly, never fail wrongly) and pairs with
-   fewer than ``MATCHES`` are left:
-   a. each member with its list's first node, the hub: linear in the list,
-      and a long list can be split among tasks;
-   b. after the links of (a) are known, members of different components of
-      the lists that hold several. Long lists are dealt out as pairs of
-      parts. A list whose members are all connected is skipped whole.
-4. Candidates are confirmed on the full sets, hashed again from the texts.
+3. Within a prefix list collisions are counted over all coordinates (one byte
+   of each: a pair may pass wrongly, never fail wrongly), and pairs with
+   ``MATCHES`` or more are candidates. A list gives the edges of a spanning
+   forest of its candidates: members that are connected already are skipped, so
+   a list of near copies takes one pass. Long lists are dealt out as pairs of
+   parts.
+4. Clusters are the components of these edges: every candidate pair lies
+   within one. Full sets, hashed again from the texts, are sent to their
+   cluster once (a large cluster is dealt out as pairs of parts), and sizes of
+   intersections counted over the part's own postings of shingles. Links with
+   enough of them are confirmed; again the edges of a spanning forest go on.
 5. Connected components by star rounds (shared with the SimHash operator).
 
 A pair with similarity of exactly ``percent`` = 80 agrees on fewer than 34 of
@@ -54,6 +56,9 @@ COORDINATES = 64
 MATCHES = 34
 #: Members of a list (or part of one) that are compared in one task.
 LIST_LIMIT = 4096
+#: Members, and shingles of all of them, of a cluster (or part of one) in one task.
+CLUSTER_LIMIT = 4096
+CLUSTER_SHINGLES = 2_000_000
 #: A set with more than this part of all rows is joined by broadcast.
 HOT_PARTS = 500
 #: Candidate nodes up to which their texts are picked by a broadcast join.
@@ -147,96 +152,106 @@ def _bytes(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
 
 
-def _hub_pairs(matches: int, percent: int):
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(c).to_numpy() for c in ("n", "hub_n"))
-            near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            near &= (_bytes(batch.column("mini")) == _bytes(batch.column("hub_mini"))).sum(axis=1) >= matches
-            pairs = np.unique(np.stack([batch.column("hub").to_numpy()[near], batch.column("node").to_numpy()[near]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-    return run
-
-
-def hub_candidates(postings: DataFrame, nodes: DataFrame, matches: int = MATCHES, percent: int = PERCENT) -> DataFrame:
-    """Pairs of each list's first node with the other members that collide
-    often enough."""
-    hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("len")).where("len > 1")
-    hubs = hubs.join(nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("mini").alias("hub_mini")), "hub")
-    rows = postings.join(hubs.drop("len"), "token").where("node <> hub")
-    return rows.select("node", "n", "mini", "hub", "hub_n", "hub_mini").mapInArrow(_hub_pairs(matches, percent), "a long, b long").distinct()
-
-
-def _list_pairs(t: pa.Table, start: np.ndarray, matches: int, percent: int):
-    """Pairs of different components within each list of a table; ``side``
-    0 is compared with side 1 only where a list's part has both."""
-    node, root, n, side = (t.column(c).to_numpy() for c in ("node", "root", "n", "side"))
-    mini = _bytes(t.column("mini").combine_chunks())
-    for a, b in zip(start, np.append(start[1:], len(node))):
-        two = a + int(np.searchsorted(side[a:b], 1))
-        for k in range(a, two if two < b else b - 1):
-            lo = two if two < b else k + 1
-            rest = np.arange(lo, b)
-            rest = rest[(root[rest] != root[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
-            # skip ahead: half of the coordinates first, with what the others could add
-            half = COORDINATES // 2
-            got = (mini[rest, :half] == mini[k, :half]).sum(axis=1)
-            rest, got = rest[got >= matches - half], got[got >= matches - half]
-            got = got + (mini[rest, half:] == mini[k, half:]).sum(axis=1)
-            hit = rest[got >= matches]
-            yield np.minimum(node[hit], node[k]), np.maximum(node[hit], node[k])
-
-
-def cross_candidates(postings: DataFrame, comp: DataFrame, matches: int = MATCHES, percent: int = PERCENT, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Pairs of members of different components (node, root) that collide
-    often enough, within the lists that hold several components."""
-    rows = postings.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("token").agg(F.count("*").alias("len"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    parts = F.ceil(F.col("len") / list_limit).cast("int")
+def _dealt(rows: DataFrame, keys: list[str], parts) -> DataFrame:
+    """Rows of each key as pairs of parts (i, j, side): side 0 and 1 of a
+    pair of different parts are to be compared with each other only."""
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = (rows.join(mixed.select("token", parts.alias("parts")), "token").withColumn("mine", mine)
+    rows = (rows.withColumn("parts", parts.cast("int")).withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("token", "node", "root", "n", "mini", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                    (F.col("mine") > F.col("other")).cast("int").alias("side")))
-    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "node")
+            .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")}))
+    return rows.drop("parts", "mine", "other").repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "side", "node")
 
+
+def _by_key(keys: list[str], edges):
+    """Runs ``edges(table)`` on the rows of each key of sorted partitions and
+    gives the edges (a, b) of a partition once."""
     def starts(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, dtype=bool)
         new[0] = True
-        for c in ("token", "i", "j"):
+        for c in keys:
             v = t.column(c).to_numpy()
             new[1:] |= v[1:] != v[:-1]
         return np.flatnonzero(new)
 
-    def pairs(t: pa.Table, begin: np.ndarray):
-        found = list(_list_pairs(t, begin, matches, percent))
-        both = np.unique(np.stack([np.concatenate([x[k] for x in found]) for k in (0, 1)], axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-        for at in range(0, len(both), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(both[at:at + (1 << 16), k]) for k in (0, 1)], names=["a", "b"])
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches):
-        rest: pa.Table | None = None
+        rest: list[pa.RecordBatch] = []
+        found, held = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got = pa.Table.from_batches([batch])
-            got = got if rest is None else pa.concat_tables([rest, got])
-            begin = starts(got)
-            rest = got.slice(int(begin[-1]))
-            if len(begin) > 1:
-                yield from pairs(got.slice(0, int(begin[-1])), begin[:-1])
-        if rest is not None:
-            yield from pairs(rest, np.zeros(1, dtype=np.int64))
+            begin = starts(pa.Table.from_batches([batch]))
+            joined = rest and all(rest[0].column(c)[0] == batch.column(c)[0] for c in keys)
+            cuts = [*([] if joined or not rest else [0]), *begin[1:].tolist()]
+            at = 0
+            for cut in cuts:
+                done = pa.Table.from_batches([*rest, batch.slice(at, cut - at)])
+                rest, at = [], cut
+                found.append(edges(done))
+                held += len(found[-1])
+            rest.append(batch.slice(at))
+            if held > 1 << 18:
+                yield out(found)
+                found, held = [], 0
+        if rest:
+            found.append(edges(pa.Table.from_batches(rest)))
+        if found:
+            yield out(found)
+
+    return run
+
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def _forest(node: np.ndarray, side: np.ndarray, linked) -> np.ndarray:
+    """Edges of a spanning forest. ``linked(k, rest)`` says which of the
+    positions ``rest`` are linked with ``k``; it isn't asked for those that are
+    connected with it already."""
+    n = len(node)
+    two = int(np.searchsorted(side, 1))
+    root = np.arange(n)
+    for k in range(two if two < n else n - 1):
+        rest = np.arange(two if two < n else k + 1, n)
+        rest = rest[root[rest] != root[k]]
+        if not len(rest):
+            continue
+        hit = rest[linked(k, rest)]
+        if len(hit):
+            trees = np.append(root[hit], root[k])
+            root[np.isin(root, trees)] = trees.min()
+    child = np.flatnonzero(root != np.arange(n))
+    pairs = np.stack([node[root[child]], node[child]], axis=1)
+    return np.sort(pairs, axis=1)
+
+
+def candidates(postings: DataFrame, matches: int = MATCHES, percent: int = PERCENT, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Edges (a, b) that connect all nodes which collide in ``matches``
+    coordinates and have sizes near enough."""
+    sizes = postings.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
+    rows = _dealt(postings.join(sizes, "token"), ["token"], F.ceil(F.col("len") / list_limit))
+
+    def edges(t: pa.Table) -> np.ndarray:
+        n, side = (t.column(c).to_numpy() for c in ("n", "side"))
+        mini = _bytes(t.column("mini").combine_chunks())
+        half = COORDINATES // 2
+
+        def collide(k: int, rest: np.ndarray) -> np.ndarray:
+            near = 100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k])
+            # skip ahead: half of the coordinates, with what the others could add
+            got = (mini[rest, :half] == mini[k, :half]).sum(axis=1)
+            open_ = np.flatnonzero(near & (got >= matches - half))
+            got = got[open_] + (mini[rest[open_], half:] == mini[k, half:]).sum(axis=1)
+            return open_[got >= matches]
+        return _forest(t.column("node").to_numpy(), side, collide)
+
+    return rows.select("token", "i", "j", "side", "node", "n", "mini").mapInArrow(_by_key(["token", "i", "j"], edges), "a long, b long").distinct()
 
 
 def _sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes) of the wanted nodes (node, key, low), from the texts of
     the documents that have their smallest ids."""
-    count = wanted.count()
+    count = wanted.count()  # of a stored table
     named = wanted.withColumnRenamed("low", "id")
     rows = texts.join(F.broadcast(named) if count <= BROADCAST_NODES else named, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "key", "text")
 
@@ -255,26 +270,39 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
 
-def _confirmed(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+def similar(hashes: list[np.ndarray], percent: int = PERCENT):
+    """For a list of sets: ``linked(k, rest)`` as ``_forest`` asks it, by counts
+    over the sets' own postings."""
+    size = np.array([len(h) for h in hashes])
+    owner = np.repeat(np.arange(len(hashes)), size)
+    flat = np.concatenate(hashes)
+    order = np.argsort(flat, kind="stable")
+    owner, sorted_ = owner[order], flat[order]
+
+    def linked(k: int, rest: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(sorted_, hashes[k], side="left"), np.searchsorted(sorted_, hashes[k], side="right")
+        many = b - a
+        at = np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(hashes))[rest]
+        return np.flatnonzero(100 * both >= percent * (size[rest] + size[k] - both))
+    return linked
+
+
+def links(clusters: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
+          cluster_limit: int = CLUSTER_LIMIT) -> DataFrame:
+    """Edges (a, b) that connect all nodes of a cluster (node, root) whose
+    full sets are similar enough."""
+    members = materialize(clusters.join(nodes.select("node", "key", "low", "n"), "node"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("len"), F.sum("n").alias("shingles"))
+    sets = materialize(_sets_of(texts, members.select("node", "key", "low"), shingle))
+    rows = members.select("node", "root").join(sizes, "root").join(sets, "node")
+    rows = _dealt(rows, ["root"], F.greatest(F.ceil(F.col("len") / cluster_limit), F.ceil(F.col("shingles") / CLUSTER_SHINGLES)))
 
+    def edges(t: pa.Table) -> np.ndarray:
+        hashes = [np.frombuffer(h, dtype=np.uint64) for h in t.column("hashes").to_pylist()]
+        return _forest(t.column("node").to_numpy(), t.column("side").to_numpy(), similar(hashes, percent))
 
-def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(nodes.select("node", "key", "low").join(ends, "node", "left_semi"))
-    sets = materialize(_sets_of(texts, wanted, shingle))
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return materialize(rows.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long"))
+    return rows.select("root", "i", "j", "side", "node", "hashes").mapInArrow(_by_key(["root", "i", "j"], edges), "a long, b long")
 
 
 def _rooted(edges: DataFrame) -> DataFrame:
@@ -284,29 +312,21 @@ def _rooted(edges: DataFrame) -> DataFrame:
 
 
 def link_components(nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES,
-                    list_limit: int = LIST_LIMIT) -> DataFrame:
+                    list_limit: int = LIST_LIMIT, cluster_limit: int = CLUSTER_LIMIT) -> DataFrame:
     """(node, root) of the nodes that are linked with another one; texts:
     (doc_id, text)."""
-    postings = materialize(prefix_postings(nodes, matches))
-    first = confirm(materialize(hub_candidates(postings, nodes, matches, percent)), nodes, texts, shingle, percent)
-    comp = _rooted(first)
-    more = materialize(cross_candidates(postings, comp, matches, percent, list_limit))
-    if more.isEmpty():
-        return comp
-    second = confirm(more, nodes, texts, shingle, percent)
-    if second.isEmpty():
-        return comp
-    return _rooted(first.unionByName(second))
+    clusters = _rooted(candidates(materialize(prefix_postings(nodes, matches)), matches, percent, list_limit))
+    return _rooted(links(clusters, nodes, texts, shingle, percent, cluster_limit))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-                    matches: int = MATCHES, list_limit: int = LIST_LIMIT) -> DataFrame:
+                    matches: int = MATCHES, list_limit: int = LIST_LIMIT, cluster_limit: int = CLUSTER_LIMIT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id
     reachable over links) and kept (doc_id equals component_id)."""
     texts = documents.select(qcol(id_col).alias("doc_id"), qcol(text_col).alias("text"))
     docs = materialize(with_signature(texts, shingle))
     nodes = _nodes(docs)
-    comp = link_components(nodes, texts, shingle, percent, matches, list_limit)
+    comp = link_components(nodes, texts, shingle, percent, matches, list_limit, cluster_limit)
     linked = nodes.select("node", "low").join(comp, "node")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     of = linked.join(lows, "root").select("node", "component_id")

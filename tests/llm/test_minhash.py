@@ -70,9 +70,9 @@ def test_components_match_brute_force(spark):
 
 
 def test_long_lists_are_dealt_out(spark):
-    """Every list in parts of three members gives the same components."""
+    """Lists in parts of three members, clusters in parts of four, give the same."""
     texts = near_texts((3, 12))
-    got = rows_of(mh.near_duplicates(docs_df(spark, texts), list_limit=3))
+    got = rows_of(mh.near_duplicates(docs_df(spark, texts), list_limit=3, cluster_limit=4))
     assert got == sorted(brute(list(enumerate(texts))), key=str)
 
 
