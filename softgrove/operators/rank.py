@@ -13,13 +13,19 @@ one row are left out, ``k_i = min(k, n_class - 1)``, the
 radius is the distance to the k-th same-class neighbour (open ball), and
 ``m_i`` counts rows of all classes inside it, the row itself included.
 
-Spark plan (no pairwise join): the data are long ``(group, feature, value,
-label)``. In 1-D the k nearest same-class neighbours are among the k
-before and k after in value order, so ``lag/lead`` over a window per
-(group, feature, class) give the radius. ``m_i`` is a difference of two
-running counts over all values of the feature: the interval ends are
-merged into the value stream as events and a running sum of value events
-is read at each end.
+Spark plan (no pairwise join): equal values of a class have one radius and one
+count, so the data are counted first, ``(group, feature, value, label, count)``,
+and a value that most rows share is one row from there on. A feature's counted
+values are cut into buckets at approximate quantiles of its distinct values
+(one bucket up to ``KNN_BUCKET_ROWS``), and a task takes a bucket in value
+order, in numpy:
+
+* radius: a value stands for at most ``k + 1`` copies; the k nearest same-class
+  neighbours are among the k copies before and after it. The first and last k
+  copies of each class go to the next buckets that hold the class.
+* ``m_i`` is a difference of two running counts, read at the interval's ends. An
+  end that lies in another bucket is counted there, in a second pass over
+  the ends that do (few: an interval has to cross the bucket's edge).
 
 ``method="binned"`` is the plug-in estimator on equal-frequency bins
 (``groupBy(feature, bin, label).count()``); it is a different estimator, used
@@ -28,14 +34,18 @@ only when asked for.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from softgrove.functions.columns import count_less, digamma, digamma_scalar, keyed_gaussian
 from softgrove.operators._util import maybe_broadcast
 from softgrove.operators.quantiles import exact_quantiles
+from softgrove.session import materialize
 
-# Target rows per value bucket of the kNN windows.
+# Counted values (and rows, by which it is set) of a feature in one task.
 KNN_BUCKET_ROWS = 2_000_000
 
 
@@ -83,96 +93,173 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     cls = df.groupBy(*by, F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_nc"))
     n_classes = len(sizes) * (df.agg(F.approx_count_distinct(label)).first()[0] + 1) * 2
     long = long.join(maybe_broadcast(cls, n_classes), by + ["_label"]).where(F.col("_nc") > 1)
-    kk = F.least(F.lit(k), F.col("_nc") - 1).cast("int")
-    long = long.withColumn("_k", kk)
-
-    # Value buckets per (group, feature) so that no window holds a whole
-    # feature: edges are approximate quantiles, a value's bucket is the
-    # number of edges below it. One bucket for small inputs.
     if buckets is None:  # every feature of a group has one value per training row
         buckets = max(1, -(-biggest // KNN_BUCKET_ROWS))
-    if buckets > 1:
-        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        edges = long.groupBy(*g).agg(
-            F.array_sort(F.array_distinct(F.percentile_approx("v", probs, 10 * buckets))).alias("_edges"))
-        long = long.join(maybe_broadcast(edges, n_keys), g).withColumn(
-            "_b", count_less(F.col("_edges"), F.col("v"), buckets))
-    else:
-        long = long.withColumn("_b", F.lit(0))
-
-    # k-th same-class neighbour: among lag/lead 1..k in value order within
-    # the bucket; the first / last k rows of a bucket take the missing side
-    # from a window over the edge rows of all buckets of the class.
-    w1 = Window.partitionBy(*g, "_label", "_b").orderBy("v", "_key")
-
-    def cand(nb):
-        return F.when(nb.isNotNull(), F.struct(F.abs(nb - F.col("v")).alias("d"), nb.alias("u")))
+    # an IEEE zero has two signs; they are one value
+    counted = long.groupBy(*g, "_label", "_nc", (F.col("v") + F.lit(0.0)).alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    counted = _counts_in_balls(counted, g, k, buckets, n_keys)
+    agg = counted.groupBy(*g, "_nc", "_k", "m").agg(F.sum("w").alias("w")).groupBy(*g).agg(
+        F.sum("w").alias("n"), *[(F.sum(F.col("w") * digamma(F.col(c))) / F.sum("w")).alias(p) for c, p in (("_k", "pk"), ("_nc", "pn"), ("m", "pm"))])
+    mi = digamma(F.col("n")) + F.col("pk") - F.col("pn") - F.col("pm")
+    return agg.select(*g, _steady(mi).alias("mi"))
 
-    def sides(w):
-        back = F.array(*[cand(F.lag("v", j).over(w)) for j in range(1, k + 1)])
-        fwd = F.array(*[cand(F.lead("v", j).over(w)) for j in range(1, k + 1)])
-        return back, fwd
 
-    b1, f1 = sides(w1)
-    base_cols = [*g, "_key", "_label", "_nc", "_k", "v", "_b"] + (["_edges"] if buckets > 1 else [])
+# ---------------------------------------------------------------------------
+# neighbours among counted values
+
+def _class_order(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Class (as a number), value, count, class size and own, in order of class
+    and value, and that order."""
+    label = table.column("_label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    v, w, nc = (table.column(c).to_numpy() for c in ("v", "w", "_nc"))
+    own = table.column("_own").to_numpy().astype(bool)
+    order = np.lexsort((v, label))
+    return label[order], v[order], w[order], nc[order], own[order], order
+
+
+def ball_ends(label: np.ndarray, v: np.ndarray, w: np.ndarray, nc: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of counted values in order of class and value: (k_i, radius, lo, hi)."""
+    copies = np.minimum(w, k + 1)
+    at = np.cumsum(copies) - copies  # of each value's first copy
+    of = np.repeat(label, copies)
+    a = np.repeat(v, copies)
+    d, u = (np.full((len(v), 2 * k), np.inf) for _ in range(2))
+    for j in range(1, k + 1):
+        for col, to in ((j - 1, at - j), (k + j - 1, at + j)):
+            there = (to >= 0) & (to < len(a))
+            to = np.clip(to, 0, max(len(a) - 1, 0))
+            there &= of[to] == label
+            u[there, col] = a[to[there]]
+            d[there, col] = np.abs(a[to[there]] - v[there])
+    # ascending distance, of equal distances the smaller value first
+    order = np.argsort(u, axis=1, kind="stable")
+    d, u = np.take_along_axis(d, order, axis=1), np.take_along_axis(u, order, axis=1)
+    order = np.argsort(d, axis=1, kind="stable")
+    ki = np.minimum(k, nc - 1)
+    pick = np.take_along_axis(order, (ki - 1)[:, None], axis=1)
+    r, u = np.take_along_axis(d, pick, axis=1)[:, 0], np.take_along_axis(u, pick, axis=1)[:, 0]
+    # open interval; on the neighbour's side its own value is the bound
+    return ki, r, np.where(u < v, u, v - r), np.where(u < v, v + r, u)
+
+
+def _edge_copies(g: list[str], k: int):
+    """The first and last k copies of each class in a bucket."""
+    def run(table: pa.Table) -> pa.Table:
+        label, v, w, _, _, order = _class_order(table)
+        start = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+        copies = np.minimum(w, k)
+        before = np.cumsum(copies) - copies
+        size = np.add.reduceat(copies, start)
+        part = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(v))))
+        first = before - before[start][part] < k
+        last = before - before[start][part] + copies > size[part] - k
+        out = table.take(pa.array(order)).append_column("_first", pa.array(first)).append_column("_last", pa.array(last))
+        return out.filter(pa.array(first | last)).select([*g, "_b", "_label", "_nc", "v", "w", "_first", "_last"])
+    return run
+
+
+def _contexts(edges: DataFrame, g: list[str], k: int) -> DataFrame:
+    """For each bucket that holds a class: the last k copies in the buckets
+    before and the first k in those after, as rows of that bucket."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("_b", "ascending"), ("v", "ascending")])
+        b, w = rows.column("_b").to_numpy(), rows.column("w").to_numpy()
+        first, last = (rows.column(c).to_numpy().astype(bool) for c in ("_first", "_last"))
+        take, to = [], []
+        for own in np.unique(b):
+            for side in (np.flatnonzero(last & (b < own))[::-1], np.flatnonzero(first & (b > own))):
+                near = side[np.cumsum(np.minimum(w[side], k)) - np.minimum(w[side], k) < k]
+                take += near.tolist()
+                to += [own] * len(near)
+        out = rows.take(pa.array(take, pa.int64()))
+        return out.set_column(out.schema.get_field_index("_b"), "_b", pa.array(to, pa.int32())).select([*g, "_b", "_label", "_nc", "v", "w"])
+
+    schema = StructType([f for f in edges.schema.fields if f.name not in ("_first", "_last")])
+    return edges.groupBy(*g, "_label").applyInArrow(run, schema)
+
+
+def _counts_in_balls(counted: DataFrame, g: list[str], k: int, buckets: int, n_keys: int) -> DataFrame:
+    """(group..., _nc, _k, m, w): for ``w`` rows of a class of ``_nc`` the ball to the
+    ``_k``-th neighbour holds ``m`` rows."""
+    kept = [f for f in counted.schema.fields if f.name in g]
+    fields = [StructField("_nc", LongType()), StructField("_k", LongType()), StructField("m", LongType()), StructField("w", LongType()),
+              StructField("lo", DoubleType()), StructField("hi", DoubleType())]
     if buckets > 1:
-        wc = Window.partitionBy(*g, "_label", "_b")
-        x = long.select(*base_cols, b1.alias("_back"), f1.alias("_fwd"), F.row_number().over(w1).alias("_rn"),
-                        F.count(F.lit(1)).over(wc).alias("_cb"))
-        first_k, last_k = F.col("_rn") <= k, F.col("_rn") > F.col("_cb") - k
-        inner = x.where(~(first_k | last_k)).select(*base_cols, "_back", "_fwd")
-        we = Window.partitionBy(*g, "_label").orderBy("v", "_key")
-        b2, f2 = sides(we)
-        edge = x.where(first_k | last_k).select(
-            *base_cols, F.when(first_k, b2).otherwise(F.col("_back")).alias("_back"),
-            F.when(last_k, f2).otherwise(F.col("_fwd")).alias("_fwd"))
-        knn = inner.unionByName(edge)
+        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        cuts = counted.groupBy(*g).agg(F.array_sort(F.array_distinct(F.percentile_approx("v", probs, 10 * buckets))).alias("_edges"))
+        cuts = maybe_broadcast(materialize(cuts), n_keys * buckets)
+        counted = counted.join(cuts, g).withColumn("_b", count_less(F.col("_edges"), F.col("v"), buckets).cast("int"))
+        counted = materialize(counted.drop("_edges"))
+        edge_schema = StructType([*kept, *(counted.schema[c] for c in ("_b", "_label", "_nc", "v", "w")),
+                                  *(StructField(c, BooleanType()) for c in ("_first", "_last"))])
+        edges = materialize(counted.withColumn("_own", F.lit(True)).groupBy(*g, "_b").applyInArrow(_edge_copies(g, k), edge_schema))
+        rows = counted.withColumn("_own", F.lit(True)).unionByName(_contexts(edges, g, k).withColumn("_own", F.lit(False)))
+        rows = rows.join(cuts, g)
     else:
-        knn = long.select(*base_cols, b1.alias("_back"), f1.alias("_fwd"))
-    knn = knn.select(*base_cols, F.array_sort(F.filter(F.concat("_back", "_fwd"), lambda c: c.isNotNull())).alias("_c"))
-    kth = F.element_at(F.col("_c"), F.col("_k"))
-    knn = knn.select(*base_cols, kth["d"].alias("r"), kth["u"].alias("u"))
-    # Open interval (lo, hi); on the neighbour's side its own value is the bound.
-    lo = F.when(F.col("u") < F.col("v"), F.col("u")).otherwise(F.col("v") - F.col("r"))
-    hi = F.when(F.col("u") < F.col("v"), F.col("v") + F.col("r")).otherwise(F.col("u"))
-    knn = knn.select(*base_cols, "r", lo.alias("lo"), hi.alias("hi"))
-
-    # Events: an open end at hi sorts before equal values (typ 0) and an open
-    # end at lo after them (typ 2), so m = count(values < hi) - count(values
-    # <= lo). A zero radius (duplicates) counts the closed ball instead: the
-    # rows equal to the value. Counts are running sums within a value
-    # bucket plus the number of values in the buckets before it.
-    zero = F.col("r") == 0
-
-    def bucket_of(c):
-        return count_less(F.col("_edges"), c, buckets) if buckets > 1 else F.lit(0)
-
-    ev = knn.select(*g, F.explode(F.array(
-        F.struct(F.col("v").alias("pos"), F.lit(1).alias("typ"), F.col("_key").alias("id"),
-                 F.lit(0).alias("end"), F.lit(0).alias("_nc"), F.lit(0).alias("_k"), F.col("_b").alias("_eb")),
-        F.struct(F.col("hi").alias("pos"), F.when(zero, 2).otherwise(0).alias("typ"), F.col("_key").alias("id"),
-                 F.lit(1).alias("end"), F.col("_nc").alias("_nc"), F.col("_k").alias("_k"),
-                 bucket_of(F.col("hi")).alias("_eb")),
-        F.struct(F.col("lo").alias("pos"), F.when(zero, 0).otherwise(2).alias("typ"), F.col("_key").alias("id"),
-                 F.lit(2).alias("end"), F.lit(0).alias("_nc"), F.lit(0).alias("_k"),
-                 bucket_of(F.col("lo")).alias("_eb")))).alias("e")).select(*g, "e.*")
-    wr = Window.partitionBy(*g, "_eb").orderBy("pos", "typ", "end", "id").rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("cnt", F.sum(F.when(F.col("end") == 0, 1).otherwise(0)).over(wr)).where(F.col("end") != 0)
-    if buckets > 1:
-        per_b = knn.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_n_b"))
-        wo = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        offs = per_b.select(*g, F.col("_b").alias("_eb"), F.coalesce(F.sum("_n_b").over(wo), F.lit(0)).alias("_off"))
-        ev = ev.join(maybe_broadcast(offs, n_keys * buckets), g + ["_eb"], "left") \
-            .withColumn("cnt", F.col("cnt") + F.coalesce(F.col("_off"), F.lit(0)))
-    per_row = ev.groupBy(*g, "id").agg(
-        (F.sum(F.when(F.col("end") == 1, F.col("cnt")).otherwise(0))
-         - F.sum(F.when(F.col("end") == 2, F.col("cnt")).otherwise(0))).alias("m"),
-        F.max("_nc").alias("_nc"), F.max("_k").alias("_k"))
-    agg = per_row.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("_k"))).alias("pk"),
-        F.avg(digamma(F.col("_nc"))).alias("pn"), F.avg(digamma(F.col("m"))).alias("pm"))
-    mi = digamma(F.col("n")) + F.col("pk") - F.col("pn") - F.col("pm")
-    return agg.select(*g, _steady(mi).alias("mi"))
+        rows = counted.withColumns({"_b": F.lit(0), "_own": F.lit(True), "_edges": F.array().cast("array<double>")})
+
+    def run(table: pa.Table) -> pa.Table:
+        cut, b = table.column("_edges")[0].as_py(), table.column("_b")[0].as_py()
+        label, v, w, nc, own, _ = _class_order(table)
+        ki, r, lo, hi = (x[own] for x in ball_ends(label, v, w, nc, k))
+        v, w, nc = v[own], w[own], nc[own]
+        order = np.argsort(v, kind="stable")
+        at, upto = v[order], np.concatenate(([0], np.cumsum(w[order])))
+        zero = r == 0
+        m = np.where(zero, upto[np.searchsorted(at, v, "right")] - upto[np.searchsorted(at, v, "left")],
+                     upto[np.searchsorted(at, hi, "left")] - upto[np.searchsorted(at, lo, "right")])
+        here = zero | ((np.searchsorted(cut, lo, "left") == b) & (np.searchsorted(cut, hi, "left") == b))
+        # rows with equal counts are added up; the others keep their ends
+        found, of = np.unique(np.stack([nc[here], ki[here], m[here]]), axis=1, return_inverse=True)
+        total = np.zeros(found.shape[1], dtype=np.int64)
+        np.add.at(total, of.ravel(), w[here])
+        n, far = found.shape[1], int((~here).sum())
+        cols = [np.concatenate(x) for x in ((found[0], nc[~here]), (found[1], ki[~here]), (found[2], m[~here]), (total, w[~here]))]
+        ends = [np.concatenate((np.zeros(n), x[~here])) for x in (lo, hi)]
+        open_ = np.arange(n + far) < n
+        arrays = [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=~open_), pa.array(cols[3]), *(pa.array(e, mask=open_) for e in ends)]
+        keys = [pa.array([table.column(c)[0].as_py()] * (n + far), table.schema.field(c).type) for c in g]
+        return pa.table([*keys, *arrays], names=[*g, *(f.name for f in fields)])
+
+    found = rows.groupBy(*g, "_b").applyInArrow(run, StructType([*kept, *fields]))
+    if buckets == 1:
+        return found.drop("lo", "hi")
+    found = materialize(found)
+    done = found.where("m IS NOT NULL").drop("lo", "hi")
+    return done.unionByName(_far_ends(found.where("m IS NULL"), counted, cuts, g, buckets, n_keys))
+
+
+def _far_ends(open_: DataFrame, counted: DataFrame, cuts: DataFrame, g: list[str], buckets: int, n_keys: int) -> DataFrame:
+    """The counts of balls that end in other buckets: rows below ``hi`` less
+    rows up to ``lo``, each read in the bucket it lies in."""
+    open_ = open_.withColumn("_id", F.monotonically_increasing_id())
+    ends = F.explode(F.array(F.struct(F.col("hi").alias("v"), F.lit(1).alias("s")), F.struct(F.col("lo").alias("v"), F.lit(-1).alias("s"))))
+    ends = open_.select(*g, "_id", ends.alias("e")).select(*g, "_id", "e.v", "e.s").join(cuts, g)
+    ends = ends.withColumn("_b", count_less(F.col("_edges"), F.col("v"), buckets).cast("int")).drop("_edges")
+    per = counted.groupBy(*g, "_b").agg(F.sum("w").alias("_n"))
+    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*g, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rows = counted.select(*g, "_b", "v", "w", F.lit(None).cast("long").alias("_id"), F.lit(0).alias("s")).unionByName(
+        ends.select(*g, "_b", "v", F.lit(0).cast("long").alias("w"), "_id", "s"))
+
+    def run(table: pa.Table) -> pa.Table:
+        v, w, s = (table.column(c).to_numpy() for c in ("v", "w", "s"))
+        value = s == 0
+        order = np.argsort(v[value], kind="stable")
+        at, upto = v[value][order], np.concatenate(([0], np.cumsum(w[value][order])))
+        hi, lo = s == 1, s == -1
+        n = np.concatenate((upto[np.searchsorted(at, v[hi], "left")], -upto[np.searchsorted(at, v[lo], "right")]))
+        ids = table.column("_id").to_numpy(zero_copy_only=False)
+        ids = np.concatenate((ids[hi], ids[lo])).astype(np.int64)
+        sign = np.concatenate((np.ones(int(hi.sum()), np.int64), -np.ones(int(lo.sum()), np.int64)))
+        keys = [pa.array([table.column(c)[0].as_py()] * len(n), table.schema.field(c).type) for c in [*g, "_b"]]
+        return pa.table([*keys, pa.array(ids), pa.array(n.astype(np.int64)), pa.array(sign)], names=[*g, "_b", "_id", "n", "s"])
+
+    schema = StructType([*(f for f in counted.schema.fields if f.name in g), StructField("_b", IntegerType()), *(StructField(c, LongType()) for c in ("_id", "n", "s"))])
+    read = rows.groupBy(*g, "_b").applyInArrow(run, schema)
+    read = read.join(maybe_broadcast(per, n_keys * buckets), [*g, "_b"], "left")
+    m = read.groupBy("_id").agg(F.sum(F.col("n") + F.col("s") * F.coalesce("_off", F.lit(0))).alias("m"))
+    return open_.drop("m", "lo", "hi").join(m, "_id").select(*g, "_nc", "_k", "m", "w")
 
 
 def _steady(mi: Column) -> Column:
@@ -219,7 +306,6 @@ def rank_features(mi: DataFrame, by: list[str] | None = None) -> dict:
 def mi_brute_force(values, labels, k: int = 3) -> float:
     """Reference O(n^2) estimator on the driver, for tests on small fixtures
     (values already scaled, no noise)."""
-    import numpy as np
     x = np.asarray(values, dtype=float)
     y = np.asarray(labels)
     n_c = {c: int((y == c).sum()) for c in np.unique(y)}

@@ -51,3 +51,32 @@ def test_scale_of_a_feature_does_not_matter(spark):
     df = spark.createDataFrame(rows, "row_id long, label int, features array<double>")
     big = df.withColumn("features", F.transform("features", lambda x: x * 1024))
     assert _mi(df, tie_noise=False) == _mi(big, tie_noise=False)
+
+
+def test_counted_values_match_brute_force(spark):
+    """Mostly equal values, rare classes whose balls cross many buckets, a
+    class of one row; any number of buckets gives the same."""
+    from softgrove.operators.rank import mi_brute_force
+    rng = np.random.default_rng(8)
+    label = np.r_[rng.choice(4, 500, p=[0.6, 0.3, 0.09, 0.01]), [7]]
+    cols = [np.where(rng.random(501) < 0.9, 1.0, rng.normal(size=501)), rng.normal(size=501) + label, rng.integers(0, 6, 501).astype(float),
+            np.exp(4 * rng.normal(size=501)), np.zeros(501)]
+    rows = [(i, int(label[i]), [float(c[i]) for c in cols]) for i in range(501)]
+    df = spark.createDataFrame(rows, "row_id long, label int, features array<double>")
+    for k in (1, 3):
+        want = {f: mi_brute_force(c, label, k) for f, c in enumerate(cols)}
+        for buckets in (1, 2, 9):
+            got = _mi(df, tie_noise=False, k=k, buckets=buckets)
+            assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want), (k, buckets)
+
+
+def test_a_shared_value_is_one_row_of_its_bucket(spark, monkeypatch):
+    """Rows that a task gets don't grow with the repeats of a value."""
+    from softgrove.operators import rank
+    sizes = []
+    plain = rank._counts_in_balls
+    monkeypatch.setattr(rank, "_counts_in_balls", lambda counted, *a: (sizes.append(counted.count()), plain(counted, *a))[1])
+    for repeats in (10, 1000):
+        df = spark.range(repeats + 50).selectExpr("id AS row_id", "CAST(id % 2 AS INT) AS label", f"array(IF(id < {repeats}, 0D, CAST(id - {repeats} AS DOUBLE))) AS features")
+        _mi(df, tie_noise=False)
+    assert sizes[0] == sizes[1] == 2 + 49
