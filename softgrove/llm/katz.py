@@ -40,6 +40,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -161,15 +162,41 @@ class _Unit:
             yield int(self.part[a]), slice(int(a), int(b))
 
 
-def _units(batches, train_col: str, hot: np.ndarray, parts: int) -> Iterator[tuple[str, pa.RecordBatch, _Unit, np.ndarray]]:
-    """The units of a task, named by partition and place: a task that runs
-    again makes the same ones."""
-    task, k = TaskContext.get().partitionId(), 0
+def _cuts(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """A partition's rows in slices of at most ``limit`` bytes of text (a longer
+    text is one of its own), wherever the batches begin and end."""
+    parts, held = [], 0
     for batch in batches:
-        for step in steps(batch, "text", UNIT_BYTES):
-            train = np.array([bool(x) for x in step.column(train_col).to_pylist()])
-            yield f"{task}-{k}", step, _Unit(step.column("text"), train, hot, parts), train
-            k += 1
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < len(size):
+            before = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, before + limit - held, side="right"))
+            if to <= at and not parts:
+                to = at + 1
+            if to > at:
+                parts.append(batch.slice(at, to - at))
+                held += int(ends[to - 1]) - before
+                at = to
+            if at < len(size):
+                yield pa.Table.from_batches(parts)
+                parts, held = [], 0
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _units(batches, train_col: str, hot: np.ndarray, parts: int) -> Iterator[tuple[str, pa.Table, _Unit, np.ndarray]]:
+    """The units of a task, named by partition and place: a task that runs
+    again, or reads its rows in other batches, makes the same ones."""
+    task = TaskContext.get().partitionId()
+    for k, step in enumerate(_cuts(batches, UNIT_BYTES)):
+        train = np.array([bool(x) for x in step.column(train_col).to_pylist()])
+        yield f"{task}-{k}", step, _Unit(step.column("text").combine_chunks(), train, hot, parts), train
+
+
+def _check(u: _Unit, s: slice) -> int:
+    """Digest of a part's bigrams, by which both passes over the texts agree."""
+    return int(np.bitwise_xor.reduce(_mix(u.word[s] ^ _mix(u.before[s]))))
 
 
 # ---------------------------------------------------------------------------
@@ -191,8 +218,8 @@ class _Counts:
 def _added(rows: Iterable) -> _Counts:
     units, arrays = [], []
     for r in rows:
-        units.append((r[0], r[1]))
         d = _unpack(r[2])
+        units.append((r[0], r[1], d["check"]))
         arrays.append((np.repeat(d["word"], d["size"]), d["before"], d["trained"]))
     none = np.zeros(0, np.uint64)
     word = np.concatenate([a[0] for a in arrays]) if arrays else none
@@ -309,7 +336,7 @@ def _to_histories(t: Totals, parts: int):
             yield int(k), "sums", _pack(h=h[own], count=_narrow(sums[0][own].astype(np.int64)), kept=sums[1][own], p=sums[2][own])
         # one row for each partition of the backoff table, for all units together
         asked: dict[str, list] = {}
-        for (unit, _), of in zip(c.units, c.of):
+        for (unit, _, _), of in zip(c.units, c.of):
             asked.setdefault(unit, []).append(c.before[of[c.count[of] == 0]])
         asked = {unit: np.unique(np.concatenate(h)) for unit, h in asked.items()}
         who = np.repeat(np.arange(len(asked)), [len(h) for h in asked.values()])
@@ -326,10 +353,10 @@ def _counts_back(t: Totals):
     def run(rows):
         c = _added(rows)
         total = _with_hot(c, t)
-        for (unit, part), of in zip(c.units, c.of):
+        for (unit, part, check), of in zip(c.units, c.of):
             name = c.name_of[of]
             first = np.flatnonzero(np.diff(name, prepend=-1))
-            yield unit, "counts", part, _pack(pair=_narrow(c.count[of]), word=_narrow(total[name[first]]))
+            yield unit, "counts", part, _pack(check=check, pair=_narrow(c.count[of]), word=_narrow(total[name[first]]))
     return run
 
 
@@ -384,6 +411,8 @@ def _scored(rows: pd.DataFrame, t: Totals, id_name: str) -> pd.DataFrame:
     for part in sorted(by["texts"]):
         d = _unpack(by["texts"][part][0])
         c = _unpack(by["counts"][part][0])
+        if c["check"] != d["check"]:
+            raise RuntimeError("the two passes over the texts read different rows; store the documents before scoring them")
         pair = c["pair"].astype(np.int64)
         word = np.repeat(c["word"].astype(np.int64), d["size"])
         is_end = np.repeat(d["end"], d["size"])
@@ -444,7 +473,7 @@ def score_corpus(documents: DataFrame, train: Column, id_col: str = "doc_id", te
             for part, s in u.parts():
                 word, count = np.unique(u.word[s], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "unit": [unit], "blob": [
-                    _pack(word=word, size=_narrow(count), before=u.before[s], trained=_narrow(u.trained[s]))]})
+                    _pack(check=_check(u, s), word=word, size=_narrow(count), before=u.before[s], trained=_narrow(u.trained[s]))]})
 
     table = docs.mapInArrow(sent, "part int, unit string, blob binary").repartition(parts, "part").select("unit", "part", "blob").rdd
     zero = (np.zeros(K + 3, np.int64), np.zeros(K + 3, np.int64), 0, 0, {})
@@ -465,7 +494,7 @@ def score_corpus(documents: DataFrame, train: Column, id_col: str = "doc_id", te
                 word, count = np.unique(u.word[s], return_counts=True)
                 # histories only where a bigram could be unseen
                 new = u.before[s][u.trained[s] == 0]
-                rows.append((part, _pack(size=_narrow(count), end=word == END, posts=_narrow(u.post_size[s]), row=_narrow(u.post_row[a:b]),
+                rows.append((part, _pack(check=_check(u, s), size=_narrow(count), end=word == END, posts=_narrow(u.post_size[s]), row=_narrow(u.post_row[a:b]),
                                          count=_narrow(u.post_count[a:b]), maybe=np.flatnonzero(u.trained[s] == 0).astype(np.uint32), before=new)))
             for part, blob in rows:
                 yield pa.RecordBatch.from_pydict({"unit": [unit], "kind": ["texts"], "part": pa.array([part], pa.int32()), "blob": [blob]})

@@ -198,3 +198,32 @@ def test_query_beats_its_base_on_held_out_texts(spark):
     from softgrove.llm.queries import op4_katz
     out = op4_katz(spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.max("train_tokens")).first()
     assert out[0] > 0.75 * out[1] and out[2] > 100_000
+
+
+def test_scores_do_not_depend_on_arrow_batches(spark, monkeypatch):
+    """Units are cut by bytes, also where batches of rows end within them."""
+    monkeypatch.setattr(katz, "UNIT_BYTES", 3000)
+    monkeypatch.setattr(katz, "PART_BYTES", 3000)
+    rng = random.Random(14)
+    rows = [(t, k % 4 > 0) for k, t in enumerate([*odd_texts(rng), *(sentence(rng, rng.randint(1, 60)) for _ in range(200))])]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (7, 1000, 10_000):
+            spark.conf.set(size, n)
+            check_scores(spark, rows)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_units_are_cut_by_bytes():
+    import pyarrow as pa
+    texts = ["a" * n for n in (5, 0, 3, 30, 2, 2, 9, 1, 1, 12, 0)] + [None]
+    table = pa.table({"text": texts})
+    want = None
+    for size in (1, 2, 5, 100):
+        got = [t.column("text").to_pylist() for t in katz._cuts(table.to_batches(max_chunksize=size), 10)]
+        assert sum(got, []) == texts
+        want = want or got
+        assert got == want
+    assert max(sum(len(t or "") for t in g) for g in want if len(g) > 1) <= 10
