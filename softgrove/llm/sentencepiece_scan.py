@@ -15,8 +15,9 @@ max-plus algebra, the only finite one, is the encoding.
 * No piece goes on from another character into a white-space mark, nor over a
   character that is in no piece, so between such places paths are
   independent: the words between are encoded once and remembered (a bounded
-  memory), and a state there is the single state "cut". Chunks end there
-  if they can.
+  memory that keeps the most used), and a state there is the single state
+  "cut". Chunks end at fixed places, mostly inside a word, where several
+  pieces can cover the end.
 
 Texts of up to ``GIANT`` characters are one chunk from cut to cut and are
 encoded in a map. Longer ones are normalised, dealt out as chunks over the
@@ -36,6 +37,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -54,7 +56,9 @@ GIANT = 1 << 15
 CHUNK = 1 << 13
 #: Chunks whose matrices are multiplied in one task.
 RUN = 64
-#: Words and pairs of pieces that a worker remembers.
+#: Words that a worker remembers.
+WORDS = 1 << 19
+#: Pairs of pieces that a worker remembers.
 MEMORY = 1 << 18
 #: Characters of a word that is walked together with others.
 TOGETHER = 48
@@ -121,16 +125,22 @@ class Encoder:
         self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.memo: dict[str, int] = {}
         self.flat, self.begin = array("i"), array("q", [0])
+        #: how often each remembered word was asked for
+        self.uses = np.zeros(0, dtype=np.int64)
 
     def _forget(self, but: set[str]) -> None:
-        """Empties a full memory but for the words in hand: those that are
-        frequent are among them."""
-        had, flat, begin = self.memo, self.flat, self.begin
+        """Lessens a full memory to the words in hand and the quarter of it
+        that was used most."""
+        had, flat, begin, uses = self.memo, self.flat, self.begin, self.uses
         self.memo, self.flat, self.begin = {}, array("i"), array("q", [0])
-        for w in but:
-            k = had.get(w)
-            if k is not None:
-                self._remember(w, flat[begin[k]:begin[k + 1]])
+        words = np.array(list(had), dtype=object)
+        uses = np.concatenate((uses, np.zeros(max(0, len(words) - len(uses)), dtype=np.int64)))[:len(words)]
+        often = set(np.argsort(-uses, kind="stable")[:WORDS // 4].tolist())
+        kept = [k for k, w in enumerate(words) if k in often or w in but]
+        for k in kept:
+            self._remember(words[k], flat[begin[k]:begin[k + 1]])
+        # what was used long ago counts for less
+        self.uses = uses[kept] // 2
 
     def _remember(self, word: str, ids) -> None:
         self.flat.extend(ids)
@@ -313,7 +323,7 @@ class Encoder:
         return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMORY:
+        if len(self.memo) > WORDS:
             self._forget(words)
         new = words.difference(self.memo)
         known = self.letters.keys()
@@ -327,25 +337,24 @@ class Encoder:
         for w in new.difference(together):
             self._remember(w, self.path(w))
 
-    def remembered(self, text: str) -> list[int]:
-        """Ids of a text from cut to cut."""
-        words = self.words.findall(text)
-        self._learn(set(words))
-        memo, flat, begin = self.memo, self.flat, self.begin
-        return [i for w in words for i in flat[begin[memo[w]]:begin[memo[w] + 1]]]
-
     def encode_all(self, texts: list[str | None]) -> pa.Array:
         """Ids of each text, encoded as one chunk from cut to cut."""
-        per = [self.words.findall(normalise(t or "")) for t in texts]
+        return self.encode_normal([normalise(t or "") for t in texts])
+
+    def encode_normal(self, texts: list[str]) -> pa.Array:
+        """The same of normalised texts, or stretches of one between cuts."""
+        per = [self.words.findall(t) for t in texts]
         self._learn({w for ws in per for w in ws})
-        memo = self.memo
-        word = np.fromiter((memo[w] for ws in per for w in ws), dtype=np.int64)
+        size = np.fromiter(map(len, per), dtype=np.int64, count=len(per))
+        word = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(per)), dtype=np.int64, count=int(size.sum()))
+        used = np.bincount(word, minlength=len(self.memo))
+        used[:len(self.uses)] += self.uses
+        self.uses = used
         begin = np.array(self.begin, dtype=np.int64)
-        size = begin[word + 1] - begin[word]
-        ids = _gather(np.frombuffer(self.flat, dtype=np.int32).copy(), begin[word], size)
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ends = upto[np.concatenate(([0], np.cumsum([len(ws) for ws in per], dtype=np.int64)))]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        many = begin[word + 1] - begin[word]
+        ids = _gather(np.frombuffer(self.flat, dtype=np.int32).copy(), begin[word], many)
+        upto = np.concatenate(([0], np.cumsum(many)))
+        return pa.ListArray.from_arrays(pa.array(upto[np.concatenate(([0], np.cumsum(size)))], pa.int32()), pa.array(ids, pa.int32()))
 
     # -- chunks of a giant text; a chunk sees ``longest`` characters around it
 
@@ -418,31 +427,31 @@ class Encoder:
                 out[:, k] = found[state][0]
         return out
 
-    def backtrace(self, text: str, a: int, b: int, begin_cut: bool, end_cut: bool, first: int, last: int) -> list[int]:
-        """Ids of the pieces that begin in text[a:b] on the path between a
-        state at ``a`` and one at ``b``."""
+    def backtrace(self, text: str, a: int, b: int, begin_cut: bool, end_cut: bool, first: int, last: int) -> list[list[int] | str]:
+        """The path of the pieces that begin in text[a:b] between a state at
+        ``a`` and one at ``b``: ids, and stretches of words between cuts."""
         entry = self.states(text, a, begin_cut)[first]
         state = self.states(text, b, end_cut)[last]
         trail = self.paths(text, a, b, [entry], end_cut)[state][1]
-        out: list[list[int]] = []
+        out: list[list[int] | str] = []
         while trail is not None:
             trail, what, start, end = trail
-            if what == "words":
-                out.append(self.remembered(text[start:end]))
-            else:
-                out.append(self.emit(what, text[start:end]))
-        return [i for ids in reversed(out) for i in ids]
-
-    def chunk_ends(self, text: str, chunk: int = CHUNK) -> list[int]:
-        """Ends of the chunks of a normalised text, at cuts where the last
-        quarter of a chunk has one."""
-        out, at = [], 0
-        while at < len(text):
-            end = min(at + chunk, len(text))
-            if end < len(text):
-                end = next((p for p in range(end, end - chunk // 4, -1) if self.is_cut(text, p)), end)
-            out.append(end)
-            at = end
+            out.append(text[start:end] if what == "words" else self.emit(what, text[start:end]))
+        return out[::-1]
+
+    def ids_of(self, paths: list[list[list[int] | str]]) -> list[np.ndarray]:
+        """Ids along backtraced paths; the words of all are encoded together."""
+        words = self.encode_normal([x for path in paths for x in path if isinstance(x, str)])
+        values, offsets, k, out = words.values.to_numpy(), words.offsets.to_numpy(), 0, []
+        for path in paths:
+            ids = [np.zeros(0, dtype=np.int32)]
+            for x in path:
+                if isinstance(x, str):
+                    ids.append(values[offsets[k]:offsets[k + 1]])
+                    k += 1
+                else:
+                    ids.append(np.array(x, dtype=np.int32))
+            out.append(np.concatenate(ids))
         return out
 
 
@@ -473,7 +482,7 @@ def _chunk_rows(sent, chunk: int):
         for batch in batches:
             for key, raw in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 text = normalise(raw)
-                ends = encoder.chunk_ends(text, chunk)
+                ends = [*range(chunk, len(text), chunk), len(text)]
                 for lot in range(0, len(ends), 256):
                     rows = []
                     for no in range(lot, min(lot + 256, len(ends))):
@@ -561,8 +570,10 @@ def _giant_ids(texts: DataFrame, sent, chunk: int) -> DataFrame:
     def trace(frames):
         encoder = Encoder.of(sent.value)
         for df in frames:
-            ids = [encoder.backtrace(r.text, r.a, r.b, r.begin_cut, r.end_cut, r.first, r.last) for r in df.itertuples()]
-            yield pd.DataFrame({"key": df["key"], "no": df["no"], "ids": ids})
+            for at in range(0, len(df), 256):
+                part = df.iloc[at:at + 256]
+                paths = [encoder.backtrace(r.text, r.a, r.b, r.begin_cut, r.end_cut, r.first, r.last) for r in part.itertuples()]
+                yield pd.DataFrame({"key": part["key"].values, "no": part["no"].values, "ids": encoder.ids_of(paths)})
 
     parts = rows.join(states, ["key", "no"]).mapInPandas(trace, "key string, no int, ids array<int>")
     return parts.groupBy("key").agg(F.flatten(F.transform(

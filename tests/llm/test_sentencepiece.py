@@ -3,6 +3,7 @@ import random
 import sys
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -28,9 +29,9 @@ def test_ids_are_the_library_s(text):
     assert ENCODER.encode_all([text, None]).to_pylist() == [LIBRARY.encode(text), []]
 
 
-def scan(text, chunk):
+def scan(text, chunk, sizes=None):
     t = sp.normalise(text)
-    ends, rows = ENCODER.chunk_ends(t, chunk), []
+    ends, rows = [*range(chunk, len(t), chunk), len(t)], []
     for no, b in enumerate(ends):
         a = ends[no - 1] if no else 0
         lo, hi = max(0, a - ENCODER.longest - 1), min(len(t), b + ENCODER.longest + 1)
@@ -43,7 +44,10 @@ def scan(text, chunk):
         right = m if right is None else sp.product(m, right)
     assert left.tolist() == right.tolist() == [[0.0]]
     last = sp._scan(matrices, 0, 0)
-    return [i for r, x, y in zip(rows, [0, *last[:-1]], last) for i in ENCODER.backtrace(*r, x, y)]
+    if sizes is not None:
+        sizes += [m.shape for m in matrices]
+    ids = ENCODER.ids_of([ENCODER.backtrace(*r, x, y) for r, x, y in zip(rows, [0, *last[:-1]], last)])
+    return [int(i) for part in ids for i in part]
 
 
 @settings(max_examples=150, deadline=None)
@@ -53,8 +57,18 @@ def test_chunks_give_the_library_s_ids(text, chunk):
     assert scan(text, chunk) == LIBRARY.encode(text)
 
 
+def test_most_matrices_of_a_long_text_have_several_states():
+    """Chunks of prose end inside words; states there decide the path."""
+    texts = [r[0] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pandas().itertuples(index=False)]
+    sizes = []
+    for text in sorted(texts, key=len)[-4:]:
+        assert scan(text, 997, sizes) == LIBRARY.encode(text)
+    assert sum(n > 1 or m > 1 for n, m in sizes) > 0.8 * len(sizes)
+
+
 def test_memory_forgets_and_still_encodes(monkeypatch):
     monkeypatch.setattr(sp, "MEMORY", 50)
+    monkeypatch.setattr(sp, "WORDS", 50)
     encoder = sp.Encoder(TABLE)
     rng = random.Random(1)
     for _ in range(20):
