@@ -6,12 +6,16 @@
    notices, menus or reader comments are left out. A name does so by its last
    word that isn't a word for a box ("post-comments", "ad-box", but neither
    "no-comments" nor "related-work"). Names decide nothing for article, main
-   and headings, nor (but for adverts) for an element with more than half of
-   the page's text; one of reader comments is left out all the same where the
-   rest of the page has a surge.
+   and headings, nor (but for adverts) for an element with headings and more
+   than half of the page's text, nor where no other text is left; one of
+   reader comments is left out all the same where the rest of the page has a
+   surge. On a page that clearly marks its article (one article or main with
+   text of its own, or one with a surge), names decide for all elements outside
+   it, and inside as long as text other than headings is left.
 2. The text lengths (without link texts) of ``WINDOW`` lines from each line
    on are summed, over lines with text only.
-3. A dive is a window of lines of links only, or a part left out between two
+3. A dive is a window of lines of links only (but not one between two lines of
+   text in the same container), or a part left out between two
    lines that have no element within the body in common (an advert is none).
    The lines between two dives are a block, kept whole if a surge lies in it:
    a line at which such a sum reaches the threshold. Short blocks between two
@@ -70,6 +74,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNNAMED = ARTICLE | HEADINGS | frozenset(("html", "body"))
 #: Elements that lines of all parts of a page have in common.
 PAGE = frozenset(("html", "body"))
+#: Elements that make a line or a list of lines, not a container of text.
+FLOW = HEADINGS | frozenset("""address blockquote br caption dd details dl dt figcaption figure hgroup hr legend li ol optgroup option p pre
+summary table tbody td tfoot th thead tr ul""".split())
 #: Elements whose next one ends them.
 SELF_ENDING = frozenset("p li tr td th dt dd option".split())
 #: Elements without content.
@@ -143,6 +150,10 @@ class Line(NamedTuple):
     shared: bool
     #: The innermost part by name it lies in.
     part: int
+    #: Number of the outermost article or main around it, 0 if there is none.
+    article: int
+    #: Number of the innermost container within the body, 0 if there is none.
+    box: int
 
 
 class Part(NamedTuple):
@@ -159,6 +170,9 @@ def lines(html: str) -> tuple[list[Line], list[Part]]:
     named: list[Part] = []
     parts: list[str] = []
     linked = articles = links = headings = 0
+    article = 0
+    # open containers, and how many there were
+    boxes, n_boxes = [0], 0
     # open elements: name, whether it is left out, whether it is a block within the body, part around it if it is one
     stack: list[tuple[str, bool, bool, int | None]] = []
     is_open: Counter[str] = Counter()
@@ -174,7 +188,8 @@ def lines(html: str) -> tuple[list[Line], list[Part]]:
         nonlocal linked, common, gap
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
         if text:
-            out.append(Line(text, max(0, len(text) - linked), articles > 0, headings > 0, gap, common > 0, part))
+            out.append(Line(text, max(0, len(text) - linked), articles > 0, headings > 0, gap, common > 0, part,
+                            article if articles else 0, boxes[-1]))
             common, gap = level, False
         parts.clear()
         linked = 0
@@ -189,6 +204,8 @@ def lines(html: str) -> tuple[list[Line], list[Part]]:
         links -= name == "a"
         headings -= name in HEADINGS
         level -= block
+        if block and name not in FLOW:
+            boxes.pop()
         common = min(common, level)
 
     at, begun, raw = 0, -1, None
@@ -235,7 +252,11 @@ def lines(html: str) -> tuple[list[Line], list[Part]]:
             part = len(named) - 1
         is_open[tag] += 1
         left_out += aside
+        article += tag in ARTICLE and not articles
         articles += tag in ARTICLE
+        if block and tag not in FLOW:
+            n_boxes += 1
+            boxes.append(n_boxes)
         links += tag == "a"
         headings += tag in HEADINGS
         level += block
@@ -246,22 +267,33 @@ def lines(html: str) -> tuple[list[Line], list[Part]]:
     return out, named
 
 
+def _clear(got: list[Line], window: int, surge: int) -> bool:
+    """Whether the page's mark of an article is one: not of several teasers."""
+    marked = {x.article for x in got if x.inside and x.own and not x.heading}
+    return len(marked) == 1 or bool(marked) and max(_sums([x.own if x.inside else 0 for x in got], window)) >= surge
+
+
 def _without_parts(got: list[Line], named: list[Part], window: int, surge: int) -> list[Line]:
     """The lines that no name leaves out."""
     if not any(x.part >= 0 for x in got):
         return got
-    size = [0] * len(named)
+    clear = _clear([x for x in got if x.part < 0], window, surge)
+    size, title = [0] * len(named), [False] * len(named)
     for x in got:
         if x.part >= 0:
             size[x.part] += x.own
+            title[x.part] |= x.heading
     # inner parts come after the ones around them
     for p in range(len(named) - 1, -1, -1):
         if named[p].outer >= 0:
             size[named[p].outer] += size[p]
+            title[named[p].outer] |= title[p]
     total = sum(x.own for x in got)
+    plain = any(x.own and not x.heading for x in got if x.part < 0)
     out = [False] * len(named)
     for p, (marks, outer) in enumerate(named):
-        out[p] = outer >= 0 and out[outer] or not ADVERTS.isdisjoint(marks) or size[p] * 2 <= total
+        large = size[p] * 2 > total and (title[p] or not plain)
+        out[p] = outer >= 0 and out[outer] or not ADVERTS.isdisjoint(marks) or clear or not large
     comments = [False] * len(named)
     for p, (marks, outer) in enumerate(named):
         comments[p] = outer >= 0 and comments[outer] or not COMMENTS.isdisjoint(marks)
@@ -287,6 +319,20 @@ def _sums(length: list[int], window: int) -> list[int]:
     return [upto[min(k + window, n)] - upto[k] for k in range(n)]
 
 
+def _within(got: list[Line], length: list[int], dives: list[bool]) -> list[int]:
+    """The lengths, with 1 for lines of links between two lines of text that are
+    in one container with them."""
+    out, last = list(length), None
+    for k, x in enumerate(got):
+        if dives[k] or not length[k] and last is not None and x.box != got[last].box:
+            last = None
+        if length[k]:
+            if last is not None and x.box and x.box == got[last].box:
+                out[last + 1:k] = [1] * (k - last - 1)
+            last = k
+    return out
+
+
 def _blocks(length: list[int], dives: list[bool], window: int) -> list[tuple[int, int, bool]]:
     """(first line, line after the last, whether links part it from the block
     before) of each block; ``dives``: whether a block has to end before a line."""
@@ -314,7 +360,7 @@ def _blocks(length: list[int], dives: list[bool], window: int) -> list[tuple[int
 
 def _kept(got: list[Line], length: list[int], dives: list[bool], window: int, surge: int) -> list[tuple[int, int]]:
     """First line and line after the last of what is kept."""
-    blocks = _blocks(length, dives, window)
+    blocks = _blocks(_within(got, length, dives), dives, window)
     # no window reaches beyond its block
     largest = [max(_sums(length[first:end], window)) for first, end, _ in blocks]
     threshold = min(surge, max(largest) / 2)
@@ -344,7 +390,7 @@ def _bounded(got: list[Line], dives: list[bool], window: int, surge: int) -> tup
     """The lines inside the article mark and their dives; None if the largest
     block lies outside."""
     length = [x.own for x in got]
-    blocks = _blocks(length, dives, window)
+    blocks = _blocks(_within(got, length, dives), dives, window)
     sizes: dict[bool, int] = {True: 0, False: 0}
     for first, end, _ in blocks:
         sizes[got[first].inside] = max(sizes[got[first].inside], sum(length[first:end]))

@@ -125,6 +125,56 @@ def test_names_alone_do_not_drop_the_text():
     assert main_text(f'<div class="comments"><p>{LONG}</p></div>') == long
 
 
+BOXES = ("sidebar", "cookie-banner", "footer", "newsletter", "related", "comments", "disclaimer", "consent")
+
+
+def test_a_marked_article_wins_over_named_boxes():
+    """Short and long articles beside and around short and long boxes."""
+    texts = {"Of few words.": "Of few words.", f"{LONG}{LONG}": (LONG + LONG).strip()}
+    for own, want in texts.items():
+        for name in BOXES:
+            for words in ("Short box.", "Words of a box that are not the article's. " * 20):
+                for inner in (f"<p>{words}</p>", f"<h2>Box</h2><p>{words}</p><p>{words}</p>"):
+                    box = f'<div class="{name}">{inner}</div>'
+                    for tag in ("article", "main"):
+                        for page in (f"<body><{tag}><h1>Title</h1><p>{own}</p></{tag}>{box}</body>", f"<body>{box}<{tag}><h1>Title</h1><p>{own}</p></{tag}></body>",
+                                     f"<body><{tag}><h1>Title</h1><p>{own}</p>{box}</{tag}></body>"):
+                            assert main_text(page) == f"Title\n{want}", page
+
+
+def test_named_boxes_on_pages_without_the_mark():
+    for name in BOXES:
+        box = f'<div class="{name}"><p>{"Words of a box that are not the text. " * 20}</p></div>'
+        for own in ("Of few words.", LONG.strip()):
+            assert main_text(f"<body><div><h1>Title</h1><p>{own}</p></div>{box}</body>") == f"Title\n{own}"
+        assert main_text(f"<body>{box}</body>") == ("Words of a box that are not the text. " * 20).strip()
+
+
+def test_links_between_lines_of_one_container_are_no_dive():
+    long = LONG.strip()
+    links = "".join(f'<p><a href="/{k}">Source {k}</a></p>' for k in range(5))
+    listed = "<ul>" + "".join(f'<li><a href="/{k}">Source {k}</a></li>' for k in range(5)) + "</ul>"
+    sources = "\n".join(f"Source {k}" for k in range(5))
+    for middle in (links, listed):
+        for tag in ("div", "section", "article", "main"):
+            assert main_text(f"<body><{tag}><p>{LONG}</p>{middle}<p>Closing words.</p></{tag}></body>") == f"{long}\n{sources}\nClosing words."
+        # in containers of their own, or in none, they part the text
+        assert main_text(f"<body><div><p>{LONG}</p></div>{middle}<div><p>Copyright us</p></div></body>") == long
+        assert main_text(f"<body><p>{LONG}</p>{middle}<p>Copyright us</p></body>") == long
+
+
+def test_sums_choose_where_nothing_is_named():
+    """Without marks and names only surges and dives tell text from the rest."""
+    rng = random.Random(5)
+    for _ in range(60):
+        paragraphs = [sentence(rng, rng.randint(15, 60)) for _ in range(rng.randint(1, 6))]
+        menu = lambda: "<div>" + "".join(f'<div><a href="/{k}">{sentence(rng, 2)}</a></div>' for k in range(rng.randint(4, 9))) + "</div>"
+        page = f"<body>{menu()}<div>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div>{menu()}<div><div>{sentence(rng, 3)}</div></div></body>"
+        assert main_text(page) == "\n".join(paragraphs), page
+        # with a threshold of one character the short line at the end surges too
+        assert main_text(page, surge=1) != main_text(page)
+
+
 def test_markup_and_references():
     cases = {
         None: "", "": "", "   ": "", "plain  text": "plain text", "<p>a<p>b<p>c": "a\nb\nc", "x &lt;b&gt; &amp;amp; &eacute;&#233;&nbsp;y": "x <b> &amp; éé y",
