@@ -277,3 +277,56 @@ def test_early_stopping_follows_the_loss_history(spark):
             assert epoch == len(losses) < 400
             assert fit.stats[t]["stop_epoch"] == epoch and fit.stats[t]["best_epoch"] == best_epoch
             assert fit.stats[t]["best_valid_loss"] == best
+
+
+def _near_brute(rows, asks, k):
+    out = {}
+    for i, c, x in asks:
+        d = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, own, y in rows if own == c and j != i)
+        out[i] = [j for _, j in d[:k]]
+    return out
+
+
+def test_neighbours_by_cells_match_brute_force(spark):
+    """Clusters, a vector that a third of the rows share, a grid with ties;
+    many pivots, cells dealt out in parts."""
+    from softgrove.operators.balance import nearest_in_class
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, [float(v) for v in rng.normal(size=3) + 10 * (i % 4)]) for i in range(150)]
+    rows += [(i, 0, [1.5, 2.0, -1.0]) for i in range(150, 250)]
+    rows += [(i, 1, [float(v) for v in rng.integers(0, 4, 3)]) for i in range(250, 400)]
+    rows += [(i, 2, [float(i), 0.0, 0.0]) for i in range(400, 409)]
+    df = spark.createDataFrame(rows, "row_id long, label int, features array<double>")
+    asks = df.where("row_id % 3 <> 1")
+    for k in (1, 5):
+        want = _near_brute(rows, [r for r in rows if r[0] % 3 != 1], k)
+        for cell_rows in (8192, 40, 7):
+            got = {r.row_id: [x.k for x in r.near] for r in nearest_in_class(df, asks, k, "label", "features", "row_id", cell_rows).collect()}
+            assert got == want, (k, cell_rows)
+
+
+def test_far_cells_are_not_visited():
+    from softgrove.operators.balance import distances, visited_cells
+    rng = np.random.default_rng(1)
+    X = np.concatenate([rng.normal(size=(200, 4)) + 50 * c for c in range(8)])
+    pivots = X[::100]
+    d = np.sqrt(distances(X, pivots))
+    cell, dp = d.argmin(axis=1), d.min(axis=1)
+    own = [np.sort(dp[cell == c]) for c in range(len(pivots))]
+    bound = {"n": np.array([len(o) for o in own]), "lo": np.array([o[0] for o in own]), "hi": np.array([o[-1] for o in own]),
+             "least": np.array([o[:6] for o in own])}
+    go = visited_cells(X, pivots, bound, 5)
+    assert go.sum(axis=1).max() <= 3 and go[np.arange(len(X)), cell].all()
+    near = np.argsort(distances(X, X), axis=1)[:, 1:6]
+    assert go[np.arange(len(X))[:, None], cell[near]].all()
+
+
+def test_smote_of_a_large_class_is_one_join(spark):
+    """10^6 rows: cells of pivots, no union per block of asking rows."""
+    from softgrove.operators.balance import nearest_in_class
+    df = spark.range(1_000_000).selectExpr("id AS row_id", "0 AS label", "array(CAST(id % 1000 AS DOUBLE), CAST(id div 1000 AS DOUBLE)) AS features")
+    out = nearest_in_class(df, df.where("row_id % 1000 < 2"), 5, "label", "features", "row_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Union") == 1
+    got = {r.row_id: [x.k for x in r.near] for r in out.where("row_id IN (0, 500001)").collect()}
+    assert got == {0: [1, 1000, 1001, 2, 2000], 500001: [499001, 500000, 500002, 501001, 499000]}
