@@ -20,7 +20,7 @@ from softgrove.operators.split import stratified_split
 from softgrove.operators.tree import SoftTreeModel, assign_features, focal_loss, score
 from softgrove.plans import table_queries as tq
 from softgrove.plans.trials import summarize_trials
-from softgrove.session import ensure_checkpoint_dir
+from softgrove.session import ensure_checkpoint_dir, materialize
 from softgrove.sources.tables import read_table, read_tables, zip_by_position
 
 R = tq.R
@@ -222,7 +222,7 @@ def q_rebalance_not_needed(spark, sf):
 def q_loo_many_levels(spark, sf):
     """Leave-one-out encoding of the customer of each order."""
     o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("label"))
-    df = stratified_split(o, key="o_orderkey", seed=42)
+    df = materialize(stratified_split(o, key="o_orderkey", seed=42))
     enc = LeaveOneOut(["o_custkey"]).fit(df).transform(df, out_suffix="_enc")
     return enc.select("o_orderkey", "split", _r(F.col("o_custkey_enc"), "enc"))
 

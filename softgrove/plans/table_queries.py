@@ -207,7 +207,7 @@ def q_stratified_split_labels(spark, sf):
 def _docs_labelled(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "lang", "source")
     lb = _t(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    return stratified_split(d.join(lb, "doc_id"), key="doc_id", seed=42)
+    return materialize(stratified_split(d.join(lb, "doc_id"), key="doc_id", seed=42))
 
 
 DOCS_SQL = "(SELECT d.doc_id, d.lang, d.source, l.quality AS label FROM documents d JOIN labels l USING (doc_id))"

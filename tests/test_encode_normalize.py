@@ -97,3 +97,27 @@ def test_normalize_dispatch_and_reuse(spark):
     assert f2.kind == "standard"
     with pytest.raises(ValueError):
         normalize(df, "nope")
+
+
+def test_leave_one_out_by_shuffle_splits_hot_levels(spark, monkeypatch):
+    """A level of a third of all rows, a third without one, many others; with
+    and without groups, the same as by broadcast, and no task gets the level's rows."""
+    from pyspark.sql import functions as F
+
+    from softgrove.operators import _util
+    df = spark.range(6000).selectExpr(
+        "id AS row_id", "CAST(id % 2 + 1 AS INT) AS trial", "CAST((id div 3) % 3 = 0 AS INT) AS label", "IF(id % 5 = 4, 'test', 'train') AS split",
+        "CASE id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN NULL ELSE CONCAT('c', id div 12) END AS c", "id % 700 AS d")
+    for by in ([], ["trial"]):
+        got = []
+        for limit in (2_000_000, 0):
+            monkeypatch.setattr(_util, "BROADCAST_ROW_LIMIT", limit)
+            out = LeaveOneOut(["c", "d"], by=by).fit(df).transform(df, out_suffix="_enc")
+            got.append({r.row_id: (r.c, r.d, r.c_enc, r.d_enc) for r in out.collect()})
+        assert got[0] == got[1] and len(got[0]) == 6000
+    joins = out._jdf.queryExecution().executedPlan().toString()
+    assert "isnull(_hn0" in joins and "_salt" in joins
+    # the key by which rows are dealt: as many rows in one as chance gives
+    model = LeaveOneOut(["c"]).fit(df)
+    dealt = model.transform(df).select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert dealt < 2000
