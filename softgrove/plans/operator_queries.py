@@ -20,7 +20,7 @@ from softgrove.operators.split import stratified_split
 from softgrove.operators.tree import SoftTreeModel, assign_features, focal_loss, score
 from softgrove.plans import table_queries as tq
 from softgrove.plans.trials import summarize_trials
-from softgrove.session import ensure_checkpoint_dir, materialize
+from softgrove.session import materialize, shared_dir
 from softgrove.sources.tables import read_table, read_tables, zip_by_position
 
 R = tq.R
@@ -29,7 +29,7 @@ _t, _r = tq._t, tq._r
 
 def _written(spark: SparkSession, df: DataFrame, **options) -> str:
     """The rows as delimited files in the shared checkpoint folder."""
-    path = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
     df.write.options(**options).csv(path)
     return path
 

@@ -1,5 +1,6 @@
 """Preparation plan: trials -> exact stratified split -> leave-one-out
-encoding -> feature array -> fitted normalization.
+encoding -> feature array -> fitted normalization (-> rebalanced training
+rows, if asked for).
 
 All trials are prepared in ONE plan: each input row is repeated once per
 seed (``explode`` of a literal array, not a join) and ``trial`` is a
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from softgrove.config import EngineConfig
 from softgrove.operators._util import qcol
+from softgrove.operators.balance import oversample_random, oversample_smote
 from softgrove.operators.encode import LeaveOneOut
+from softgrove.operators.labels import minority_share
 from softgrove.operators.normalize import MinMaxNormalizer, QuantileNormalizer, StandardNormalizer
 from softgrove.operators.split import stratified_split
 from softgrove.session import materialize
@@ -31,6 +34,29 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> Column:
     return F.array(*[qcol(c).cast("double") for c in cols]).alias(out)
 
 
+def rebalance_training(df: DataFrame, strategy: str, ratio: float, seed: int = 42) -> DataFrame:
+    """Adds rows of small classes to each trial's training rows, if the
+    smallest class has at most ``ratio / (K - 1)`` of them. A stratified split
+    gives all trials the same class sizes, so one decision holds for all."""
+    train = df.where(F.col("split") == "train")
+    if not minority_share(train, "label", ratio).first()["needs_rebalance"]:
+        return df
+    cls = F.concat_ws(":", F.col("trial").cast("string"), F.col("label").cast("string"))
+    own = train.select("row_id", cls.alias("_class"), "features")
+    if strategy == "smote":
+        more = oversample_smote(own, "_class", "features", "row_id", seed=seed)
+    elif strategy == "random":
+        more = oversample_random(own, "_class", "row_id", seed)
+    else:
+        raise ValueError(f"unknown rebalancing strategy: {strategy}")
+    more = more.where("draw >= 0")
+    seeds = df.select("trial", "seed").distinct()
+    part = F.split("_class", ":")
+    more = more.select(part[0].cast("int").alias("trial"), "row_id", F.lit("train").alias("split"), part[1].cast("int").alias("label"), "features")
+    # as many rows as trials
+    return df.unionByName(more.join(F.broadcast(seeds), "trial").select(*df.columns))
+
+
 def preprocess(df: DataFrame, feature_cols: list[str], categorical: list[str] | None = None,
                label: str = "label", key: str = "row_id", cfg: EngineConfig | None = None,
                seeds=None, materialize_output: bool = True) -> DataFrame:
@@ -65,4 +91,7 @@ def preprocess(df: DataFrame, feature_cols: list[str], categorical: list[str] |
     if materialize_output:
         out = materialize(out)
         split_cache.unpersist()
+    if cfg.rebalance:
+        out = rebalance_training(out, cfg.rebalance, cfg.balance_ratio)
+        out = materialize(out) if materialize_output else out
     return out

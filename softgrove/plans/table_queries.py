@@ -464,9 +464,10 @@ def q_train_epochs(spark, sf):
     return hist.select("epoch", _r(F.col("train_loss"), "train_loss"), _r(F.col("valid_loss"), "valid_loss"))
 
 
-def _train_epochs_sql() -> str:
+def epochs_sql(epochs: int) -> str:
     """The epochs unrolled: forward pass, mean gradient and Adam step of one
-    epoch feed the next one's parameters."""
+    epoch feed the next one's parameters. Tables t0, t1, ... have the losses at
+    the parameters of a0, a1, ..."""
     m = _tree_model()
     p0 = [*m.thresholds.astype(float).tolist(), *m.leaves.astype(float).ravel().tolist()]
     n, feats = len(p0), m.node_features()
@@ -482,7 +483,7 @@ def _train_epochs_sql() -> str:
     lp = ["d0 * d1", "d0 * (1 - d1)", "(1 - d0) * d2", "(1 - d0) * (1 - d2)"]
     grads = ["(1 - d0) * (g0 + g1) - d0 * (g2 + g3)", "(1 - d1) * g0 - d1 * g1", "(1 - d2) * g2 - d2 * g3"]
     grads += [f"l{k} * e{c}" for k in range(4) for c in range(3)]
-    for e in range(TRAIN_EPOCHS + 1):
+    for e in range(epochs + 1):
         ctes.append(f"b{e} AS (SELECT r.*, a.*, " + ", ".join(
             f"1.0 / (1.0 + exp(x{int(feats[i])} - w{i})) AS d{i}" for i in range(3)) + f" FROM r, a{e} a)")
         ctes.append(f"c{e} AS (SELECT *, " + ", ".join(f"{x} AS l{k}" for k, x in enumerate(lp)) + f" FROM b{e})")
@@ -505,9 +506,13 @@ def _train_epochs_sql() -> str:
         moments = ", ".join(f"w{i}, {ADAM_BETA1!r} * m{i} + {1 - ADAM_BETA1!r} * dw{i} AS m{i}, "
                             f"{ADAM_BETA2!r} * v{i} + {1 - ADAM_BETA2!r} * dw{i} * dw{i} AS v{i}" for i in range(n))
         ctes.append(f"a{t} AS (SELECT {', '.join(step)} FROM (SELECT {moments} FROM a{e}, t{e}))")
+    return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+def _train_epochs_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS epoch, round(t{k - 1}.tl, {R}) AS train_loss, round(t{k}.vl, {R}) AS valid_loss "
                               f"FROM t{k - 1}, t{k}" for k in range(1, TRAIN_EPOCHS + 1))
-    return "WITH " + ",\n".join(ctes) + "\n" + rows
+    return epochs_sql(TRAIN_EPOCHS) + "\n" + rows
 
 
 def q_fit_soft_tree(spark, sf):

@@ -88,6 +88,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder for files that several executors read. Raises where
+    a cluster names none."""
+    d = ensure_checkpoint_dir(spark)
+    if not d:
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return d
+
+
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of an expensive intermediate table.
 

@@ -8,10 +8,10 @@ mode a plain cast of ``"?"`` would fail. PERMISSIVE mode keeps the first
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ from softgrove.session import materialize
 def read_table(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
                sep: str = ",", header: bool = False, null_token: str | None = None,
                comment: str | None = None, types: dict[str, str] | None = None,
-               fmt: str = "csv") -> DataFrame:
+               fmt: str = "csv", drop_if: Callable[[], Column] | None = None) -> DataFrame:
     """Read one or more delimited files (stacked in path order) or Parquet.
 
     * ``columns`` without ``header``: headerless file, names given here;
@@ -32,6 +32,9 @@ def read_table(spark: SparkSession, path: str | Sequence[str], columns: Sequence
     * ``null_token``: that text becomes NULL (e.g. ``"?"``).
     * ``comment``: lines starting with it are skipped (a preamble).
     * ``types``: column -> Spark type, converted with ``try_cast``.
+    * ``drop_if``: gives a condition over the text columns; lines for which it
+      holds are skipped (a preamble that no character marks). Lines for
+      which it is NULL stay.
     """
     if fmt == "parquet":
         df = spark.read.parquet(*([path] if isinstance(path, str) else list(path)))
@@ -48,6 +51,8 @@ def read_table(spark: SparkSession, path: str | Sequence[str], columns: Sequence
             reader = reader.option("enforceSchema", True)
     paths = [path] if isinstance(path, str) else list(path)
     df = reader.csv(paths)
+    if drop_if is not None:
+        df = df.where(~F.coalesce(drop_if(), F.lit(False)))
     if types:
         df = df.select(*[(F.trim(qcol(c)).try_cast(types[c]).alias(c) if c in types else qcol(c))
                          for c in df.columns])

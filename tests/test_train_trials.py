@@ -330,3 +330,20 @@ def test_smote_of_a_large_class_is_one_join(spark):
     assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Union") == 1
     got = {r.row_id: [x.k for x in r.near] for r in out.where("row_id IN (0, 500001)").collect()}
     assert got == {0: [1, 1000, 1001, 2, 2000], 500001: [499001, 500000, 500002, 501001, 499000]}
+
+
+def test_preparation_rebalances_training_rows_only(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(i % 10 == 0), float(rng.normal()), float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, label int, a double, b double")
+    plain = preprocess(df, ["a", "b"], seeds=[42, 43])
+    for strategy in ("random", "smote"):
+        out = preprocess(df, ["a", "b"], cfg=EngineConfig(rebalance=strategy), seeds=[42, 43])
+        n = {(r["trial"], r["split"], r["label"]): r["count"] for r in out.groupBy("trial", "split", "label").count().collect()}
+        before = {(r["trial"], r["split"], r["label"]): r["count"] for r in plain.groupBy("trial", "split", "label").count().collect()}
+        for t in (1, 2):
+            assert n[t, "train", 1] == n[t, "train", 0] == before[t, "train", 0] > before[t, "train", 1]
+            assert all(n[t, s, c] == before[t, s, c] for s in ("valid", "test") for c in (0, 1))
+        assert out.columns == plain.columns and out.where("trial = 1 AND seed <> 42").isEmpty()
+    # not needed: as it was
+    assert preprocess(df, ["a", "b"], cfg=EngineConfig(rebalance="random", balance_ratio=0.01), seeds=[42]).count() == 400
