@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from softgrove.llm import decontaminate, language_id, secret_scan, sentencepiece_scan, simhash
 from softgrove.llm.common import held_out, read_table
-from softgrove.session import ensure_checkpoint_dir, ship_package
+from softgrove.session import ensure_checkpoint_dir, shared_dir, ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; between stages the rows
     are written below the session's checkpoint folder."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
