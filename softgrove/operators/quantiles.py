@@ -10,8 +10,11 @@ and no task holds a whole column.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from softgrove.functions.columns import count_less
 from softgrove.operators._util import maybe_broadcast
@@ -46,27 +49,35 @@ def exact_quantiles(long: DataFrame, group: list[str], value: str, parts: int, n
         counted = counted.join(maybe_broadcast(per, n_groups * buckets), [*group, "_b"])
     else:
         counted = counted.withColumn("_b", F.lit(0)).withColumn("_off", F.lit(0))
-    upto = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_e", (F.col("_off") + F.sum("_c").over(upto)).cast("long"))
-    ranked = ranked.withColumn("_s", F.col("_e") - F.col("_c"))
+    keys = [counted.schema[c] for c in group]
 
-    # value x holds the ranks s..e-1; k's lower rank is floor(k (n-1) / parts)
-    def first(rank):
-        """Smallest k whose lower rank reaches ``rank``."""
-        steps = F.col("_n") - 1
-        return (F.when(rank <= 0, F.lit(0))
-                .when(steps == 0, F.lit(parts + 1))
-                .otherwise(F.least(F.floor((rank * parts + steps - 1) / steps), F.lit(parts + 1)))).cast("long")
+    def key_columns(table: pa.Table) -> list[pa.Array]:
+        return [table.column(c).slice(0, 1).combine_chunks() for c in group]
 
-    def ks(a, b):
-        return F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    def piece(table: pa.Table) -> pa.Table:
+        """The values of a bucket at the wanted ranks: for each k that of the
+        rank below the quantile, and that of the next one."""
+        x, c = (table.column(f).to_numpy() for f in ("_x", "_c"))
+        order = np.argsort(x, kind="stable")
+        x, off = x[order], table.column("_off")[0].as_py()
+        upto = off + np.cumsum(c[order])
+        low = np.arange(parts + 1) * (table.column("_n")[0].as_py() - 1) // parts
+        out = []
+        for rank in (low, low + 1):
+            k = np.flatnonzero((rank >= off) & (rank < upto[-1]))
+            out += [pa.array([k], pa.list_(pa.int64())), pa.array([x[np.searchsorted(upto, rank[k], side="right")]], pa.list_(pa.float64()))]
+        return pa.table([*key_columns(table), table.column("_n").slice(0, 1), *out], names=[*group, "_n", "_k0", "_v0", "_k1", "_v1"])
 
-    low = ranked.select(*group, "_n", "_x", F.explode(ks(first(F.col("_s")), first(F.col("_e")))).alias("_k"), F.lit(0).alias("_side"))
-    high = ranked.select(*group, "_n", "_x", F.explode(ks(first(F.col("_s") - 1), first(F.col("_e") - 1))).alias("_k"), F.lit(1).alias("_side"))
-    at = F.col("_k") * (F.col("_n") - 1) / F.lit(parts)
-    both = low.unionAll(high).groupBy(*group, "_k", "_n").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_x"))).alias("_lo"), F.max(F.when(F.col("_side") == 1, F.col("_x"))).alias("_hi"))
-    part = at - F.floor(at)
-    v = F.when(F.col("_hi").isNull() | (part == 0), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part)
-    return (both.select(*group, "_k", v.alias("_v")).groupBy(*group)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("grid")))
+    def joined(table: pa.Table) -> pa.Table:
+        low, high = np.full(parts + 1, np.nan), np.full(parts + 1, np.nan)
+        for to, k, v in ((low, "_k0", "_v0"), (high, "_k1", "_v1")):
+            to[table.column(k).combine_chunks().flatten().to_numpy()] = table.column(v).combine_chunks().flatten().to_numpy()
+        at = np.arange(parts + 1) * (table.column("_n")[0].as_py() - 1) / parts
+        part = at - np.floor(at)
+        grid = np.where(np.isnan(high) | (part == 0), low, low + (high - low) * part)
+        return pa.table([*key_columns(table), pa.array([grid], pa.list_(pa.float64()))], names=[*group, "grid"])
+
+    ranks, values = ArrayType(LongType()), ArrayType(DoubleType())
+    fields = [StructField("_n", LongType()), *(StructField(f, t) for f, t in (("_k0", ranks), ("_v0", values), ("_k1", ranks), ("_v1", values)))]
+    pieces = counted.groupBy(*group, "_b").applyInArrow(piece, StructType([*keys, *fields]))
+    return pieces.groupBy(*group).applyInArrow(joined, StructType([*keys, StructField("grid", values)]))
