@@ -46,9 +46,6 @@ SAMPLE_ROWS = 20_000
 PRECISION = 0.72
 SMOOTHING = 2.0
 STEM = (3, 12)
-#: Terms and near words of clean texts that a model holds at most.
-TERMS = 5_000
-NEIGHBOURS = 100_000
 CONTEXT = 80
 QUOTED = 0.25
 THRESHOLD = 0.3
@@ -279,7 +276,8 @@ def sample_of(documents: DataFrame, labels: DataFrame, text_col: str = "text", i
 
 
 def learn(sample: DataFrame) -> Model:
-    """The model of a bounded sample (text, toxic)."""
+    """The model of a bounded sample (text, toxic): all of its terms that reach
+    ``PRECISION``, and all of its words that are near one."""
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n = sizes.get(True, 0), sum(sizes.values())
     if not n_toxic:
@@ -290,14 +288,14 @@ def learn(sample: DataFrame) -> Model:
     gain = F.col("toxic") * F.log(F.col("rate") / base) + F.col("clean") * F.log((1 - F.col("rate")) / (1 - base))
     found = (_counted(sample, lambda: lambda text: _features(words_of(text)))
              .where((F.col("toxic") > 1) & (rate >= PRECISION)).withColumn("rate", rate)
-             .orderBy(F.desc(F.round(gain, 6)), F.desc(F.length("name")), "name").limit(20 * TERMS).collect())
+             .orderBy(F.desc(F.round(gain, 6)), F.desc(F.length("name")), "name").collect())
     terms: list[tuple[str, bool]] = []
     weight: list[float] = []
     taken: set[str] = set()
     above: set[str] = set()
     for r in found:
         text, stem = r["name"][:-1], r["name"][-1] == "*"
-        if text in above or any(text[:k] in taken for k in range(1, len(text) + 1)) or len(terms) >= TERMS:
+        if text in above or any(text[:k] in taken for k in range(1, len(text) + 1)):
             continue
         terms.append((text, stem))
         weight.append(r.rate)
@@ -318,7 +316,7 @@ def learn(sample: DataFrame) -> Model:
             return out or {"none"}
         return visit
 
-    counts = _counted(sample, near).orderBy(F.desc(F.col("toxic") + F.col("clean")), "name").limit(NEIGHBOURS).collect()
+    counts = _counted(sample, near).collect()
     model = Model(terms, weight)
     once: dict[tuple[int, int], list[int]] = {}
     nothing = [0, 0]
