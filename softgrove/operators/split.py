@@ -6,15 +6,16 @@ class. Per-class quotas use largest remainders (ties: lower class first).
 Within a class, rows are ordered by ``md5("key:seed")`` (then key), so the
 split is deterministic, independent of partitioning, and the same in SQL.
 
-Scale plan (no task ever holds a whole class):
-1. histogram of rows per (group, class, hash prefix) — a map-side-combined
-   aggregate; the prefix width gives about sqrt(class size) buckets;
+Scale plan (no task ever holds a whole class; the input is read twice before
+the split is, and not again by later actions on it):
+1. histogram of rows per (group, class, hash prefix): a map-side-combined
+   aggregate, stored; class sizes are its sums;
 2. a running sum over that small histogram finds, per class, the bucket
    holding the test cut and the validation cut;
 3. only the rows of those (at most two) buckets per class are ranked, which
-   yields the exact cut ``(hash, key)`` per class;
+   yields the exact cut ``(hash, key)`` per class, stored: classes x groups rows;
 4. every row is labelled by comparing its ``(hash, key)`` with the cuts of
-   its class, a broadcast join against a table of classes x groups rows.
+   its class, a broadcast join behind a check of their number.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from softgrove.operators._util import maybe_broadcast
+from softgrove.session import materialize
 
+# Hex digits of the histogram's hash prefix: 65 536 buckets a class.
 PREFIX_HEX = 4
 
 
@@ -75,7 +78,9 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
     seed_col = F.col(seed) if isinstance(seed, str) else F.lit(int(seed))
     keys = by + [label]
 
-    counts_rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
+    hashed = df.withColumn("_h", split_hash(F.col(key), seed_col)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
+    hist = materialize(hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt")))
+    counts_rows = hist.groupBy(*keys).agg(F.sum("_cnt").alias("n")).collect()
     groups: dict[tuple, dict] = {}
     for r in counts_rows:
         if r[label] is None:
@@ -95,10 +100,6 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
     quotas = spark.createDataFrame(quota_rows, schema)
     bound = len(quota_rows)
 
-    width = prefix_width(max(max(c.values()) for c in groups.values()))
-    hashed = df.withColumn("_h", split_hash(F.col(key), seed_col)).withColumn("_b", F.substring("_h", 1, width))
-
-    hist = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(w))
     targets = (hist.join(maybe_broadcast(quotas, bound), keys)
@@ -122,6 +123,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
     cuts = cut_rows.groupBy(*keys).agg(
         F.max(F.when(F.col("which") == "test", F.col("_cut"))).alias("_test_cut"),
         F.max(F.when(F.col("which") == "valid", F.col("_cut"))).alias("_valid_cut"))
+    cuts = materialize(cuts)
 
     pos = F.struct(F.col("_h"), F.col(key).alias("_k"))
     out_col = (F.when(pos <= F.col("_test_cut"), F.lit("test"))
