@@ -9,7 +9,8 @@ probabilities times the leaf matrix ``[2**d, K]``.
 
 Scoring of shallow trees (d <= EXPR_DEPTH_LIMIT) is generated Column
 arithmetic (whole-stage codegen); deeper trees run the numpy kernel below
-on Arrow batches via ``mapInPandas`` with the model broadcast.
+on Arrow batches with the model broadcast, or with ``mode="fold"`` stay in the
+JVM: a fold over arrays of nodes, level by level, with higher-order functions.
 """
 
 from __future__ import annotations
@@ -260,19 +261,45 @@ def _expr_scores(model: SoftTreeModel, features: str) -> Column:
     return F.array(*cls)
 
 
+def _doubles(values) -> Column:
+    """A literal array of doubles."""
+    return F.lit([float(v) for v in values])
+
+
+def _fold_scores(model: SoftTreeModel, features: str) -> Column:
+    """Class-score array by a fold over the tree's levels: the array of a
+    level's probabilities becomes that of the next. The expression grows with
+    the depth, not with the nodes, which are literal arrays."""
+    f = F.col(features)
+    feats = model.node_features()
+    probs = F.array(F.lit(1.0))
+    for lv in range(model.depth):
+        lo, hi = 2 ** lv - 1, 2 ** (lv + 1) - 1
+        # the features that the level's nodes test, less their thresholds
+        own = F.transform(F.lit([int(i) + 1 for i in feats[lo:hi]]), lambda i: F.element_at(f, i))
+        left = F.zip_with(own, _doubles(model.thresholds[lo:hi]), lambda x, t: F.lit(1.0) / (F.lit(1.0) + F.exp(x - t)))
+        probs = F.flatten(F.zip_with(probs, left, lambda p, d: F.array(p * d, p * (F.lit(1.0) - d))))
+    leaves = F.array(*[_doubles(values) for values in model.leaves.T])
+    # the probabilities are made once and bound to a name for all classes
+    return F.transform(F.array(probs), lambda own: F.transform(leaves, lambda values: F.aggregate(
+        F.zip_with(own, values, lambda p, v: p * v), F.lit(0.0), lambda a, x: a + x)))[0]
+
+
 def score(df: DataFrame, model: SoftTreeModel | dict, features: str = "features", out: str = "scores",
           trial_col: str = "trial", mode: str = "auto") -> DataFrame:
     """Add the class-score array. ``model`` is one model or ``{trial: model}``
-    (then rows are matched on ``trial_col``)."""
+    (then rows are matched on ``trial_col``). ``mode``: ``expr`` (generated
+    arithmetic), ``fold`` (both in the JVM), ``numpy``, or ``auto``."""
     single = isinstance(model, SoftTreeModel)
     if mode == "auto":
         mode = "expr" if single and model.depth <= EXPR_DEPTH_LIMIT else "numpy"
-    if mode == "expr":
+    if mode in ("expr", "fold"):
+        made = _expr_scores if mode == "expr" else _fold_scores
         if single:
-            return df.withColumn(out, _expr_scores(model, features))
+            return df.withColumn(out, made(model, features))
         expr = None
         for t, m in model.items():
-            e = _expr_scores(m, features)
+            e = made(m, features)
             expr = F.when(F.col(trial_col) == t, e) if expr is None else expr.when(F.col(trial_col) == t, e)
         return df.withColumn(out, expr)
     return _score_numpy(df, model, features, out, trial_col)

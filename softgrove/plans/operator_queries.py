@@ -177,6 +177,12 @@ def q_tree_depth8(spark, sf):
     return s.select("c_custkey", *[_r(F.col("scores")[c], f"s{c}") for c in range(3)])
 
 
+def q_tree_depth8_fold(spark, sf):
+    """The same without Python workers."""
+    s = score(_customers(spark, sf), _deep_tree(), mode="fold")
+    return s.select("c_custkey", *[_r(F.col("scores")[c], f"s{c}") for c in range(3)])
+
+
 def _deep_sql() -> str:
     order = _deep_tree().node_features()
     assert list(order[:2]) == [1, 0]
@@ -275,6 +281,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quantile_noise": q_quantile_noise,
     "normalize_reuse": q_normalize_reuse,
     "tree_depth8": q_tree_depth8,
+    "tree_depth8_fold": q_tree_depth8_fold,
     "evaluate": q_evaluate,
     "rebalance": q_rebalance,
     "rebalance_not_needed": q_rebalance_not_needed,
@@ -305,6 +312,7 @@ def _sql() -> dict[str, str]:
                             f"round((o_totalprice - a0) * (2.0 / (b0 - a0)) - 1.0, {R}) AS f0, round((o_custkey - a1) * (2.0 / (b1 - a1)) - 1.0, {R}) AS f1 "
                             "FROM orders, f WHERE o_orderstatus <> 'F'"),
         "tree_depth8": _deep_sql() + f"\nSELECT c_custkey, round(s0, {R}) AS s0, round(s1, {R}) AS s1, round(s2, {R}) AS s2 FROM sc",
+        "tree_depth8_fold": _deep_sql() + f"\nSELECT c_custkey, round(s0, {R}) AS s0, round(s1, {R}) AS s1, round(s2, {R}) AS s2 FROM sc",
         "evaluate": _evaluate_sql(),
         "rebalance": "SELECT doc_id, label FROM (" + tq._oversample_sql().replace("quality AS label", "toxic AS label") + ")",
         "rebalance_not_needed": "SELECT doc_id, quality AS label FROM labels",

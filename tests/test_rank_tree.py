@@ -101,3 +101,17 @@ def test_public_gradient_matches_kernel(spark):
     g = gradient(df, m)
     loss, grad = loss_and_grad(X, y, m, 1.0, 2.0)
     assert abs(g["loss"] - loss / 200) < 1e-12 and np.allclose(g["grad"], grad / 200)
+
+
+def test_deep_trees_score_alike_in_the_jvm(spark):
+    """Depth 8 and 11 and several trials' trees; no Python in the plan."""
+    from softgrove.operators.tree import init_model, score
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2 + 1, [float(v) for v in rng.normal(size=5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, trial int, features array<double>")
+    for depth in (1, 8, 11):
+        for model in (init_model(depth, 4, [3, 0, 4, 1, 2], 5), {1: init_model(depth, 4, [0, 1, 2, 3, 4], 1), 2: init_model(depth, 4, [4, 3, 2, 1, 0], 2)}):
+            fold, kernel = score(df, model, mode="fold"), score(df, model, mode="numpy")
+            assert "Arrow" not in fold._jdf.queryExecution().executedPlan().toString()
+            a, b = ({r.row_id: r.scores for r in x.collect()} for x in (fold, kernel))
+            assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-12) for i in a)
