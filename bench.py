@@ -52,13 +52,6 @@ def main():
     timings["score_depth8"] = round(dt, 3)
     extra["score_depth8_rows_per_sec"] = round(n_orders / dt, 1)
 
-    # The same in the JVM.
-    t = time.time()
-    force(score(orders.select("o_orderkey", tq._tree_features_col()), m8, mode="fold"))
-    dt = time.time() - t
-    timings["score_depth8_fold"] = round(dt, 3)
-    extra["score_depth8_fold_rows_per_sec"] = round(n_orders / dt, 1)
-
     # Ten seeded trials on the embeddings, full configuration.
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     df = emb.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("label"),
