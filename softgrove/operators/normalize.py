@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from softgrove.functions.columns import (BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, count_less,
                                          count_less_equal, keyed_gaussian, norm_ppf)
 from softgrove.operators._util import maybe_broadcast, one_row
-from softgrove.operators.quantiles import exact_quantiles
+from softgrove.operators.quantiles import QuantileState, exact_quantiles, quantile_state, read_state
+from softgrove.session import materialize
 
 # Accuracy of the sketch that ``method="approx"`` asks for.
 APPROX_ACCURACY = 100_000
@@ -219,6 +220,34 @@ def _arrow_quantile_transform(df: DataFrame, grids: dict, by: list[str], feature
     return df.mapInArrow(fn, schema)
 
 
+@dataclass
+class QuantileFitState:
+    """What a quantile fit keeps for later rows. ``spread`` holds the standard
+    deviations that the noise is scaled by: those of the first part, so a value
+    gets the same noise whichever part it comes with."""
+
+    by: list[str]
+    values: QuantileState  # by..., pos
+    rows: DataFrame  # by..., n: training rows
+    spread: DataFrame  # by..., pos, _sd
+
+    def merge(self, other: QuantileFitState) -> QuantileFitState:
+        both = self.rows.unionByName(other.rows)
+        rows = both.groupBy(*self.by).agg(F.sum("n").alias("n"))
+        return QuantileFitState(self.by, self.values.merge(other.values), materialize(rows), self.spread)
+
+    def write(self, path: str) -> None:
+        self.values.write(f"{path}/values")
+        self.rows.write.parquet(f"{path}/rows")
+        self.spread.write.parquet(f"{path}/spread")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, by: list[str] | None = None) -> QuantileFitState:
+        by = list(by or [])
+        return cls(by, read_state(spark, f"{path}/values", [*by, "pos"]), spark.read.parquet(f"{path}/rows"),
+                   spark.read.parquet(f"{path}/spread"))
+
+
 class QuantileNormalizer:
     def __init__(self, noise: float = 1e-3, n_quantiles: int = 1000, seed: int = 42,
                  method: str = "exact", by: list[str] | None = None, features: str = "features",
@@ -242,9 +271,7 @@ class QuantileNormalizer:
             # Noise std q / max(std, q) per (group, position), std over the
             # training rows (population std).
             stds = long.groupBy(*by, "pos").agg(F.stddev_pop("x").alias("_sd"))
-            long = long.join(maybe_broadcast(stds, n_groups * max(n_feat, 1)), by + ["pos"])
-            nstd = F.lit(self.noise) / F.greatest(F.col("_sd"), F.lit(self.noise))
-            long = long.withColumn("x", F.col("x") + nstd * keyed_gaussian(self.seed, F.col("pos"), F.col(self.key)))
+            long = self._noisy(long.join(maybe_broadcast(stds, n_groups * max(n_feat, 1)), by + ["pos"]))
         if self.method == "exact":
             grids = exact_quantiles(long.select(*by, "pos", "x"), [*by, "pos"], "x", max(nq - 1, 1), n_groups * max(n_feat, 1))
             if nq == 1:  # a single training row: one grid point
@@ -253,6 +280,14 @@ class QuantileNormalizer:
             probs_col = F.array(*[F.lit(p) for p in probs])
             grids = long.groupBy(*by, "pos").agg(
                 F.percentile_approx(F.col("x"), probs_col, APPROX_ACCURACY).alias("grid"))
+        return self._model(grids, nq, n_groups, n_feat)
+
+    def _noisy(self, long: DataFrame) -> DataFrame:
+        nstd = F.when(F.col("_sd").isNull(), 0.0).otherwise(F.lit(self.noise) / F.greatest(F.col("_sd"), F.lit(self.noise)))
+        return long.withColumn("x", F.col("x") + nstd * keyed_gaussian(self.seed, F.col("pos"), F.col(self.key)))
+
+    def _model(self, grids: DataFrame, nq: int, n_groups: int, n_feat: int) -> ArrayNormalizerModel:
+        by = self.by
         # One row per group with the grids in position order (features x nq doubles).
         params = grids.groupBy(*by).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "grid"))), lambda s: s["grid"]).alias("_grids"))
@@ -261,6 +296,31 @@ class QuantileNormalizer:
         m.n_features = n_feat
         return m
 
+    def state(self, df: DataFrame, train_rows: Column | None = None, base: QuantileFitState | None = None) -> QuantileFitState:
+        """State of the training rows of ``df``, to be merged with others and
+        fitted by ``fit_state``. ``base`` is the state that it will be merged
+        with: its spread scales the noise; values of a group or position that
+        it does not know get none."""
+        train = _train(df, train_rows)
+        rows = materialize(train.groupBy(*self.by).agg(F.count(F.lit(1)).alias("n")))
+        long = _long(train, self.by, self.features, self.key if self.noise > 0 else None)
+        spread = base.spread if base else materialize(long.groupBy(*self.by, "pos").agg(F.stddev_pop("x").alias("_sd")))
+        if self.noise > 0:
+            long = self._noisy(long.join(maybe_broadcast(spread, spread.count()), [*self.by, "pos"], "left"))
+        return QuantileFitState(self.by, quantile_state(long.select(*self.by, "pos", "x"), [*self.by, "pos"], "x"), rows, spread)
+
+    def fit_state(self, state: QuantileFitState, buckets: int | None = None) -> ArrayNormalizerModel:
+        """The exact fit of all rows in ``state``, without reading them."""
+        if self.method != "exact":
+            raise ValueError("a fit from states is exact")
+        n_groups, n_min = state.rows.agg(F.count(F.lit(1)), F.min("n")).first()
+        n_feat = (state.values.summary.agg(F.max("pos")).first()[0] or 0) + 1
+        nq = max(1, min(self.n_quantiles, n_min))
+        grids = state.values.grids(max(nq - 1, 1), buckets)
+        if nq == 1:
+            grids = grids.withColumn("grid", F.slice("grid", 1, 1))
+        return self._model(grids, nq, n_groups, n_feat)
+
 
 class MinMaxNormalizer:
     def __init__(self, low: float = -1.0, high: float = 1.0, by: list[str] | None = None,

@@ -6,21 +6,38 @@ buckets by an approximate sketch of their quantiles, running counts within
 buckets plus the buckets' offsets give each value its ranks, and the wanted
 ranks are read off. The sketch only decides the buckets: results are exact,
 and no task holds a whole column.
+
+``QuantileState`` keeps what a later fit needs when rows are added: the
+counted values and a mergeable KLL summary of each group. States of two parts
+merge without reading either part again, and the merged summaries pick the
+buckets of the exact pass.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from softgrove.functions.columns import count_less
 from softgrove.operators._util import maybe_broadcast
+from softgrove.session import materialize
 
 # Rows of a group per bucket of values.
 BUCKET_ROWS = 1_000_000
+# Size of the stored summaries: ranks within about 0.3 % of a group's rows,
+# some 30 KB a group.
+SUMMARY_K = 1000
+
+
+def _counted(long: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group..., _x, _c): distinct values and their rows."""
+    # an IEEE zero has two signs; they are one value
+    return long.groupBy(*group, (F.col(value) + F.lit(0.0)).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
 
 
 def exact_quantiles(long: DataFrame, group: list[str], value: str, parts: int, n_groups: int,
@@ -30,17 +47,24 @@ def exact_quantiles(long: DataFrame, group: list[str], value: str, parts: int, n
 
     ``n_groups`` bounds the number of groups (for size-checked broadcasts of
     the per-group tables). NULL and NaN values must be filtered out before."""
-    # an IEEE zero has two signs; they are one value
-    counted = long.groupBy(*group, (F.col(value) + F.lit(0.0)).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = _counted(long, group, value)
     sizes = long.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     if buckets is None:
         biggest = sizes.agg(F.max("_n")).first()[0] or 0
         buckets = max(1, -(-biggest // BUCKET_ROWS))
-    counted = counted.join(maybe_broadcast(sizes, n_groups), group)
+    edges = None
     if buckets > 1:
         probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
         edges = long.groupBy(*group).agg(F.array_sort(F.array_distinct(
             F.percentile_approx(value, probs, 10 * buckets))).alias("_edges"))
+    return _grids(counted, sizes, edges, group, parts, n_groups, buckets)
+
+
+def _grids(counted: DataFrame, sizes: DataFrame, edges: DataFrame | None, group: list[str], parts: int, n_groups: int,
+           buckets: int) -> DataFrame:
+    """(group..., grid) of counted values; ``edges`` cut them into buckets."""
+    counted = counted.join(maybe_broadcast(sizes, n_groups), group)
+    if edges is not None:
         counted = counted.join(maybe_broadcast(edges, n_groups * buckets), group).withColumn(
             "_b", count_less(F.col("_edges"), F.col("_x"), buckets)).drop("_edges")
         per = counted.groupBy(*group, "_b").agg(F.sum("_c").alias("_s"))
@@ -81,3 +105,55 @@ def exact_quantiles(long: DataFrame, group: list[str], value: str, parts: int, n
     fields = [StructField("_n", LongType()), *(StructField(f, t) for f, t in (("_k0", ranks), ("_v0", values), ("_k1", ranks), ("_v1", values)))]
     pieces = counted.groupBy(*group, "_b").applyInArrow(piece, StructType([*keys, *fields]))
     return pieces.groupBy(*group).applyInArrow(joined, StructType([*keys, StructField("grid", values)]))
+
+
+@dataclass
+class QuantileState:
+    """What is kept of the values seen so far; two stored tables."""
+
+    group: list[str]
+    counted: DataFrame  # group..., _x, _c
+    summary: DataFrame  # group..., _sketch (KLL), as many rows as groups
+
+    def merge(self, other: QuantileState) -> QuantileState:
+        """The state of both parts' rows; reads the two states only."""
+        if self.group != other.group:
+            raise ValueError(f"states of different groups: {self.group}, {other.group}")
+        g = self.group
+        counted = self.counted.unionByName(other.counted).groupBy(*g, "_x").agg(F.sum("_c").alias("_c"))
+        summary = self.summary.unionByName(other.summary).groupBy(*g).agg(F.kll_merge_agg_double("_sketch").alias("_sketch"))
+        return QuantileState(g, materialize(counted), materialize(summary))
+
+    def grids(self, parts: int, buckets: int | None = None) -> DataFrame:
+        """(group..., grid) as ``exact_quantiles`` of all rows gives it. Sizes
+        and buckets come from the summaries, so the counted values are read
+        once and the rows behind them not at all."""
+        sizes = self.summary.select(*self.group, F.kll_sketch_get_n_double("_sketch").alias("_n"))
+        n_groups, biggest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
+        if buckets is None:
+            buckets = max(1, -(-(biggest or 0) // BUCKET_ROWS))
+        edges = None
+        if buckets > 1:
+            probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+            edges = self.summary.select(*self.group, F.array_sort(F.array_distinct(
+                F.kll_sketch_get_quantile_double("_sketch", probs))).alias("_edges"))
+        return _grids(self.counted, sizes, edges, self.group, parts, n_groups, buckets)
+
+    def write(self, path: str) -> None:
+        """Stores the state under a folder that has none yet."""
+        self.counted.write.parquet(f"{path}/counted")
+        self.summary.write.parquet(f"{path}/summary")
+
+
+def quantile_state(long: DataFrame, group: list[str], value: str) -> QuantileState:
+    """State of the rows of ``long``; missing values must be filtered out
+    before. Summaries are drawn at random inside, so they are stored: a task
+    that runs again reads the same ones. Both are made from the counted
+    values' one shuffle and a map-side combined aggregate."""
+    x = F.col(value).cast("double")
+    summary = long.groupBy(*group).agg(F.kll_sketch_agg_double(x, F.lit(SUMMARY_K)).alias("_sketch"))
+    return QuantileState(list(group), materialize(_counted(long, group, value)), materialize(summary))
+
+
+def read_state(spark: SparkSession, path: str, group: list[str]) -> QuantileState:
+    return QuantileState(list(group), spark.read.parquet(f"{path}/counted"), spark.read.parquet(f"{path}/summary"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from softgrove.config import EngineConfig
+from softgrove.operators.normalize import QuantileFitState, QuantileNormalizer
 from softgrove.operators.split import stratified_split
 from softgrove.operators.train import epoch_job, fit_soft_trees, pack_blocks
 from softgrove.plans import operator_queries as oq
@@ -136,6 +137,20 @@ a AS (SELECT trial, seed, split, label, doc_id FROM s UNION ALL SELECT trial, se
 SELECT CAST(trial AS INTEGER) AS trial, CAST(seed AS INTEGER) AS seed, split, label, count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM a GROUP BY ALL"""
 
 
+def q_quantile_refit(spark, sf):
+    """Quantile fit of the orders in two parts, by price: the first part's
+    state is stored and read back, the second's merged with it, and all orders
+    are normalized by the merged fit."""
+    norm = QuantileNormalizer(noise=0.0, n_quantiles=1000)
+    o = tq._price(spark, sf).withColumn("dear", F.get("features", F.lit(0)) > 150000)
+    path = f"{shared_dir(spark)}/quantiles-{uuid.uuid4().hex}"
+    norm.state(o.where("NOT dear")).write(path)
+    state = QuantileFitState.read(spark, path)
+    state = state.merge(norm.state(o.where("dear"), base=state))
+    out = norm.fit_state(state).transform(o)
+    return out.select(F.col("row_id").alias("o_orderkey"), _r(F.col("features")[0], "z"))
+
+
 #: Name, least improvement, patience, largest number of epochs.
 STOPS = (("patience", 0.5, 3, 50), ("improving", 1e-9, 2, 5), ("some", 4e-3, 2, 6))
 STOP_EPOCHS = 8
@@ -186,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prepare": q_prepare,
     "prepare_rebalanced": q_prepare_rebalanced,
     "early_stopping": q_early_stopping,
+    "quantile_refit": q_quantile_refit,
 }
 
 _SQL = {
@@ -203,5 +219,6 @@ _SQL = {
     "prepare": _prepare_sql(),
     "prepare_rebalanced": _prepare_rebalanced_sql(),
     "early_stopping": _early_stopping_sql(),
+    "quantile_refit": tq._quantile_sql("z"),
 }
 ORACLE_SQL = {k: tq._positive_zero(v) for k, v in _SQL.items()}

@@ -80,3 +80,57 @@ def test_a_shared_value_is_one_row_of_its_bucket(spark, monkeypatch):
         df = spark.range(repeats + 50).selectExpr("id AS row_id", "CAST(id % 2 AS INT) AS label", f"array(IF(id < {repeats}, 0D, CAST(id - {repeats} AS DOUBLE))) AS features")
         _mi(df, tie_noise=False)
     assert sizes[0] == sizes[1] == 2 + 49
+
+
+def _parts_of_rows(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, i % 2, [float(rng.normal()), 0.5 if i % 3 else float(rng.integers(0, 9)), None if i % 11 == 0 else float(i % 7)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, g int, features array<double>").repartition(4)
+    return df, df.where("row_id < 200"), df.where("row_id >= 200 AND row_id < 210"), df.where("row_id >= 210")
+
+
+def _grid_rows(model):
+    return {r.g: [np.array(g) for g in r._grids] for r in model.params.collect()}
+
+
+def test_states_of_parts_merge_to_the_grid_of_the_whole(spark, tmp_path):
+    from softgrove.operators.normalize import QuantileFitState, QuantileNormalizer
+    norm = QuantileNormalizer(noise=0.0, n_quantiles=100, by=["g"])
+    whole, *parts = _parts_of_rows(spark)
+    want = _grid_rows(norm.fit(whole))
+    state = norm.state(parts[0])
+    state.write(str(tmp_path / "state"))
+    state = QuantileFitState.read(spark, str(tmp_path / "state"), ["g"])
+    for part in parts[1:]:
+        state = state.merge(norm.state(part, base=state))
+    assert state.rows.agg(F.sum("n")).first()[0] == 900
+    for buckets in (1, 6):
+        got = _grid_rows(norm.fit_state(state, buckets))
+        assert got.keys() == want.keys()
+        assert all(np.array_equal(a, b) for g in want for a, b in zip(got[g], want[g]))
+
+
+def test_merged_states_with_noise_do_not_depend_on_the_cut(spark):
+    """The first part's spread scales the noise of all rows."""
+    from softgrove.operators.normalize import QuantileNormalizer
+    norm = QuantileNormalizer(noise=1e-3, n_quantiles=50, by=["g"])
+    whole, a, b, c = _parts_of_rows(spark)
+    first = norm.state(a)
+    one = first.merge(norm.state(b.unionByName(c), base=first))
+    two = first.merge(norm.state(b, base=first)).merge(norm.state(c, base=first))
+    x, y = _grid_rows(norm.fit_state(one)), _grid_rows(norm.fit_state(two))
+    assert all(np.array_equal(p, q) for g in x for p, q in zip(x[g], y[g]))
+    plain = _grid_rows(norm.fit(a))
+    same = _grid_rows(norm.fit_state(first))
+    assert all(np.allclose(p, q, atol=1e-12) for g in plain for p, q in zip(plain[g], same[g]))
+
+
+def test_state_of_a_new_group_and_of_no_rows(spark):
+    from softgrove.operators.normalize import QuantileNormalizer
+    norm = QuantileNormalizer(noise=1e-3, n_quantiles=5, by=["g"])
+    df, *_ = _parts_of_rows(spark)
+    first = norm.state(df.where("g = 0"))
+    state = first.merge(norm.state(df.where("g = 1"), base=first)).merge(norm.state(df.where("false"), base=first))
+    new = _grid_rows(norm.fit_state(state))
+    raw = _grid_rows(QuantileNormalizer(noise=0.0, n_quantiles=5, by=["g"]).fit(df))
+    assert all(np.array_equal(p, q) for p, q in zip(new[1], raw[1])) and set(new) == {0, 1}
