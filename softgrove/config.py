@@ -50,6 +50,7 @@ class EngineConfig:
     quantile_method: str = "exact"  # exact | approx
     mi_method: str = "knn"  # knn | binned
     mi_neighbours: int = MI_NEIGHBOURS
+    packed_trials: bool | None = None  # rows kept once for all trials; None: where trials run in batches
     rebalance: str | None = None  # None | random | smote: training rows of small classes
     balance_ratio: float = BALANCE_RATIO
     restore: str = "best"  # best (copy of best weights) | last (reference parity)

@@ -75,10 +75,31 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
     a per-group seed column; ``by`` holds group keys (e.g. ``trial``). Keys
     have to be unique within a group; one that repeats across a cut raises."""
     by = list(by or [])
-    seed_col = F.col(seed) if isinstance(seed, str) else F.lit(int(seed))
     keys = by + [label]
+    cuts, bound = split_cuts(df, label, key, valid_fraction, test_fraction, seed, by)
+    hashed = df.withColumn("_h", split_hash(F.col(key), _seed_col(seed)))
+    return (hashed.join(maybe_broadcast(cuts, bound), keys, "left")
+            .withColumn(out, split_of(F.col("_h"), F.col(key), F.col("_test_cut"), F.col("_valid_cut")))
+            .drop("_h", "_test_cut", "_valid_cut"))
+
+
+def _seed_col(seed: int | str) -> Column:
+    return F.col(seed) if isinstance(seed, str) else F.lit(int(seed))
+
+
+def split_of(h: Column, key: Column, test_cut: Column, valid_cut: Column) -> Column:
+    """The split of a row with hash ``h``, by the cuts of its class."""
+    pos = F.struct(h.alias("_h"), key.alias("_k"))
+    return F.when(pos <= test_cut, F.lit("test")).when(pos <= valid_cut, F.lit("valid")).otherwise(F.lit("train"))
 
-    hashed = df.withColumn("_h", split_hash(F.col(key), seed_col)).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
+
+def split_cuts(df: DataFrame, label: str = "label", key: str = "row_id", valid_fraction: float = 0.2,
+               test_fraction: float = 0.2, seed: int | str = 42, by: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(by..., label, _test_cut, _valid_cut), stored, and its number of rows:
+    steps 1 to 3. A cut is the last (hash, key) of its part, NULL if empty."""
+    by = list(by or [])
+    keys = by + [label]
+    hashed = df.withColumn("_h", split_hash(F.col(key), _seed_col(seed))).withColumn("_b", F.substring("_h", 1, PREFIX_HEX))
     hist = materialize(hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt")))
     counts_rows = hist.groupBy(*keys).agg(F.sum("_cnt").alias("n")).collect()
     groups: dict[tuple, dict] = {}
@@ -123,12 +144,4 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
     cuts = cut_rows.groupBy(*keys).agg(
         F.max(F.when(F.col("which") == "test", F.col("_cut"))).alias("_test_cut"),
         F.max(F.when(F.col("which") == "valid", F.col("_cut"))).alias("_valid_cut"))
-    cuts = materialize(cuts)
-
-    pos = F.struct(F.col("_h"), F.col(key).alias("_k"))
-    out_col = (F.when(pos <= F.col("_test_cut"), F.lit("test"))
-               .when(pos <= F.col("_valid_cut"), F.lit("valid"))
-               .otherwise(F.lit("train")))
-    return (hashed.join(maybe_broadcast(cuts, bound), keys, "left")
-            .withColumn(out, out_col)
-            .drop("_h", "_b", "_test_cut", "_valid_cut"))
+    return materialize(cuts), bound

@@ -16,7 +16,7 @@ from softgrove.operators.split import stratified_split
 from softgrove.operators.train import epoch_job, fit_soft_trees, pack_blocks
 from softgrove.plans import operator_queries as oq
 from softgrove.plans import table_queries as tq
-from softgrove.plans.prepare import preprocess
+from softgrove.plans.prepare import pack_trials, preprocess
 from softgrove.plans.trials import summarize_trials, write_summary, write_trials
 from softgrove.session import shared_dir
 from softgrove.sources.catalog import TableSpec, prepare_table
@@ -102,15 +102,23 @@ def q_prepare(spark, sf):
     return p.select(F.col("row_id").alias("o_orderkey"), "trial", "seed", "split", "label", _r(F.col("features")[0], "f0"), _r(F.col("features")[1], "f1"))
 
 
-def _prepare_sql() -> str:
+def q_prepare_packed(spark, sf):
+    """The same for two seeds, from rows kept once with the splits of both."""
+    o = tq.orders_coded(spark, sf).select(F.col("o_orderkey").alias("row_id"), "label", "o_orderpriority", "o_totalprice")
+    cfg = EngineConfig(normalization="min-max")
+    p = pack_trials(o, ["o_orderpriority", "o_totalprice"], ["o_orderpriority"], cfg=cfg, seeds=[42, 43]).prepare(cfg)
+    return p.select(F.col("row_id").alias("o_orderkey"), "trial", "seed", "split", "label", _r(F.col("features")[0], "f0"), _r(F.col("features")[1], "f1"))
+
+
+def _prepare_sql(trial: int = 1, seed: int = 42) -> str:
     base = f"(SELECT o_orderkey, label, o_orderpriority, CAST(o_totalprice AS DOUBLE) AS price FROM {tq.ORDERS_CODED_SQL})"
-    return f"""WITH s AS (SELECT * FROM {tq.split_sql(base, "o_orderkey", "label", 42)}),
+    return f"""WITH s AS (SELECT * FROM {tq.split_sql(base, "o_orderkey", "label", seed)}),
 st AS (SELECT o_orderpriority AS c, sum(label)::DOUBLE AS t, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1),
 mu AS (SELECT avg(label) AS m FROM s WHERE split = 'train'),
 e AS (SELECT s.*, CASE WHEN n IS NULL OR n <= 1 THEN m WHEN split = 'train' THEN (t - label) / (n - 1) ELSE t / n END AS enc
       FROM s CROSS JOIN mu LEFT JOIN st ON s.o_orderpriority = st.c),
 b AS (SELECT min(enc) AS a0, max(enc) AS b0, min(price) AS a1, max(price) AS b1 FROM e WHERE split = 'train')
-SELECT o_orderkey, CAST(1 AS INTEGER) AS trial, CAST(42 AS INTEGER) AS seed, split, label,
+SELECT o_orderkey, CAST({trial} AS INTEGER) AS trial, CAST({seed} AS INTEGER) AS seed, split, label,
        round((enc - a0) * (2.0 / (b0 - a0)) - 1.0, {R}) AS f0, round((price - a1) * (2.0 / (b1 - a1)) - 1.0, {R}) AS f1 FROM e, b"""
 
 
@@ -199,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summary_sink": q_summary_sink,
     "catalog_recipe": q_catalog_recipe,
     "prepare": q_prepare,
+    "prepare_packed": q_prepare_packed,
     "prepare_rebalanced": q_prepare_rebalanced,
     "early_stopping": q_early_stopping,
     "quantile_refit": q_quantile_refit,
@@ -217,6 +226,7 @@ _SQL = {
                        f"SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS nation, round(CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal ELSE m END, {R}) AS bal, "
                        "CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment ELSE 'NONE' END AS segment, CAST(c_custkey % 2 AS INTEGER) AS label FROM customer, m"),
     "prepare": _prepare_sql(),
+    "prepare_packed": f"SELECT * FROM ({_prepare_sql()}) UNION ALL SELECT * FROM ({_prepare_sql(2, 43)})",
     "prepare_rebalanced": _prepare_rebalanced_sql(),
     "early_stopping": _early_stopping_sql(),
     "quantile_refit": tq._quantile_sql("z"),

@@ -13,7 +13,7 @@ from softgrove.operators.evaluate import evaluate
 from softgrove.operators.rank import mutual_information, rank_features
 from softgrove.operators.train import fit_soft_trees
 from softgrove.operators.tree import choose_depth, init_model
-from softgrove.plans.prepare import preprocess
+from softgrove.plans.prepare import PackedTrials, pack_trials, preprocess
 
 TRIALS_SCHEMA = ("Trial int, Seed int, name string, Depth int, `Optimal Epoch` int, `Train Accuracy` double, "
                  "`Test Accuracy` double, `Train F1 Macro` double, `Test F1 Macro` double, `Train Loss` double, "
@@ -31,8 +31,9 @@ class TrialRun:
 
 # All trials are prepared together (rows repeated once per seed) while
 # rows x features x trials stays within this many values; beyond it, seeds
-# run in batches so the replicated table never exceeds the bound (one seed
-# at a time for the largest inputs).
+# run in batches (one seed at a time for the largest inputs), so that no
+# batch's fits and training cells exceed the bound. The rows of all batches
+# are then kept once, packed, unless the configuration says otherwise.
 TRIAL_BATCH_VALUES = 2_000_000_000
 
 
@@ -51,10 +52,13 @@ def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list
         per_trial = max(1, n_rows * max(1, len(feature_cols)))
         trial_batch = max(1, min(len(seeds), TRIAL_BATCH_VALUES // per_trial))
     rows, models, history, prepared_all = [], {}, [], None
+    packed = None
+    if trial_batch < len(seeds) if cfg.packed_trials is None else cfg.packed_trials:
+        packed = pack_trials(df, feature_cols, categorical, label, key, cfg, seeds)
     for start in range(0, len(seeds), trial_batch):
         batch = seeds[start:start + trial_batch]
         res = _run_batch(df, name, feature_cols, categorical, cfg, label, key, batch, start,
-                         f"{snapshot}/trials-{start + 1}" if snapshot else None)
+                         f"{snapshot}/trials-{start + 1}" if snapshot else None, packed)
         rows += res[0]
         if sink:
             write_trials(spark.createDataFrame(res[0], TRIALS_SCHEMA), sink)
@@ -65,12 +69,15 @@ def run_trials(spark: SparkSession, df: DataFrame, name: str, feature_cols: list
     return TrialRun(trials, summarize_trials(trials), models, history, prepared_all)
 
 
-def _run_batch(df, name, feature_cols, categorical, cfg, label, key, seeds, offset, snapshot=None):
+def _run_batch(df, name, feature_cols, categorical, cfg, label, key, seeds, offset, snapshot=None, packed: PackedTrials | None = None):
     """Trials ``offset + 1 ..`` for ``seeds``: prepare, rank, train, evaluate."""
-    prepared = preprocess(df, feature_cols, categorical, label, key, cfg, seeds)
-    if offset:
-        prepared = prepared.withColumn("trial", F.col("trial") + offset)
     trial_ids = list(range(offset + 1, offset + len(seeds) + 1))
+    if packed is not None:
+        prepared = packed.prepare(cfg, trial_ids)
+    else:
+        prepared = preprocess(df, feature_cols, categorical, label, key, cfg, seeds)
+        if offset:
+            prepared = prepared.withColumn("trial", F.col("trial") + offset)
     # Classes over train + valid + test (codes are contiguous by construction).
     num_classes = prepared.where(F.col("trial") == trial_ids[0]).agg(F.countDistinct("label")).first()[0]
     depth = cfg.depth or choose_depth(len(feature_cols))
