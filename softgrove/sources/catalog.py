@@ -169,6 +169,12 @@ THYROID = ["age", "sex", "on thyroxine", "query on thyroxine", "on antithyroid m
 THYROID_NUMERIC = ["age", "TSH", "T3", "TT4", "T4U", "FTI", "TBG"]
 BANKNOTE = ["variance", "skewness", "curtosis", "entropy", "class"]
 XY_TABLES = ["ISOLET", "letter_recognition", "mnist", "pen_digits", "semeion"]
+# Tables of a public archive that is reached over the network: land a file of
+# the features and one of the target of each, with their header lines.
+LANDED_XY_TABLES = ["WisconsinBreastCancer", "Wine", "Ecoli", "Yeast", "Statlog", "MAGIC", "Fertility",
+                    "user knowledge", "wholesaleCustomer", "HTRU2", "Phishing", "iranian"]
+# Sheets: land them as CSV.
+SHEET_TABLES = {"BIN:Raisins": "Raisins/Raisin_Dataset.csv", "Rice": "Rice/Rice_Cammeo_Osmancik.csv"}
 # ---------------------------------------------------------------------------
 
 # Spambase: 48 word frequencies, 6 character frequencies, 3 capital-run measures.
@@ -262,7 +268,8 @@ CATALOG: dict[str, TableSpec] = {
         "BIN:Banknote Authentication", ["Banknote/data_banknote_authentication.txt"], BANKNOTE, "class"),
     "Spambase": TableSpec("Spambase", ["Spambase/spambase.data"], SPAMBASE, "spam_type"),
     **{name: TableSpec(name, [f"{name}/X_{name}.csv", f"{name}/y_{name}.csv"], None, "class", header=True,
-                       xy=True) for name in XY_TABLES},
+                       xy=True) for name in XY_TABLES + LANDED_XY_TABLES},
+    **{name: TableSpec(name, [path], None, "Class", header=True) for name, path in SHEET_TABLES.items()},
     "Splice": TableSpec("Splice", ["Splice/splice.data"], SPLICE, "One of {n ei ie}", drop=["instance name"],
                         positions=("sequence", 60, SPLICE_POSITIONS), categorical=SPLICE_POSITIONS),
 }

@@ -1,3 +1,4 @@
+import pytest
 import os
 import tempfile
 
@@ -164,3 +165,29 @@ def test_numbers_are_cast_before_modes_and_codes(spark, tmp_path):
     rows = df.orderBy("row_id").collect()
     assert feats == ["v"] and rows[4]["v"] == 0.15  # 0.15 and 0.2 tie; the lower number wins
     assert [r["label"] for r in rows] == [b - 1 for _, b in lines]
+
+
+@pytest.mark.parametrize("name", ["WisconsinBreastCancer", "user knowledge", "iranian"])
+def test_catalog_tables_landed_as_features_and_target(spark, tmp_path, name):
+    from softgrove.sources.catalog import LANDED_XY_TABLES, prepare_table
+    assert name in LANDED_XY_TABLES
+    folder = tmp_path / name
+    folder.mkdir()
+    (folder / f"X_{name}.csv").write_text("a.1,class size\n0.5,2\n,4\n1e-3,6\n")
+    (folder / f"y_{name}.csv").write_text("target\nvery_low\nHigh\nvery_low\n")
+    df, feats, cats = prepare_table(spark, name, str(tmp_path))
+    rows = df.orderBy("row_id").collect()
+    assert feats == ["a.1", "class size"] and cats == []
+    assert [(r["a.1"], r["class size"], r["label"]) for r in rows] == [(0.5, 2.0, 1), (None, 4.0, 0), (0.001, 6.0, 1)]
+
+
+def test_catalog_sheets_landed_as_csv(spark, tmp_path):
+    from softgrove.sources.catalog import CATALOG, SHEET_TABLES, prepare_table
+    assert len(CATALOG) == 53
+    for name, path in SHEET_TABLES.items():
+        file = tmp_path / path
+        file.parent.mkdir()
+        file.write_text("Area,Major Axis,Class\n100,1.5,Kecimen\n90,2.5,Besni\n")
+        df, feats, cats = prepare_table(spark, name, str(tmp_path))
+        assert feats == ["Area", "Major Axis"] and cats == []
+        assert [tuple(r) for r in df.orderBy("row_id").collect()] == [(0, 100.0, 1.5, 1), (1, 90.0, 2.5, 0)]
