@@ -4,9 +4,10 @@ The vector's components are cut into ``lists`` segments; a segment's inner
 product is an entry's score in that segment's local list, and the sum over
 the segments is its score.
 
-1. Every task gathers, from each segment's local list, the entries with the
-   best local scores for each query, and reports the best full scores among
-   them. The (k + 1)-th of all reports is a *safe cutoff* t: no smaller score
+1. Every task gathers local score lists: of each step of its rows one
+   segment's, the segments taking turns, and of these the entries with the best
+   local scores for each query. It resolves them and reports the best full
+   scores. The (k + 1)-th of all reports is a *safe cutoff* t: no smaller score
    can be in the result (one more than k, as the query's own row may be
    among them).
 2. The cutoffs are broadcast. With m segments, an entry that reaches t has a
@@ -16,9 +17,13 @@ the segments is its score.
 3. The scores of the entries left are resolved exactly; each task returns its
    best k + 1 for each query, and these are merged.
 
-Queries are taken in blocks of ``QUERY_BLOCK`` rows, against all rows; a block
-and its cutoffs are all that is broadcast. Components are floor(scale * x);
-products are exact (floats where sums stay below 2^53, else Python integers).
+Up to ``QUERY_BLOCK`` queries are one block, broadcast with its cutoffs. More
+are never collected: equal rows are counted once, queries are cut into blocks
+and rows into shards by their hashes, and both phases run over the grid of
+(block, shard) cells in one job each; a cutoff travels with its query. A row
+counted more than k + 2 times is sent k + 2 times, as no result can hold more of
+its copies. Components are floor(scale * x); products are exact (floats where
+sums stay below 2^53, else Python integers).
 
 Edge cases: vectors that are NULL, empty, or hold NULL, NaN or infinite
 components take no part, nor do rows whose id is NULL; vectors of another
@@ -37,10 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from softgrove.session import materialize
+
 K = 5
 SCALE = 256
 LISTS = 4
 QUERY_BLOCK = 4096
+#: Distinct rows in a shard of the grid.
+SHARD_ROWS = 100_000
 #: Scores that a task holds at a time, per segment.
 CELLS = 1 << 20
 _EXACT = float(1 << 53)
@@ -74,6 +83,13 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q.astype(object) @ c.astype(object).T
 
 
+def _resolved(q: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Exact inner products of each query with its own entries."""
+    top = float(np.abs(q.astype(float)).max()) * float(np.abs(entries.astype(float)).max()) * q.shape[1]
+    kind = np.int64 if top < _EXACT else object
+    return (q.astype(kind)[:, None, :] * entries.astype(kind)).sum(axis=2)
+
+
 def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of the rows of each vector length."""
     v = batch.column("v")
@@ -94,15 +110,14 @@ def _best(ids: np.ndarray, scores: np.ndarray, own: np.ndarray, n: int) -> np.nd
 def _local_lists(batches, queries: list[_Vectors], n_queries: int, k: int):
     """Phase 1: the best full scores known for each query."""
     known: list[np.ndarray] = [np.zeros(0, dtype=object)] * n_queries
-    for _, c, first, qs in _pairs(batches, queries):
-        per = [_products(qs.v[:, s], c[:, s]) for s in qs.parts]
-        total = sum(per[1:], per[0])
+    for step, (_, c, first, qs) in enumerate(_pairs(batches, queries)):
+        part = qs.parts[step % len(qs.parts)]
+        local = _products(qs.v[:, part], c[:, part])
         top = min(k + 1, c.shape[0])
-        # entries that head some segment's local list
-        heads = np.concatenate([np.argpartition(-p, top - 1, axis=1)[:, :top] for p in per], axis=1)
+        heads = np.argpartition(-local, top - 1, axis=1)[:, :top]
+        score = _resolved(qs.v, c[heads])
         for row in range(len(qs.ids)):
-            entries = np.unique(heads[row])
-            own = np.concatenate([known[first + row], total[row, entries]])
+            own = np.concatenate([known[first + row], score[row]])
             known[first + row] = np.sort(own)[::-1][:k + 1]
     rows = [(q, [int(s) for s in x]) for q, x in enumerate(known) if len(x)]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
@@ -129,8 +144,10 @@ def _collect(batches, queries: list[_Vectors], cutoff: list[int | None], k: int)
     query_ids: dict[int, int] = {}
     for ids, c, first, qs in _pairs(batches, queries):
         per = [_products(qs.v[:, s], c[:, s]) for s in qs.parts]
-        t = np.array([_LOWEST if cutoff[first + r] is None else cutoff[first + r] for r in range(len(qs.ids))],
-                     dtype=per[0].dtype)[:, None]
+        # a segment's floats are exact; sums of segments are made of integers
+        kind = object if any(p.dtype == object for p in per) else np.int64
+        lowest = _LOWEST if kind is object else -(1 << 62)
+        t = np.array([lowest if cutoff[first + r] is None else cutoff[first + r] for r in range(len(qs.ids))], dtype=kind)[:, None]
         share = t // len(per)
         seen = per[0] >= share
         for p in per[1:]:
@@ -139,6 +156,7 @@ def _collect(batches, queries: list[_Vectors], cutoff: list[int | None], k: int)
         if not len(row):
             continue
         values = [p[row, col] for p in per]
+        values = [x if x.dtype == object else x.astype(np.int64).astype(kind) for x in values]
         t, share = t[row, 0], share[row, 0]
         bound = sum(np.maximum(v, share) for v in values)
         left = bound >= t
@@ -168,45 +186,97 @@ def _merged(lists_col: str) -> Column:
     return F.sort_array(F.flatten(F.collect_list(lists_col)))
 
 
-def _block(rows: list, lists: int) -> list[_Vectors]:
-    by: dict[int, list] = {}
-    for r in sorted((r.id, list(r.v)) for r in rows):
-        by.setdefault(len(r[1]), []).append(r)
-    return [_Vectors(np.array([i for i, _ in x], dtype=np.int64), np.array([v for _, v in x], dtype=np.int64), lists)
-            for _, x in sorted(by.items())]
+def _block(ids: list, vectors: list, lists: int) -> tuple[list[_Vectors], list[int]]:
+    """The queries by vector length, and their places in the input."""
+    order = sorted(range(len(ids)), key=lambda i: (len(vectors[i]), ids[i], vectors[i]))
+    out = []
+    for n in sorted({len(v) for v in vectors}):
+        own = [i for i in order if len(vectors[i]) == n]
+        out.append(_Vectors(np.array([ids[i] for i in own], dtype=np.int64), np.array([vectors[i] for i in own], dtype=np.int64), lists))
+    return out, order
+
+
+def _ranked(hits: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """The k best of each query's merged hits ``h``, its own row left out."""
+    at = F.array_position(F.transform("h", lambda x: x.other), False).cast("int")
+    others = F.when(at > 0, F.concat(F.slice("h", F.lit(1), at - 1), F.slice("h", at + 1, F.size("h")))).otherwise(F.col("h"))
+    return (hits.select("query_id", *keep, F.posexplode(F.slice(others, 1, k)).alias("p", "x"))
+            .select("query_id", *keep, (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.minus")).alias("score")))
+
+
+def _cutoff(k: int) -> Column:
+    """The (k + 1)-th best of the reports, NULL while there are fewer."""
+    kth = F.element_at(F.slice(F.reverse(_merged("scores")), k + 1, 1), 1)
+    return F.when(F.size(_merged("scores")) > k, kth)
+
+
+_HITS = "array<struct<minus:long,id:long,other:boolean>>"
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K,
-           scale: int = SCALE, lists: int = LISTS, query_block: int = QUERY_BLOCK) -> DataFrame:
+           scale: int = SCALE, lists: int = LISTS, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row for
     which ``is_query`` (over the column ``id``) holds."""
-    sc = vectors.sparkSession.sparkContext
     rows = quantised(vectors, id_col, vec_col, scale)
-    queries = rows.where(is_query)
-    n_blocks = max(1, -(-queries.count() // query_block))
-    # twice the blocks that would do: hashing fills them unevenly
-    n_blocks = 2 * n_blocks if n_blocks > 1 else 1
-    out = None
-    for b in range(n_blocks):
-        own = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)) == b) if n_blocks > 1 else queries
-        block = _block(own.collect(), lists)
-        n = sum(len(x.ids) for x in block)
-        if not n:
-            continue
-        sent = sc.broadcast(block)
-        reports = rows.mapInArrow(lambda it, s=sent, n=n: _local_lists(it, s.value, n, k), "q int, scores array<long>")
-        kth = F.element_at(F.slice(F.reverse(_merged("scores")), k + 1, 1), 1)
-        cutoff: list[int | None] = [None] * n
-        for r in reports.groupBy("q").agg(F.when(F.size(_merged("scores")) > k, kth).alias("t")).collect():
-            cutoff[r.q] = r.t
-        cut = sc.broadcast(cutoff)
-        hits = rows.mapInArrow(lambda it, s=sent, c=cut: _collect(it, s.value, c.value, k),
-                               "q int, query_id long, hits array<struct<minus:long,id:long,other:boolean>>")
-        hits = hits.groupBy("q", "query_id").agg(_merged("hits").alias("h"))
-        at = F.array_position(F.transform("h", lambda x: x.other), False).cast("int")
-        others = F.when(at > 0, F.concat(F.slice("h", F.lit(1), at - 1), F.slice("h", at + 1, F.size("h")))).otherwise(F.col("h"))
-        part = (hits.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("p", "x"))
-                .select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.minus")).alias("score")))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.limit(0).select(
-        F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+    n_queries = rows.where(is_query).count()
+    if n_queries > query_block:
+        return _over_grid(rows, is_query, n_queries, k, lists, query_block, shard_rows)
+    return _one_block(rows, rows.where(is_query), k, lists)
+
+
+def _one_block(rows: DataFrame, queries: DataFrame, k: int, lists: int) -> DataFrame:
+    """All queries, at most a block of them, broadcast to every row."""
+    sc = rows.sparkSession.sparkContext
+    own = queries.collect()
+    block, _ = _block([r.id for r in own], [list(r.v) for r in own], lists)
+    n = len(own)
+    sent = sc.broadcast(block)
+    reports = rows.mapInArrow(lambda it: _local_lists(it, sent.value, n, k), "q int, scores array<long>")
+    cutoff: list[int | None] = [None] * n
+    for r in reports.groupBy("q").agg(_cutoff(k).alias("t")).collect():
+        cutoff[r.q] = r.t
+    cut = sc.broadcast(cutoff)
+    hits = rows.mapInArrow(lambda it: _collect(it, sent.value, cut.value, k), f"q int, query_id long, hits {_HITS}")
+    return _ranked(hits.groupBy("q", "query_id").agg(_merged("hits").alias("h")), k, []).drop("q")
+
+
+def _over_grid(rows: DataFrame, is_query: Column, n_queries: int, k: int, lists: int, query_block: int, shard_rows: int) -> DataFrame:
+    """Any number of queries: one job a phase over (query block, row shard)."""
+    counted = materialize(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies")))
+    blocks, shards = -(-n_queries // query_block), -(-counted.count() // shard_rows)
+    # two numbers of the vector tell a query from others with its id
+    key = F.concat_ws(":", "id", F.xxhash64("v"), F.hash("v"), F.size("v"))
+    dealt = F.xxhash64("id", "v", F.lit(7))
+    queries = counted.where(is_query).select(key.alias("key"), "id", "v", "copies", F.pmod(dealt, F.lit(blocks)).alias("block"))
+    row_side = counted.select(
+        "id", "v", F.pmod(dealt, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
+        F.least("copies", F.lit(k + 2)).cast("int").alias("n"))
+    row_side = row_side.select("id", "v", "shard", "block", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_n")).drop("_n")
+
+    def cells(queries: DataFrame, fn, schema: str) -> DataFrame:
+        each = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        return each.groupBy("block", "shard").cogroup(row_side.groupBy("block", "shard")).applyInArrow(fn, schema)
+
+    def parts(q: pa.Table, r: pa.Table) -> tuple[list[_Vectors], list[int], list[pa.RecordBatch]]:
+        block, order = _block(q.column("id").to_pylist(), q.column("v").to_pylist(), lists)
+        return block, order, r.select(["id", "v"]).combine_chunks().to_batches()
+
+    def lists_of(q: pa.Table, r: pa.Table) -> pa.Table:
+        block, order, batches = parts(q, r)
+        out = next(_local_lists(batches, block, len(order), k))
+        keys = q.column("key").take(pa.array(order, pa.int64())).take(out.column("q"))
+        return pa.table({"key": keys, "scores": out.column("scores")})
+
+    def hits_of(q: pa.Table, r: pa.Table) -> pa.Table:
+        block, order, batches = parts(q, r)
+        own = q.take(pa.array(order, pa.int64()))
+        out = next(_collect(batches, block, own.column("t").to_pylist(), k))
+        own = own.take(out.column("q"))
+        return pa.table({"key": own.column("key"), "query_id": out.column("query_id"), "copies": own.column("copies"), "hits": out.column("hits")})
+
+    cutoffs = cells(queries, lists_of, "key string, scores array<long>").groupBy("key").agg(_cutoff(k).alias("t"))
+    queries = materialize(queries.join(cutoffs, "key", "left"))
+    hits = cells(queries, hits_of, f"key string, query_id long, copies long, hits {_HITS}")
+    best = _ranked(hits.groupBy("key", "query_id", "copies").agg(_merged("hits").alias("h")), k, ["copies"])
+    # every copy of a query is one
+    return best.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_n", "copies")

@@ -41,14 +41,42 @@ def test_matches_brute_force_with_ties_and_odd_vectors(spark):
     rows += [(30, list(rows[30][1])), (30, list(rows[30][1])), (40, list(rows[41][1])), (None, rows[3][1]), (300, None), (310, []), (320, [1.0, None] + [0.0] * 5),
              (330, [float("nan")] * 7), (340, [float("inf")] + [0.0] * 6), (350, [0.5, -0.5]), (351, [1.0, 1.0]), (360, [0.25])]
     want = brute(rows)
-    for options in ({}, {"lists": 1}, {"lists": 7}, {"query_block": 3}):
+    for options in ({}, {"lists": 1}, {"lists": 7}, {"query_block": 3}, {"query_block": 4, "shard_rows": 9}, {"query_block": 20, "shard_rows": 10 ** 6}):
         assert search(spark, rows, **options) == want
 
 
+def test_grid_with_a_row_that_most_rows_repeat(spark):
+    """No shard holds its copies; a query that repeats is as many queries."""
+    rng = random.Random(8)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(4)]) for k in range(40)]
+    rows += [(20, list(rows[20][1]))] * 60 + [(41, list(rows[10][1]))] * 30
+    rng.shuffle(rows)
+    assert search(spark, rows, query_block=2, shard_rows=5) == brute(rows)
+
+
+def test_no_more_products_than_one_list_and_all_scores(spark, monkeypatch):
+    """Phase 1 multiplies one segment of each step and its heads only."""
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(9)
+    v = rng.integers(-256, 256, (4000, 64))
+    done = [0]
+    products, resolved = tk._products, tk._resolved
+    monkeypatch.setattr(tk, "_products", lambda q, c: (done.__setitem__(0, done[0] + q.size * len(c)), products(q, c))[1])
+    monkeypatch.setattr(tk, "_resolved", lambda q, e: (done.__setitem__(0, done[0] + e.size), resolved(q, e))[1])
+    block, _ = tk._block(list(range(80)), v[:80].tolist(), 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(v.tolist(), pa.list_(pa.int64()))], names=["id", "v"])
+    out = next(tk._local_lists([batch], block, 80, 5))
+    assert done[0] < 0.3 * 80 * v.size
+    exact = np.sort(v[:80] @ v.T, axis=1)[:, -6]
+    assert all(x[-1] <= t for x, t in zip(out.column("scores").to_pylist(), exact))
+
+
 def test_large_components_are_exact(spark):
     rng = random.Random(7)
     rows = [(k, [rng.uniform(-1, 1) * 2.0 ** 20 for _ in range(3)]) for k in range(25)]
     assert search(spark, rows) == brute(rows)
+    assert search(spark, rows, query_block=1, shard_rows=4) == brute(rows)
     assert search(spark, [(k, [x * 2.0 ** 3 for x in v]) for k, v in rows]) == brute([(k, [x * 2.0 ** 3 for x in v]) for k, v in rows])
 
 
