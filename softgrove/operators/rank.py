@@ -45,8 +45,9 @@ from softgrove.operators._util import maybe_broadcast
 from softgrove.operators.quantiles import exact_quantiles
 from softgrove.session import materialize
 
-# Counted values (and rows, by which it is set) of a feature in one task.
-KNN_BUCKET_ROWS = 2_000_000
+# Counted values (and rows, by which it is set) of a feature in one task. A
+# task's Python holds some 500 bytes for each.
+KNN_BUCKET_ROWS = 250_000
 
 
 def _long(df: DataFrame, by: list[str], features: str, label: str, key: str) -> DataFrame:
@@ -163,12 +164,14 @@ def _contexts(edges: DataFrame, g: list[str], k: int) -> DataFrame:
     before and the first k in those after, as rows of that bucket."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("_b", "ascending"), ("v", "ascending")])
-        b, w = rows.column("_b").to_numpy(), rows.column("w").to_numpy()
-        first, last = (rows.column(c).to_numpy().astype(bool) for c in ("_first", "_last"))
+        b, w = rows.column("_b").to_numpy(), np.minimum(rows.column("w").to_numpy(), k)
+        first, last = (np.flatnonzero(rows.column(c).to_numpy().astype(bool)) for c in ("_first", "_last"))
         take, to = [], []
         for own in np.unique(b):
-            for side in (np.flatnonzero(last & (b < own))[::-1], np.flatnonzero(first & (b > own))):
-                near = side[np.cumsum(np.minimum(w[side], k)) - np.minimum(w[side], k) < k]
+            # each row holds a copy at least, so k rows of a side will do
+            at, end = np.searchsorted(b[last], own, "left"), np.searchsorted(b[first], own, "right")
+            for side in (last[max(0, at - k):at][::-1], first[end:end + k]):
+                near = side[np.cumsum(w[side]) - w[side] < k]
                 take += near.tolist()
                 to += [own] * len(near)
         out = rows.take(pa.array(take, pa.int64()))
@@ -189,17 +192,23 @@ def _counts_in_balls(counted: DataFrame, g: list[str], k: int, buckets: int, n_k
         cuts = counted.groupBy(*g).agg(F.array_sort(F.array_distinct(F.percentile_approx("v", probs, 10 * buckets))).alias("_edges"))
         cuts = maybe_broadcast(materialize(cuts), n_keys * buckets)
         counted = counted.join(cuts, g).withColumn("_b", count_less(F.col("_edges"), F.col("v"), buckets).cast("int"))
+        # a task needs the edges of its own bucket only; all of them on each
+        # row would be rows x buckets
+        counted = counted.withColumns({"_below": F.get("_edges", F.col("_b") - 1), "_above": F.get("_edges", F.col("_b"))})
         counted = materialize(counted.drop("_edges"))
         edge_schema = StructType([*kept, *(counted.schema[c] for c in ("_b", "_label", "_nc", "v", "w")),
                                   *(StructField(c, BooleanType()) for c in ("_first", "_last"))])
         edges = materialize(counted.withColumn("_own", F.lit(True)).groupBy(*g, "_b").applyInArrow(_edge_copies(g, k), edge_schema))
-        rows = counted.withColumn("_own", F.lit(True)).unionByName(_contexts(edges, g, k).withColumn("_own", F.lit(False)))
-        rows = rows.join(cuts, g)
+        rows = counted.withColumn("_own", F.lit(True)).unionByName(
+            _contexts(edges, g, k).withColumn("_own", F.lit(False)), allowMissingColumns=True)
     else:
-        rows = counted.withColumns({"_b": F.lit(0), "_own": F.lit(True), "_edges": F.array().cast("array<double>")})
+        none = F.lit(None).cast("double")
+        rows = counted.withColumns({"_b": F.lit(0), "_own": F.lit(True), "_below": none, "_above": none})
 
     def run(table: pa.Table) -> pa.Table:
-        cut, b = table.column("_edges")[0].as_py(), table.column("_b")[0].as_py()
+        # the bucket's edges, of which the first and last bucket have one
+        below, above = (table.column(c).drop_null()[:1].to_pylist() for c in ("_below", "_above"))
+        cut, b = below + above, len(below)
         label, v, w, nc, own, _ = _class_order(table)
         ki, r, lo, hi = (x[own] for x in ball_ends(label, v, w, nc, k))
         v, w, nc = v[own], w[own], nc[own]
@@ -210,9 +219,12 @@ def _counts_in_balls(counted: DataFrame, g: list[str], k: int, buckets: int, n_k
                      upto[np.searchsorted(at, hi, "left")] - upto[np.searchsorted(at, lo, "right")])
         here = zero | ((np.searchsorted(cut, lo, "left") == b) & (np.searchsorted(cut, hi, "left") == b))
         # rows with equal counts are added up; the others keep their ends
-        found, of = np.unique(np.stack([nc[here], ki[here], m[here]]), axis=1, return_inverse=True)
-        total = np.zeros(found.shape[1], dtype=np.int64)
-        np.add.at(total, of.ravel(), w[here])
+        found = np.stack([nc[here], ki[here], m[here]])
+        order = np.lexsort(found[::-1])
+        found = found[:, order]
+        new = np.flatnonzero(np.append(found.shape[1] > 0, (found[:, 1:] != found[:, :-1]).any(axis=0)))
+        total = np.add.reduceat(w[here][order], new) if len(new) else np.zeros(0, dtype=np.int64)
+        found = found[:, new]
         n, far = found.shape[1], int((~here).sum())
         cols = [np.concatenate(x) for x in ((found[0], nc[~here]), (found[1], ki[~here]), (found[2], m[~here]), (total, w[~here]))]
         ends = [np.concatenate((np.zeros(n), x[~here])) for x in (lo, hi)]

@@ -82,6 +82,20 @@ def test_a_shared_value_is_one_row_of_its_bucket(spark, monkeypatch):
     assert sizes[0] == sizes[1] == 2 + 49
 
 
+def test_a_bucket_task_gets_its_own_edges_only(spark, monkeypatch):
+    """A row does not carry the edges of all buckets, so a task's Python does
+    not grow with their number, and the bucket is a fraction of a worker's memory."""
+    from softgrove.operators import rank
+    plans, plain = [], rank.materialize
+    monkeypatch.setattr(rank, "materialize", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df))[1])
+    df = spark.range(400).selectExpr("id AS row_id", "CAST(id % 3 AS INT) AS label", "array(CAST(id * 7 % 401 AS DOUBLE)) AS features")
+    one, many = _mi(df, tie_noise=False, buckets=1), _mi(df, tie_noise=False, buckets=20)
+    assert one == many
+    python = [line for p in plans for line in p.splitlines() if "InArrow" in line]
+    assert python and not any("_edges" in line for line in python)
+    assert rank.KNN_BUCKET_ROWS <= 250_000
+
+
 def _parts_of_rows(spark):
     rng = np.random.default_rng(21)
     rows = [(i, i % 2, [float(rng.normal()), 0.5 if i % 3 else float(rng.integers(0, 9)), None if i % 11 == 0 else float(i % 7)]) for i in range(900)]
