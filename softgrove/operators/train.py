@@ -7,17 +7,21 @@ gradient of a cell come from the numpy kernel; the cells' sums are added in
 fixed point (``fixed``), so the total has the same bits in whatever order and on
 however many partitions they are added.
 
-The epochs then run in one of two ways, chosen by the size of a trial. Both
-take the same step (``advance``) on the same sums, so the result is the same:
+The epochs then run in one of these ways, of which the size of a trial chooses
+the first or the second. All take the same step (``advance``) on the same
+sums, so the result is the same:
 
 * A trial of at most ``IN_TASK_VALUES`` rows times leaves (an epoch of a
   fraction of a second) is one task's work: each job trains every trial for
   ``EPOCHS_PER_JOB`` epochs, next to its cached cells, and gives back the state.
   Stopped trials drop out of later jobs.
-* Of a larger trial each epoch is one job over the cached cells, shared by all
-  trials that still run: parameters go out by broadcast, the sums come back
-  through a tree, so the driver receives a bounded number of gradients however
-  many partitions there are.
+* Of larger trials a job is a chain of ``CHAIN`` epochs over the cached cells,
+  shared by all trials that still run. An epoch is two small shuffles: the
+  parameters go to the partitions that hold the trial's cells, and the sums of
+  these to the task that takes the trial's step. The driver sees the states
+  once a chain and no gradients.
+* With ``in_task=False`` each epoch is a job whose sums come back to the driver
+  through a tree, and the driver takes the step.
 
 Exchanging sums between the tasks of a barrier stage is no third way: each
 ``allGather`` of Spark's takes a second, as its waiting side sleeps that long.
@@ -59,6 +63,8 @@ CELL_ROWS = 2048
 IN_TASK_VALUES = 4_000_000
 # Epochs between two states that the driver sees (in-task) or writes.
 EPOCHS_PER_JOB = 200
+# Epochs of larger trials in one job.
+CHAIN = 25
 # Partial sums that one task (or the driver) adds up.
 FAN_IN = 32
 
@@ -339,6 +345,107 @@ def _job_rounds(blocks: RDD, states: dict[int, TrialState], cfg: EngineConfig, e
             yield
 
 
+def _place(k: int) -> int:
+    return k
+
+
+def _spread(places: dict[int, list[int]]):
+    """A state goes to the first of its trial's partitions of cells, which
+    hands it on, and the parameters of a running trial to the others."""
+    def fn(rows: Iterable) -> Iterator[tuple[int, tuple]]:
+        for _, (t, st) in rows:
+            yield places[t][0], (t, st)
+            if not st.stopped:
+                yield from ((p, (t, st.model)) for p in places[t][1:])
+    return fn
+
+
+def _partial_sums(slots: dict[int, int], alpha: float, gamma: float):
+    """Of a partition, in which states and parameters stand before the cells:
+    the states as they are, and the cells' sums."""
+    def fn(rows: Iterable) -> Iterator[tuple[int, tuple]]:
+        models = {}
+
+        def cells() -> Iterator[tuple]:
+            for _, x in rows:
+                if len(x) > 2:  # all are read: a worker that leaves rows unread is not used again
+                    yield x
+                elif isinstance(x[1], TrialState):
+                    states.append(x)
+                    if not x[1].stopped:
+                        models[x[0]] = x[1].model
+                else:
+                    models[x[0]] = x[1]
+
+        states: list[tuple] = []
+        sums = _cell_sums(cells(), models, alpha, gamma)
+        yield from ((slots[t], (t, st)) for t, st in states)
+        yield from ((slots[t], (t, x)) for t, x in sums.items())
+    return fn
+
+
+def _steps(cfg: EngineConfig):
+    """Adds up the sums of each trial and takes its step. A trial without
+    training rows is left out."""
+    def fn(rows: Iterable) -> Iterator[tuple[int, tuple]]:
+        states, sums = {}, {}
+        for slot, (t, x) in rows:
+            if isinstance(x, TrialState):
+                states[t] = slot, x
+            else:
+                sums = _add(sums, {t: x})
+        sums = _read_out(sums)
+        for t, (slot, st) in states.items():
+            if not st.stopped:
+                if t not in sums or sums[t]["n_train"] == 0:
+                    continue
+                advance(st, sums[t], cfg)
+            yield slot, (t, st)
+    return fn
+
+
+def _dealt(blocks: RDD, places: dict[int, list[int]]) -> RDD:
+    """The cells, a trial's in turn to the partitions ``places`` names."""
+    def fn(part: int, cells: Iterable) -> Iterator[tuple[int, tuple]]:
+        turn = dict.fromkeys(places, part)
+        for c in cells:
+            if c[0] in places:
+                yield places[c[0]][turn[c[0]] % len(places[c[0]])], c
+                turn[c[0]] += 1
+    return blocks.mapPartitionsWithIndex(fn).partitionBy(sum(map(len, places.values())), _place)
+
+
+def _chained_rounds(cells: RDD, places: dict[int, list[int]], states: dict[int, TrialState], cfg: EngineConfig, epochs: int) -> Iterator[None]:
+    """Jobs of up to ``CHAIN`` epochs, shared by all trials that still run;
+    ``cells`` are those of ``_dealt``. Yields every ``epochs`` of them, and at the
+    end. A state's history stays behind."""
+    sc, n, done = cells.context, cells.getNumPartitions(), 0
+    while active := {t: st for t, st in states.items() if not st.stopped}:
+        began, before = time.time(), {t: st.history for t, st in active.items()}
+        for st in active.values():
+            st.history = []
+        slots = {t: k % max(1, sc.defaultParallelism) for k, t in enumerate(active)}
+        n_slots = max(slots.values()) + 1
+        rows = sc.parallelize([(slots[t], (t, st)) for t, st in active.items()], n_slots)
+        length = min(CHAIN, epochs - done % epochs)
+        for _ in range(length):
+            # both sides are dealt alike, so the union puts partition to partition
+            mixed = rows.mapPartitions(_spread(places)).partitionBy(n, _place).union(cells)
+            if mixed.getNumPartitions() != n:
+                raise RuntimeError("parameters and cells are not dealt alike")
+            rows = mixed.mapPartitions(_partial_sums(slots, cfg.alpha, cfg.gamma)).partitionBy(n_slots, _place).mapPartitions(_steps(cfg))
+        got = dict(rows.values().collect())
+        if missing := active.keys() - got.keys():
+            raise ValueError(f"trials {sorted(missing)} have no training rows")
+        for t, st in got.items():
+            st.history = before[t] + st.history
+            st.train_time += time.time() - began
+            states[t] = st
+        done += length
+        if done % epochs == 0 or all(st.stopped for st in states.values()):
+            yield
+
+
 # ---------------------------------------------------------------------------
 # snapshots
 
@@ -393,7 +500,8 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
                    epochs_per_job: int = EPOCHS_PER_JOB, snapshot: str | None = None) -> FitResult:
     """Train one model per trial on the rows of that trial.
 
-    ``in_task``: whether a trial is trained within a task (None: by its size).
+    ``in_task``: whether a trial is trained within a task, or if not, by the
+    driver's steps (None: by its size within a task or in chains).
     ``snapshot``: a shared folder for the states; a call that finds one of the
     same models and settings there goes on from it."""
     cfg = cfg or EngineConfig()
@@ -402,9 +510,11 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     sizes = rows.groupBy(trial_col, split_col).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f"))
     n_rows, most, n_feat = sizes.agg(F.sum("n"), F.max("n"), F.max("f")).first()
     n_rows, most, n_feat = n_rows or 0, most or 1, n_feat or 1
+    chained = False
     if in_task is None:
         leaves = max(2 ** m.depth for m in init.values())
         in_task = most * leaves <= IN_TASK_VALUES
+        chained = not in_task
     n_cells = -(-most // CELL_ROWS)
     # Partitions sized by data, and for small tables by a least number of
     # rows up to the number of cores.
@@ -414,13 +524,22 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     if in_task:
         place = {t: k for k, t in enumerate(sorted(init))}
         blocks = blocks.keyBy(lambda c: c[0]).partitionBy(len(place), lambda t: place.get(t, 0)).values()
+    elif chained:
+        # few partitions a trial, as each of them sends a gradient an epoch;
+        # more than cores where trials stop one after the other
+        cores = min(spark.sparkContext.defaultParallelism, n_rows // MIN_PARTITION_ROWS) * (2 if len(init) > 1 else 1)
+        own = max(1, -(-max(by_size, cores) // len(init)))
+        places = {t: list(range(k * own, (k + 1) * own)) for k, t in enumerate(sorted(init))}
+        blocks = _dealt(blocks, places)
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     states = {t: TrialState(m, AdamState(np.zeros(m.params().size), np.zeros(m.params().size))) for t, m in init.items()}
     settings, step = _settings(init, cfg), 0
     if snapshot:
         step = read_snapshot(spark, snapshot, settings, states)
     try:
-        for _ in (_in_task_rounds if in_task else _job_rounds)(blocks, states, cfg, epochs_per_job):
+        rounds = (_chained_rounds(blocks, places, states, cfg, epochs_per_job) if chained
+                  else (_in_task_rounds if in_task else _job_rounds)(blocks, states, cfg, epochs_per_job))
+        for _ in rounds:
             step += 1
             if snapshot:
                 write_snapshot(spark, snapshot, settings, step, states)

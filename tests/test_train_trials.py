@@ -347,3 +347,63 @@ def test_preparation_rebalances_training_rows_only(spark):
         assert out.columns == plain.columns and out.where("trial = 1 AND seed <> 42").isEmpty()
     # not needed: as it was
     assert preprocess(df, ["a", "b"], cfg=EngineConfig(rebalance="random", balance_ratio=0.01), seeds=[42]).count() == 400
+
+
+def _traffic(spark, job):
+    """What ``job`` gives, and the bytes that its collects brought to the driver."""
+    import pytest
+    from pyspark import RDD
+    got = []
+    with pytest.MonkeyPatch.context() as m:
+        import pickle
+        plain = RDD.collect
+        m.setattr(RDD, "collect", lambda self: (out := plain(self), got.append(len(pickle.dumps(out))))[0])
+        return job(), sum(got)
+
+
+def test_chained_epochs_are_the_same_and_send_no_gradients_to_the_driver(spark, monkeypatch):
+    """Chains between tasks have the bits of in-task epochs; what the driver
+    gets doesn't follow partitions x epochs."""
+    import softgrove.operators.train as tr
+    monkeypatch.setattr(tr, "CELL_ROWS", 100)
+    monkeypatch.setattr(tr, "MIN_PARTITION_ROWS", 100)
+    init = {1: init_model(4, 3, [0, 1, 2], 1), 2: init_model(4, 3, [2, 1, 0], 2)}
+    cfg = EngineConfig(max_epochs=30, patience=6, learning_rate=0.05)
+    df = _random_rows(spark, 1000, parts=7).cache()
+    want = fit_soft_trees(df, init, cfg, key="row_id", in_task=True)
+    monkeypatch.setattr(tr, "IN_TASK_VALUES", 0)
+    sent = []
+    for chain, epochs in ((25, 200), (4, 6)):
+        monkeypatch.setattr(tr, "CHAIN", chain)
+        got, n = _traffic(spark, lambda: fit_soft_trees(df, init, cfg, key="row_id", epochs_per_job=epochs))
+        sent.append(n)
+        assert got.history == want.history and got.models.keys() == want.models.keys()
+        assert all(got.models[t].params().tobytes() == want.models[t].params().tobytes() for t in init)
+        assert all(got.stats[t][c] == want.stats[t][c] for t in init for c in ("stop_epoch", "best_epoch", "best_valid_loss"))
+    epochs_run = max(s["stop_epoch"] for s in want.stats.values())
+    gradient_bytes = 16 * init[1].params().size
+    assert sent[0] < epochs_run * len(init) * gradient_bytes
+
+
+def test_chained_training_goes_on_from_its_snapshot(spark, monkeypatch, tmp_path):
+    import pytest
+
+    import softgrove.operators.train as tr
+    df, cfg = _random_rows(spark, 300), EngineConfig(max_epochs=12)
+    init = {1: init_model(3, 3, [0, 1, 2], 1), 2: init_model(3, 3, [2, 1, 0], 2)}
+    whole = fit_soft_trees(df, init, cfg, key="row_id")
+    monkeypatch.setattr(tr, "IN_TASK_VALUES", 0)
+    write = tr.write_snapshot
+
+    def cut_off(*a):
+        write(*a)
+        raise KeyboardInterrupt
+    monkeypatch.setattr(tr, "write_snapshot", cut_off)
+    with pytest.raises(KeyboardInterrupt):
+        fit_soft_trees(df, init, cfg, key="row_id", epochs_per_job=5, snapshot=str(tmp_path / "s"))
+    monkeypatch.setattr(tr, "write_snapshot", write)
+    again = fit_soft_trees(df, init, cfg, key="row_id", epochs_per_job=5, snapshot=str(tmp_path / "s"))
+    assert again.history == whole.history
+    only_valid = df.where("trial = 1 OR split = 'valid'")
+    with pytest.raises(ValueError, match="no training rows"):
+        fit_soft_trees(only_valid, init, cfg, key="row_id")
