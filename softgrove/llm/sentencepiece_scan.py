@@ -248,9 +248,17 @@ class Encoder:
                     todo.append((child, len(ids)))
                     ids.append(child.get(None, -1))
         order = np.argsort(keys)
+        #: code point -> letter, -1 for those in no piece
+        self.letter_of = np.full(0x110000, -1, dtype=np.int32)
+        self.letter_of[[ord(c) for c in self.letters]] = list(self.letters.values())
         self.edge_keys, self.edge_to = np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order]
         self.node_id = np.array(ids, dtype=np.int64)
 
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The letters of words laid end to end, and the words' sizes."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        return self.letter_of[codes], np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+
     def _edges(self, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of all pieces in words laid end to end;
         ``stop`` is the end of each character's word."""
@@ -289,10 +297,8 @@ class Encoder:
     def paths_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids along the finite paths of words (of known characters), and
         how many each has. The words' n-th characters are stepped together."""
-        size = np.array([len(w) for w in words])
+        text, size = self._letters(words)
         begin = np.concatenate(([0], np.cumsum(size)))
-        letters = self.letters
-        text = np.fromiter((letters[c] for w in words for c in w), dtype=np.int64, count=begin[-1])
         start, end, piece = self._edges(text, np.repeat(begin[1:], size))
         place = start - np.repeat(begin[:-1], size)[start]
         order = np.argsort(place, kind="stable")
@@ -325,17 +331,21 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.memo) > WORDS:
             self._forget(words)
-        new = words.difference(self.memo)
-        known = self.letters.keys()
-        together = [w for w in new if len(w) <= TOGETHER and known >= set(w)]
+        new = list(words.difference(self.memo))
+        if not new:
+            return
+        text, size = self._letters(new)
+        fit = ((size <= TOGETHER) & (np.minimum.reduceat(text, np.cumsum(size) - size) >= 0)).tolist()
+        together = [w for w, ok in zip(new, fit) if ok]
         for at in range(0, len(together), 1 << 14):
             some = together[at:at + (1 << 14)]
             ids, size = self.paths_of(some)
             self.begin.extend((len(self.flat) + np.cumsum(size)).tolist())
             self.flat.extend(ids.tolist())
             self.memo.update(zip(some, range(len(self.memo), len(self.memo) + len(some))))
-        for w in new.difference(together):
-            self._remember(w, self.path(w))
+        for w, ok in zip(new, fit):
+            if not ok:
+                self._remember(w, self.path(w))
 
     def encode_all(self, texts: list[str | None]) -> pa.Array:
         """Ids of each text, encoded as one chunk from cut to cut."""

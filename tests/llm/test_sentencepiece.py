@@ -117,3 +117,24 @@ def test_query_digests(spark):
         assert r.n_tokens == len(ids) and r.round_trip
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_letters_of_words_are_looked_up_at_once():
+    """No Python step per character; characters in no piece are told apart."""
+    import sys
+    encoder = sp.Encoder(sp.load())
+    words = ["▁hello", "a", "▁\U0001f600x", "naïve", "日本"]
+    text, size = encoder._letters(words)
+    assert size.tolist() == [len(w) for w in words]
+    assert text.tolist() == [encoder.letters.get(c, -1) for w in words for c in w]
+    calls = []
+    known = [f"▁{'etaoinshr'[k % 9]}{'dlucm'[k % 5]}{'aeiou'[k % 7 % 5]}" * 9 for k in range(400)]
+    encoder.paths_of(known)  # pairs are learnt
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        encoder.paths_of(known)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < sum(map(len, known)) / 4
+    for text in ("", " ", "日本 naïve \U0001f600x\n\n a" + "b" * 70, "x" * 200 + " \x00 é"):
+        assert encoder.encode_all([text]).to_pylist()[0] == LIBRARY.encode(text)
