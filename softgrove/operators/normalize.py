@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from softgrove.functions.columns import (BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, count_less,
                                          count_less_equal, keyed_gaussian, norm_ppf)
 from softgrove.operators._util import maybe_broadcast, one_row
-from softgrove.operators.quantiles import QuantileState, exact_quantiles, quantile_state, read_state
+from softgrove.operators.blocks import BLOCK_VALUES
+from softgrove.operators.quantiles import QuantileState, exact_quantiles, noisy_quantiles, quantile_state, read_state
 from softgrove.session import materialize
 
 # Accuracy of the sketch that ``method="approx"`` asks for.
@@ -260,12 +261,17 @@ class QuantileNormalizer:
     def fit(self, df: DataFrame, train_rows: Column | None = None) -> ArrayNormalizerModel:
         by = self.by
         train = _train(df, train_rows)
-        sizes = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(self.features)).alias("f")).collect()
         n_groups = len(sizes)
         n_min = min(r["n"] for r in sizes)
-        n_feat = train.select(F.max(F.size(self.features))).first()[0] or 0
+        n_feat = max((r["f"] or 0 for r in sizes), default=0)
         nq = max(1, min(self.n_quantiles, n_min))
         probs = [i / (nq - 1) for i in range(nq)] if nq > 1 else [0.5]
+        if self.noise > 0 and self.method == "exact" and n_feat > 0 and max(r["n"] for r in sizes) <= BLOCK_VALUES:
+            grids = noisy_quantiles(train, by, self.features, self.key, max(nq - 1, 1), n_feat, self.noise, self.seed)
+            if nq == 1:  # a single training row: one grid point
+                grids = grids.withColumn("grid", F.slice("grid", 1, 1))
+            return self._model(grids, nq, n_groups, n_feat)
         long = _long(train, by, self.features, self.key if self.noise > 0 else None)
         if self.noise > 0:
             # Noise std q / max(std, q) per (group, position), std over the

@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from softgrove.functions.columns import count_less
 from softgrove.operators._util import maybe_broadcast
+from softgrove.operators.blocks import KeyTexts, feature_blocks, joined
 from softgrove.session import materialize
 
 # Rows of a group per bucket of values.
@@ -107,6 +108,37 @@ def _grids(counted: DataFrame, sizes: DataFrame, edges: DataFrame | None, group:
     return pieces.groupBy(*group).applyInArrow(joined, StructType([*keys, StructField("grid", values)]))
 
 
+def noisy_quantiles(df: DataFrame, by: list[str], features: str, key: str, parts: int, n_feat: int, noise: float, seed: int) -> DataFrame:
+    """(by..., pos, grid): ``exact_quantiles`` of each feature's values, to which
+    keyed noise of ``noise / max(std, noise)`` is added. For groups of at most
+    ``BLOCK_VALUES`` rows; a task sorts the values of a group and feature."""
+    def draw(texts: KeyTexts, _) -> np.ndarray:
+        return texts.gaussian([([], [str(int(seed))], pos) for pos in range(n_feat)])
+
+    kept = [df.schema[c] for c in by]
+
+    def grid(table: pa.Table) -> pa.Table:
+        x, g = joined(table, "_x"), joined(table, "_noise")
+        there = ~np.isnan(x)
+        x, g = x[there], g[there]
+        grids = []
+        if len(x):
+            # in order of value, so the last bits don't depend on the order of rows
+            x = x + noise / np.maximum(np.sort(x).std(), noise) * g
+            x = np.sort(x + 0.0)
+            at = np.arange(parts + 1) * (len(x) - 1) / parts
+            rank = np.arange(parts + 1) * (len(x) - 1) // parts
+            low, high = x[rank], x[np.minimum(rank + 1, len(x) - 1)]
+            part = at - np.floor(at)
+            grids = [np.where(part == 0, low, low + (high - low) * part)]
+        n = len(grids)
+        keys = [table.column(c).slice(0, n) for c in (*by, "feature")]
+        return pa.table([*keys, pa.array(grids, pa.list_(pa.float64()))], names=[*by, "pos", "grid"])
+
+    blocks = feature_blocks(df, by, features, n_feat, F.col(key), draw)
+    return blocks.groupBy(*by, "feature").applyInArrow(grid, StructType([*kept, StructField("pos", IntegerType()), StructField("grid", ArrayType(DoubleType()))]))
+
+
 @dataclass
 class QuantileState:
     """What is kept of the values seen so far; two stored tables."""

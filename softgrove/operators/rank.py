@@ -34,20 +34,25 @@ only when asked for.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, ByteType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
 
 from softgrove.functions.columns import count_less, digamma, digamma_scalar, keyed_gaussian
 from softgrove.operators._util import maybe_broadcast
+from softgrove.operators.blocks import BLOCK_VALUES, NO_LABEL, KeyTexts, feature_blocks, joined
 from softgrove.operators.quantiles import exact_quantiles
 from softgrove.session import materialize
 
 # Counted values (and rows, by which it is set) of a feature in one task. A
 # task's Python holds some 500 bytes for each.
 KNN_BUCKET_ROWS = 250_000
+# Values of a class whose neighbours are found at a time.
+BALLS_AT_ONCE = 65_536
 
 
 def _long(df: DataFrame, by: list[str], features: str, label: str, key: str) -> DataFrame:
@@ -82,6 +87,9 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("f")).collect()
     n_keys = max(1, len(sizes) * max((r["f"] or 0 for r in sizes), default=1))
     biggest = max((r["n"] for r in sizes), default=0)
+    if (tie_noise and buckets is None and 0 < biggest <= BLOCK_VALUES and max(r["f"] or 0 for r in sizes) > 0
+            and isinstance(df.schema[label].dataType, ByteType | ShortType | IntegerType)):
+        return _mi_of_blocks(df, by, features, label, key, seed_col, k, max(r["f"] or 0 for r in sizes))
     v = F.col("x")
     if tie_noise:
         # the largest absolute value is the same however rows are dealt out
@@ -105,6 +113,82 @@ def mutual_information(df: DataFrame, features: str = "features", label: str = "
     return agg.select(*g, _steady(mi).alias("mi"))
 
 
+# ---------------------------------------------------------------------------
+# values in blocks
+
+def _mi_of_blocks(df: DataFrame, by: list[str], features: str, label: str, key: str, seed: Column, k: int, n_feat: int) -> DataFrame:
+    """The estimate with the noise that breaks ties, for groups of at most
+    ``BLOCK_VALUES`` rows: a task has all values of a group and feature."""
+    def draw(texts: KeyTexts, own: str | None) -> np.ndarray:
+        # ``_seeded_gaussian``
+        return texts.gaussian([([*([] if own is None else [own]), str(j)], ["0"], 7) for j in range(n_feat)])
+
+    kept = [df.schema[c] for c in by]
+
+    def run(table: pa.Table) -> pa.Table:
+        mi = mi_of_values(joined(table, "_x"), joined(table, "_noise"), joined(table, "_label", np.int64), k)
+        n = 0 if mi is None else 1
+        keys = [table.column(c).slice(0, n) for c in (*by, "feature")]
+        return pa.table([*keys, pa.array([mi] * n, pa.float64())], names=[*by, "feature", "mi"])
+
+    blocks = feature_blocks(df, by, features, n_feat, F.col(key), draw, seed, F.col(label))
+    out = blocks.groupBy(*by, "feature").applyInArrow(run, StructType([*kept, StructField("feature", IntegerType()), StructField("mi", DoubleType())]))
+    return out.select(*by, "feature", _steady(F.col("mi")).alias("mi"))
+
+
+def mi_of_values(x: np.ndarray, g: np.ndarray, y: np.ndarray, k: int) -> float | None:
+    """The estimate of values ``x`` with classes ``y`` (a missing value is NaN, a
+    missing class ``NO_LABEL``), with noise of 1e-10 of the largest absolute
+    value times ``g``. None if no value is left."""
+    there = ~np.isnan(x)
+    if not there.any():
+        return None
+    v = x + 1e-10 * np.abs(x[there]).max() * g
+    classes, of, size = np.unique(y, return_inverse=True, return_counts=True)
+    keep = there & (y != NO_LABEL) & (size[of] > 1)
+    if not keep.any():
+        return None
+    v, of = v[keep] + 0.0, of[keep]
+    order = np.lexsort((v, of))
+    v, of = v[order], of[order]
+    at = np.sort(v)
+    start = np.searchsorted(of, np.arange(len(classes) + 1))
+    m, sums = np.zeros(len(v), dtype=np.int64), []
+    for c in np.flatnonzero(np.diff(start)):
+        own, ki = v[start[c]:start[c + 1]], min(k, int(size[c]) - 1)
+        for i in range(0, len(own), BALLS_AT_ONCE):
+            part = own[i:i + BALLS_AT_ONCE]
+            r, lo, hi = _nearest(own, np.arange(i, i + len(part)), ki)
+            zero = r == 0
+            lo, hi = np.where(zero, part, lo), np.where(zero, part, hi)
+            inside = np.searchsorted(at, hi, "left") - np.searchsorted(at, lo, "right")
+            inside[zero] = np.searchsorted(at, part[zero], "right") - np.searchsorted(at, part[zero], "left")
+            m[start[c] + i:start[c] + i + len(part)] = inside
+        sums.append((len(own), digamma_scalar(ki), digamma_scalar(int(size[c]))))
+    n = len(v)
+    found, times = np.unique(m, return_counts=True)
+    mean = lambda pairs: math.fsum(w * p for w, p in pairs) / n
+    return (digamma_scalar(n) + mean((w, p) for w, p, _ in sums) - mean((w, p) for w, _, p in sums)
+            - mean(zip(times.tolist(), map(digamma_scalar, found.tolist()))))
+
+
+def _nearest(own: np.ndarray, i: np.ndarray, ki: int) -> tuple[np.ndarray, ...]:
+    """(radius, lo, hi) of the ``ki`` nearest neighbours of values ``i`` of a class
+    in ascending order; of equal distances the smaller value first."""
+    v, last = own[i], len(own) - 1
+    left, right = i - 1, i + 1
+    for _ in range(ki):
+        dl = np.where(left >= 0, v - own[np.maximum(left, 0)], np.inf)
+        dr = np.where(right <= last, own[np.minimum(right, last)] - v, np.inf)
+        down = dl <= dr
+        r = np.where(down, dl, dr)
+        u = np.where(down, own[np.maximum(left, 0)], own[np.minimum(right, last)])
+        left, right = left - down, right + ~down
+    u = np.where(np.isinf(r), np.inf, u)
+    # open interval; on the neighbour's side its own value is the bound
+    return r, np.where(u < v, u, v - r), np.where(u < v, v + r, u)
+
+
 # ---------------------------------------------------------------------------
 # neighbours among counted values
 

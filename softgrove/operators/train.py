@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from softgrove.config import ADAM_BETA1, ADAM_BETA2, ADAM_EPS, EngineConfig
-from softgrove.operators.tree import SoftTreeModel, arrow_matrix, focal_loss_sum, loss_and_grad_chunked
+from softgrove.operators.tree import SoftTreeModel, arrow_matrix, columns, focal_loss_sum, loss_and_grad_chunked
 
 # Target bytes of feature values per block partition.
 PARTITION_BYTES = 128 * 1024 * 1024
@@ -202,6 +202,12 @@ def pack_blocks(df: DataFrame, features: str = "features", label: str = "label",
     return rows.mapInArrow(_pack_fn(features, label, trial_col, split_col), BLOCK_SCHEMA).rdd.map(_unpacked)
 
 
+def _laid_out(cell: tuple) -> tuple:
+    """A cell as the epochs read it: features in columns."""
+    t, train, X, y = cell
+    return t, train, columns(X), y
+
+
 # ---------------------------------------------------------------------------
 # one pass
 
@@ -520,7 +526,7 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     # rows up to the number of cores.
     by_size = -(-(n_rows * n_feat * 8) // PARTITION_BYTES)
     n_parts = max(1, by_size, min(spark.sparkContext.defaultParallelism, n_rows // MIN_PARTITION_ROWS))
-    blocks = pack_blocks(rows, features, label, trial_col, split_col, key, n_cells, n_parts)
+    blocks = pack_blocks(rows, features, label, trial_col, split_col, key, n_cells, n_parts).map(_laid_out)
     if in_task:
         place = {t: k for k, t in enumerate(sorted(init))}
         blocks = blocks.keyBy(lambda c: c[0]).partitionBy(len(place), lambda t: place.get(t, 0)).values()

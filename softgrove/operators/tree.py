@@ -15,6 +15,7 @@ JVM: a fold over arrays of nodes, level by level, with higher-order functions.
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -88,40 +89,87 @@ def init_model(depth: int, num_classes: int, feature_order: list[int], seed: int
 # ---------------------------------------------------------------------------
 # numpy kernel (runs inside tasks on Arrow batches)
 
-def _decisions(X: np.ndarray, feats: np.ndarray, th: np.ndarray) -> np.ndarray:
-    """sigmoid(theta - x) = 1 / (1 + exp(x - theta)), computed in place."""
-    D = X[:, feats]  # a copy (fancy indexing)
-    np.subtract(D, th[None, :], out=D)
-    with np.errstate(over="ignore"):
-        np.exp(D, out=D)
+# Values and thresholds up to which exp(x) * exp(-theta) neither overflows nor
+# loses bits.
+POWER_LIMIT = 300.0
+_OWN = threading.local()
+
+
+def _scratch(name: str, rows: int, n: int) -> np.ndarray:
+    """A working array, kept from call to call: fresh memory for each costs
+    more than what is computed in it."""
+    held = _OWN.__dict__.setdefault("arrays", {})
+    if name not in held or held[name].size < rows * n:
+        held[name] = np.empty(rows * n)
+    return held[name][:rows * n].reshape(rows, n)
+
+
+@dataclass
+class Columns:
+    """Feature values ``[F, n]``, a feature's next to each other: exp(x), which no
+    epoch changes, where no value is too large for that."""
+
+    values: np.ndarray
+    powers: bool
+
+    def __len__(self) -> int:
+        return self.values.shape[1]
+
+    def __getitem__(self, rows: slice) -> "Columns":
+        return Columns(self.values[:, rows], self.powers)
+
+
+def columns(X) -> Columns:
+    """``Columns`` of a matrix ``[n, F]`` (or as they are)."""
+    if isinstance(X, Columns):
+        return X
+    values = np.array(X.T, dtype=np.float64, order="C")
+    powers = bool(np.abs(values).max(initial=0.0) <= POWER_LIMIT)  # not if NaN
+    return Columns(np.exp(values, out=values) if powers else values, powers)
+
+
+def _decisions(X: Columns, model: SoftTreeModel) -> np.ndarray:
+    """sigmoid(theta - x) = 1 / (1 + exp(x - theta)), ``[nodes, n]``."""
+    own, th = X.values[model.feature_order], model.thresholds[:, None]
+    D = _scratch("decisions", model.n_nodes, len(X))
+    powers = X.powers and bool(np.abs(th).max(initial=0.0) <= POWER_LIMIT)
+    if powers:
+        th = np.exp(-th)
+    elif X.powers:
+        own = np.log(own)
+    # node i tests feature order[i mod F]
+    for i in range(0, model.n_nodes, len(own)):
+        j = min(i + len(own), model.n_nodes)
+        (np.multiply if powers else np.subtract)(own[:j - i], th[i:j], out=D[i:j])
+    if not powers:
+        with np.errstate(over="ignore"):
+            np.exp(D, out=D)
     D += 1.0
-    np.reciprocal(D, out=D)
-    return D
+    return np.divide(1.0, D, out=D)
 
 
-def forward(X: np.ndarray, model: SoftTreeModel, keep: bool = False):
-    """Leaf probabilities ``[n, 2**d]``; with ``keep`` also the per-level
-    parent probabilities and decisions needed by the backward pass."""
-    n = X.shape[0]
-    feats = model.node_features()
-    P = np.ones((n, 1))
-    levels = []
+def _forward(X: Columns, model: SoftTreeModel) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions ``[nodes, n]`` and leaf probabilities ``[2**d, n]``, both to be used
+    before the next call."""
+    D = _decisions(X, model)
+    P = _scratch("probabilities", 2 * model.n_nodes + 1, len(X))
+    P[0] = 1.0
     for lv in range(model.depth):
         lo, hi = 2 ** lv - 1, 2 ** (lv + 1) - 1
-        D = _decisions(X, feats[lo:hi], model.thresholds[lo:hi])
-        if keep:
-            levels.append((P, D))
-        nxt = np.empty((n, 2 * (hi - lo)))
-        left = nxt[:, 0::2]
-        np.multiply(P, D, out=left)
-        np.subtract(P, left, out=nxt[:, 1::2])
-        P = nxt
-    return P, levels
+        left = P[hi:2 * hi + 1:2]
+        np.multiply(P[lo:hi], D[lo:hi], out=left)
+        np.subtract(P[lo:hi], left, out=P[hi + 1:2 * hi + 1:2])
+    return D, P[model.n_nodes:]
+
+
+def forward(X, model: SoftTreeModel) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf probabilities ``[n, 2**d]`` and decisions ``[n, nodes]``."""
+    D, leaf = _forward(columns(X), model)
+    return leaf.T.copy(), D.T.copy()
 
 
-def scores_np(X: np.ndarray, model: SoftTreeModel) -> np.ndarray:
-    P, _ = forward(X, model)
-    return P @ model.leaves
+def scores_np(X, model: SoftTreeModel) -> np.ndarray:
+    return _forward(columns(X), model)[1].T @ model.leaves
 
 
 def _log_softmax_np(S: np.ndarray) -> np.ndarray:
@@ -135,49 +183,53 @@ def focal_loss_np(S: np.ndarray, y: np.ndarray, alpha: float, gamma: float) -> n
     return -alpha * (1.0 - pt) ** gamma * lp
 
 
-def loss_and_grad(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float):
+def loss_and_grad(X, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float):
     """Sum of focal losses over the rows and its gradient with respect to
-    (thresholds, leaves), flattened like ``SoftTreeModel.params``."""
-    n = X.shape[0]
-    P, levels = forward(X, model, keep=True)
-    S = P @ model.leaves
-    lsm = _log_softmax_np(S)
-    p = np.exp(lsm)
-    lp = lsm[np.arange(n), y]
+    (thresholds, leaves), flattened like ``SoftTreeModel.params``. ``X``: a
+    matrix ``[n, F]`` or ``Columns``."""
+    n, at = len(y), np.arange(len(y))
+    D, leaf = _forward(columns(X), model)
+    S = model.leaves.T @ leaf
+    S -= S.max(axis=0)
+    E = np.exp(S)
+    total = E.sum(axis=0)
+    lp = S[y, at] - np.log(total)
     pt = np.exp(lp)
     loss = -alpha * (1.0 - pt) ** gamma * lp
     # d loss / d S_c = alpha [gamma (1-pt)^(gamma-1) pt ln pt - (1-pt)^gamma] (onehot_c - p_c)
     coef = alpha * (gamma * (1.0 - pt) ** (gamma - 1.0) * pt * lp - (1.0 - pt) ** gamma)
-    E = -p
-    E[np.arange(n), y] += 1.0
-    E *= coef[:, None]
-    g_leaves = P.T @ E
-    G = E @ model.leaves.T  # d loss / d leaf probability
+    E /= -total
+    E[y, at] += 1.0
+    E *= coef
+    g_leaves = leaf @ E.T
+    # With w = P_leaf d loss / d P_leaf and w of a node the sum over its leaves,
+    # d loss / d theta = sum over the rows of w_left - D w. Sums of w over the
+    # rows alone follow from the gradient of the leaves.
+    w = np.matmul(model.leaves, E, out=_scratch("leaf weights", len(model.leaves), n))
+    w *= leaf
+    weights = _scratch("node weights", model.n_nodes, n)
+    sums = np.einsum("ij,ij->i", model.leaves, g_leaves)
     g_th = np.empty(model.n_nodes)
     for lv in range(model.depth - 1, -1, -1):
-        Pp, D = levels[lv]
-        Gr = G[:, 1::2]
-        diff = G[:, 0::2] - Gr
         lo, hi = 2 ** lv - 1, 2 ** (lv + 1) - 1
-        slope = D - D * D  # d sigmoid / d theta
-        slope *= diff
-        g_th[lo:hi] = np.einsum("ij,ij->j", Pp, slope) if Pp.shape[1] > 1 else (Pp[:, 0] @ slope)
-        diff *= D
-        diff += Gr
-        G = diff
+        w = np.add(w[0::2], w[1::2], out=weights[lo:hi])
+        g_th[lo:hi] = sums[0::2]
+        sums = sums[0::2] + sums[1::2]
+    g_th -= np.einsum("ij,ij->i", D, weights)
     return float(loss.sum()), np.concatenate([g_th, g_leaves.ravel()])
 
 
-# Rows per kernel call: bounds the [rows, 2**depth] working arrays of the
-# forward/backward pass (about 4 M cells, ~32 MB per array) at any depth.
-CHUNK_CELLS = 4_000_000
+# Rows per kernel call: bounds the [2**depth, rows] working arrays of the
+# forward/backward pass (about 128 K cells, 1 MB per array, which the
+# processor's caches hold) at any depth.
+CHUNK_CELLS = 131_072
 
 
 def chunk_rows(depth: int) -> int:
-    return max(256, CHUNK_CELLS // (2 ** depth))
+    return max(64, CHUNK_CELLS // (2 ** depth))
 
 
-def loss_and_grad_chunked(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float):
+def loss_and_grad_chunked(X, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float):
     """``loss_and_grad`` summed over row chunks (same sums, bounded memory)."""
     step = chunk_rows(model.depth)
     if len(X) <= step:
@@ -190,14 +242,14 @@ def loss_and_grad_chunked(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, al
     return loss, grad
 
 
-def scores_chunked(X: np.ndarray, model: SoftTreeModel) -> np.ndarray:
+def scores_chunked(X, model: SoftTreeModel) -> np.ndarray:
     step = chunk_rows(model.depth)
     if len(X) <= step:
         return scores_np(X, model)
     return np.concatenate([scores_np(X[i:i + step], model) for i in range(0, len(X), step)])
 
 
-def focal_loss_sum(X: np.ndarray, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float) -> float:
+def focal_loss_sum(X, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: float) -> float:
     step = chunk_rows(model.depth)
     return float(sum(focal_loss_np(scores_np(X[i:i + step], model), y[i:i + step], alpha, gamma).sum()
                      for i in range(0, len(X), step)))
