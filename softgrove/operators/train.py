@@ -14,8 +14,11 @@ sums, so the result is the same:
 * A trial of at most ``IN_TASK_VALUES`` rows times leaves (an epoch of a
   fraction of a second) is one task's work: each job trains every trial for
   ``EPOCHS_PER_JOB`` epochs, next to its cached cells, and gives back the state.
-  Stopped trials drop out of later jobs.
-* Of larger trials a job is a chain of ``CHAIN`` epochs over the cached cells,
+  Stopped trials drop out of later jobs. Larger trials, up to ``IN_TASK_BYTES``,
+  are so where there are about as many as cores or more, as no epoch then waits
+  for another task or reads its cells again. If they are more than cores, a job
+  takes as many trials as cores, those with the fewest epochs, for some seconds.
+* Of other trials a job is a chain of ``CHAIN`` epochs over the cached cells,
   shared by all trials that still run. An epoch is two small shuffles: the
   parameters go to the partitions that hold the trial's cells, and the sums of
   these to the task that takes the trial's step. The driver sees the states
@@ -61,6 +64,11 @@ MIN_PARTITION_ROWS = 512
 CELL_ROWS = 2048
 # Rows times leaves of a trial that one task trains on.
 IN_TASK_VALUES = 4_000_000
+# Bytes of feature values of a larger trial that one task trains on.
+IN_TASK_BYTES = 384 * 1024 * 1024
+# Rows times leaves times epochs that a task trains on in some seconds, and the
+# least epochs for which it reads its cells.
+TURN_VALUES, TURN_EPOCHS = 200_000_000, 10
 # Epochs between two states that the driver sees (in-task) or writes.
 EPOCHS_PER_JOB = 200
 # Epochs of larger trials in one job.
@@ -316,24 +324,37 @@ def _task_epochs(bc, cfg: EngineConfig, epochs: int):
     return fn
 
 
-def _in_task_rounds(blocks: RDD, states: dict[int, TrialState], cfg: EngineConfig, epochs: int) -> Iterator[None]:
-    """Jobs of several epochs; each trial's cells are in one partition. Yields
-    after each job. A state's history stays behind."""
-    while active := {t: st for t, st in states.items() if not st.stopped}:
-        before = {t: st.history for t, st in active.items()}
-        for st in active.values():
-            st.history = []
-        bc = blocks.context.broadcast(active)
+def _in_task_rounds(blocks: RDD, places: dict[int, int], states: dict[int, TrialState], cfg: EngineConfig, epochs: int, turn: int) -> Iterator[None]:
+    """Jobs of several epochs; a trial's cells are in the partition that
+    ``places`` names. With more trials than cores a job is ``turn`` epochs of as
+    many trials as cores, those behind first. Yields whenever all that run are
+    ``epochs`` further, and at the end. A state's history stays behind."""
+    sc, ahead = blocks.context, dict.fromkeys(states, 0)
+    while active := [t for t, st in states.items() if not st.stopped]:
+        least = min(ahead[t] for t in active)
+        crowded = len(active) > sc.defaultParallelism
+        own = sorted((t for t in active if ahead[t] < epochs), key=lambda t: ahead[t])[:sc.defaultParallelism if crowded else None]
+        length = min(epochs - ahead[t] for t in own)
+        if crowded or least > 0:
+            length = min(length, turn)
+        before = {t: states[t].history for t in own}
+        for t in own:
+            states[t].history = []
+        bc = sc.broadcast({t: states[t] for t in own})
         try:
-            got = dict(blocks.mapPartitions(_task_epochs(bc, cfg, epochs)).collect())
+            got = dict(sc.runJob(blocks, _task_epochs(bc, cfg, length), [places[t] for t in own]))
         finally:
             bc.destroy()
-        if missing := active.keys() - got.keys():
+        if missing := set(own) - got.keys():
             raise ValueError(f"trials {sorted(missing)} have no training rows")
         for t, st in got.items():
             st.history = before[t] + st.history
             states[t] = st
-        yield
+            ahead[t] += length
+        left = [t for t in active if not states[t].stopped]
+        if all(ahead[t] >= epochs for t in left):
+            ahead = dict.fromkeys(states, 0)
+            yield
 
 
 def _job_rounds(blocks: RDD, states: dict[int, TrialState], cfg: EngineConfig, epochs: int) -> Iterator[None]:
@@ -500,6 +521,12 @@ def read_snapshot(spark: SparkSession, folder: str, settings: str, states: dict[
     return found[0].step if found else 0
 
 
+def _many_trials(trials: int, cores: int) -> bool:
+    """Whether a task for each trial keeps the cores busier than chains do,
+    which take some 1.6 times the time for a row."""
+    return trials > 1 and 8 * trials >= 5 * cores
+
+
 def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineConfig | None = None,
                    features: str = "features", label: str = "label", trial_col: str = "trial",
                    split_col: str = "split", key: str | None = None, in_task: bool | None = None,
@@ -507,7 +534,8 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     """Train one model per trial on the rows of that trial.
 
     ``in_task``: whether a trial is trained within a task, or if not, by the
-    driver's steps (None: by its size within a task or in chains).
+    driver's steps (None: by its size, and the number of trials, within a task
+    or in chains).
     ``snapshot``: a shared folder for the states; a call that finds one of the
     same models and settings there goes on from it."""
     cfg = cfg or EngineConfig()
@@ -519,7 +547,8 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     chained = False
     if in_task is None:
         leaves = max(2 ** m.depth for m in init.values())
-        in_task = most * leaves <= IN_TASK_VALUES
+        cores = spark.sparkContext.defaultParallelism
+        in_task = most * leaves <= IN_TASK_VALUES or _many_trials(len(init), cores) and n_rows * n_feat * 8 // len(init) <= IN_TASK_BYTES
         chained = not in_task
     n_cells = -(-most // CELL_ROWS)
     # Partitions sized by data, and for small tables by a least number of
@@ -530,6 +559,7 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
     if in_task:
         place = {t: k for k, t in enumerate(sorted(init))}
         blocks = blocks.keyBy(lambda c: c[0]).partitionBy(len(place), lambda t: place.get(t, 0)).values()
+        turn = max(TURN_EPOCHS, TURN_VALUES // max(1, n_rows // len(init) * max(2 ** m.depth for m in init.values())))
     elif chained:
         # few partitions a trial, as each of them sends a gradient an epoch;
         # more than cores where trials stop one after the other
@@ -537,14 +567,16 @@ def fit_soft_trees(df: DataFrame, init: dict[int, SoftTreeModel], cfg: EngineCon
         own = max(1, -(-max(by_size, cores) // len(init)))
         places = {t: list(range(k * own, (k + 1) * own)) for k, t in enumerate(sorted(init))}
         blocks = _dealt(blocks, places)
-    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    # as the bytes that Python reads, which a chain does every epoch
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     states = {t: TrialState(m, AdamState(np.zeros(m.params().size), np.zeros(m.params().size))) for t, m in init.items()}
     settings, step = _settings(init, cfg), 0
     if snapshot:
         step = read_snapshot(spark, snapshot, settings, states)
     try:
         rounds = (_chained_rounds(blocks, places, states, cfg, epochs_per_job) if chained
-                  else (_in_task_rounds if in_task else _job_rounds)(blocks, states, cfg, epochs_per_job))
+                  else _in_task_rounds(blocks, place, states, cfg, epochs_per_job, turn) if in_task
+                  else _job_rounds(blocks, states, cfg, epochs_per_job))
         for _ in rounds:
             step += 1
             if snapshot:

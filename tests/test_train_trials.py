@@ -407,3 +407,27 @@ def test_chained_training_goes_on_from_its_snapshot(spark, monkeypatch, tmp_path
     only_valid = df.where("trial = 1 OR split = 'valid'")
     with pytest.raises(ValueError, match="no training rows"):
         fit_soft_trees(only_valid, init, cfg, key="row_id")
+
+
+def test_more_trials_than_cores_take_turns_in_tasks(spark, monkeypatch, tmp_path):
+    """Large trials are trained in tasks where they keep the cores busy, no more
+    at a time than cores; results and the epochs of snapshots stay the same."""
+    import softgrove.operators.train as tr
+    cores = spark.sparkContext.defaultParallelism
+    trials = range(1, cores + 4)
+    df = _random_rows(spark, 60, parts=3).where("trial = 1").drop("trial").withColumn("trial", F.explode(F.lit([*trials]))).cache()
+    init = {t: init_model(3, 3, [0, 1, 2], t) for t in trials}
+    cfg = EngineConfig(max_epochs=13, patience=3, learning_rate=0.2)
+    want = fit_soft_trees(df, init, cfg, key="row_id", in_task=True, epochs_per_job=100)
+    at_once, seen, task, write = [], [], tr._task_epochs, tr.write_snapshot
+    monkeypatch.setattr(tr, "IN_TASK_VALUES", 0)
+    monkeypatch.setattr(tr, "TURN_VALUES", 0)
+    monkeypatch.setattr(tr, "TURN_EPOCHS", 2)
+    monkeypatch.setattr(tr, "_chained_rounds", None)
+    monkeypatch.setattr(tr, "_task_epochs", lambda bc, *a: (at_once.append(len(bc.value)), task(bc, *a))[1])
+    monkeypatch.setattr(tr, "write_snapshot", lambda *a: (seen.append({s.epoch for s in a[-1].values() if not s.stopped}), write(*a)))
+    got = fit_soft_trees(df, init, cfg, key="row_id", epochs_per_job=5, snapshot=str(tmp_path / "s"))
+    assert got.history == want.history and all(got.models[t].params().tobytes() == want.models[t].params().tobytes() for t in trials)
+    assert len(at_once) > 1 and max(at_once) <= cores
+    assert seen[0] <= {5} and seen[1] <= {10} and seen[-1] == set()
+    df.unpersist()
