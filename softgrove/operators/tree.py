@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import threading
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -128,20 +129,32 @@ def columns(X) -> Columns:
     return Columns(np.exp(values, out=values) if powers else values, powers)
 
 
+@lru_cache(maxsize=32)
+def _layout(depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which the kernel keeps inner nodes and leaves: level by
+    level, all left children of a level before the right ones, so a level is
+    computed from the one before in whole pieces of memory."""
+    own, nodes = np.zeros(1, dtype=np.int64), [np.zeros(0, dtype=np.int64)]
+    for lv in range(depth):
+        nodes.append(2 ** lv - 1 + own)
+        own = np.concatenate([2 * own, 2 * own + 1])
+    return np.concatenate(nodes), own
+
+
 def _decisions(X: Columns, model: SoftTreeModel) -> np.ndarray:
     """sigmoid(theta - x) = 1 / (1 + exp(x - theta)), ``[nodes, n]``."""
-    own, th = X.values[model.feature_order], model.thresholds[:, None]
+    nodes, _ = _layout(model.depth)
+    th = model.thresholds[nodes, None]
     D = _scratch("decisions", model.n_nodes, len(X))
-    powers = X.powers and bool(np.abs(th).max(initial=0.0) <= POWER_LIMIT)
-    if powers:
-        th = np.exp(-th)
-    elif X.powers:
-        own = np.log(own)
-    # node i tests feature order[i mod F]
-    for i in range(0, model.n_nodes, len(own)):
-        j = min(i + len(own), model.n_nodes)
-        (np.multiply if powers else np.subtract)(own[:j - i], th[i:j], out=D[i:j])
-    if not powers:
+    if max(model.feature_order) >= len(X.values):
+        raise IndexError(f"the model tests feature {max(model.feature_order)} of {len(X.values)}")
+    np.take(X.values, np.asarray(model.feature_order)[nodes % len(model.feature_order)], axis=0, out=D, mode="clip")
+    if X.powers and bool(np.abs(th).max(initial=0.0) <= POWER_LIMIT):
+        D *= np.exp(-th)
+    else:
+        if X.powers:
+            np.log(D, out=D)
+        D -= th
         with np.errstate(over="ignore"):
             np.exp(D, out=D)
     D += 1.0
@@ -149,27 +162,28 @@ def _decisions(X: Columns, model: SoftTreeModel) -> np.ndarray:
 
 
 def _forward(X: Columns, model: SoftTreeModel) -> tuple[np.ndarray, np.ndarray]:
-    """Decisions ``[nodes, n]`` and leaf probabilities ``[2**d, n]``, both to be used
-    before the next call."""
+    """Decisions ``[nodes, n]`` and leaf probabilities ``[2**d, n]`` in the order of
+    ``_layout``, both to be used before the next call."""
     D = _decisions(X, model)
     P = _scratch("probabilities", 2 * model.n_nodes + 1, len(X))
     P[0] = 1.0
     for lv in range(model.depth):
         lo, hi = 2 ** lv - 1, 2 ** (lv + 1) - 1
-        left = P[hi:2 * hi + 1:2]
+        left = P[hi:2 * hi - lo]
         np.multiply(P[lo:hi], D[lo:hi], out=left)
-        np.subtract(P[lo:hi], left, out=P[hi + 1:2 * hi + 1:2])
+        np.subtract(P[lo:hi], left, out=P[2 * hi - lo:2 * hi + 1])
     return D, P[model.n_nodes:]
 
 
 def forward(X, model: SoftTreeModel) -> tuple[np.ndarray, np.ndarray]:
     """Leaf probabilities ``[n, 2**d]`` and decisions ``[n, nodes]``."""
-    D, leaf = _forward(columns(X), model)
-    return leaf.T.copy(), D.T.copy()
+    nodes, leaves = _layout(model.depth)
+    D, P = _forward(columns(X), model)
+    return P[np.argsort(leaves)].T, D[np.argsort(nodes)].T
 
 
 def scores_np(X, model: SoftTreeModel) -> np.ndarray:
-    return _forward(columns(X), model)[1].T @ model.leaves
+    return _forward(columns(X), model)[1].T @ model.leaves[_layout(model.depth)[1]]
 
 
 def _log_softmax_np(S: np.ndarray) -> np.ndarray:
@@ -188,8 +202,10 @@ def loss_and_grad(X, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: f
     (thresholds, leaves), flattened like ``SoftTreeModel.params``. ``X``: a
     matrix ``[n, F]`` or ``Columns``."""
     n, at = len(y), np.arange(len(y))
+    nodes, own = _layout(model.depth)
+    leaves = model.leaves[own]
     D, leaf = _forward(columns(X), model)
-    S = model.leaves.T @ leaf
+    S = leaves.T @ leaf
     S -= S.max(axis=0)
     E = np.exp(S)
     total = E.sum(axis=0)
@@ -205,24 +221,26 @@ def loss_and_grad(X, y: np.ndarray, model: SoftTreeModel, alpha: float, gamma: f
     # With w = P_leaf d loss / d P_leaf and w of a node the sum over its leaves,
     # d loss / d theta = sum over the rows of w_left - D w. Sums of w over the
     # rows alone follow from the gradient of the leaves.
-    w = np.matmul(model.leaves, E, out=_scratch("leaf weights", len(model.leaves), n))
+    w = np.matmul(leaves, E, out=_scratch("leaf weights", len(leaves), n))
     w *= leaf
     weights = _scratch("node weights", model.n_nodes, n)
-    sums = np.einsum("ij,ij->i", model.leaves, g_leaves)
+    sums = np.einsum("ij,ij->i", leaves, g_leaves)
     g_th = np.empty(model.n_nodes)
     for lv in range(model.depth - 1, -1, -1):
         lo, hi = 2 ** lv - 1, 2 ** (lv + 1) - 1
-        w = np.add(w[0::2], w[1::2], out=weights[lo:hi])
-        g_th[lo:hi] = sums[0::2]
-        sums = sums[0::2] + sums[1::2]
+        half = hi - lo
+        w = np.add(w[:half], w[half:], out=weights[lo:hi])
+        g_th[lo:hi] = sums[:half]
+        sums = sums[:half] + sums[half:]
     g_th -= np.einsum("ij,ij->i", D, weights)
-    return float(loss.sum()), np.concatenate([g_th, g_leaves.ravel()])
+    return float(loss.sum()), np.concatenate([g_th[np.argsort(nodes)], g_leaves[np.argsort(own)].ravel()])
 
 
 # Rows per kernel call: bounds the [2**depth, rows] working arrays of the
-# forward/backward pass (about 128 K cells, 1 MB per array, which the
-# processor's caches hold) at any depth.
-CHUNK_CELLS = 131_072
+# forward/backward pass (about 100 K cells, 0.8 MB per array, which the
+# processor's caches hold; rows of a power of two would fall on each other
+# there) at any depth.
+CHUNK_CELLS = 102_400
 
 
 def chunk_rows(depth: int) -> int:
